@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 
@@ -15,6 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers that run beside the driver import this package; on a cluster it is installed or given by --py-files."""
+    home = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{home}:{known}".rstrip(":")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +41,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        ship(spark)
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
@@ -87,11 +100,22 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def sha256_hex(data: bytes) -> str:
-    import hashlib
-
-    return hashlib.sha256(data).hexdigest()
+def add_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list], rows: int = 1024) -> DataFrame:
+    """Adds columns computed batch by batch in Arrow tasks, without a shuffle; input columns of these names are replaced.
 
-
-def schema_with(df: DataFrame, columns: list[str], *extra: T.StructField) -> T.StructType:
-    return T.StructType([df.schema[c] for c in columns] + list(extra))
+    compute gets a batch of at most rows rows and returns a list of values for each field.
+    """
+    ship(df.sparkSession)
+    mine = {f.name.lower() for f in fields}
+    kept = df.select([c for c in df.columns if c.lower() not in mine])
+    types = [to_arrow_type(f.dataType) for f in fields]
+    names = kept.columns + [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                added = [pa.array(v, t) for v, t in zip(compute(batch), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))

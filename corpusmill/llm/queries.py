@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import chat, decontamination, embedding, html_text, language, packing, pii, sharding, simhash
 from .common import read_table
 
 
@@ -14,9 +14,43 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_id")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(read_table(spark, sf_dir, "conversations"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.find_contamination(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op8_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.embedding_components(read_table(spark, sf_dir, "embeddings"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify_language(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op5_chat, op6_html_text, op7_decontamination, op8_embedding, op9_language, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat": chat.SQL}
