@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, embedding, html_text, language, packing, pii, sharding, simhash
+from . import chat, decontamination, embedding, html_text, language, packing, pii, sharding, simhash, suffix_dedup
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(read_table(spark, sf_dir, "conversations"))
 
@@ -49,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op5_chat, op6_html_text, op7_decontamination, op8_embedding, op9_language, op10_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_suffix_dedup, op5_chat, op6_html_text, op7_decontamination, op8_embedding, op9_language, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
