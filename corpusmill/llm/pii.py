@@ -128,10 +128,16 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
-    """docs with each found span of text replaced by its kind in angle brackets; spans that overlap become one, of the first kind."""
+    """docs with each found span of text replaced by its kind in angle brackets; spans that overlap become one, of the first kind.
+
+    A column n_chars follows the new text; rows without spans, null texts too, stay as they are.
+    """
     found = find_pii(docs).filter(F.size("found") > 0).select(F.col("row").alias("_row"), "found").dropDuplicates(["_row"])
     joined = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(found, F.col("_key") == F.col("_row"), "left")
     upto = lambda i: F.coalesce(F.array_max(F.transform(F.slice("found", F.lit(1), i), lambda x: x["end"])), F.lit(0))
     piece = lambda x, i: F.when(x["start"] >= upto(i), F.concat(F.substr("text", upto(i) + 1, x["start"] - upto(i)), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
     clean = F.concat(F.array_join(F.transform("found", piece), ""), F.substr("text", upto(F.size("found")) + 1, F.length("text")))
-    return joined.withColumn("text", F.when(F.col("found").isNotNull(), clean).otherwise(F.col("text"))).select(docs.columns)
+    joined = joined.withColumn("text", F.when(F.col("found").isNotNull(), clean).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return joined.select(docs.columns)
