@@ -115,7 +115,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             automaton = _automaton(key, shared.value, window)
             texts = batch.column("text").to_pylist()
             none = [None] * len(texts)
-            spans, own = (none, none) if first else (batch.column("_spans").to_pylist(), batch.column("_items").to_pylist())
+            spans, own = (none, none) if first else (batch.column("_old_spans").to_pylist(), batch.column("_old_items").to_pylist())
             rows = [_scan(t, automaton, s, i) for t, s, i in zip(texts, spans, own, strict=True)]
             if not last:
                 return [[r[1] for r in rows], [r[2] for r in rows]]
@@ -125,6 +125,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         spot = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
         results = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("hit_spans", T.ArrayType(spot))]
         found = add_columns(found, results if last else empty, compute)
+        found = found.drop("_old_spans", "_old_items")
         if not last:
-            found = scratch.save(found)
-    return found.drop("_spans", "_items")
+            found = scratch.save(found.withColumnsRenamed({"_spans": "_old_spans", "_items": "_old_items"}))
+    return found
