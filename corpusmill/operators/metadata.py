@@ -18,6 +18,11 @@ def _bare(x: Column) -> Column:
     return F.regexp_replace(strip(x), EDGE_MARKS, "")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once for the row however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _occurrences(text: Column, word: str) -> Column:
     return F.regexp_count(text, F.lit(_word(word)))
 
@@ -28,22 +33,26 @@ def extract_department(text: Column) -> Column:
     raw = F.lit(None).cast("string")
     for pattern in reversed(R.DEPARTMENT_LABELS):
         raw = F.when(header.rlike(pattern), _bare(F.regexp_extract(header, pattern, 1))).otherwise(raw)
-    clean = F.lower(raw)
     named = [(a, name) for name, aliases in R.DEPARTMENTS for a in aliases] + [(a, "General") for a in R.COMPANY_WIDE]
     made = lambda name, confidence: F.struct(name.alias("department"), F.lit(confidence).cast("double").alias("confidence"))
-    exact = reduce(lambda rest, x: F.when(clean == x[0], F.lit(x[1]) if x[0] == x[1].lower() else F.initcap(raw)).otherwise(rest), reversed(named), F.lit(None).cast("string"))
-    inside = reduce(lambda rest, x: F.when(clean.contains(x[0]), x[1]).otherwise(rest), reversed(named), F.lit(None).cast("string"))
-    by_label = (
-        F.when(clean == "information technology", made(F.lit("Information Technology"), 0.95))
-        .when(exact.isNotNull(), made(exact, 0.95))
-        .when(inside.isNotNull(), made(inside, 0.90))
-        .when(F.length(raw).between(2, 40), made(F.initcap(raw), 0.85))
-    )
-    lower, head = F.lower(text), F.lower(header)
-    scores = F.array(*[F.struct(reduce(lambda a, b: a + b, [_occurrences(head, x) * 3.0 + _occurrences(lower, x) for x in aliases]).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, aliases) in enumerate(R.DEPARTMENTS)])
-    best = F.array_max(scores)
-    by_words = F.when(best["score"] >= 3, F.struct(best["name"].alias("department"), F.least(F.lit(0.85), 0.60 + best["score"] * 0.05).alias("confidence"))).when(best["score"] >= 1, made(best["name"], 0.65)).otherwise(made(F.lit("General"), 0.50))
-    return F.coalesce(by_label, by_words)
+
+    def by_label(raw: Column) -> Column:
+        clean = F.lower(raw)
+        exact = reduce(lambda rest, x: F.when(clean == x[0], F.lit(x[1]) if x[0] == x[1].lower() else F.initcap(raw)).otherwise(rest), reversed(named), F.lit(None).cast("string"))
+        inside = reduce(lambda rest, x: F.when(clean.contains(x[0]), x[1]).otherwise(rest), reversed(named), F.lit(None).cast("string"))
+        return (
+            F.when(clean == "information technology", made(F.lit("Information Technology"), 0.95))
+            .when(exact.isNotNull(), made(exact, 0.95))
+            .when(inside.isNotNull(), made(inside, 0.90))
+            .when(F.length(raw).between(2, 40), made(F.initcap(raw), 0.85))
+        )
+
+    def by_words(texts: Column) -> Column:
+        scores = F.array(*[F.struct(reduce(lambda a, b: a + b, [_occurrences(texts["head"], x) * 3.0 + _occurrences(texts["all"], x) for x in aliases]).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, aliases) in enumerate(R.DEPARTMENTS)])
+        chosen = lambda best: F.when(best["score"] >= 3, F.struct(best["name"].alias("department"), F.least(F.lit(0.85), 0.60 + best["score"] * 0.05).alias("confidence"))).when(best["score"] >= 1, made(best["name"], 0.65)).otherwise(made(F.lit("General"), 0.50))
+        return _once(F.array_max(scores), chosen)
+
+    return F.coalesce(_once(raw, by_label), _once(F.struct(F.lower(header).alias("head"), F.lower(text).alias("all")), by_words))
 
 
 def extract_policy_id(text: Column) -> Column:
