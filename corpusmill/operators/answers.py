@@ -136,3 +136,38 @@ def code_grounding(answers: DataFrame, context: DataFrame, query: str = "query_i
     counted = rows.groupBy(query).agg(F.count(F.lit(1)).alias("code_lines"), F.count_if(found).alias("grounded"))
     share = F.round(F.col("grounded") / F.col("code_lines"), 6)
     return answers.select(query).join(counted, query, "left").withColumn("share", share).withColumn("passed", F.col("share") >= minimum)
+
+
+def strip_ungrounded_code(answer: Column, failed: Column) -> Column:
+    """Drops the fences that hold a failed line, and a line that announces code which no longer follows."""
+    parts = F.split(answer, "```")
+    squeeze = lambda x: F.regexp_replace(x, r"\s+", "")
+    bad = lambda p: F.exists(failed, lambda f: squeeze(p).contains(squeeze(f)))
+    kept = F.filter(F.transform(parts, lambda p, i: F.when(i % 2 == 0, strip(p)).when(~bad(p), F.concat(F.lit("```"), p, F.lit("```"))).otherwise("")), lambda p: p != "")
+    text = F.array_join(kept, "\n")
+    lines = F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(r"(?i)(defined as|as follows|the following code|example)\s*:\s*$") & ~text.contains("```")))
+    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+
+
+# How a partial answer and an abstention begin.
+PARTIAL = "based on the available information"
+ABSTENTIONS = ("I am unable to answer", "The documents do not contain")
+PARTIAL_CHARS = 100
+
+
+def normalize_answer(answer: Column) -> Column:
+    """An abstention before or after a partial answer of at least PARTIAL_CHARS characters, or one with a source, goes; other answers stay."""
+    text = strip(answer)
+    at = F.locate(PARTIAL, F.lower(text))
+    leads = F.lit(False)
+    cut = F.lit(None).cast("int")
+    for m in ABSTENTIONS:
+        leads = leads | text.startswith(m)
+    body = F.when(leads & (at > 1), F.substr(text, at)).otherwise(text)
+    enough = lambda x: (F.length(x) >= PARTIAL_CHARS) | F.lower(x).contains("[source")
+    body = F.when(enough(body), body).otherwise(text)
+    for m in ABSTENTIONS:
+        place = F.locate(m, body)
+        cut = F.coalesce(cut, F.when(place > 1, place))
+    before = strip(F.substr(body, F.lit(1), F.coalesce(cut, F.length(body) + 1) - 1))
+    return F.when(F.lower(body).startswith(PARTIAL) & cut.isNotNull() & enough(before), before).otherwise(body)

@@ -94,3 +94,39 @@ def parent_expand(hits: DataFrame, parents: DataFrame, query: str = "query_id",
     keep = F.col("parent_id").isNull() | (F.col("_p") == 1) | (F.lit(not drop_siblings) & F.col("_pid").isNull())
     out = met.filter(keep).withColumn("result_id", F.coalesce("_pid", F.col(key)))
     return out.withColumn("rank", rank_by(query, "rank")).drop("_pid", "_p")
+
+
+def topic_classify(text: Column, rules: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    """The first topic of the rule table (name, marker phrases) of which a phrase occurs, else none."""
+    q = F.lower(text)
+    out = F.lit("none")
+    for name, markers in reversed(rules):
+        hit = F.lit(False)
+        for m in markers:
+            hit = hit | q.contains(m)
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
+def topic_inject(hits: DataFrame, canned: DataFrame, marked: Column, minimum: int = 2, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
+    """Where a question has fewer than minimum marked candidates, the best canned ones (query, key, score) that it lacks go in front with a boosted score.
+
+    hits and canned carry the columns that marked reads; hits has rank.
+    """
+    all_of = Window.partitionBy(query)
+    counted = hits.withColumn("_m", F.sum(marked.cast("int")).over(all_of)).withColumn("_boost", F.greatest(F.max("score").over(all_of) * 1.2, F.lit(10.0)))
+    short = counted.groupBy(query).agg(F.max("_m").alias("_have"), F.max("_boost").alias("_boost")).filter(F.col("_have") < minimum)
+    fresh = canned.join(short, query).join(hits.select(query, key), [query, key], "left_anti").withColumn("_n", rank_by(query, F.desc("score"), key)).filter(F.col("_n") <= F.lit(minimum) - F.col("_have"))
+    both = hits.select(query, key, "score", F.col("rank").alias("_p")).unionByName(fresh.select(query, key, F.col("_boost").alias("score"), (F.col("_n") - 1_000_000).alias("_p")))
+    return both.withColumn("rank", rank_by(query, "_p")).drop("_p")
+
+
+def comprehensive_retrieve(hits: DataFrame, section: str, ratio: float = 0.25, top_n: int = 12, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
+    """The list-question path over the hits of all sub-queries (query, key, score, section): best score a chunk, two a section, threshold, the first top_n; a question
+    that the threshold leaves empty keeps its order by score."""
+    merged = hits.groupBy(query, key, section).agg(F.max("score").alias("score"))
+    spread = diversify_sections(merged, 2, section, query, key)
+    kept = relative_threshold(spread, ratio, 1, query, key)
+    rest = spread.join(kept.select(query).distinct(), query, "left_anti")
+    both = kept.unionByName(rest).withColumn("rank", rank_by(query, F.desc("score"), key))
+    return both.filter(F.col("rank") <= top_n)

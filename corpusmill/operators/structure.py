@@ -42,3 +42,19 @@ def section_context(rows: DataFrame, key: str = "doc_id", order: str = "line_no"
         top["level"].alias("section_level"),
         F.when(F.size("_s") > 0, F.array_join(F.transform("_s", lambda x: x["label"]), " > ")).alias("section_path"),
     )
+
+
+def caption_rows(pages: DataFrame, images: DataFrame, file: str = "source_file") -> DataFrame:
+    """images(file, page_number), pages(file, page_number, text, section_path) -> file, page_number, caption, section_path.
+
+    The caption is the page's first line that names a figure or diagram, else its first line; the section is the page's own or that of the nearest page that has one
+    (the earlier of two as near), found by grouped minima over a file's pages.
+    """
+    lines_of = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    figure = F.get(F.filter(lines_of, lambda x: x.rlike(r"(?i)\b(figure|fig\.|diagram|chart|illustration)\b")), F.lit(0))
+    own = pages.select(F.col(file).alias("_f"), F.col("page_number").alias("_p"), F.coalesce(figure, F.left(F.get(lines_of, F.lit(0)), F.lit(200))).alias("_c"))
+    near = pages.filter("section_path is not null").select(F.col(file).alias("_nf"), F.col("page_number").alias("_np"), F.col("section_path").alias("_s"))
+    met = images.join(near, F.col(file) == F.col("_nf"), "left").groupBy(file, "page_number").agg(F.min_by("_s", F.struct(F.abs(F.col("_np") - F.col("page_number")), F.col("_np"))).alias("section_path"))
+    named = met.join(own, (F.col(file) == F.col("_f")) & (F.col("page_number") == F.col("_p")), "left")
+    words = F.coalesce("_c", F.concat(F.lit("Visual content from "), F.col(file)))
+    return named.select(file, "page_number", F.concat(F.lit("[DIAGRAM CAPTION — "), F.col(file), F.lit(" (page "), F.col("page_number").cast("string"), F.lit(")] "), words).alias("caption"), "section_path")

@@ -326,3 +326,19 @@ def golden_candidates(t):
     marked = t("documents").select("doc_id", F.length("text").alias("n"), kind.alias("kind"))
     return marked.withColumn("_r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "doc_id"))).filter("_r <= 20").select("doc_id", "kind")
 
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'kept' || chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```' ELSE 'kept' END AS answer FROM documents")
+def strip_ungrounded_code(t):
+    raw = F.concat(F.lit("kept\n"), F.when(F.col("doc_id") % 3 == 0, "```\nx = 1\n```").otherwise("It is defined as:\n```\ny = 2\n```"))
+    return t("documents").select("doc_id", A.strip_ungrounded_code(raw, F.array(F.lit("y = 2"))).alias("answer"))
+
+
+PARTIAL_TEXT = "Based on the available information, " + "leave is paid for all staff after thirty days of work in the company, as the handbook says."
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'I am unable to answer this, ' || lang ELSE {quoted(PARTIAL_TEXT)} END AS answer FROM documents")
+def normalize_answer(t):
+    n = F.col("doc_id") % 3
+    raw = F.when(n == 0, F.concat(F.lit(PARTIAL_TEXT + "\n\nI am unable to answer the rest, "), F.col("lang"))).when(n == 1, F.lit("I am unable to answer. " + PARTIAL_TEXT)).otherwise(F.concat(F.lit("I am unable to answer this, "), F.col("lang")))
+    return t("documents").select("doc_id", A.normalize_answer(raw).alias("answer"))

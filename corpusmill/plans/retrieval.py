@@ -281,3 +281,33 @@ def retrieval_trace(t):
     found = trace(with_context(t, sparse_hits(t).withColumn("score", F.round("score", 2))), preview=40)
     return found.select("query_id", "n_chunks", F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c["rank"].cast("string"), c["score"].cast("string"), c["preview"])), "|").alias("chunks"))
 
+
+
+TOPIC_RULES = (("license", ("license", "copyright")), ("there", ("the the", "there")), ("other", ("ertion",)))
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'license') OR contains(lower(text), 'copyright') THEN 'license' WHEN contains(lower(text), 'the the') OR contains(lower(text), 'there') THEN 'there' WHEN contains(lower(text), 'ertion') THEN 'other' ELSE 'none' END AS topic FROM documents")
+def topic_classify(t):
+    return t("documents").select("doc_id", U.topic_classify(F.col("text"), TOPIC_RULES).alias("topic"))
+
+
+@query(
+    f"""WITH {BM25}, {OVERLAP}, {DOCS}, h AS (SELECT query_id, chunk_id, score, rank, section = 'de' AS marked FROM sparse JOIN docs USING (chunk_id)),
+s AS (SELECT query_id, count(*) FILTER (WHERE marked) AS have, greatest(max(score) * 1.2, 10) AS boost FROM h GROUP BY 1 HAVING count(*) FILTER (WHERE marked) < 2),
+c AS (SELECT d.query_id, d.chunk_id, have, boost, row_number() OVER (PARTITION BY d.query_id ORDER BY d.score DESC, d.chunk_id) AS n FROM dense d JOIN docs USING (chunk_id) JOIN s USING (query_id) WHERE section = 'de' AND NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = d.query_id AND h.chunk_id = d.chunk_id)),
+u AS (SELECT query_id, chunk_id, score, rank AS p FROM h UNION ALL SELECT query_id, chunk_id, boost, n - 1000000 FROM c WHERE n <= 2 - have)
+SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY p) AS rank FROM u"""
+)
+def topic_inject(t):
+    hits, canned = with_context(t, sparse_hits(t)), with_context(t, overlap_hits(t)).filter("section = 'de'")
+    return U.topic_inject(hits, canned, F.col("section") == "de").withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {BM25}, {OVERLAP}, {DOCS}, u AS (SELECT query_id, chunk_id, score FROM sparse UNION ALL SELECT query_id, chunk_id, score FROM dense), m AS (SELECT query_id, chunk_id, section, max(score) AS score FROM u JOIN docs USING (chunk_id) GROUP BY ALL),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY score DESC, chunk_id) AS n FROM m), k AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM d WHERE n <= 2),
+r AS (SELECT query_id, chunk_id, section, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM k WHERE score >= 0.25 * top) SELECT * FROM r WHERE rank <= 12"""
+)
+def comprehensive_retrieve(t):
+    both = sparse_hits(t).drop("rank").unionByName(overlap_hits(t).drop("rank"))
+    return U.comprehensive_retrieve(with_context(t, both).select("query_id", "chunk_id", "section", "score"), "section").select("query_id", "chunk_id", "section", "score", "rank")
