@@ -169,9 +169,9 @@ def _contexts(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
                 keys, contexts, docs_, starts = [], [], [], []
-                for doc, z, spots in zip(b.column("doc").to_pylist(), b.column("z").to_pylist(), b.column("spots").to_pylist(), strict=True):
+                for doc, z, spots in zip(b.column("doc").to_pylist(), b.column("z").to_pylist(), _lists(b.column("spots")), strict=True):
                     data, seen = large.decompress(z), set()
-                    first, anchor, many = _unpack(np.array(sorted(spots), np.int64))
+                    first, anchor, many = _unpack(np.sort(spots))
                     for s, a, n in zip(first.tolist(), anchor.tolist(), many.tolist(), strict=True):
                         context = data[s : s + n - 1 + length]
                         if (a - s, context) not in seen:
@@ -257,22 +257,44 @@ def _lms_names(text: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
         got[-1] &= ~behind[-1]
         return got
 
-    name = np.unique(word(0), return_inverse=True)[1]
+    # A name is the rank of the first of its group, so that splitting a group leaves all other names alone.
+    name = np.zeros(m, np.int64)
+    open_ = _refine(name, np.arange(m), word(0))
     for w in range(1, -(-int(size.max()) // 8)):
-        order = np.lexsort((x := word(w), name))
-        new = np.r_[False, (np.diff(name[order]) != 0) | (x[order][1:] != x[order][:-1])]
-        name = np.empty(m, np.int64)
-        name[order] = np.cumsum(new)
-    name = name + 1
+        # Only groups of which a substring goes on can split.
+        goes_on = np.zeros(m, bool)
+        goes_on[name[open_[size[open_] > 8 * w]]] = True
+        active = goes_on[name[open_]]
+        open_ = np.r_[open_[~active], _refine(name, open_[active], word(w)[open_[active]])]
     step = 1
-    while step < m and name.max() < m and int(np.min(lms[step:] - lms[:-step])) < depth + 8:
-        pair = name.astype(_U) << _U(32)
-        pair[:-step] |= name[step:].astype(_U)
-        name = np.unique(pair, return_inverse=True)[1] + 1
+    while len(open_) and step < m and int(np.min(lms[step:] - lms[:-step])) < depth + 8:
+        after = open_ + step
+        open_ = _refine(name, open_, np.where(after < m, name[np.minimum(after, m - 1)] + 1, 0).astype(_U))
         step *= 2
     return name
 
 
+def _refine(name: np.ndarray, members: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Splits the groups of members (all of each group) by key, in place; returns the members whose groups still have others."""
+    if not len(members):
+        return members
+    old = name[members]
+    if int(key.max()) < 1 << 32:
+        order = np.argsort((old.astype(_U) << _U(32)) | key)
+    elif old.min() == old.max():
+        order = np.argsort(key)
+    else:
+        order = np.lexsort((key, old))
+    old, keys, places = old[order], key[order], np.arange(len(order))
+    new_group = np.r_[True, old[1:] != old[:-1]]
+    new = new_group | np.r_[True, keys[1:] != keys[:-1]]
+    begin = np.maximum.accumulate(np.where(new_group, places, 0))
+    own = np.maximum.accumulate(np.where(new, places, 0))
+    name[members[order]] = old + own - begin
+    alone = new & np.r_[new[1:], True]
+    return members[order[~alone]]
+
+
 def earliest_windows(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each context, which of its windows are the earliest start of their string among all windows of all contexts."""
     data = b"".join(contexts)
@@ -295,18 +317,21 @@ def earliest_windows(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray
         open_ = open_[words[open_ + k] == words[phi[open_] + k]]
     joined = np.zeros(len(text), bool)
     joined[open_] = True
-    group = np.empty(len(text), np.int64)
-    group[sa] = np.cumsum(~joined[sa])
-    place = begin[which] + offset
-    order = np.lexsort((starts[which] + offset, docs[which], group[place]))
-    ranked = group[place][order]
-    first = np.empty(len(place), bool)
-    first[order] = np.r_[True, ranked[1:] != ranked[:-1]]
+    next_ = joined[sa]
+    shared = next_ | np.r_[next_[1:], False]
+    group = np.cumsum(~next_)[shared]
+    at = sa[shared]
+    number = np.empty(len(text), np.int64)
+    number[begin[which] + offset] = np.arange(len(which))
+    window = number[at]
+    order = np.lexsort((starts[which[window]] + offset[window], docs[which[window]], group))
+    first = np.ones(len(which), bool)
+    first[window[order]] = np.r_[True, np.diff(group[order]) != 0][: len(order)]
     return np.split(first, np.cumsum(windows)[:-1])
 
 
 def _kept(distinct: DataFrame, length: int) -> DataFrame:
-    """doc, start, bits (which windows stay) of distinct contexts sorted by key; bits null with key and context: its key was too large for a task."""
+    """doc, start, bits (which windows stay; empty: all) of distinct contexts sorted by key; bits null with context: its key was too large for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(docs_: list, starts: list, bits: list, contexts: list) -> pa.RecordBatch:
@@ -315,7 +340,7 @@ def _kept(distinct: DataFrame, length: int) -> DataFrame:
         def shard(rows: list) -> pa.RecordBatch:
             docs_, starts = (np.array([r[i] for r in rows], np.int64) for i in (2, 3))
             kept = earliest_windows([r[1] for r in rows], docs_, starts, length)
-            return emit(docs_.tolist(), starts.tolist(), [np.packbits(k).tobytes() for k in kept], [None] * len(rows))
+            return emit(docs_.tolist(), starts.tolist(), [b"" if k.all() else np.packbits(k).tobytes() for k in kept], [None] * len(rows))
 
         ready, ready_size, own, own_size, large = [], 0, [], 0, None
         for b in batches:
@@ -339,23 +364,32 @@ def _kept(distinct: DataFrame, length: int) -> DataFrame:
     return distinct.mapInArrow(run, "doc long, start long, bits binary, context binary")
 
 
-def _removal(spots: list | None, kept: list | None, n: int, length: int) -> tuple[int, int, np.ndarray]:
-    """(bytes removed, removed runs, mask of bytes that stay)."""
-    delta = np.zeros(n + 1, np.int32)
-    if spots:
-        first, _, many = _unpack(np.array(spots, np.int64))
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of an array column as numpy arrays; null is empty."""
+    values, cuts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def _removal(spots: np.ndarray, whole: np.ndarray, parts: list | None, n: int, length: int) -> tuple[int, int, np.ndarray | None]:
+    """(bytes removed, removed runs, mask of bytes that stay). Windows of repeated anchors go, but for contexts that stay whole and marked windows of others."""
+    first, _, many = _unpack(spots)
+    if len(whole):
+        gone = ~np.isin(first, whole)
+        first, many = first[gone], many[gone]
+    if not len(first):
+        return 0, 0, None
+    at = np.repeat(first, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    if parts:
         stays = np.zeros(n + 1, bool)
-        for k in kept or []:
-            bits = np.unpackbits(np.frombuffer(k["bits"], np.uint8)).astype(bool)
-            bits = bits[: max(0, n + 1 - k["start"])]
+        for k in parts:
+            bits = np.unpackbits(np.frombuffer(k["bits"], np.uint8)).astype(bool)[: n + 1 - k["start"]]
             stays[k["start"] : k["start"] + len(bits)] |= bits
-        total = int(many.sum())
-        at = np.repeat(first, many) + np.arange(total) - np.repeat(np.cumsum(many) - many, many)
         at = at[~stays[at]]
-        np.add.at(delta, at, 1)
-        np.add.at(delta, at + length, -1)
-    gone = np.cumsum(delta[:-1]) > 0
-    return int(gone.sum()), int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1)), ~gone
+        if not len(at):
+            return 0, 0, None
+    delta = np.bincount(at, minlength=n + 1) - np.bincount(at + length, minlength=n + 1)
+    lost = np.cumsum(delta[:-1]) > 0
+    return int(lost.sum()), int(np.count_nonzero(lost[1:] & ~lost[:-1])) + int(lost[0]), ~lost
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -382,7 +416,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     # Keys too large for one task: each window by itself, equal ones grouped.
     each = stays.filter("bits is null").select("doc", "start", "context", F.explode(F.expr(f"sequence(0, octet_length(context) - {length})")).alias("i"))
     alone = each.groupBy(F.expr(f"substring(context, i + 1, {length})").alias("window")).agg(F.min(F.struct("doc", (F.col("start") + F.col("i")).alias("start"))).alias("x")).select("x.doc", "x.start", F.lit(b"\x80").alias("bits"))
-    kept = stays.filter("bits is not null").select("doc", "start", "bits").union(alone).groupBy("doc").agg(F.collect_list(F.struct("start", "bits")).alias("kept"))
+    kept = stays.filter("bits is not null").select("doc", "start", "bits").union(alone).groupBy("doc").agg(F.collect_list(F.when(F.octet_length("bits") == 0, F.col("start"))).alias("whole"), F.collect_list(F.when(F.octet_length("bits") > 0, F.struct("start", "bits"))).alias("parts"))
     plan = scratch.save(marks.join(kept, "doc", "left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,15 +426,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                out = []
-                for z, spots, keep in zip(b.column("z").to_pylist(), b.column("spots").to_pylist(), b.column("kept").to_pylist(), strict=True):
+                out, spots, stay, parts = [], _lists(b.column("spots")), _lists(b.column("whole")), b.column("parts").to_pylist()
+                for i, z in enumerate(b.column("z").to_pylist()):
                     data = large.decompress(z)
-                    removed, spans, mask = _removal(spots, keep, len(data), length)
+                    removed, spans, mask = _removal(spots[i], stay[i], parts[i], len(data), length)
                     rest = np.frombuffer(data, np.uint8)[mask].tobytes() if removed else data
                     out.append((len(data), removed, spans, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    result = _squeezed(docs).join(plan, "doc", "left").select("doc_id", "z", "spots", "kept").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    result = _squeezed(docs).join(plan, "doc", "left").select("doc_id", "z", "spots", "whole", "parts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return result if with_text else result.drop("kept")
