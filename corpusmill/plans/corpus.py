@@ -297,3 +297,31 @@ def caption_rows(t):
 
     pages = t("documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page_number"), "text", F.when(F.col("doc_id") % 4 == 0, F.concat("lang", F.col("doc_id").cast("string"))).alias("section_path"))
     return captions(pages, pages.filter("page_number % 10 = 3").select("source_file", "page_number"))
+
+
+def fenced(t):
+    """Every second document with a fence between its halves."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = F.concat(F.substr("text", F.lit(1), half), F.lit("\n```\nx = f(1)\ny = g(x)\n```\n"), F.substr("text", half + 1, F.length("text")))
+    return t("documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def chunk_markdown(t):
+    return C.chunk_markdown(fenced(t))
+
+
+@query()
+def chunk_table(t):
+    return C.chunk_table(t("documents"))
+
+
+@query()
+def chunk_parent_child(t):
+    parents, children = C.chunk_parent_child(t("documents"))
+    return children.join(parents.select("parent_id", "doc_id", F.col("chunk_index").alias("parent_index")), "parent_id")
+
+
+@query("SELECT source, count(*) AS chunks, max(length(text)) AS longest, min(left(text, 100)) AS first_snippet FROM documents GROUP BY source")
+def document_detail(t):
+    return t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("text")).cast("long").alias("longest"), F.min(F.left("text", F.lit(100))).alias("first_snippet"))

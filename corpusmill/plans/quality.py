@@ -342,3 +342,17 @@ def normalize_answer(t):
     n = F.col("doc_id") % 3
     raw = F.when(n == 0, F.concat(F.lit(PARTIAL_TEXT + "\n\nI am unable to answer the rest, "), F.col("lang"))).when(n == 1, F.lit("I am unable to answer. " + PARTIAL_TEXT)).otherwise(F.concat(F.lit("I am unable to answer this, "), F.col("lang")))
     return t("documents").select("doc_id", A.normalize_answer(raw).alias("answer"))
+
+
+@query(
+    f"WITH {REPORT_SQL}, g AS (SELECT doc_id, quality, toxic FROM labels) SELECT g.doc_id AS case_id, faithfulness, completeness, passed, g.quality::DOUBLE AS hit_rate, {ABSTAINS} AND toxic = 1 AS guard_modified FROM g JOIN rp USING (doc_id) JOIN judged USING (doc_id)"
+)
+def case_results(t):
+    told = reports(t).withColumn("abstains", V.abstains(F.col("answer")))
+    met = t("labels").select("doc_id", "quality", "toxic").join(told, "doc_id")
+    return met.select(F.col("doc_id").alias("case_id"), "faithfulness", "completeness", "passed", F.col("quality").cast("double").alias("hit_rate"), (F.col("abstains") & (F.col("toxic") == 1)).alias("guard_modified"))
+
+
+@query("SELECT event_id AS trace_id, ts, value AS latency FROM events WHERE event_id % 997 = 5")
+def trace_by_id(t):
+    return traces(t).filter("trace_id % 997 = 5")

@@ -311,3 +311,21 @@ r AS (SELECT query_id, chunk_id, section, score, row_number() OVER (PARTITION BY
 def comprehensive_retrieve(t):
     both = sparse_hits(t).drop("rank").unionByName(overlap_hits(t).drop("rank"))
     return U.comprehensive_retrieve(with_context(t, both).select("query_id", "chunk_id", "section", "score"), "section").select("query_id", "chunk_id", "section", "score", "rank")
+
+
+@query(
+    f"""WITH {BM25}, c AS (SELECT query_id, chunk_id, rank, score FROM sparse WHERE rank <= 6), t AS (SELECT c.* FROM c WHERE query_id % 2 = 0 AND rank = 2),
+r AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM c WHERE query_id % 2 = 1), n AS (SELECT query_id, chunk_id, rank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS n FROM r WHERE score >= CASE WHEN top > 0 THEN 0.7 * top ELSE 0 END)
+SELECT query_id, chunk_id, rank, score, 'cited_in_answer' AS reason FROM t UNION ALL SELECT query_id, chunk_id, rank, score, 'score_threshold_fallback' FROM n WHERE n <= 4"""
+)
+def select_citations_ratio(t):
+    answers = questions(t).select("query_id", F.when(F.col("query_id") % 2 == 0, "see [Source 2]").otherwise("none").alias("answer"))
+    return A.select_citations(answers, sparse_hits(t).filter("rank <= 6").select("query_id", "chunk_id", "rank", "score"), 0.7, 4, by_score=True)
+
+
+@query(f"WITH {BM25}, q AS (SELECT item_id AS query_id, split_part(lower(text), ' ', 1) AS keyword FROM benchmark) SELECT query_id, chunk_id, contains(lower(d.text), regexp_replace(keyword, '^\\s+|\\s+$', '', 'g')) OR (len(list_filter(regexp_split_to_array(regexp_replace(keyword, '^\\s+|\\s+$', '', 'g'), '[^a-z0-9_]+'), lambda x: length(x) > 3)) > 0 AND len(list_filter(list_filter(regexp_split_to_array(regexp_replace(keyword, '^\\s+|\\s+$', '', 'g'), '[^a-z0-9_]+'), lambda x: length(x) > 3), lambda x: NOT contains(lower(d.text), x))) = 0) AS relevant FROM sparse JOIN q USING (query_id) JOIN documents d ON d.doc_id = chunk_id")
+def chunk_relevance(t):
+    from ..operators.evaluation import keyword_match
+
+    wanted = questions(t).select("query_id", F.split(F.lower("text"), " ")[0].alias("keyword"))
+    return with_context(t, sparse_hits(t)).join(wanted, "query_id").select("query_id", "chunk_id", keyword_match(F.col("keyword"), F.lower("text")).alias("relevant"))
