@@ -83,7 +83,11 @@ def clean_title(title: Column) -> Column:
 def parse_heading(line: Column) -> Column:
     """struct<level, number, title, pattern> of a heading line, else null. Patterns are tried by priority; a
     markdown heading with an empty or noisy title ends the search, any other pattern that fails its test lets the next one try."""
-    text = strip(line)
+    return F.transform(F.array(strip(line)), _heading)[0]
+
+
+def _heading(text: Column) -> Column:
+    """parse_heading of a stripped line, as the body of a lambda: computed once a row, and too large for generated code."""
     found = F.lit(None)
     for name, level, pattern, number, title in reversed(HEADING_PATTERNS):
         # One expression for each group: Java's ^ and $ are the line's ends here, as a line has no breaks.
