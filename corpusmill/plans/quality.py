@@ -14,6 +14,7 @@ from ..operators import vectors as X
 from ..streaming import jobs
 from .corpus import quoted
 from .registry import query
+from .retrieval import BM25, sparse_hits, with_context
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
@@ -254,8 +255,8 @@ def parse_judge_scores(t):
 
 
 @query(
-    """WITH g AS (SELECT item_id AS query_id, unnest([split_part(lower(text), ' ', 1), 'the of', split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4)]) AS keyword FROM benchmark), w AS (SELECT * FROM g WHERE trim(keyword) <> ''),
-h AS (SELECT b.item_id AS query_id, d.doc_id AS id, lower(d.text) AS s FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
+    f"""WITH {BM25}, g AS (SELECT item_id AS query_id, unnest([split_part(lower(text), ' ', 1), 'the of', split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4)]) AS keyword FROM benchmark), w AS (SELECT * FROM g WHERE trim(keyword) <> ''),
+h AS (SELECT query_id, chunk_id AS id, lower(d.text) AS s FROM sparse JOIN documents d ON d.doc_id = chunk_id),
 tok AS (SELECT query_id, keyword, regexp_replace(lower(keyword), '^\\s+|\\s+$', '', 'g') AS needle, list_filter(regexp_split_to_array(regexp_replace(lower(keyword), '^\\s+|\\s+$', '', 'g'), '[^a-z0-9_]+'), lambda x: length(x) > 3) AS tk FROM w),
 rel AS (SELECT h.query_id, count(DISTINCT id) AS relevant FROM h JOIN tok USING (query_id) WHERE contains(s, needle) OR (len(tk) > 0 AND len(list_filter(tk, lambda x: contains(s, x))) = len(tk)) GROUP BY 1),
 told AS (SELECT query_id, count(*) AS total, string_agg(s, ' ' ORDER BY s) AS s FROM h GROUP BY 1),
@@ -266,8 +267,7 @@ FROM (SELECT DISTINCT query_id FROM g) LEFT JOIN told USING (query_id) LEFT JOIN
 def retrieval_metrics(t):
     part = lambda i: F.coalesce(F.get(F.split("text", " "), F.lit(i)), F.lit(""))
     golden = t("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(F.lower(part(0)), F.lit("the of"), F.concat(part(2), F.lit(" "), part(3)))).alias("keyword"))
-    hits = t("benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("k")).join(t("documents").select("text", (F.col("doc_id") % 40).alias("k")), "k").select("query_id", "text")
-    return E.retrieval_metrics(hits, golden)
+    return E.retrieval_metrics(with_context(t, sparse_hits(t)).select("query_id", "text"), golden)
 
 
 TRACES = "traces AS (SELECT event_id AS trace_id, ts, value AS latency FROM events)"
@@ -297,9 +297,9 @@ def list_documents(t):
     return T.list_documents(t("documents").select("doc_id", "lang", "source"), F.col("lang") == "en", 20, 1)
 
 
-@query("WITH h AS (SELECT b.item_id AS query_id, d.source, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40), u AS (SELECT query_id, count(*) AS n_chunks, list_sort(list_distinct(list(source))) AS sources FROM h GROUP BY 1) SELECT item_id AS query_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::BIGINT AS prompt_tokens, n_chunks, sources FROM benchmark LEFT JOIN u ON u.query_id = item_id")
+@query(f"WITH {BM25}, h AS (SELECT query_id, d.source FROM sparse JOIN documents d ON d.doc_id = chunk_id), u AS (SELECT query_id, count(*) AS n_chunks, list_sort(list_distinct(list(source))) AS sources FROM h GROUP BY 1) SELECT item_id AS query_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::BIGINT AS prompt_tokens, n_chunks, sources FROM benchmark LEFT JOIN u ON u.query_id = item_id")
 def trace_from_answers(t):
-    hits = t("benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("k")).join(t("documents").select("doc_id", F.col("source").alias("source_file"), (F.col("doc_id") % 40).alias("k")), "k").select("query_id", F.col("doc_id").alias("rank"), F.lit(0.5).alias("score"), "source_file")
+    hits = with_context(t, sparse_hits(t))
     answers = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.col("text").alias("answer"))
     return T.trace_from_answers(answers, hits).select("query_id", "prompt_tokens", "n_chunks", "sources")
 
