@@ -15,6 +15,23 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 
+def stars(edges) -> dict[int, int]:
+    """node -> smallest node of its component, for a task's own bounded edges; nodes that are their component's smallest are absent."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,22 +98,21 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
     which Spark can split where a node has very many neighbours. Lineage is cut after each round.
     """
     e = scratch.save(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    seen = None
+    mark = lambda x: x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = scratch.save(large)
+        if mark(large) == mark(e):  # only stars are left as they are
+            return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         number = scratch.count
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
+        # Each neighbour and the node itself go to the smallest: as many edges as before, whatever repeats.
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         e = scratch.save(small)
         scratch.drop(number)
         scratch.drop(number - 1)
-        mark = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.count_if(F.lit(False))).first()
-        if mark == seen:
-            return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = mark
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

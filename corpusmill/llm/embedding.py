@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, stars
 
 THRESHOLD = 0.9
 AXES, BLOCK, LEAF, FAN = 8, 4096, 256, 8
@@ -230,7 +230,7 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block
                     same = x["i"] == x["j"]
                     left = _Side(x["packed_i"], x["ids_i"], x["many_i"], dim)
                     right = left if same else _Side(x["packed_j"], x["ids_j"], x["many_j"], dim)
-                    edges = np.array(sorted(join_blocks(left, right, same, threshold)), np.int64).reshape(-1, 2)
+                    edges = np.array(sorted(stars(join_blocks(left, right, same, threshold)).items()), np.int64).reshape(-1, 2)
                     for side in (left,) if same else (left, right):
                         hit = side.links > 0
                         yield pa.RecordBatch.from_arrays([pa.array(side.id[hit]), pa.nulls(int(hit.sum()), pa.int64()), pa.array(side.links[hit])], names=["src", "dst", "n"])

@@ -70,15 +70,15 @@ def _forest(fp: np.ndarray, rep: np.ndarray, bits: int) -> Iterator[tuple[np.nda
     """Links that span the components of one key's members: breadth first, each member left is compared once a step."""
     left = np.arange(len(fp))
     while len(left) > 1:
-        todo, left = [left[0]], left[1:]
+        first, left = left[0], left[1:]
+        todo = [first]
         while todo and len(left):
-            one = todo.pop()
-            near = np.bitwise_count(fp[left] ^ fp[one]) <= bits
+            near = np.bitwise_count(fp[left] ^ fp[todo.pop()]) <= bits
             if near.any():
                 found = left[near]
                 left = left[~near]
                 todo.extend(found.tolist())
-                yield rep[found], np.full(len(found), rep[one])
+                yield rep[found], np.full(len(found), rep[first])
 
 
 def link_runs(bits: int, run: int | None):
