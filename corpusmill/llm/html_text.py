@@ -30,33 +30,38 @@ NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion breadcrumb breadcrumbs comment comments commentlist disqus respond reply replies cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar aside menu nav navbar navigation footer masthead topbar toolbar widget widgets related recommended share sharing social pagination pager skip".split()
 )
+#: Words of other people's or other pages' text: an article element inside is noise too. Inside layout words, such as a wrapper named after its sidebar, it is the article.
+FOREIGN_WORDS = frozenset("comment comments commentlist disqus respond reply replies related recommended".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alertdialog alert form".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _PART = re.compile(r"[\s_:-]+")
 
 
-def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
+def _noise(tag: str, attributes: str, in_article: bool) -> int:
+    """0 for text, 1 for noise by a layout word, 2 for noise that holds no article."""
     if tag in NOISE or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for name, a, b, c in _ATTR.findall(attributes):
-        name, value = name.lower(), (a or b or c).strip().lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value in NOISE_ROLES:
-            return True
-        if name in ("class", "id") and any(p in NOISE_WORDS for p in _PART.split(value)):
-            return True
-    return False
+        return 2
+    found = 0
+    if attributes and tag not in ("html", "body", "main"):
+        for name, a, b, c in _ATTR.findall(attributes):
+            name, value = name.lower(), (a or b or c).strip().lower()
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
+                return 2
+            if name in ("class", "id"):
+                parts = _PART.split(value)
+                if not FOREIGN_WORDS.isdisjoint(parts):
+                    return 2
+                if tag != "article" and not NOISE_WORDS.isdisjoint(parts):
+                    found = 1
+    return found
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters in links, inside an article) by block in page order; noise leaves WINDOW empty lines."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # element, noise
+    stack: list[tuple[str, int]] = []  # element, noise
     opened: Counter[str] = Counter()
     links = linked = at = 0
 
@@ -111,8 +116,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if tag in VOID or m[3].rstrip().endswith("/"):
             add(" " if tag == "br" else "")
             continue
-        outer = bool(stack and stack[-1][1])
-        noise = outer or _is_noise(tag, m[3], in_article())
+        outer = stack[-1][1] if stack else 0
+        noise = max(outer, _noise(tag, m[3], in_article()))
+        if outer == 1 and noise == 1 and tag in ("article", "main"):
+            noise = 0
         if tag in BLOCK or noise:
             if noise and not outer:
                 gap()

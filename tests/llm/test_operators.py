@@ -211,11 +211,13 @@ def test_html_text(spark):
         "<div class=ad>Buy</div><article><h1>Head &amp; line</h1><p><b>One<br>two &lt;3<p>Be.</p><p>Third\n  para &copy; x</p><div class='comments'><p>nice</p></div></article><aside>side</aside><form>f<input></form><footer>foot</footer></body></html>"
     )
     bare = "<div class=menu><a href=1>one</a><a href=2>two</a></div><div><p>" + "A long enough paragraph of text. " * 5 + "</p><p>Another one that goes on for a while, too.</p></div><div id=footer>c</div>"
-    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", bare), (5, "u", "<p>unclosed <b>bold"), (6, "u", "<div>" * 3000 + "deep"), (1, "u", page)]
+    wrapped = '<div class="layout has-sidebar"><div class="sidebar">side</div><article class="post"><p>Kept text.</p><section id="comments"><article class="comment"><p>not kept</p></article></section></article></div>'
+    rows = [(7, "u", wrapped), (1, "u", page), (2, None, None), (3, "u", ""), (4, "u", bare), (5, "u", "<p>unclosed <b>bold"), (6, "u", "<div>" * 3000 + "deep"), (1, "u", page)]
     out = [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
     first = "Head & line\n\nOne two <3\n\nBe.\n\nThird para © x"
     assert out.count((1, first, len(first))) == 2
     text = {i: t for i, t, _ in out}
+    assert text[7] == "Kept text."
     assert text[2] == text[3] == "" and text[5] == "unclosed bold" and text[6] == "deep"
     assert text[4].startswith("A long enough") and text[4].endswith("too.") and "one" not in text[4].split("\n\n")[0].split()[:1]
 
