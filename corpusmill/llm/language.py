@@ -17,8 +17,11 @@ from pyspark.sql import types as T
 from .common import add_columns
 
 PER_LANGUAGE, SLICE, PIECE, LEVEL = 250, 500, 4096, 6
-#: A relative gain under this over the second best language is a narrow margin.
-MIN_MARGIN = 0.005
+#: A relative gain under this over the second best language is a narrow margin. Where the gain is under SURE, as in very short
+#: texts, the text is compressed again at FINE_LEVEL, which finds matches of three bytes.
+MIN_MARGIN, SURE, FINE_LEVEL = 0.005, 0.03, 19
+#: zstandard stores a short text plainly if compression saves next to nothing; behind a run that always shrinks, each byte saved counts.
+PAD = b"\n" * 256
 FOLDS = 5
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of lower-cased text: ASCII letters and all that is not ASCII stay, the others part words.
@@ -54,33 +57,39 @@ def _plain(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split())
 
 
-def _compressors(learned: list[tuple[str, bytes]]) -> list:
-    """Built once in a Python worker."""
+def _compressors(learned: list[tuple[str, bytes]]) -> tuple[list, list]:
+    """(language, compressor) at both levels, built once in a Python worker."""
     import zstandard as zstd
 
     key = hash(tuple(learned))
     if key not in _BUILT:
-        made = []
-        for lang, content in learned:
-            words = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            words.precompute_compress(level=LEVEL)
-            made.append((lang, zstd.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)))
+        made = ([], [])
+        for out, level in zip(made, (LEVEL, FINE_LEVEL), strict=True):
+            for lang, content in learned:
+                words = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+                words.precompute_compress(level=level)
+                out.append((lang, zstd.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)))
         _BUILT.clear()
         _BUILT[key] = made
     return _BUILT[key]
 
 
-def classify(text: str | None, compressors: list) -> tuple[str, float]:
-    """(language, relative gain over the second best); und and 0 without a letter or a learned language."""
-    if not text or not compressors or not _LETTER.search(text):
-        return "und", 0.0
-    data = _plain(text) or b" "
+def _smallest(data: bytes, compressors: list) -> tuple[str, float]:
     pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
     sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in compressors)
     second = sizes[1][0] if len(sizes) > 1 else len(data) + 1
     return sizes[0][1], min(1.0, max(0.0, 1 - sizes[0][0] / second))
 
 
+def classify(text: str | None, compressors: tuple[list, list]) -> tuple[str, float]:
+    """(language, relative gain over the second best); und and 0 without a letter or a learned language."""
+    if not text or not compressors[0] or not _LETTER.search(text):
+        return "und", 0.0
+    data = _plain(text) or b" "
+    found = _smallest(data, compressors[0])
+    return found if found[1] >= SURE else _smallest(PAD + data, compressors[1])
+
+
 def identify_language(docs: DataFrame, learned: list[tuple[str, bytes]] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
     """docs(doc_id, text, lang, ...) -> docs with held_out, lang_pred, score and rejected.
 
