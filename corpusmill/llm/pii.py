@@ -3,7 +3,7 @@
 Base rules find e-mail addresses, IP addresses, card and phone numbers with their places. They are the seeds: the two words before
 a seed induce a lexical pattern, and a graph of patterns and the identifier-like values that follow them is scored in rounds. A
 pattern's score is the share of scored values among all that follows it in the corpus, plain words included; a value's
-score grows with the patterns that hold it. Values that no base rule finds but that follow a pattern of high score become further spans of kind id.
+score grows with the patterns that hold it. After the rounds, patterns with enough scored values behind them enter, and the rounds are repeated until none does. Values that no base rule finds but that follow a pattern of high score become further spans of kind id.
 The graph holds only identifier-like tokens, counted once for each pattern and value, so copies add nothing.
 """
 
@@ -26,8 +26,11 @@ RULES = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-#: A run that may be an identifier: at least six characters, three of them digits.
-TOKEN = r"(?<![^\s\"'(\[<])[A-Za-z0-9][A-Za-z0-9@._%+/#-]{4,62}[A-Za-z0-9](?![A-Za-z0-9@%+/#_-])"
+#: A run that may be an identifier: at least six characters, three of them digits, of any length. It ends at the last letter or digit with a full stop or
+#: none of its characters behind; each part runs up to such an end, so nothing steps back.
+_PART = r"[A-Za-z0-9]++(?:[@_%+/#-][@._%+/#-]*+[A-Za-z0-9]++)*+(?![@_%+/#-])"
+TOKEN = rf"(?<![^\s\"'(\[<])(?=(?:[A-Za-z@._%+/#-]*+[0-9]){{3}})(?=[A-Za-z0-9@._%+/#-]{{6}}){_PART}(?:\.[@._%+/#-]*+{_PART})*+"
+LEAST = 6
 BLOCK = 256
 
 
@@ -64,9 +67,13 @@ def _located(df: DataFrame, rule: str, hint: str, out: str) -> DataFrame:
 
 
 def _left(text: Column, start: Column) -> Column:
-    """The two words before a place, lower-cased; null without two words and white space."""
-    before = F.substr(text, F.greatest(F.lit(1), start - 63), F.least(start, F.lit(64)))
-    context = F.regexp_extract(F.lower(before), r"(?:^|\s)(\S+\s+\S+)\s+$", 1)
+    """The two words before a place, lower-cased; null without two words and white space. Words longer than a window are sought in the next, at last in all before."""
+    words = r"(\S++\s++\S++)\s++$"
+    near = F.substr(text, F.greatest(F.lit(1), start - 63), F.least(start, F.lit(64)))
+    found = lambda before, edge: F.regexp_extract(F.lower(before), edge + words, 1)
+    inside = lambda n: F.when(start > n, F.nullif(found(F.substr(text, start - (n - 1), F.lit(n)), r"\s"), F.lit("")))
+    whole = lambda: found(F.substr(text, F.lit(1), start), r"(?:^|\s)")
+    context = F.when(start <= 64, found(near, r"(?:^|\s)")).when(near.rlike(r"\s$"), F.coalesce(inside(64), inside(1024), inside(16384), whole()))
     return F.when(context != "", F.regexp_replace(context, r"\s+", " "))
 
 
@@ -79,31 +86,43 @@ def _facts(docs: DataFrame) -> DataFrame:
     cast = lambda kind: F.transform(F.filter(kind, lambda x: _valid(kind, x["value"])), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"), _left(F.col("text"), x["start"]).alias("pattern")))
     df = df.withColumn("base", F.array_sort(F.concat(*[cast(k) for k in RULES])))
     free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    shaped = F.filter("token", lambda x: (F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= 3) & free(x))
+    shaped = F.filter("token", lambda x: (F.length(x["value"]) >= LEAST) & (F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= 3) & free(x))
     maybe = F.transform(shaped, lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("rank"), x["end"].alias("end"), F.lit("id").alias("kind"), x["value"].alias("value"), _left(F.col("text"), x["start"]).alias("pattern")))
     return df.select("doc_id", "row", "base", F.filter(maybe, lambda x: x["pattern"].isNotNull()).alias("maybe"))
 
 
 def _confident_patterns(docs: DataFrame, facts: DataFrame, scratch: Scratch) -> DataFrame:
-    """pattern, score of the patterns that discover identifiers."""
+    """pattern, score of the patterns that discover identifiers.
+
+    A pattern enters once enough scored values, base or discovered, follow it; what else follows is counted only for those that enter. It ends when none does.
+    """
     pairs = scratch.save(
         facts.select(F.explode(F.concat("base", "maybe")).alias("x")).filter("x.pattern is not null").groupBy("x.pattern", "x.value").agg(F.max(F.col("x.kind") != "id").alias("seed"))
     )
-    frontier = pairs.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count(F.lit(1)).alias("n")).filter((F.col("seeds") >= MIN_SUPPORT) & (F.col("seeds") < F.col("n")))
-    frontier = scratch.save(frontier)
     words = docs.select(F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+").alias("w"))
     triples = words.filter(F.size("w") > 2).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(F.concat_ws(" ", F.col("w")[i], F.col("w")[i + 1]).alias("pattern"), F.col("w")[i + 2].alias("next")))).alias("x")).select("x.*")
-    if frontier.isEmpty():
+    weight = patterns = values = None
+    while True:
+        told = pairs.withColumn("told", F.col("seed"))
+        if values is not None:
+            told = pairs.join(values.filter("score >= 0.5").select("value", F.lit(True).alias("_s")), "value", "left").withColumn("told", F.col("seed") | F.col("_s").isNotNull())
+        frontier = told.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count_if("told").alias("told"), F.count(F.lit(1)).alias("n")).filter((F.col("told") >= MIN_SUPPORT) & (F.col("seeds") < F.col("n")))
+        frontier = scratch.save(frontier if weight is None else frontier.join(weight, "pattern", "left_anti"))
+        if frontier.isEmpty():
+            break
+        plain = triples.join(frontier, "pattern", "left_semi").filter(~F.col("next").rlike("[0-9]")).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
+        entered = frontier.join(plain, "pattern", "left").select("pattern", (F.col("n") + F.coalesce("plain", F.lit(0))).alias("all"))
+        weight = scratch.save(entered if weight is None else weight.union(entered))
+        graph = pairs.join(weight, "pattern", "left_semi")
+        first = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
+        values = first if values is None else first.join(values.withColumnRenamed("score", "_s"), "value", "left").select("value", F.greatest("score", F.coalesce("_s", F.lit(0.0))).alias("score"))
+        for _ in range(ROUNDS):
+            scored = graph.join(values, "value").groupBy("pattern").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= 0.5).alias("support"))
+            patterns = scratch.save(scored.join(weight, "pattern").select("pattern", F.when(F.col("support") >= MIN_SUPPORT, F.col("sum") / F.col("all")).otherwise(0.0).alias("score")))
+            joined = graph.join(patterns, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))).alias("log"))
+            values = scratch.save(joined.select("value", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("log")).alias("score")))
+    if patterns is None:
         return frontier.select("pattern", F.lit(0.0).alias("score"))
-    plain = triples.join(frontier, "pattern", "left_semi").filter(~F.col("next").rlike("[0-9]")).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
-    weight = scratch.save(frontier.join(plain, "pattern", "left").select("pattern", (F.col("n") + F.coalesce("plain", F.lit(0))).alias("all")))
-    graph = pairs.join(weight, "pattern", "left_semi")
-    values = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for _ in range(ROUNDS):
-        scored = graph.join(values, "value").groupBy("pattern").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= 0.5).alias("support"))
-        patterns = scratch.save(scored.join(weight, "pattern").select("pattern", F.when(F.col("support") >= MIN_SUPPORT, F.col("sum") / F.col("all")).otherwise(0.0).alias("score")))
-        joined = graph.join(patterns, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))).alias("log"))
-        values = scratch.save(joined.select("value", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("log")).alias("score")))
     return patterns.filter(F.col("score") >= MIN_SCORE)
 
 

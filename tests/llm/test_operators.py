@@ -106,6 +106,34 @@ def test_pii_discovers_by_context(spark):
     assert found[100].startswith("id:") and found[101].startswith("id:") and found[200] == "" and found[300] == ""
 
 
+def test_pii_discovers_by_discovered(spark):
+    rows = [(i, f"item please write to me at u{i}x@mail.org now") for i in range(40)] + [(100 + i, f"kindly write to me at ACC-99{i}4412 now") for i in range(6)]
+    rows += [(200 + i, f"her employee number ACC-99{i}4412 is") for i in range(6)] + [(300, "his employee number ZQ-771203 is"), (310, "a badge of ZQ-771203 is"), (400, "the code ZX-881234 is here")]
+    rows += [(500 + i, f"with staff key ACC-99{i}4412 too") for i in range(4)] + [(510, "with staff key KK-551190 too")]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[300] == "id:20:29" and found[200].startswith("id:")
+    assert found[310] == found[400] == found[510] == ""  # no pattern, no pattern, too little support
+
+
+def test_pii_long_identifiers(spark):
+    long = "eyJ0" + "a1B2-c3_" * 30 + ".sig9"
+    far = "w" * 90
+    rows = [(i, f"item please write to me at u{i}x@mail.org now") for i in range(8)] + [(100, f"write to me at {long}. now")]
+    rows += [(200 + i, f"{'q ' * 40}{far} at v{i}x@mail.org now") for i in range(8)] + [(300, f"see {far} at KK-551190 now")]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[100] == f"id:15:{15 + len(long)}"
+    assert found[300] == "id:98:107"
+
+
+def test_pii_token_matches_as_without_bound():
+    plain = re.compile(r"(?<![^\s\"'(\[<])[A-Za-z0-9][A-Za-z0-9@._%+/#-]{4,}[A-Za-z0-9](?![A-Za-z0-9@%+/#_-])")
+    rng = random.Random(4)
+    for _ in range(20000):
+        text = "".join(rng.choice("aB12379..-_/# (\"é") for _ in range(rng.randrange(30)))
+        want = [m for m in plain.findall(text) if sum(c in "0123456789" for c in m) >= 3]
+        assert [m for m in re.findall(pii.TOKEN, text) if len(m) >= pii.LEAST and sum(c in "0123456789" for c in m) >= 3] == want
+
+
 def test_pii_redacts(spark):
     rows = [(1, "hi bob@x.com and 1.2.3.4 end é", 30), (2, None, None), (3, "plain", 5), (3, "plain", 5)]
     out = sorted(map(tuple, pii.redact_pii(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()))
