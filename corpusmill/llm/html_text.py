@@ -2,7 +2,7 @@
 
 Markup is stripped into lines, one a block of the page; what lies in menus, forms, adverts and the like is markup
 too and leaves an empty gap. The text lengths of WINDOW successive lines are summed at each line; a region begins where that sum
-surges from nothing and ends where it dives back, and the text of regions that carry their share is kept. Pages go
+surges from nothing and ends where it dives back, and the text of regions that aren't links is kept, however short. Pages go
 through Arrow tasks without a shuffle.
 """
 
@@ -19,12 +19,15 @@ from pyspark.sql import types as T
 from .common import add_columns
 
 WINDOW = 3
-#: A region outside an article element needs this share of the heaviest region's text, and less than this share of its text in links.
-MIN_SHARE, MAX_LINKS = 0.2, 0.5
+#: A region outside an article element needs less than this share of its text in links, unless it lies between kept ones of its container.
+MAX_LINKS = 0.5
+#: Article elements stand for the page, and an element named by a layout word is a wrapper and no noise, only if they hold more than this share of its text.
+MOST = 0.5
 #: Elements whose content is no main text, elements with raw content, elements that part blocks, elements without content.
 NOISE = frozenset("nav footer aside form script style noscript template iframe svg button select textarea dialog menu head title canvas object fieldset datalist".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINER = frozenset("article body center div html main section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion breadcrumb breadcrumbs comment comments commentlist disqus respond reply replies cookie cookies consent gdpr "
@@ -32,10 +35,16 @@ NOISE_WORDS = frozenset(
 )
 #: Words of other people's or other pages' text: an article element inside is noise too. Inside layout words, such as a wrapper named after its sidebar, it is the article.
 FOREIGN_WORDS = frozenset("comment comments commentlist disqus respond reply replies related recommended".split())
+#: The words among these after which a wrapper of the page may be named; adverts and notices hold no page.
+OTHER_WORDS = NOISE_WORDS - frozenset("sidebar aside menu nav navbar navigation footer masthead topbar toolbar widget widgets".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alertdialog alert form".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _PART = re.compile(r"[\s_:-]+")
+#: A class that names a state, such as has-sidebar, says nothing of the element's own text.
+_STATE = re.compile(r"(?<!\S)(?:has|with|no|without)[_:-]\S*")
+
+GAP = ("", 0, False, -1)
 
 
 def _noise(tag: str, attributes: str, in_article: bool) -> int:
@@ -49,7 +58,7 @@ def _noise(tag: str, attributes: str, in_article: bool) -> int:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
                 return 2
             if name in ("class", "id"):
-                parts = _PART.split(value)
+                parts = _PART.split(_STATE.sub(" ", value))
                 if not FOREIGN_WORDS.isdisjoint(parts):
                     return 2
                 if tag != "article" and not NOISE_WORDS.isdisjoint(parts):
@@ -57,11 +66,14 @@ def _noise(tag: str, attributes: str, in_article: bool) -> int:
     return found
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, inside an article) by block in page order; noise leaves WINDOW empty lines."""
-    lines: list[tuple[str, int, bool]] = []
+def _lines(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bool, int]], frozenset[int]]:
+    """The lines, and the places of elements named by a layout word that hold most of the text outside links; those in wrappers are text."""
+    lines: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []  # element, noise
+    stack: list[tuple[str, int, int, int]] = []  # element, noise, its place, its container's place
+    held: list[int] = []  # characters outside links in each element of the stack
+    named: dict[int, int] = {}  # place of an element named by a layout word -> characters held
+    total = anchors = 0
     opened: Counter[str] = Counter()
     links = linked = at = 0
 
@@ -69,7 +81,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         return bool(opened["article"] or opened["main"])
 
     def pop() -> str:
-        tag = stack.pop()[0]
+        tag, _, place, _ = stack.pop()
+        n = held.pop()
+        if place in named:
+            named[place] = n
+        if held:
+            held[-1] += n
         opened[tag] -= 1
         return tag
 
@@ -77,16 +94,21 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append((text, min(linked, len(text)), in_article()))
+            lines.append((text, min(linked, len(text)), in_article(), stack[-1][3] if stack else -1))
         parts.clear()
         linked = 0
 
     def gap() -> None:
         end_line()
-        lines.extend([("", 0, False)] * WINDOW)
+        lines.extend([GAP] * WINDOW)
 
     def add(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, total
+        if text and not anchors and not (stack and stack[-1][1] == 2):
+            n = len(text) - text.count(" ") if text.strip() else 0
+            total += n
+            if held:
+                held[-1] += n
         if text and not (stack and stack[-1][1]):
             parts.append(text)
             linked += len(text) * bool(links)
@@ -97,6 +119,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if tag == "a":
+            anchors = 0 if m[1] else 1
         if tag == "a" and not (stack and stack[-1][1]):
             links = max(0, links + (-1 if m[1] else 1))
         if tag in BLOCK and not (stack and stack[-1][1]):
@@ -117,7 +141,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             add(" " if tag == "br" else "")
             continue
         outer = stack[-1][1] if stack else 0
-        noise = max(outer, _noise(tag, m[3], in_article()))
+        own = _noise(tag, m[3], in_article())
+        if own == 1 and outer < 2 and OTHER_WORDS.isdisjoint(_PART.split(_STATE.sub(" ", " ".join(v.lower() for n, *vs in _ATTR.findall(m[3]) if n.lower() in ("class", "id") for v in vs)))):
+            named[m.start()] = 0
+            if m.start() in wrappers:
+                own = 0
+        noise = max(outer, own)
         if outer == 1 and noise == 1 and tag in ("article", "main"):
             noise = 0
         if tag in BLOCK or noise:
@@ -125,19 +154,29 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 gap()
             if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
                 pop()
-            stack.append((tag, noise))
+            stack.append((tag, noise, m.start(), m.start() if tag in CONTAINER else stack[-1][3] if stack else -1))
+            held.append(0)
             opened[tag] += 1
     add(page[at:])
     end_line()
-    return lines
+    while stack:
+        pop()
+    return lines, frozenset(k for k, n in named.items() if n > MOST * total)
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters in links, inside an article, place of the container) by block in page order; noise leaves WINDOW empty lines."""
+    lines, wrappers = _lines(page, frozenset())
+    return _lines(page, wrappers)[0] if wrappers else lines
 
 
 def main_text(page: str | None) -> str:
     """The kept blocks, joined by an empty line."""
     lines = lines_of(page or "")
-    if any(t and inside for t, _, inside in lines):
-        lines = [x if x[2] else ("", 0, False) for x in lines]
-    sizes = [len(t) for t, _, _ in lines]
+    own = sum(len(t) - n for t, n, inside, _ in lines if inside)
+    if any(x[2] for x in lines) and own >= MOST * sum(len(t) - n for t, n, *_ in lines):
+        lines = [x if x[2] else GAP for x in lines]
+    sizes = [len(t) for t, *_ in lines]
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
     regions, start = [], None
     for i, total in enumerate([*sums, 0]):
@@ -146,10 +185,16 @@ def main_text(page: str | None) -> str:
         elif not total and start is not None:
             regions.append((start, i))  # dive
             start = None
-    weight = {r: sum(sizes[r[0] : r[1]]) for r in regions}
-    most = max(weight.values(), default=0)
-    kept = [r for r in regions if any(x[2] for x in lines[r[0] : r[1]]) or weight[r] >= MIN_SHARE * most and sum(x[1] for x in lines[r[0] : r[1]]) < MAX_LINKS * weight[r]]
-    return "\n\n".join(t for a, b in kept for t, _, _ in lines[a:b] if t)
+    in_links = lambda r: sum(x[1] for x in lines[r[0] : r[1]]) >= MAX_LINKS * sum(sizes[r[0] : r[1]])
+    text = [any(x[2] for x in lines[a:b]) or not in_links((a, b)) for a, b in regions]
+    around = [{x[3] for x in lines[a:b] if x[0]} for a, b in regions]
+    first, last = {}, {}
+    for i, kept in enumerate(text):
+        for c in around[i] if kept else ():
+            first.setdefault(c, i)
+            last[c] = i
+    between = [all(first.get(c, i) < i < last.get(c, i) for c in around[i]) for i in range(len(regions))]
+    return "\n\n".join(line[0] for i, (a, b) in enumerate(regions) if text[i] or between[i] for line in lines[a:b] if line[0])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

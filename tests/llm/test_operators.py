@@ -250,6 +250,19 @@ def test_html_text(spark):
     assert text[4].startswith("A long enough") and text[4].endswith("too.") and "one" not in text[4].split("\n\n")[0].split()[:1]
 
 
+def test_html_text_keeps_short_regions_and_wrappers():
+    long, ad = "A long enough paragraph of text. " * 20, "<div class=ad>Buy</div>"
+    assert html_text.main_text(f"<div><p>{long}</p>{ad}<p>Short middle.</p>{ad}<p>The end.</p></div>").split("\n\n")[1:] == ["Short middle.", "The end."]
+    cited = f"<div><p>{long}</p>{ad}<p><a href=x>A source</a></p>{ad}<p>{long}</p></div>"
+    assert "A source" in html_text.main_text(cited)
+    assert "A source" not in html_text.main_text(f"<div><p>{long}</p></div>{ad}<div><a href=x>A source</a></div>{ad}<div><p>{long}</p></div>")
+    assert html_text.main_text(f"<article class=card><p>A teaser.</p></article><div><p>{long}</p></div>") == "A teaser.\n\n" + long.strip()
+    assert html_text.main_text(f"<article><p>{long}</p></article><div><p>Outside.</p></div>") == long.strip()
+    side = "<div class=sidebar>Side text.</div>"
+    for name in ("content has-sidebar", "layout sidebar-right"):
+        assert html_text.main_text(f'<div class="{name}"><p>{long}</p>{side}<p>The end.</p></div>') == long.strip() + "\n\nThe end."
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
