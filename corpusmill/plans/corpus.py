@@ -129,6 +129,25 @@ def section_contexts(t):
     return section_context(sectioned(t).filter("line_no < 20")).select("doc_id", "line_no", "section_title", "section_level", "section_path")
 
 
+def headed_lines(t):
+    """Every line of the whole texts as it is, with a heading of each form before each of the first ones."""
+    head = F.array(*[F.lit(h) for h in HEADING_LINES])
+    both = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.when(i < len(HEADING_LINES), F.array(F.get(head, i), x)).otherwise(F.array(x))))
+    return t("documents").select("doc_id", F.posexplode(both).alias("line_no", "line"))
+
+
+# SQL can't express the tests of a heading: a brute-force stack stands against these two.
+@query()
+def parse_headings_whole(t):
+    h = headed_lines(t).select("doc_id", "line_no", X.parse_heading(F.col("line")).alias("h")).filter("h is not null")
+    return h.select("doc_id", "line_no", "h.level", F.when(F.col("h.number") != "", F.col("h.number")).alias("number"), "h.title", "h.pattern")
+
+
+@query()
+def section_contexts_whole(t):
+    return section_context(headed_lines(t)).select("doc_id", "line_no", "section_title", "section_level", "section_path")
+
+
 @query(
     f"WITH {SECTIONED_SQL}, {HEADING_SQL}, f AS (SELECT doc_id // 5 AS file, (doc_id % 5) * 25 + line_no AS line_no, h FROM hd WHERE line_no < 25), "
     "st AS (SELECT a.file, a.line_no, b.line_no AS pos, b.h AS h FROM f a JOIN f b ON a.file = b.file AND b.line_no <= a.line_no AND b.h IS NOT NULL), "

@@ -40,3 +40,17 @@ def test_query(spark, con, name):
     at = [rel.columns.index(c) for c in out.columns]
     assert len(at) == len(rel.columns)
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=str)
+
+
+def test_section_contexts_of_whole_texts(spark, con):
+    found = {(r["doc_id"], r["line_no"]): r for r in QUERIES["parse_headings_whole"](spark, SMALL).collect()}
+    got = {(r["doc_id"], r["line_no"]): (r["section_title"], r["section_level"], r["section_path"]) for r in QUERIES["section_contexts_whole"](spark, SMALL).collect()}
+    want = {}
+    for doc, text in con.sql("select doc_id, text from documents where text is not null").fetchall():
+        n, stack = len(text.split("\n")), []
+        for i in range(n + min(n, 9)):
+            if h := found.get((doc, i)):
+                stack = [x for x in stack if x["level"] < h["level"]] + [h]
+            path = " > ".join(" ".join(filter(None, (x["number"], x["title"]))) for x in stack)
+            want[doc, i] = (stack[-1]["title"], stack[-1]["level"], path) if stack else (None, None, None)
+    assert got == want and max(i for _, i in got) > 40
