@@ -176,6 +176,20 @@ def cache_lookup(t):
     return H.cache_lookup(nearest, entries, asked, 0.5).select("query_id", "entry_id", "similarity", "hit")
 
 
+@query(
+    "WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS entry_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) = 1) "
+    "SELECT query_id, entry_id, similarity, similarity >= 0.5 AND entry_id % 3 = query_id % 3 AS hit FROM n"
+)
+def cache_lookup_whole(t):
+    """Every row is an entry; a question's own row is among its two nearest or farther than both."""
+    two = X.dense_topk(t("embeddings"), t("embeddings").filter("vec_id % 20 = 0"), 2).filter("vec_id <> query_id")
+    best = two.groupBy("query_id").agg(F.min_by(F.struct(F.col("vec_id").alias("entry_id"), "similarity"), F.struct(-F.col("similarity"), F.col("vec_id"))).alias("b"))
+    nearest = best.select("query_id", "b.*")
+    entries = t("embeddings").select(F.col("vec_id").alias("entry_id"), F.lit("v1").alias("kb_version"), (F.col("vec_id") % 3).alias("model"))
+    asked = t("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit("v1").alias("kb_version"), (F.col("vec_id") % 3).alias("model"))
+    return H.cache_lookup(nearest, entries, asked, 0.5).select("query_id", "entry_id", "similarity", "hit")
+
+
 @query("WITH a AS (SELECT sha256(lower(text) || '|m') AS entry_id, item_id AS answer_no FROM benchmark WHERE item_id % 3 <> 0 AND trim(text) <> ''), e AS (SELECT sha256(lower(text) || '|m') AS entry_id, -1 AS answer_no FROM benchmark WHERE item_id % 2 = 0) SELECT * FROM e WHERE entry_id NOT IN (SELECT entry_id FROM a) UNION ALL SELECT * FROM a")
 def cache_store(t):
     base = t("benchmark").withColumn("model", F.lit("m")).withColumn("entry_id", H.cache_key(F.col("text"), F.col("model")))
