@@ -15,6 +15,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 
+#: The scratch folder of sessions on one machine that name none.
+_TEMPORARY: list[str] = []
+
+
 def stars(edges) -> dict[int, int]:
     """node -> smallest node of its component, for a task's own bounded edges; nodes that are their component's smallest are absent."""
     root: dict[int, int] = {}
@@ -45,12 +49,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _TEMPORARY:
+        _TEMPORARY.append("file://" + tempfile.mkdtemp(prefix="spark-scratch-"))
+    return _TEMPORARY[0]
 
 
 class Scratch:
