@@ -100,6 +100,91 @@ def test_pii_base_spans(spark):
         assert set(line.split(",")) <= set(r["spans"].split(",")) or not spans
 
 
+def bootstrap(rows):
+    """doc -> spans line by the bootstrapped rules, pattern by pattern."""
+    token, other = re.compile(pii.TOKEN), re.compile(pii.OTHER)
+    pairs, followers, facts = {}, {}, []
+
+    def left(text, at):
+        before = text[:at]
+        w = before.lower().split()
+        return " ".join(w[-2:]) if len(w) > 1 and before[-1:].isspace() else None
+
+    for i, text in rows:
+        text = text or ""
+        spans = sorted((m.start(), list(KINDS).index(k), m.end(), k, m[0]) for k, p in KINDS.items() for m in re.finditer(p, text) if valid(k, m[0]))
+        masked = list(text)
+        for a, _, b, *_ in spans:
+            masked[a:b] = pii.MASK * (b - a)
+        masked = "".join(masked)
+        maybe = [(m.start(), 4, m.end(), "id", m[0]) for m in token.finditer(masked) if len(m[0]) >= 6 and sum(c.isdigit() for c in m[0]) >= 3]
+        maybe = [x for x in maybe if left(text, x[0])]
+        for x in spans + maybe:
+            if left(text, x[0]):
+                key = (left(text, x[0]), x[4])
+                pairs[key] = pairs.get(key, False) or x[3] != "id"
+        w = text.lower().split()
+        for k in range(len(w) - 2):
+            if not re.search("[0-9@]", w[k + 2]):
+                followers.setdefault(f"{w[k]} {w[k + 1]}", set()).add(w[k + 2])
+        for m in other.finditer(masked):
+            if left(text, m.start()):
+                followers.setdefault(left(text, m.start()), set()).add(m[0].lower())
+        facts.append((i, spans, [(x, left(text, x[0])) for x in maybe]))
+    graph = {}
+    for (p, v), seed in pairs.items():
+        graph.setdefault(p, {})[v] = seed
+    graph = {p: vs for p, vs in graph.items() if len(vs) >= 5 and not all(vs.values())}
+    seeds = {v for vs in graph.values() for v, seed in vs.items() if seed}
+    values, supported = {v: float(v in seeds) for vs in graph.values() for v in vs}, -1
+    while graph:
+        for _ in range(3):
+            patterns = {p: (round(sum(values[v] for v in vs) / (len(vs) + len(followers.get(p, ()))), 9) if sum(values[v] >= 0.5 for v in vs) >= 5 else 0.0) for p, vs in graph.items()}
+            miss = dict.fromkeys(values, 1.0)
+            for p, vs in graph.items():
+                for v in vs:
+                    miss[v] *= max(1e-9, 1 - patterns[p])
+            support = sum(sum(values[v] >= 0.5 for v in vs) >= 5 for vs in graph.values())
+            values = {v: 1.0 if v in seeds else round(1 - m, 9) for v, m in miss.items()}
+        if support == supported:
+            break
+        supported = support
+    good = {p for p in graph if patterns[p] >= 0.8}
+    return {i: ",".join(f"{k}:{a}:{b}" for a, _, b, k, _ in sorted(spans + [x for x, p in maybe if p in good])) for i, spans, maybe in facts}
+
+
+def test_pii_equals_brute_force(spark):
+    rng = random.Random(9)
+    fill = "the of and to in was 12 2024 (12) x@ 7up".split()
+    heads = ["write to", "mail me", "staff number", "the of", "key is", "see also"]
+
+    def value(h):
+        kind = rng.random()
+        return f"U{rng.randrange(60)}x@mail.org" if h < 2 and kind < 0.6 else f"+1 555 {rng.randrange(100, 140)} 4444" if kind < 0.1 else f"ACC-{rng.randrange(100, 130)}{h % 3}9" if kind < (0.95 if h != 3 else 0.3) else rng.choice(fill)
+
+    rows = []
+    for i in range(400):
+        words = []
+        for _ in range(rng.randrange(1, 9)):
+            h = rng.randrange(len(heads))
+            words += [rng.choice(fill) for _ in range(rng.randrange(3))] + [heads[h], value(h)]
+        rows.append((i, rng.choice([" ", "  ", " \n"]).join(words)))
+    rows += [(900, None), (901, ""), (902, "\n write to"), (3, rows[3][1])]
+    want = bootstrap(dict(rows).items())
+    assert 50 < sum("id:" in x for x in want.values()) < 390
+    assert {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_pii_long_texts_and_clashing_columns(spark):
+    many = " ".join(f"mail u{i}@x.org or +1 555 {i:07d} at 10.0.{i % 256}.{i % 200} ref AB{i:06d}" for i in range(4000))
+    docs = spark.createDataFrame([(1, many, "a", "b", 5)], "doc_id long, text string, found string, _row string, _key int")
+    out = pii.redact_pii(docs)
+    row = out.first()
+    assert out.columns == docs.columns and (row["found"], row["_row"], row["_key"]) == ("a", "b", 5)
+    assert row["text"].split()[:7] == ["mail", "<EMAIL>", "or", "<PHONE>", "at", "<IP>", "ref"] and row["text"].count("<PHONE>") == 4000
+    assert pii.find_pii(docs.limit(0)).count() == 0 and pii.redact_pii(docs.limit(0)).count() == 0
+
+
 def test_pii_discovers_by_context(spark):
     rows = [(i, f"item please write to me at u{i}x@mail.org now") for i in range(8)] + [(100 + i, f"kindly write to me at ACC-99{i}4412 now") for i in range(2)] + [(200, "the code ZX-881234 is here"), (300, "see you at noon")]
     found = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
