@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.session import ship
 from ..functions.text import content_hash, strip, token_estimate
 from .structure import lines, section_context
 
@@ -52,56 +53,56 @@ def chunk_semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     return _with_ids(folded.select(key, F.posexplode(texts).alias("chunk_index", "text")), key, "semantic")
 
 
-def split_text(text: str, size: int = CHUNK_TOKENS * 4, overlap: int = OVERLAP_TOKENS * 4, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """A text cut at the coarsest separator that it has; pieces of size and more are cut at the next ones, smaller neighbours joined up to size with overlap."""
-    level = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
-    mark = separators[level]
-    rest = separators[level + 1 :] if mark else ()
-    out: list[str] = []
-    run: list[str] = []
-    held = 0
-
-    def close() -> None:
-        joined = mark.join(run)
-        if joined.strip():
-            out.append(joined)
-
-    for piece in text.split(mark) if mark else text:
-        if len(piece) >= size:
-            if run:
-                close()
-                run, held = [], 0
-            out.extend(split_text(piece, size, overlap, rest) if rest else [piece])
-            continue
-        if run and held + len(piece) + len(mark) > size:
-            close()
-            while run and held > overlap:
-                held -= len(run.pop(0)) + len(mark)
-        run.append(piece)
-        held += len(piece) + (len(mark) if len(run) > 1 else 0)
-    if run:
-        close()
-    return out
+def _packed(pieces: Column, gap: int, size: int, overlap: int) -> Column:
+    """array<struct<a, b, big>>: how successive pieces, gap characters apart, are joined.
+
+    A piece of size characters and more stands alone and is big. Others are joined while they fit size; the next join begins with the last pieces of the
+    one before that fit overlap. The fold keeps the bounds of joins and the length of the open one.
+    """
+    bounds = "array<struct<a:int,b:int,big:boolean>>"
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0).alias("held"), F.array().cast(bounds).alias("cuts"))
+    lengths = F.transform(pieces, lambda x: F.length(x))
+    cut = lambda x, big: F.struct(x["a"].alias("a"), x["i"].alias("b"), F.lit(big).alias("big"))
+    closed = lambda x: F.when(x["a"] < x["i"], F.array_append(x["cuts"], cut(x, False))).otherwise(x["cuts"])
+    made = lambda i, a, held, cuts: F.struct(i.alias("i"), a.cast("int").alias("a"), held.cast("int").alias("held"), cuts.cast(bounds).alias("cuts"))
+
+    def joined(all_lengths: Column) -> Column:
+        def carried(x: Column) -> Column:
+            first = F.struct(x["a"].alias("a"), x["held"].alias("held"))
+            return F.aggregate(F.slice(all_lengths, x["a"] + 1, x["i"] - x["a"]), first, lambda k, n: F.when(k["held"] > overlap, F.struct((k["a"] + 1).alias("a"), (k["held"] - n - gap).alias("held"))).otherwise(k))
+
+        def step(x: Column, n: Column) -> Column:
+            full = (x["a"] < x["i"]) & (x["held"] + n + gap > size)
+            longer = lambda a, held: held + n + F.when(a < x["i"], gap).otherwise(0)
+            alone = F.array_append(closed(x), F.struct(x["i"].alias("a"), (x["i"] + 1).alias("b"), F.lit(True).alias("big")))
+            after = F.transform(F.array(carried(x)), lambda k: made(x["i"] + 1, k["a"], longer(k["a"], k["held"]), closed(x)))[0]
+            return F.when(n >= size, made(x["i"] + 1, x["i"] + 1, F.lit(0), alone)).when(full, after).otherwise(made(x["i"] + 1, x["a"], longer(x["a"], x["held"]), x["cuts"]))
+
+        return F.aggregate(all_lengths, start, step, closed)
+
+    return F.transform(F.array(lengths), joined)[0]
+
+
+def split_text(text: Column, size: int = CHUNK_TOKENS * 4, overlap: int = OVERLAP_TOKENS * 4, marks: tuple[str, ...] = SEPARATORS) -> Column:
+    """array<string>: a text cut at the coarsest of marks that it has, what is still size characters and more at the finer ones, at last between
+    characters; neighbours joined up to size with overlap. All stays in the row: a level of marks is a level of nested arrays."""
+    mark, finer = marks[0], marks[1:]
+    if not mark:
+        begins = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - overlap - 1), F.lit(size - overlap))
+        return F.transform(begins, lambda i: F.substr(text, i + 1, F.lit(size)))
+
+    def at_mark(pieces: Column) -> Column:
+        whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(True).alias("big")))
+        runs = F.when(F.size(pieces) > 1, _packed(pieces, len(mark), size, overlap)).otherwise(whole)
+        return F.flatten(F.transform(runs, lambda r: F.when(r["big"], split_text(F.get(pieces, r["a"]), size, overlap, finer)).otherwise(F.array(F.array_join(F.slice(pieces, r["a"] + 1, r["b"] - r["a"]), mark)))))
+
+    return F.when(text.isNotNull(), F.transform(F.array(F.split(text, re.escape(mark), -1)), at_mark)[0])
 
 
 def chunk_recursive(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
-    """key, chunk_index, text, strategy, chunk_id by recursive separators; the fold over a text's pieces runs in Arrow tasks."""
-    import pyarrow as pa
-
-    ship(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            keys, index, texts = [], [], []
-            for k, t in zip(b.column(key).to_pylist(), b.column("t").to_pylist(), strict=True):
-                for i, piece in enumerate(p for p in split_text(t or "", size * 4, overlap * 4) if p.strip()):
-                    keys.append(k)
-                    index.append(i)
-                    texts.append(piece)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(key).type), pa.array(index, pa.int32()), pa.array(texts, pa.string())], names=[key, "chunk_index", "text"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return _with_ids(docs.select(key, F.col(text).alias("t")).mapInArrow(run, f"{key} {kind}, chunk_index int, text string"), key, "recursive")
+    """key, chunk_index, text, strategy, chunk_id by recursive separators; null and blank texts have no chunks."""
+    pieces = F.filter(split_text(F.col(text), size * 4, overlap * 4), lambda x: x.rlike(r"(?U)\S"))
+    return _with_ids(docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(pieces).alias("chunk_index", "text")), key, "recursive")
 
 
 def chunk_heading(docs: DataFrame, key: str = "doc_id", text: str = "text", minimum: int = 100, drop: int = MIN_CHARS, size: int = CHUNK_TOKENS) -> DataFrame:

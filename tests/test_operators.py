@@ -74,11 +74,51 @@ def test_chunk_semantic(spark):
     assert [r["text"] for r in out] == fold_semantic(text, 60, 20) and len({r["chunk_id"] for r in out}) == len(out)
 
 
-def test_split_text_keeps_every_word():
-    text = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(50)) for i in range(20))
-    parts = C.split_text(text, 400, 40)
-    assert all(len(p) <= 400 for p in parts) and set(text.split()) == set(" ".join(parts).split())
-    assert C.split_text("a" * 50, 20, 5) and "".join(C.split_text("abc", 20, 5)) == "abc"
+def joins(lengths, gap, size, overlap):
+    """Bounds of joined pieces of less than size, by running totals: what the open join holds is a difference of totals less the gaps it lacks."""
+    total = [0]
+    for n in lengths:
+        total.append(total[-1] + n + gap)
+    out, a, lacks = [], 0, gap
+    for i, n in enumerate(lengths):
+        if i > a and total[i] - total[a] - lacks + n + gap > size:
+            out.append((a, i))
+            a = next((k for k in range(a, i) if total[i] - total[k] - lacks <= overlap), i)
+        if a == i > 0 and out:
+            lacks += gap  # a join that begins anew counts one gap too few
+    return [*out, (a, len(lengths))] if len(lengths) > a else out
+
+
+def cut_by(text, size, overlap, marks=("\n\n", "\n", ". ", " ")):
+    marks = list(marks)
+    while marks and marks[0] not in text:
+        marks.pop(0)
+    if not marks:
+        return [text[i : i + size] for i in range(0, max(1, len(text) - overlap), size - overlap)]
+    out, run = [], []
+    for piece in [*text.split(marks[0]), None]:
+        if piece is None or len(piece) >= size:
+            out += [marks[0].join(run[a:b]) for a, b in joins([len(x) for x in run], len(marks[0]), size, overlap)]
+            run = []
+            out += cut_by(piece, size, overlap, marks[1:]) if piece is not None else []
+        else:
+            run.append(piece)
+    return out
+
+
+def test_chunk_recursive(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.choice([1, 3, 9, 40, 150])))
+    texts = ["".join(word() + rng.choice(["\n\n", "\n", ". ", " ", " ", " "]) for _ in range(rng.randrange(1, 90))) for _ in range(150)] + ["", " ", "a" * 50, "abc", "x" * 79, "y" * 80, "z" * 81, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in docs.select("doc_id", C.split_text(F.col("text"), 80, 20).alias("c")).collect():
+        got[r["doc_id"]] = r["c"]
+    assert got == {i: None if t is None else cut_by(t, 80, 20) for i, t in enumerate(texts)}
+    out = C.chunk_recursive(docs, size=20, overlap=5).orderBy("doc_id", "chunk_index").collect()
+    assert [(r["doc_id"], r["text"]) for r in out] == [(i, x) for i, t in enumerate(texts) for x in (cut_by(t, 80, 20) if t else ()) if x.strip()]
 
 
 def test_chunk_heading_and_table(spark):
