@@ -29,7 +29,8 @@ def leaves_for(total_bytes: int, target_bytes: int) -> int:
 def _points(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + 8).cast("long")
-    tie = F.pmod(F.xxhash64("doc_id", text), F.lit(1 << TIE_BITS))
+    # Rows that are equal in all are told apart by the number of the row in this scan, which is saved with the points.
+    tie = F.pmod(F.xxhash64("doc_id", text, F.col("_place")), F.lit(1 << TIE_BITS))
     top = (1 << VALUE_BITS) - 1
     named = lambda c: F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")), F.lit(top + 1))
     on_log = F.least(F.lit(top), (F.log2(size.cast("double")) * 65536).cast("long"))
@@ -37,7 +38,8 @@ def _points(docs: DataFrame) -> DataFrame:
     has = set(docs.columns)
     values = [named("lang") if "lang" in has else F.lit(0), named("source") if "source" in has else F.lit(0), on_log]
     keys = [(v.cast("long") * (1 << TIE_BITS) + tie) for v in values] + [on_line * (1 << VALUE_BITS) + F.shiftright(tie, TIE_BITS - VALUE_BITS)]
-    return docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.array(*keys).alias("at"))
+    placed = docs.select("doc_id", "text", *[c for c in ("lang", "source") if c in has], F.monotonically_increasing_id().alias("_place"))
+    return placed.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.array(*keys).alias("at"), tie.alias("tie"))
 
 
 def _by_node(values: dict, kind: str) -> Column:
@@ -51,17 +53,18 @@ def _split(splits: dict) -> Column:
     return F.when(F.col("node").isin(list(splits)), F.when(low, F.col("node") * 2).otherwise(F.col("node") * 2 + 1)).otherwise(F.col("node")).cast("int")
 
 
-def kd_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0005) -> DataFrame:
-    """docs(doc_id, text[, lang, source]) -> doc_id, size, text_crc32, law, shard, slot, grown_shard, dimension.
+def kd_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0005, target_bytes: int | None = None) -> DataFrame:
+    """docs(doc_id, text[, lang, source]) -> doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Shards have near equal bytes: every split leaves each side its share of the node's bytes, to one row or to
+    Splitting ends when leaves reach target_bytes; the default target is a shards-th of all bytes. Shards have near equal bytes: every split leaves each side its share of the node's bytes, to one row or to
     tolerance of a shard. Null texts count as empty (8 bytes, crc32 0), null languages or sources as one more
-    value, null ids as the lowest. Repeated rows are rows like others. An empty table gives an empty result;
+    value, null ids as the lowest. Repeated rows are rows like others, told apart by their place, so any number of them is split. An empty table gives an empty result;
     further columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "kd")
     points = scratch.save(_points(docs).withColumn("node", F.lit(1)))
     rows, total = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    shards = shards if target_bytes is None else leaves_for(total, target_bytes)
     leaves = {1: shards}  # node -> shards below it
     splits: dict = {}
     current = points
@@ -94,8 +97,8 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0005)
         first[n] = at
         at += leaves[n]
     shard = _by_node(first, "int")
-    placed = current.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard.alias("shard"))
-    return number_rows(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = current.select("doc_id", "size", "text_crc32", "tie", F.lit("bytes").alias("law"), shard.alias("shard"))
+    return number_rows(placed, "shard", [F.col("doc_id"), F.col("tie"), F.col("size")], rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _narrow(current: DataFrame, state: dict, slack: float) -> None:
