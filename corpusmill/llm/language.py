@@ -7,8 +7,6 @@ judged whole, in pieces of PIECE bytes so that a dictionary helps all along a lo
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +21,6 @@ MIN_MARGIN, SURE, FINE_LEVEL = 0.005, 0.03, 19
 #: zstandard stores a short text plainly if compression saves next to nothing; behind a run that always shrinks, each byte saved counts.
 PAD = b"\n" * 256
 FOLDS = 5
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of lower-cased text: ASCII letters and all that is not ASCII stay, the others part words.
 _TABLE = bytes(x if 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 _BUILT: dict = {}
@@ -83,7 +80,7 @@ def _smallest(data: bytes, compressors: list) -> tuple[str, float]:
 
 def classify(text: str | None, compressors: tuple[list, list]) -> tuple[str, float]:
     """(language, relative gain over the second best); und and 0 without a letter or a learned language."""
-    if not text or not compressors[0] or not _LETTER.search(text):
+    if not text or not compressors[0] or not any(map(str.isalpha, text)):
         return "und", 0.0
     data = _plain(text) or b" "
     found = _smallest(data, compressors[0])
