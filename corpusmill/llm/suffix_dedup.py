@@ -103,11 +103,19 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(_doc(), "text").mapInArrow(run, "doc long, key long, spot long")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, key long, spot long")
 
 
-def _doc() -> F.Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc")
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, doc_id, text: doc orders the documents, the null id first. It is the id where no id repeats, else a number of the id and its text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs.withColumn("doc", F.coalesce("doc_id", F.lit(NONE)))
+    keyed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # Partitions of a range come in order, so the id that grows through them does too.
+    order = keyed.select("doc_id", "h").distinct().repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("doc", F.monotonically_increasing_id())
+    order = scratch.save(order).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "doc")
+    return scratch.save(keyed.join(order, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc", "doc_id", "text"))
 
 
 def _repeated(rows: DataFrame, hot: list[int]) -> DataFrame:
@@ -133,8 +141,10 @@ def _repeated(rows: DataFrame, hot: list[int]) -> DataFrame:
             waiting = None if keep[-1] else (doc[-1], spot[-1])
             last = key[-1]
 
-    dealt = F.when(F.col("key").isin(hot), F.xxhash64("doc", "spot")).otherwise(F.col("key")) if len(hot) <= 200 else F.when(F.array_contains(F.array(*[F.lit(x) for x in hot]), F.col("key")), F.xxhash64("doc", "spot")).otherwise(F.col("key"))
-    return rows.repartition(dealt).sortWithinPartitions("key").mapInArrow(run, "doc long, spot long")
+    often = rows.sparkSession.createDataFrame([(x, True) for x in hot], "key long, often boolean")  # at most HOT_KEYS rows
+    marked = rows.join(F.broadcast(often), "key", "left")
+    dealt = F.when(F.col("often"), F.xxhash64("doc", "spot")).otherwise(F.col("key"))
+    return marked.repartition(dealt).drop("often").sortWithinPartitions("key").mapInArrow(run, "doc long, spot long")
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
@@ -149,7 +159,7 @@ def _squeezed(docs: DataFrame) -> DataFrame:
                 b = whole.slice(at, 1024)
                 yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("doc_id"), pa.array([small.compress(_raw(t)) for t in b.column("text").to_pylist()], pa.binary())], names=["doc", "doc_id", "z"])
 
-    return docs.select(_doc(), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc long, doc_id long, z binary")
+    return docs.select("doc", "doc_id", "text").mapInArrow(run, "doc long, doc_id long, z binary")
 
 
 def _unpack(spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -395,13 +405,13 @@ def _removal(spots: np.ndarray, whole: np.ndarray, parts: list | None, n: int, l
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) for every row.
 
-    Null and empty texts have no bytes. Documents of fewer than length bytes lose nothing. A null doc_id comes before all others. Rows that
-    repeat an id are one document in the order: equal texts under one id stay. An empty table gives an empty result; further columns are ignored.
+    Null and empty texts have no bytes. Documents of fewer than length bytes lose nothing. A null doc_id comes before all others. Equal rows are one
+    document and get equal results; different texts under one id (or null) are documents of their own, in the order of a hash of the text. An empty table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "suffix")
-    docs = docs.select("doc_id", "text")
+    docs = _numbered(docs, scratch)
     rows = _anchor_rows(docs, length)
     sample = _anchor_rows(docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10_000)) < int(SAMPLE * 10_000)), length)
     hot = [r[0] for r in sample.groupBy("key").count().filter(F.col("count") >= SAMPLE_HITS).orderBy(F.desc("count"), "key").limit(HOT_KEYS).collect()]
