@@ -2,14 +2,16 @@
 
 Equal vectors are joined first by grouping. The rest are unit vectors turned onto their principal axes (a d x d covariance, summed
 over all rows); cosine >= t means a distance of at most eps = sqrt(2 - 2t). They are sorted by the grid cells of width eps on the leading
-axes, cut into blocks of BLOCK successive vectors, and the sequence is joined with itself recursively: pairs of intervals start at the
+axes, cut into blocks of BLOCK_BYTES of successive vectors, and the sequence is joined with itself recursively: pairs of intervals start at the
 whole sequence, and a pair whose bounding boxes on the leading axes lie more than eps apart is dropped, else it is cut FAN x FAN. The
 recursion runs in Spark down to blocks, one task joins a pair of blocks, going on with the recursion down to LEAF vectors: boxes that
-are provably distant are skipped, what is provably close is counted whole. Links are counted exactly in double precision; only a spanning forest of them leaves a task.
+are provably distant are skipped, what is provably close is counted whole. Where no axis leads, as with random directions in many dimensions, no block is provably distant from another, and
+the join compares all blocks: its work then grows with the square of the distinct vectors, its shuffle with the square over the vectors of a block. Links are counted exactly in double precision; only a spanning forest of them leaves a task.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,17 +22,20 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components, stars
 
 THRESHOLD = 0.9
-AXES, BLOCK, LEAF, FAN = 8, 4096, 256, 8
+AXES, BLOCK_BYTES, LEAF, FAN = 8, 8 << 20, 256, 8
 #: Boxes and balls are compared with this much room for rounding.
 ROOM = 1e-7
+MOST_PARTS = 4096
 
 
 def _clean(df: DataFrame) -> DataFrame:
-    """vec_id and embedding as doubles; a vector that is null, zero or not finite in any component becomes null."""
+    """vec_id, embedding as doubles and its 128-bit hash a, b; a vector that is null, zero or not finite in any component becomes null."""
     v = F.col("embedding").cast("array<double>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
+    clean = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
+    hashed = lambda seed: F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(seed), "v"))
+    return clean.select("vec_id", "v", hashed(1).alias("a"), hashed(2).alias("b"))
 
 
 def _unit(batch: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
@@ -151,15 +156,16 @@ def _ordered_blocks(vectors: DataFrame, axes: np.ndarray, dim: int, eps: float,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of a sorted partition."""
+        from pyspark import TaskContext
+
         rest: list[pa.RecordBatch] = []
-        held = 0
+        held, part, count = 0, TaskContext.get().partitionId(), itertools.count()
 
         def pack(rows: pa.Table) -> pa.RecordBatch:
             x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float64).reshape(-1, dim)
             f = lambda y: [y.tolist()]
             number = lambda c: [np.asarray(rows.column(c).to_numpy(), np.int64).tobytes()]
-            first = rows.slice(0, 1).to_pylist()[0]
-            return pa.RecordBatch.from_arrays([pa.array([first["cell"]]), pa.array([first["vec_id"]]), pa.array([x.tobytes()]), pa.array(number("vec_id")), pa.array(number("many")), pa.array(f(x[:, :lead].min(axis=0))), pa.array(f(x[:, :lead].max(axis=0)))], names=["cell", "first_id", "packed", "ids", "many", "low", "high"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([next(count)], pa.int64()), pa.array([x.tobytes()]), pa.array(number("vec_id")), pa.array(number("many")), pa.array(f(x[:, :lead].min(axis=0))), pa.array(f(x[:, :lead].max(axis=0)))], names=["part", "place", "packed", "ids", "many", "low", "high"])
 
         for b in batches:
             rest.append(b)
@@ -173,16 +179,17 @@ def _ordered_blocks(vectors: DataFrame, axes: np.ndarray, dim: int, eps: float,
             yield pack(pa.Table.from_batches(rest))
 
     n = vectors.count()
-    parts = max(1, min(4096, n // (4 * block) + 1))
-    blocks = turned.repartitionByRange(parts, "cell", "vec_id").sortWithinPartitions("cell", "vec_id").mapInArrow(cut, "cell long, first_id long, packed binary, ids binary, many binary, low array<double>, high array<double>")
+    parts = max(1, min(MOST_PARTS, n // (4 * block) + 1))
+    blocks = turned.repartitionByRange(parts, "cell", "vec_id").sortWithinPartitions("cell", "vec_id").mapInArrow(cut, "part int, place long, packed binary, ids binary, many binary, low array<double>, high array<double>")
     blocks = scratch.save(blocks)
-    # A block's number is its place in the sequence; blocks are one for thousands of vectors.
-    heads = blocks.select("cell", "first_id").repartitionByRange(max(1, n // (block * 50_000)), "cell", "first_id").sortWithinPartitions("cell", "first_id").select("cell", "first_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    heads = scratch.save(heads.withColumn("i", F.col("m") - F.shiftleft(F.col("p").cast("long"), 33)).select("cell", "first_id", "p", "i"))
-    sizes = heads.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("before")).select(F.col("p"), "before")
-    numbered = heads.join(before, "p").select("first_id", (F.col("before") + F.col("i")).alias("block"))
-    return scratch.save(blocks.join(numbered, "first_id"))
+    # A block's number is its place in the sequence: that in its partition after the blocks of those before, of which there are at most MOST_PARTS.
+    sizes = dict(blocks.groupBy("part").agg(F.count(F.lit(1))).collect())
+    before, total = {}, 0
+    for k in sorted(sizes):
+        before[k] = total
+        total += sizes[k]
+    first = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])[F.col("part")] if before else F.lit(0)
+    return blocks.select((first + F.col("place")).alias("block"), "packed", "ids", "many", "low", "high")
 
 
 def _pairs(blocks: DataFrame, eps: float, scratch: Scratch) -> DataFrame:
@@ -205,53 +212,50 @@ def _pairs(blocks: DataFrame, eps: float, scratch: Scratch) -> DataFrame:
     return pairs
 
 
-def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def _pair_joiner(dim: int, threshold: float):
+    """The work on one pair of blocks, or on one with itself: rows of links by vector and of edges that span them."""
+
+    def work(rows):
+        sides = {x["side"]: _Side(x["packed"], x["ids"], x["many"], dim) for x in rows.to_pylist()}
+        left, right = sides[0], sides.get(1, sides[0])
+        edges = np.array(sorted(stars(join_blocks(left, right, len(sides) == 1, threshold)).items()), np.int64).reshape(-1, 2)
+        src = np.concatenate([edges[:, 0], *(x.id[x.links > 0] for x in sides.values())])
+        none, n = pa.nulls(len(src) - len(edges), pa.int64()), np.concatenate([x.links[x.links > 0] for x in sides.values()])
+        return pa.table({"src": src, "dst": pa.concat_arrays([pa.array(edges[:, 1]), none]), "n": pa.concat_arrays([pa.nulls(len(edges), pa.int64()), pa.array(n)])})
+
+    return work
+
+
+def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """vectors(vec_id, embedding) -> vec_id, n_links, component_id, kept for every row.
 
     Vectors that are null, zero or have null or non-finite components link with nothing: 0 links, a component of their own. Vectors of another
-    length than most (ties: the longer) are joined in a pass of their own length. Equal vectors link with each other and have equal
+    length than most are joined in a pass of their own length. Equal vectors (by a hash of 128 bits) link with each other and have equal
     links; repeated rows count as vectors, repeated ids share a component. An empty table gives an empty result; further columns are ignored.
+    block: the most vectors in a block, by default as many as BLOCK_BYTES hold.
     """
     scratch = Scratch(vectors.sparkSession, "embedding")
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     clean = scratch.save(_clean(vectors))
-    groups = scratch.save(clean.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("many")).filter("vec_id is not null"))
+    one = F.min(F.when(F.col("vec_id").isNotNull(), F.struct("vec_id", "v"))).alias("x")
+    groups = scratch.save(clean.filter("v is not null").groupBy("a", "b").agg(one, F.count(F.lit(1)).alias("many")).filter("x is not null").select("a", "b", "x.*", "many"))
     counts = links = None
     for (dim,) in groups.select(F.size("v")).distinct().collect():
-        of_dim = groups.filter(F.size("v") == dim)
+        of_dim = groups.filter(F.size("v") == dim).select("vec_id", "v", "many")
         axes = principal_axes(of_dim, dim)
-        blocks = _ordered_blocks(of_dim, axes, dim, eps, block, scratch)
+        blocks = _ordered_blocks(of_dim, axes, dim, eps, block or max(LEAF, BLOCK_BYTES // (8 * dim)), scratch)
         pairs = _pairs(blocks, eps, scratch)
 
-        def work(batches: Iterator[pa.RecordBatch], dim=dim) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in range(b.num_rows):
-                    x = b.slice(r, 1).to_pylist()[0]
-                    same = x["i"] == x["j"]
-                    left = _Side(x["packed_i"], x["ids_i"], x["many_i"], dim)
-                    right = left if same else _Side(x["packed_j"], x["ids_j"], x["many_j"], dim)
-                    edges = np.array(sorted(stars(join_blocks(left, right, same, threshold)).items()), np.int64).reshape(-1, 2)
-                    for side in (left,) if same else (left, right):
-                        hit = side.links > 0
-                        yield pa.RecordBatch.from_arrays([pa.array(side.id[hit]), pa.nulls(int(hit.sum()), pa.int64()), pa.array(side.links[hit])], names=["src", "dst", "n"])
-                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.nulls(len(edges), pa.int64())], names=["src", "dst", "n"])
-
-        side = lambda k: blocks.select(F.col("block").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("packed", "ids", "many")])  # noqa: E731, B023
-        conf = vectors.sparkSession.conf
-        tasks = max(1, min(20_000, pairs.count()))
-        met = pairs.join(side("i"), "i").join(side("j"), "j").repartition(tasks, "i", "j")
-        was = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row is two blocks
-        try:
-            found = scratch.save(met.mapInArrow(work, "src long, dst long, n long"))
-        finally:
-            conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+        side = lambda p, k, c: p.join(blocks, p[c] == blocks.block).select("i", "j", F.lit(k).alias("side"), "packed", "ids", "many")  # noqa: E731, B023
+        both = side(pairs, 0, "i").unionByName(side(pairs.filter("i < j"), 1, "j"))
+        found = scratch.save(both.groupBy("i", "j").applyInArrow(_pair_joiner(dim, threshold), "src long, dst long, n long"))
         own, far = found.filter("dst is null").groupBy("src").agg(F.sum("n").alias("n")), found.filter("dst is not null").select("src", "dst")
         counts, links = (own, far) if counts is None else (counts.union(own), links.union(far))
     alone = clean.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if counts is None:
         return alone
     of = connected_components(links, scratch)
-    labels = scratch.save(groups.join(counts, groups.vec_id == counts.src, "left").join(of, groups.vec_id == of.node, "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
-    joined = clean.join(labels, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    labels = groups.select("a", "b", "vec_id", "many").join(counts, F.col("vec_id") == F.col("src"), "left").join(of, F.col("vec_id") == F.col("node"), "left")
+    labels = scratch.save(labels.select("a", "b", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
+    joined = clean.select("vec_id", "a", "b").join(labels, ["a", "b"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return joined.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
