@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Generator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,10 +36,14 @@ NOISE_WORDS = frozenset(
 )
 #: Words of other people's or other pages' text: an article element inside is noise too. Inside layout words, such as a wrapper named after its sidebar, it is the article.
 FOREIGN_WORDS = frozenset("comment comments commentlist disqus respond reply replies related recommended".split())
+#: Words among these that also name subjects (market-share, notice-period): noise only in a class of such words and words of layout.
+SUBJECT_WORDS = frozenset("alert alerts comment consent notice notices overlay promotion related recommended reply replies respond share sharing skip social sponsor sponsored subscription widget widgets".split())
+LAYOUT_WORDS = frozenset("area articles bar block body bottom box btn button buttons container content count footer form header icons inline inner item items left line links list media message modal outer panel popup post posts right row section stories text this title toolbar tools top wrap wrapper".split())
 #: The words among these after which a wrapper of the page may be named; adverts and notices hold no page.
 OTHER_WORDS = NOISE_WORDS - frozenset("sidebar aside menu nav navbar navigation footer masthead topbar toolbar widget widgets".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alertdialog alert form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _PART = re.compile(r"[\s_:-]+")
 #: A class that names a state, such as has-sidebar, says nothing of the element's own text.
@@ -58,14 +63,67 @@ def _noise(tag: str, attributes: str, in_article: bool) -> int:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
                 return 2
             if name in ("class", "id"):
-                parts = _PART.split(_STATE.sub(" ", value))
+                parts = _noise_words(value)
                 if not FOREIGN_WORDS.isdisjoint(parts):
                     return 2
-                if tag != "article" and not NOISE_WORDS.isdisjoint(parts):
+                if tag != "article" and parts:
                     found = 1
     return found
 
 
+def _noise_words(value: str) -> set[str]:
+    """The noise words of a class or id: any part of a name, but words of subjects only beside words of noise and layout."""
+    found: set[str] = set()
+    for one in _STATE.sub(" ", value).split():
+        parts = [x for x in _PART.split(one) if x and not x.isdigit()]
+        own = NOISE_WORDS.intersection(parts)
+        if own - SUBJECT_WORDS or all(x in NOISE_WORDS or x in LAYOUT_WORDS for x in parts):
+            found |= own
+    return found
+
+
+def _tags(page: str) -> Generator[tuple[int, int, str, str, str], int | None, None]:
+    """(start, end, slash, name, attributes) of tags and, without a name, of comments and declarations, each found by going on from the last: time linear in the page.
+
+    A quote counts after an equals sign. One that is never closed counts no more, nor do later ones; a tag that is never closed takes the rest.
+    """
+    quotes, at = True, 0
+    while (at := page.find("<", at)) >= 0:
+        name = _NAME.match(page, at)
+        if not name:
+            after = page[at + 1 : at + 2]
+            if after not in ("!", "?", "/"):
+                at += 1
+                continue
+            mark = "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+            end = page.find(mark, at)
+            end = end + len(mark) if end >= 0 else len(page)
+            yield at, end, "", "", ""
+            at = end
+            continue
+        end = name.end()
+        while quotes:
+            m = _MARK.search(page, end)
+            if m and m[0] == ">":
+                end = m.end()
+                break
+            if m and not page[max(name.end(), m.start() - 8) : m.start()].rstrip().endswith("="):
+                end = m.end()
+                continue
+            close = page.find(m[0], m.end()) if m else -1
+            if close < 0:
+                quotes = False
+            end = close + 1
+        if not quotes:
+            end = page.find(">", name.end()) + 1 or len(page) + 1
+        end = min(end, len(page))
+        behind = yield at, end, name[1], name[2].lower(), page[name.end() : end].removesuffix(">")
+        at = end
+        if behind is not None:  # behind raw content
+            at = behind
+            yield at, at, "", "", ""
+
+
 def _lines(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bool, int]], frozenset[int]]:
     """The lines, and the places of elements named by a layout word that hold most of the text outside links; those in wrappers are text."""
     lines: list[tuple[str, int, bool, int]] = []
@@ -113,19 +171,19 @@ def _lines(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
             parts.append(text)
             linked += len(text) * bool(links)
 
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    tags = _tags(page)
+    for start, end, slash, tag, attributes in tags:
+        add(page[at:start])
+        at = end
         if not tag:
             continue
         if tag == "a":
-            anchors = 0 if m[1] else 1
+            anchors = 0 if slash else 1
         if tag == "a" and not (stack and stack[-1][1]):
-            links = max(0, links + (-1 if m[1] else 1))
+            links = max(0, links + (-1 if slash else 1))
         if tag in BLOCK and not (stack and stack[-1][1]):
             end_line()
-        if m[1]:
+        if slash:
             if opened[tag]:
                 was = stack[-1][1]
                 while pop() != tag:
@@ -136,15 +194,16 @@ def _lines(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
+            tags.send(at)
             continue
-        if tag in VOID or m[3].rstrip().endswith("/"):
+        if tag in VOID or attributes.rstrip().endswith("/"):
             add(" " if tag == "br" else "")
             continue
         outer = stack[-1][1] if stack else 0
-        own = _noise(tag, m[3], in_article())
-        if own == 1 and outer < 2 and OTHER_WORDS.isdisjoint(_PART.split(_STATE.sub(" ", " ".join(v.lower() for n, *vs in _ATTR.findall(m[3]) if n.lower() in ("class", "id") for v in vs)))):
-            named[m.start()] = 0
-            if m.start() in wrappers:
+        own = _noise(tag, attributes, in_article())
+        if own == 1 and outer < 2 and OTHER_WORDS.isdisjoint(_noise_words(" ".join(v.lower() for n, *vs in _ATTR.findall(attributes) if n.lower() in ("class", "id") for v in vs))):
+            named[start] = 0
+            if start in wrappers:
                 own = 0
         noise = max(outer, own)
         if outer == 1 and noise == 1 and tag in ("article", "main"):
@@ -154,7 +213,7 @@ def _lines(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
                 gap()
             if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
                 pop()
-            stack.append((tag, noise, m.start(), m.start() if tag in CONTAINER else stack[-1][3] if stack else -1))
+            stack.append((tag, noise, start, start if tag in CONTAINER else stack[-1][3] if stack else -1))
             held.append(0)
             opened[tag] += 1
     add(page[at:])
