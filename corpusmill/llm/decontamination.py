@@ -104,8 +104,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     blocks = max(1, -(-int(cost) // block_chars))
     parts = tests.withColumn("block", F.pmod(F.xxhash64("item", "norm"), F.lit(blocks)).cast("int"))
     scratch = Scratch(spark, "decontamination")
+    # What blocks hand on has names that docs can't hold, as they are longer than any of its names.
+    long = "_" * max(map(len, [*docs.columns, ""]))
+    spans_name, items_name = f"_spans{long}", f"_items{long}"
     found = docs
-    empty = [T.StructField("_spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("_items", T.ArrayType(T.StringType()))]
+    empty = [T.StructField("new" + spans_name, T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("new" + items_name, T.ArrayType(T.StringType()))]
     for block in range(blocks):
         items = sorted((r["item"], r["norm"].encode("utf-8", "surrogatepass")) for r in parts.filter(F.col("block") == block).collect())
         shared, key = spark.sparkContext.broadcast(items), hashlib.sha256(repr((items, window)).encode()).hexdigest()
@@ -115,7 +118,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             automaton = _automaton(key, shared.value, window)
             texts = batch.column("text").to_pylist()
             none = [None] * len(texts)
-            spans, own = (none, none) if first else (batch.column("_old_spans").to_pylist(), batch.column("_old_items").to_pylist())
+            spans, own = (none, none) if first else (batch.column(spans_name).to_pylist(), batch.column(items_name).to_pylist())
             rows = [_scan(t, automaton, s, i) for t, s, i in zip(texts, spans, own, strict=True)]
             if not last:
                 return [[r[1] for r in rows], [r[2] for r in rows]]
@@ -125,7 +128,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         spot = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
         results = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("hit_spans", T.ArrayType(spot))]
         found = add_columns(found, results if last else empty, compute)
-        found = found.drop("_old_spans", "_old_items")
+        found = found.drop(spans_name, items_name)
         if not last:
-            found = scratch.save(found.withColumnsRenamed({"_spans": "_old_spans", "_items": "_old_items"}))
+            found = scratch.save(found.withColumnsRenamed({"new" + spans_name: spans_name, "new" + items_name: items_name}))
     return found
