@@ -3,12 +3,13 @@
 Base rules find e-mail addresses, IP addresses, card and phone numbers with their places. They are the seeds: the two words before
 a seed induce a lexical pattern, and a graph of patterns and the identifier-like values that follow them is scored in rounds. A
 pattern's score is the sum of its values' scores over the number of different followers it has in the corpus: values, plain words and other words with digits.
-It counts only once MIN_SUPPORT values scored HALF or more follow it; a value's score grows with the patterns that hold it, so that what was discovered
+It counts only if it is HALF or more and MIN_SUPPORT values scored HALF or more follow it; a value's score grows with the patterns that hold it, so that what was discovered
 induces further patterns. Rounds go on, ROUNDS at a time, until no pattern gains support. Values that no base rule finds but that follow a pattern of high
 score become further spans of kind id. The graph holds only identifier-like tokens, counted once for each pattern and value, so copies add nothing.
 
-Only patterns before MIN_SUPPORT different values, of which one is no seed, can ever discover: their followers are counted in one scan. A filter of fixed size
-(FILTER_SLOTS bytes, by hash) lets the other patterns go before anything is grouped; what it lets through besides falls away in a join of counts.
+Only patterns before MIN_SUPPORT different values, of which one is no seed, can ever discover, and only if other followers are no more than those values. A
+twentieth of the documents suffices to prove of most frequent patterns that they have more; of the rest all followers are counted, in one scan of all documents. A
+filter by hash, of at most FILTER_SLOTS bytes, lets other patterns go before anything is grouped; what it lets through besides falls away in a join of counts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .common import Scratch
 #: Kinds in the order in which spans that start together are listed; id is what patterns discover.
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS, MIN_SUPPORT, MIN_SCORE, HALF = 3, 5, 0.8, 0.5
-FILTER_SLOTS = 1 << 20
+FILTER_SLOTS, PROOF = 1 << 21, 20
 #: The base rules. A look-behind lets a match begin only where a run of its first characters begins or the last match ended, and
 #: possessive repeats never step back: the same matches as the plain rules, in time linear in the text.
 RULES = {
@@ -145,21 +146,34 @@ def _facts(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "row", base.alias("base"), known(maybe).alias("maybe"), known(other).alias("other"))
 
 
-def _slot(*words: Column) -> Column:
-    return F.pmod(F.xxhash64(*words), F.lit(FILTER_SLOTS))
-
-
-def _filter_of(patterns: DataFrame) -> bytes:
-    """One byte a slot, 1 where a pattern hashes to; the driver gets bitmaps of FILTER_SLOTS bits in all."""
-    slots = patterns.select((_slot(F.split("pattern", " ")[0], F.split("pattern", " ")[1]) + 1).alias("s"))
-    rows = slots.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
-    out = bytearray(FILTER_SLOTS)
+def _filter_of(patterns: DataFrame, count: int) -> tuple[int, bytes]:
+    """(slots, one byte a slot, 1 where one of count patterns hashes to); the driver gets bitmaps of FILTER_SLOTS bits at most in all."""
+    slots = 1 << 12
+    while slots < min(FILTER_SLOTS, 64 * count):
+        slots *= 2
+    words = F.split("pattern", " ")
+    marked = patterns.select((F.pmod(F.xxhash64(words[0], words[1]), F.lit(slots)) + 1).alias("s"))
+    rows = marked.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    out = bytearray(max(slots, 1 << 15))
     for b, bits in rows:
         first = (b - 1) << 15  # numbers from 1 up lie in buckets from 1 up of 32768 bits
         for i, x in enumerate(bits):
             for k in range(8) if x else ():
                 out[first + 8 * i + k] = x >> k & 1
-    return bytes(out)
+    return slots, bytes(out[:slots])
+
+
+def _followers(docs: DataFrame, facts: DataFrame, patterns: DataFrame, count: int) -> DataFrame:
+    """pattern, more: how many different followers that are no values each of count patterns has; without any, it is absent."""
+    slots, table = _filter_of(patterns, count)
+    passes = lambda a, b: F.substring(F.lit(table), F.pmod(F.xxhash64(a, b), F.lit(slots)).cast("int") + 1, 1) == F.lit(b"\x01")
+    words = docs.select(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "").alias("w")).filter("size(w) > 2")
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 3), lambda i: passes(F.col("w")[i], F.col("w")[i + 1]))
+    plain = words.select(F.explode(F.array_distinct(F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.col("w")[i], F.col("w")[i + 1]).alias("pattern"), F.col("w")[i + 2].alias("value"))))).alias("x")).select("x.*").filter(~F.col("value").rlike("[0-9@]"))
+    parts = F.split("pattern", " ")
+    other = facts.select(F.explode("other").alias("x")).select("x.*").filter(passes(parts[0], parts[1]))
+    counts = plain.unionByName(other).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("more"))
+    return counts.join(patterns.select("pattern"), "pattern", "left_semi")
 
 
 def _confident_patterns(docs: DataFrame, facts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -169,24 +183,23 @@ def _confident_patterns(docs: DataFrame, facts: DataFrame, scratch: Scratch) ->
     )
     many = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds"))
     possible = scratch.save(many.filter((F.col("n") >= MIN_SUPPORT) & (F.col("seeds") < F.col("n"))).select("pattern", "n"))
-    if possible.isEmpty():
-        return possible.select("pattern", F.lit(0.0).alias("score"))
-    mask = F.lit(_filter_of(possible))
-    passes = lambda a, b: F.substring(mask, _slot(a, b).cast("int") + 1, 1) == F.lit(b"\x01")
-    words = docs.select(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "").alias("w")).filter("size(w) > 2")
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 3), lambda i: passes(F.col("w")[i], F.col("w")[i + 1]))
-    plain = words.select(F.explode(F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.col("w")[i], F.col("w")[i + 1]).alias("pattern"), F.col("w")[i + 2].alias("value")))).alias("x")).select("x.*").filter(~F.col("value").rlike("[0-9@]"))
-    parts = F.split("pattern", " ")
-    other = facts.select(F.explode("other").alias("x")).select("x.*").filter(passes(parts[0], parts[1]))
-    counted = plain.unionByName(other).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("more"))
-    weight = scratch.save(possible.join(counted, "pattern", "left").select("pattern", (F.col("n") + F.coalesce("more", F.lit(0))).alias("all")))
+    some = F.pmod(F.xxhash64("doc_id"), F.lit(PROOF)) == 0
+    # Followers in some documents are no more than those in all: what goes here could never count.
+    for d, f in ((docs.filter(some), facts.filter(some)), (docs, facts)):
+        if not (count := possible.count()):
+            return possible.select("pattern", F.lit(0.0).alias("score"))
+        possible = possible.select("pattern", "n")
+        met = possible.join(_followers(d, f, possible, count), "pattern", "left").select("pattern", "n", F.coalesce("more", F.lit(0)).alias("more"))
+        possible = scratch.save(met.filter("more <= n"))
+    weight = possible.select("pattern", (F.col("n") + F.col("more")).alias("all"))
     graph = scratch.save(pairs.join(possible.select("pattern"), "pattern", "left_semi"))
     values = scratch.save(graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score")))
     supported = -1
     while True:
         for _ in range(ROUNDS):
             scored = graph.join(values, "value").groupBy("pattern").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= HALF).alias("support"))
-            patterns = scratch.save(scored.join(weight, "pattern").select("pattern", "support", F.when(F.col("support") >= MIN_SUPPORT, F.round(F.col("sum") / F.col("all"), 9)).otherwise(0.0).alias("score")))
+            share = F.round(F.col("sum") / F.col("all"), 9)
+            patterns = scratch.save(scored.join(weight, "pattern").select("pattern", "support", F.when((F.col("support") >= MIN_SUPPORT) & (share >= HALF), share).otherwise(0.0).alias("score")))
             joined = graph.join(patterns, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))).alias("log"))
             values = scratch.save(joined.select("value", F.when(F.col("seed"), 1.0).otherwise(F.round(1 - F.exp("log"), 9)).alias("score")))
         now = patterns.filter(F.col("support") >= MIN_SUPPORT).count()

@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusmill.llm import chat, decontamination, embedding, html_text, language, packing, pii, sharding, simhash, suffix_dedup
 
@@ -68,6 +69,9 @@ def test_sharding(spark, rows, docs, empty):
     assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) < 400
     twice = many.limit(0).unionByName(many.filter("doc_id = 1")).unionByName(many.filter("doc_id = 1"))
     assert sharding.kd_shards(twice, 2).count() == 2
+    equal = spark.range(2000).selectExpr("5L doc_id", "repeat('a', 50) text")
+    assert [r["count"] for r in sharding.kd_shards(equal, 4).groupBy("shard").count().collect()] == [500] * 4
+    assert sharding.kd_shards(equal, target_bytes=2000 * 58 // 10).agg({"shard": "max"}).first()[0] == 9
 
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -139,7 +143,8 @@ def bootstrap(rows):
     values, supported = {v: float(v in seeds) for vs in graph.values() for v in vs}, -1
     while graph:
         for _ in range(3):
-            patterns = {p: (round(sum(values[v] for v in vs) / (len(vs) + len(followers.get(p, ()))), 9) if sum(values[v] >= 0.5 for v in vs) >= 5 else 0.0) for p, vs in graph.items()}
+            shares = {p: round(sum(values[v] for v in vs) / (len(vs) + len(followers.get(p, ()))), 9) for p, vs in graph.items()}
+            patterns = {p: shares[p] if shares[p] >= 0.5 and sum(values[v] >= 0.5 for v in vs) >= 5 else 0.0 for p, vs in graph.items()}
             miss = dict.fromkeys(values, 1.0)
             for p, vs in graph.items():
                 for v in vs:
@@ -279,6 +284,18 @@ def test_suffix_dedup(spark, docs, rows, empty, monkeypatch):
     assert all(hashlib.sha256(kept[i]).hexdigest() == want[i][3] for i in want)
 
 
+def test_suffix_dedup_of_repeated_ids(spark, rows):
+    texts = [rows[60][1], rows[61][1], rows[60][1] + " x", rows[62][1], None, ""]
+    data = [(5, t) for t in texts] + [(None, t) for t in texts] + [(5, texts[0]), (7, texts[1])]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(out) == len(data)
+    hashed = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for t in texts], "t string").selectExpr("t", "xxhash64(t) h").collect()}
+    order = sorted({(i is not None, i or 0, hashed[t or ""], t or "") for i, t in data})
+    want = repeats([(k, x[3]) for k, x in enumerate(order)], 100)
+    made = {(x[1] if x[0] else None, x[3]): want[k] for k, x in enumerate(order)}
+    assert sorted(map(str, (tuple(r) for r in out))) == sorted(str((i, *made[i, t or ""])) for i, t in data)
+
+
 def test_large_keys_are_taken_apart(monkeypatch):
     # One task's code: every key beyond the limit comes out as windows to be grouped.
     import pyarrow as pa
@@ -314,7 +331,11 @@ def test_chat(spark):
     assert r["rendered"] == "<|system|>\nbe kind<|end|>\n<|user:user|>\nhi<|end|>\n<|assistant|>\nhello é<|end|>\n<|user:bob|>\nx<|end|>\n"
     a, b = map(int, r["mask"].split(":"))
     assert r["rendered"][a:b] == "hello é<|end|>\n" and r["n_masked"] == b - a
-    assert [(x["conv_id"], x["perspective"]) for x in out if x["conv_id"] in (2, None)] and sorted(x["part"] for x in out if x["conv_id"] == 3) == [0, 1]
+    assert [(x["conv_id"], x["perspective"]) for x in out if x["conv_id"] in (2, None)] and [x["part"] for x in out if x["conv_id"] == 3] == [0]
+    hot = [(9, None, rng_role, f"t{i}") for i in range(200) for rng_role in ("a", "b")] + [(9, i, "a", "again") for i in range(100)] + [(None, 5000 * i, "c", str(i)) for i in range(70)]
+    cut = chat.rotate_perspectives(spark.createDataFrame(hot, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1)).withColumn("part", F.lit("x"))).collect()
+    assert sorted((r["part"], r["n_turns"]) for r in cut if r["conv_id"] == 9 and r["perspective"] == "a") == [(p, 64) for p in range(7)] + [(7, 52)]
+    assert "".join(r["rendered"] for r in sorted((r for r in cut if r["conv_id"] is None), key=lambda r: r["part"])) == "".join(f"<|assistant|>\n{i}<|end|>\n" for i in range(70))
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -348,6 +369,27 @@ def test_html_text_keeps_short_regions_and_wrappers():
         assert html_text.main_text(f'<div class="{name}"><p>{long}</p>{side}<p>The end.</p></div>') == long.strip() + "\n\nThe end."
 
 
+def test_html_text_of_malformed_pages():
+    import time
+
+    began = time.time()
+    for bad in ("<a ", '<a href="x ', "<a href='", "<", "</", "<!--", "<div class=\"a", "<p>a'b\"", "<script>", '"', "<a<b"):
+        html_text.main_text("<p>Begin.</p>" + bad * (1_000_000 // len(bad)))
+    assert time.time() - began < 30
+    assert html_text.main_text('<p title="a > b < c">One</p><p data-x=\'">\'>Two</p>') == "One\n\nTwo"
+    assert html_text.main_text("<p don't>One</p><p>Two 1 < 2 </p>") == "One\n\nTwo 1 < 2"
+    assert html_text.main_text('<p>One</p><a href="x>y</a><p>Two</p>') == "One\n\ny\n\nTwo"
+    assert html_text.main_text("<p>One</p><!-- <p>no</p> --><![CDATA[ no ]]><?no?></ no><p>Two</p><script>a<b</script>") == "One\n\nTwo"
+
+
+def test_html_text_keeps_subjects_of_noise_words():
+    long = "A long enough paragraph of text. " * 20
+    for name in ("market-share", "notice-period", "social-policy", "no-sidebar", "promotion-rules"):
+        assert html_text.main_text(f"<article><p>{long}</p><section class='{name}'><p>Kept.</p></section></article>").endswith("Kept."), name
+    for name in ("share", "share-buttons", "cookie-notice", "social links", "related-posts", "ad", "ad-slot-3", "article-comments", "promo_box", "alert", "widget"):
+        assert html_text.main_text(f"<article><p>{long}</p><section class='{name}'><p>Gone.</p></section></article>") == long.strip(), name
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
@@ -369,10 +411,11 @@ def test_decontamination(spark, docs, rows):
     items = [(1, rows[60][1][:300]), (2, rows[3][1]), (11, "Blest, INRE2 ça"), (4, None), (5, "..."), (2, rows[3][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block_chars in (10**7, 200):
-        out = decontamination.find_contamination(docs.withColumn("n_hit", docs.doc_id), bench, block_chars=block_chars).collect()
+        out = decontamination.find_contamination(docs.withColumn("n_hit", docs.doc_id).withColumn("_spans", F.lit(7)).withColumn("_old_items", F.lit("x")), bench, block_chars=block_chars).collect()
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in out}
         assert got == {i: contaminated(t, items) for i, t, *_ in rows}
         for r in out:
+            assert (r["_spans"], r["_old_items"]) == (7, "x")
             for a, b in r["hit_spans"]:
                 assert words(r["text"][a:b]) == words(r["text"])[len(words(r["text"][:a])) :][: len(words(r["text"][a:b]))]
     none = decontamination.find_contamination(docs, bench.limit(0))
@@ -400,13 +443,13 @@ def test_language(spark):
     rng = random.Random(8)
     vocab = {"en": "the of and thing that with shed this from which", "fr": "le la une dans avec pour être où ces leurs", "de": "der die das nicht über für sich von mit auch"}
     rows = [(i, " ".join(rng.choice(vocab[lang].split()) for _ in range(40)), lang) for i, lang in enumerate(rng.choices(list(vocab), k=300))]
-    rows += [(1000, None, "en"), (1001, "123 !!", None), (1002, "", "fr"), (None, rows[0][1], None)]
+    rows += [(1000, None, "en"), (1001, "123 !!", None), (1002, "", "fr"), (1003, "½ Ⅷ ² 12", "en"), (None, rows[0][1], None)]
     out = language.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumnRenamed("lang", "lang")).collect()
     assert len(out) == len(rows)
     held = [r for r in out if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 1000]
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in held) and len(held) > 30
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
-    assert all(0 <= r["score"] <= 1 for r in out) and {r["lang_pred"] for r in out if r["doc_id"] in (1000, 1001, 1002)} == {"und"}
+    assert all(0 <= r["score"] <= 1 for r in out) and {r["lang_pred"] for r in out if r["doc_id"] in (1000, 1001, 1002, 1003)} == {"und"}
     nothing = language.identify_language(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).first()
     assert nothing["lang_pred"] == "und" and nothing["rejected"]
 
