@@ -239,7 +239,7 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block
     clean = scratch.save(_clean(vectors))
     one = F.min(F.when(F.col("vec_id").isNotNull(), F.struct("vec_id", "v"))).alias("x")
     groups = scratch.save(clean.filter("v is not null").groupBy("a", "b").agg(one, F.count(F.lit(1)).alias("many")).filter("x is not null").select("a", "b", "x.*", "many"))
-    counts = links = None
+    told = None
     for (dim,) in groups.select(F.size("v")).distinct().collect():
         of_dim = groups.filter(F.size("v") == dim).select("vec_id", "v", "many")
         axes = principal_axes(of_dim, dim)
@@ -249,11 +249,11 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block
         side = lambda p, k, c: p.join(blocks, p[c] == blocks.block).select("i", "j", F.lit(k).alias("side"), "packed", "ids", "many")  # noqa: E731, B023
         both = side(pairs, 0, "i").unionByName(side(pairs.filter("i < j"), 1, "j"))
         found = scratch.save(both.groupBy("i", "j").applyInArrow(_pair_joiner(dim, threshold), "src long, dst long, n long"))
-        own, far = found.filter("dst is null").groupBy("src").agg(F.sum("n").alias("n")), found.filter("dst is not null").select("src", "dst")
-        counts, links = (own, far) if counts is None else (counts.union(own), links.union(far))
+        told = found if told is None else told.unionByName(found)
     alone = clean.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if counts is None:
+    if told is None:
         return alone
+    counts, links = told.filter("dst is null").groupBy("src").agg(F.sum("n").alias("n")), told.filter("dst is not null").select("src", "dst")
     of = connected_components(links, scratch)
     labels = groups.select("a", "b", "vec_id", "many").join(counts, F.col("vec_id") == F.col("src"), "left").join(of, F.col("vec_id") == F.col("node"), "left")
     labels = scratch.save(labels.select("a", "b", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
