@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: The scratch folder of sessions on one machine that name none.
+_TEMPORARY: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -13,3 +18,18 @@ def ship(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if home not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{home}:{known}".rstrip(":")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder that spark.checkpoint.dir names and read again; a temporary folder where it is unset and all runs on this machine."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _TEMPORARY:
+            _TEMPORARY.append("file://" + tempfile.mkdtemp(prefix="spark-scratch-"))
+        root = _TEMPORARY[0]
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

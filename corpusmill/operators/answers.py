@@ -97,6 +97,18 @@ def citation_label(source_file: Column, section: Column, page: Column, section_f
     return F.concat_ws(" · ", section, name, at) if section_first else F.concat_ws(" · ", name, section, at)
 
 
+def citation_primary(source_file: Column, page: Column, section_path: Column, section_title: Column, section_number: Column, document_first: bool = False) -> Column:
+    """The one-line label of the older generation: the section and page, or the document's name, section and page."""
+    stem = F.initcap(strip(F.regexp_replace(F.regexp_replace(source_file, r"(?<=.)\.[^.]*$", ""), "[_-]", " ")))
+    name = F.when(stem == "", source_file).otherwise(stem)
+    numbered = F.concat(F.lit("Section "), section_number)
+    own = F.when(section_title.isNotNull() & section_number.isNotNull(), F.concat_ws(" ", numbered, section_title)).otherwise(F.coalesce(section_title, numbered))
+    label = F.coalesce(section_path, own)
+    if document_first:
+        return F.concat_ws(" ", name, F.concat(F.lit("— "), label), F.concat(F.lit("(Page "), page.cast("string"), F.lit(")")))
+    return F.concat_ws(" ", F.coalesce(label, name), F.concat(F.lit("(p."), page.cast("string"), F.lit(")")))
+
+
 def split_thinking(text: Column) -> tuple[Column, Column]:
     """(thinking, answer): the think blocks taken out of an answer."""
     blocks = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?is)<think>(.*?)</think>"), F.lit(1)), lambda b: strip(b)), lambda b: b != "")

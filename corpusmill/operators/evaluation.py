@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.rules import ABSTENTION
 from ..functions.text import strip
 
 
@@ -106,3 +108,40 @@ def parse_judge_scores(raw: Column) -> Column:
     pick = lambda k: F.coalesce(F.get_json_object(text, f"$.{k}"), F.get_json_object(inner, f"$.{k}"))
     known = F.get_json_object(text, "$").isNotNull() | (inner != "")
     return F.struct(pick("score").try_cast("double").alias("score"), F.when(known, pick("reasoning")).otherwise(F.left(text, F.lit(300))).alias("reasoning"))
+
+
+def golden_candidates(chunks: DataFrame, kind: Column, most: int = 20, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """key, kind: the most longest chunks of each kind, from which golden cases are written; key on ties."""
+    longest = Window.partitionBy("kind").orderBy(F.desc("_n"), key)
+    marked = chunks.select(key, F.length(text).alias("_n"), kind.alias("kind"))
+    return marked.withColumn("_r", F.row_number().over(longest)).filter(F.col("_r") <= most).select(key, "kind")
+
+
+def case_results(cases: DataFrame, reports: DataFrame, key: str = "case_id") -> DataFrame:
+    """One row a case that has a report: its scores, whether it passed, and guard_modified where the guard put an abstention in the answer's place (guarded)."""
+    abstains = F.lower("answer").contains(ABSTENTION)
+    told = reports.select(key, "faithfulness", "completeness", "passed", abstains.alias("_a"))
+    return cases.join(told, key).withColumn("guard_modified", F.col("_a") & F.col("guarded")).drop("_a")
+
+
+#: What a case holds when its file is silent.
+CASE_DEFAULTS = {"category": "general", "expected_answer": "", "corpus": "policy", "source_file": ""}
+GOLDEN = "id string, category string, question string, expected_answer string, relevant_sections array<string>, expected_key_points array<string>, corpus string, query_type string, source_file string"
+
+
+def golden_cases(files: DataFrame, content: str = "content", corpus: str = "all") -> DataFrame:
+    """files with a JSON object of cases in content -> one row a case with defaults filled in, those of corpus only unless it is all.
+
+    A query_type that is missing is the case's category, or factual if that is missing too. Files that are no such object and cases without id or question give no row.
+    """
+    parsed = F.from_json(content, f"cases array<struct<{', '.join(f.replace(' ', ':', 1) for f in GOLDEN.split(', '))}>>")
+    rows = files.select(F.explode(parsed["cases"]).alias("c")).select("c.*").filter("id is not null and question is not null")
+    rows = rows.withColumn("query_type", F.coalesce("query_type", "category", F.lit("factual"))).fillna(CASE_DEFAULTS)
+    empty = F.array().cast("array<string>")
+    rows = rows.withColumn("relevant_sections", F.coalesce("relevant_sections", empty)).withColumn("expected_key_points", F.coalesce("expected_key_points", empty))
+    return rows if corpus.lower() == "all" else rows.filter(F.col("corpus") == corpus.lower())
+
+
+def load_golden(spark: SparkSession, path: str, corpus: str = "all") -> DataFrame:
+    """golden_cases of the JSON files under path."""
+    return golden_cases(spark.read.text(path, wholetext=True).select(F.col("value").alias("content")), corpus=corpus)

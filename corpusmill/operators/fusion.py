@@ -13,9 +13,20 @@ def rank_by(query: str, *order: Column | str) -> Column:
     return F.row_number().over(Window.partitionBy(query).orderBy(*order))
 
 
+def together(first: DataFrame, second: DataFrame, query: str = "query_id") -> DataFrame:
+    """The rows of both, ready to be grouped by query."""
+    return apart(first.unionByName(second), query)
+
+
+def apart(rows: DataFrame, query: str = "query_id") -> DataFrame:
+    """rows dealt by a hash of query, so that what groups them deals them itself: of tables that were dealt alike and put together, adaptive execution may
+    have merged unlike partitions, and Spark 4.1 takes the whole for dealt nevertheless (seen in hybrid_search: questions with both sides counted as one)."""
+    return rows.repartition(F.xxhash64(query))
+
+
 def rrf_fuse(lists: DataFrame, k: int = RRF_K, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
     """lists(query, key, list, rank, dense_score, sparse_score) -> score, rank; ties by first appearance (list, then rank)."""
-    fused = lists.groupBy(query, key).agg(
+    fused = apart(lists, query).groupBy(query, key).agg(
         F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), F.max("dense_score").alias("dense_score"), F.max("sparse_score").alias("sparse_score"), F.min(F.struct("list", "rank")).alias("seen")
     )
     return fused.withColumn("rank", rank_by(query, F.desc("score"), "seen", key)).drop("seen")
@@ -23,8 +34,10 @@ def rrf_fuse(lists: DataFrame, k: int = RRF_K, query: str = "query_id", key: str
 
 def hybrid_search(dense: DataFrame, sparse: DataFrame, k: int = RRF_K, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
     """Fuses the two sides; a query for which one side is empty gets the other's raw scores and ranks."""
-    both = dense.select(query, key, F.lit(0).alias("list"), "rank", F.col("score").alias("dense_score"), F.lit(None).cast("double").alias("sparse_score")).unionByName(
-        sparse.select(query, key, F.lit(1).alias("list"), "rank", F.lit(None).cast("double").alias("dense_score"), F.col("score").alias("sparse_score"))
+    both = together(
+        dense.select(query, key, F.lit(0).alias("list"), "rank", F.col("score").alias("dense_score"), F.lit(None).cast("double").alias("sparse_score")),
+        sparse.select(query, key, F.lit(1).alias("list"), "rank", F.lit(None).cast("double").alias("dense_score"), F.col("score").alias("sparse_score")),
+        query,
     )
     sides = F.size(F.collect_set("list").over(Window.partitionBy(query)))
     marked = both.withColumn("sides", sides)
@@ -34,7 +47,7 @@ def hybrid_search(dense: DataFrame, sparse: DataFrame, k: int = RRF_K, query: st
 
 def subquery_merge(hits: DataFrame, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
     """The best score of a chunk over a query's sub-queries."""
-    return hits.groupBy(query, key).agg(F.max("score").alias("score")).withColumn("rank", rank_by(query, F.desc("score"), key))
+    return apart(hits, query).groupBy(query, key).agg(F.max("score").alias("score")).withColumn("rank", rank_by(query, F.desc("score"), key))
 
 
 def filter_relaxation(filtered: DataFrame, unfiltered: DataFrame, queries: DataFrame, query: str = "query_id") -> DataFrame:
@@ -43,6 +56,11 @@ def filter_relaxation(filtered: DataFrame, unfiltered: DataFrame, queries: DataF
     return filtered.withColumn("relaxed", F.lit(False)).unionByName(unfiltered.join(empty, query, "left_semi").withColumn("relaxed", F.lit(True)))
 
 
+def scope_filter(hits: DataFrame, corpus: Column, scope: Column) -> DataFrame:
+    """Hits of the corpus that the question's scope names; a null scope or `all` keeps every hit. Ranks stay."""
+    return hits.filter(scope.isNull() | (scope == "all") | (corpus == scope))
+
+
 def relative_threshold(hits: DataFrame, ratio: Column | float = MIN_RATIO, min_keep: int = 1, query: str = "query_id", key: str = "chunk_id", score: str = "score") -> DataFrame:
     """Keeps scores of at least ratio times the query's best; if the best isn't positive or fewer than min_keep stay, the min_keep best."""
     all_of = Window.partitionBy(query)
@@ -79,7 +97,7 @@ def topic_ensure(kept: DataFrame, pool: DataFrame, marked: Column, limit: int =
     """Puts up to limit marked candidates that were dropped back in front."""
     missing = pool.filter(marked).join(kept.select(query, key), [query, key], "left_anti")
     front = missing.withColumn("_p", rank_by(query, F.desc("score"), key)).filter(F.col("_p") <= limit)
-    both = kept.select(query, key, "score", F.col("rank").alias("_p")).unionByName(front.select(query, key, "score", (F.col("_p") - 1_000_000).alias("_p")))
+    both = together(kept.select(query, key, "score", F.col("rank").alias("_p")), front.select(query, key, "score", (F.col("_p") - 1_000_000).alias("_p")), query)
     return both.withColumn("rank", rank_by(query, "_p")).drop("_p")
 
 
@@ -117,16 +135,16 @@ def topic_inject(hits: DataFrame, canned: DataFrame, marked: Column, minimum: in
     counted = hits.withColumn("_m", F.sum(marked.cast("int")).over(all_of)).withColumn("_boost", F.greatest(F.max("score").over(all_of) * 1.2, F.lit(10.0)))
     short = counted.groupBy(query).agg(F.max("_m").alias("_have"), F.max("_boost").alias("_boost")).filter(F.col("_have") < minimum)
     fresh = canned.join(short, query).join(hits.select(query, key), [query, key], "left_anti").withColumn("_n", rank_by(query, F.desc("score"), key)).filter(F.col("_n") <= F.lit(minimum) - F.col("_have"))
-    both = hits.select(query, key, "score", F.col("rank").alias("_p")).unionByName(fresh.select(query, key, F.col("_boost").alias("score"), (F.col("_n") - 1_000_000).alias("_p")))
+    both = together(hits.select(query, key, "score", F.col("rank").alias("_p")), fresh.select(query, key, F.col("_boost").alias("score"), (F.col("_n") - 1_000_000).alias("_p")), query)
     return both.withColumn("rank", rank_by(query, "_p")).drop("_p")
 
 
 def comprehensive_retrieve(hits: DataFrame, section: str, ratio: float = 0.25, top_n: int = 12, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
     """The list-question path over the hits of all sub-queries (query, key, score, section): best score a chunk, two a section, threshold, the first top_n; a question
     that the threshold leaves empty keeps its order by score."""
-    merged = hits.groupBy(query, key, section).agg(F.max("score").alias("score"))
+    merged = apart(hits, query).groupBy(query, key, section).agg(F.max("score").alias("score"))
     spread = diversify_sections(merged, 2, section, query, key)
     kept = relative_threshold(spread, ratio, 1, query, key)
     rest = spread.join(kept.select(query).distinct(), query, "left_anti")
-    both = kept.unionByName(rest).withColumn("rank", rank_by(query, F.desc("score"), key))
+    both = together(kept, rest, query).withColumn("rank", rank_by(query, F.desc("score"), key))
     return both.filter(F.col("rank") <= top_n)

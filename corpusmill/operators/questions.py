@@ -164,8 +164,22 @@ def detect_category(text: Column) -> Column:
     )
 
 
+def detect_policy_id(text: Column) -> Column:
+    """The policy id that a question names: the first match of the patterns in order that is good; a pattern of which the first match is a bare number counts
+    only if that match says `policy` and it is no year."""
+    edges = r"^[\s.,;:|()\[\]{}]+|[\s.,;:|()\[\]{}]+$"
+
+    def found(pattern: str) -> Column:
+        name = F.regexp_replace(F.regexp_extract(text, pattern, 1), edges, "")
+        number, year = name.rlike(r"^\d+$"), name.rlike(r"^(19|20)\d\d$")
+        told = F.lower(F.regexp_extract(text, pattern, 0)).contains("policy")
+        return F.when(text.rlike(pattern), F.when(number, F.when(~year & told, F.concat(F.lit("Policy "), name))).when(F.length(name) >= 3, name))
+
+    return F.coalesce(*[found(p) for p in R.POLICY_ID_PATTERNS])
+
+
 def infer_filters(messages: DataFrame) -> DataFrame:
-    """messages(conv_id, turn, role, text) -> user turns with departments (inherited from the newest earlier user turn that names any), topics and category."""
+    """messages(conv_id, turn, role, text) -> user turns with departments (inherited from the newest earlier user turn that names any), policy_id, topics and category."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     own = F.when(F.size(detect_departments(F.col("text"))) > 0, detect_departments(F.col("text")))
     known = messages.withColumn("_own", own).withColumn("_old", F.last(F.when(F.col("role") == "user", F.col("_own")), ignorenulls=True).over(before))
@@ -173,6 +187,7 @@ def infer_filters(messages: DataFrame) -> DataFrame:
     return known.filter("role = 'user'").select(
         *messages.columns,
         dept.alias("departments"),
+        detect_policy_id(F.col("text")).alias("policy_id"),
         detect_topics(F.col("text")).alias("topics"),
         F.when(dept.isNotNull(), detect_category(F.col("text"))).alias("category"),
     )

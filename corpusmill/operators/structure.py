@@ -44,17 +44,35 @@ def section_context(rows: DataFrame, key: str = "doc_id", order: str = "line_no"
     )
 
 
+def nearest_section(pages: DataFrame, file: str = "source_file", block: int = 1024) -> DataFrame:
+    """pages(file, page_number, section_path) -> file, page_number, section_path: the page's own section or that of the nearest page that has one, the earlier of two as near.
+
+    The last section before and the first after a page are running values over blocks of page numbers; what a block hands on to the others is one row a block,
+    so no task sees a whole file's pages and no pairs of pages arise. A file without any section has null.
+    """
+    own = F.when(F.col("section_path").isNotNull(), F.struct(F.col("page_number").alias("n"), F.col("section_path").alias("s")))
+    rows = pages.groupBy(file, "page_number").agg(F.min("section_path").alias("section_path")).select(file, "page_number", F.floor(F.col("page_number") / block).alias("_b"), own.alias("_o"))
+    inside = Window.partitionBy(file, "_b").orderBy("page_number")
+    rows = rows.withColumn("_l", F.last("_o", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.first("_o", True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    ends = rows.groupBy(F.col(file).alias("_f"), F.col("_b").alias("_k")).agg(F.max("_o").alias("_last"), F.min("_o").alias("_first"))
+    across = Window.partitionBy("_f").orderBy("_k")
+    ends = ends.select("_f", "_k", F.last("_last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    met = rows.join(ends, (F.col(file).eqNullSafe(F.col("_f"))) & (F.col("_b") == F.col("_k"))).withColumn("_l", F.coalesce("_l", "_before")).withColumn("_r", F.coalesce("_r", "_after"))
+    near = F.when(F.col("_r").isNull() | (F.col("page_number") - F.col("_l.n") <= F.col("_r.n") - F.col("page_number")), F.col("_l")).otherwise(F.col("_r"))
+    return met.select(file, "page_number", near["s"].alias("section_path"))
+
+
 def caption_rows(pages: DataFrame, images: DataFrame, file: str = "source_file") -> DataFrame:
     """images(file, page_number), pages(file, page_number, text, section_path) -> file, page_number, caption, section_path.
 
-    The caption is the page's first line that names a figure or diagram, else its first line; the section is the page's own or that of the nearest page that has one
-    (the earlier of two as near), found by grouped minima over a file's pages.
+    The caption is the page's first line that names a figure or diagram, else its first line; the section is the page's own or that of the nearest page that has one.
+    Images that repeat a page count once; an image without a page is captioned by its file.
     """
     lines_of = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     figure = F.get(F.filter(lines_of, lambda x: x.rlike(r"(?i)\b(figure|fig\.|diagram|chart|illustration)\b")), F.lit(0))
-    own = pages.select(F.col(file).alias("_f"), F.col("page_number").alias("_p"), F.coalesce(figure, F.left(F.get(lines_of, F.lit(0)), F.lit(200))).alias("_c"))
-    near = pages.filter("section_path is not null").select(F.col(file).alias("_nf"), F.col("page_number").alias("_np"), F.col("section_path").alias("_s"))
-    met = images.join(near, F.col(file) == F.col("_nf"), "left").groupBy(file, "page_number").agg(F.min_by("_s", F.struct(F.abs(F.col("_np") - F.col("page_number")), F.col("_np"))).alias("section_path"))
-    named = met.join(own, (F.col(file) == F.col("_f")) & (F.col("page_number") == F.col("_p")), "left")
+    own = pages.select(file, "page_number", F.coalesce(figure, F.left(F.get(lines_of, F.lit(0)), F.lit(200))).alias("_c"))
+    at = images.select(file, "page_number").distinct()
+    placed = nearest_section(pages.select(file, "page_number", "section_path").unionByName(at.withColumn("section_path", F.lit(None).cast("string"))), file)
+    named = at.join(placed, [file, "page_number"], "left").join(own, [file, "page_number"], "left")
     words = F.coalesce("_c", F.concat(F.lit("Visual content from "), F.col(file)))
     return named.select(file, "page_number", F.concat(F.lit("[DIAGRAM CAPTION — "), F.col(file), F.lit(" (page "), F.col("page_number").cast("string"), F.lit(")] "), words).alias("caption"), "section_path")

@@ -43,3 +43,13 @@ def trace_from_answers(answers: DataFrame, hits: DataFrame, query: str = "query_
     used = hits.groupBy(query).agg(F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_set("source_file")).alias("sources"), F.transform(F.array_sort(F.collect_list(F.struct("rank", F.round("score", 4).alias("score")))), lambda x: x["score"]).alias("scores"))
     words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")).cast("long")
     return answers.select(query, words("question").alias("prompt_tokens"), words("answer").alias("completion_tokens")).join(used, query, "left")
+
+
+def trace_by_id(traces: DataFrame, wanted: DataFrame, key: str = "trace_id") -> DataFrame:
+    """The traces of which wanted holds the key; keys without a trace give no row."""
+    return traces.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def document_detail(chunks: DataFrame, file: str = "source_file", text: str = "text", snippet: int = 100) -> DataFrame:
+    """One row a file: how many chunks it has, the longest one's characters, and the first of its snippets by their order."""
+    return chunks.groupBy(file).agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length(text)).cast("long").alias("longest"), F.min(F.left(F.col(text), F.lit(snippet))).alias("first_snippet"))

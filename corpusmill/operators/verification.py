@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import strip
-from .fusion import rank_by
+from .fusion import apart, rank_by
 from .questions import contains_any, word_count
 
 GATES = {"composite": 0.70, "faithfulness": 0.65, "completeness": 0.50, "citations": 0.50}
@@ -67,14 +67,23 @@ def coherence(answer: Column) -> Column:
     return F.when(text == "", 0.0).when(word_count(text) < 5, 0.50).when(text.rlike(r"[.\]!?]$"), 0.95).otherwise(0.70)
 
 
-def verify_answers(answers: DataFrame, gates: dict = GATES) -> DataFrame:
-    """answers(question, answer, context, chunks, citations) with the four scores, composite, passed and critique."""
+SCORES = ("faithfulness", "completeness", "citation_coverage", "coherence")
+
+
+def verify_answers(answers: DataFrame, gates: dict = GATES, scorer=None) -> DataFrame:
+    """answers(question, answer, context, chunks, citations) with the four scores, composite, passed and critique.
+
+    scorer(answers) -> answers with columns of SCORES: a judge in place of the rules; where one of its scores is null, the rule's score stands.
+    """
     answer = F.coalesce("answer", F.lit(""))
     cited = (F.col("citations") > 0) | answer.rlike(r"\[Source \d+\]")
     empty = strip(answer) == ""
     scored = answers
     for name, column in (("faithfulness", faithfulness(answer, F.col("context"), cited)), ("completeness", completeness(F.col("question"), answer)), ("citation_coverage", citation_coverage(answer, F.col("chunks"), F.col("citations"))), ("coherence", coherence(answer))):
         scored = scored.withColumn(name, F.when(empty, 0.0).otherwise(column))
+    if scorer is not None:
+        judged = scorer(scored.withColumnsRenamed({c: f"_{c}" for c in SCORES}))
+        scored = judged.withColumns({c: F.when(empty, 0.0).otherwise(F.coalesce(F.col(c), F.col(f"_{c}"))) for c in SCORES}).drop(*[f"_{c}" for c in SCORES])
     composite = F.round(0.35 * F.col("faithfulness") + 0.30 * F.col("completeness") + 0.20 * F.col("citation_coverage") + 0.15 * F.col("coherence"), 3)
     ok = (F.col("composite") >= gates["composite"]) & (F.col("faithfulness") >= gates["faithfulness"]) & (F.col("completeness") >= gates["completeness"]) & (F.col("citation_coverage") >= gates["citations"])
     said = F.concat_ws(
@@ -102,6 +111,15 @@ def retry_adjust(reports: DataFrame) -> DataFrame:
     )
 
 
+# Why an answer is a fallback.
+OFFLINE, EXHAUSTED, NO_FALLBACK = "llm_offline_fallback", "retry_exhausted_fallback", "none"
+
+
+def fallback_reason(has_model: Column, passed: Column) -> Column:
+    """Without a model the answer was extracted; with one, a best report (null: none) that didn't pass is all that the retries gave."""
+    return F.when(~has_model, OFFLINE).when(~F.coalesce(passed, F.lit(True)), EXHAUSTED).otherwise(NO_FALLBACK)
+
+
 def best_attempt(attempts: DataFrame, query: str = "query_id") -> DataFrame:
     """The first attempt that passed, else the best composite, the earliest on ties."""
     first = F.when(F.col("passed"), F.col("attempt")).otherwise(1_000_000)
@@ -115,4 +133,4 @@ def retry_rounds(answers: DataFrame, attempt_again, retries: int = 2, query: str
     for n in range(1, retries + 1):
         report = verify_answers(attempt_again(report.filter("not passed"), n)).withColumn("attempt", F.lit(n))
         tried = tried.unionByName(report, allowMissingColumns=True)
-    return best_attempt(tried, query)
+    return best_attempt(apart(tried, query), query)

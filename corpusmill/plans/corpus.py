@@ -306,7 +306,7 @@ def pages_to_text(t):
 
 
 @query(
-    """WITH p AS (SELECT source AS source_file, doc_id AS page_number, text, CASE WHEN doc_id % 4 = 0 THEN lang || doc_id END AS section_path FROM documents), i AS (SELECT source_file, page_number, text FROM p WHERE page_number % 10 = 3),
+    """WITH p AS (SELECT source AS source_file, doc_id AS page_number, text, CASE WHEN doc_id % 4 = 0 THEN lang || doc_id END AS section_path FROM documents), i AS (SELECT source_file, page_number, text FROM p),
 c AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM i),
 n AS (SELECT i.source_file, i.page_number, arg_min(p.section_path, abs(p.page_number - i.page_number) * 10000000 + p.page_number) AS section_path FROM i LEFT JOIN p ON p.source_file = i.source_file AND p.section_path IS NOT NULL GROUP BY ALL)
 SELECT c.source_file, c.page_number, '[DIAGRAM CAPTION — ' || c.source_file || ' (page ' || c.page_number || ')] ' || coalesce(list_filter(l, lambda x: regexp_matches(x, '(?i)\\b(figure|fig\\.|diagram|chart|illustration)\\b'))[1], left(l[1], 200), 'Visual content from ' || c.source_file) AS caption, section_path FROM c JOIN n USING (source_file, page_number)"""
@@ -315,7 +315,7 @@ def caption_rows(t):
     from ..operators.structure import caption_rows as captions
 
     pages = t("documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page_number"), "text", F.when(F.col("doc_id") % 4 == 0, F.concat("lang", F.col("doc_id").cast("string"))).alias("section_path"))
-    return captions(pages, pages.filter("page_number % 10 = 3").select("source_file", "page_number"))
+    return captions(pages, pages.select("source_file", "page_number"))
 
 
 def fenced(t):
@@ -343,4 +343,6 @@ def chunk_parent_child(t):
 
 @query("SELECT source, count(*) AS chunks, max(length(text)) AS longest, min(left(text, 100)) AS first_snippet FROM documents GROUP BY source")
 def document_detail(t):
-    return t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("text")).cast("long").alias("longest"), F.min(F.left("text", F.lit(100))).alias("first_snippet"))
+    from ..operators.telemetry import document_detail as detail
+
+    return detail(t("documents"), "source")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.text import strip
 from ..operators import answers as A
 from ..operators import cache as H
 from ..operators import evaluation as E
@@ -18,20 +19,20 @@ from .retrieval import BM25, sparse_hits, with_context
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
-# A question, an answer and a context for each document: the context is the text, the answer its first words with an ending by the id.
+# A question, an answer and a context for each document: the answer is the whole text with an ending by the id, the context the text or, for a third, one in which many words are others.
 ENDINGS = (" [Source 1].", " costs $5,000 a year [Source 2]", " whereas 45 days differ.", "", " [Source 9] and 120 hours!", " unable to answer")
 QUESTIONS = ("What is the deadline for leave?", "compare the two plans", "Which rules are about the and of", "ertion heath whor")
 JUDGED_SQL = (
-    "judged AS (SELECT doc_id, CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {quoted(q)}" for i, q in enumerate(QUESTIONS)) + " END AS question, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE left(text, 60) || CASE doc_id % 6 "
-    + " ".join(f"WHEN {i} THEN {quoted(e)}" for i, e in enumerate(ENDINGS)) + " END END AS answer, CASE WHEN doc_id % 5 <> 0 THEN text END AS context, CASE WHEN doc_id % 5 <> 0 THEN 3 ELSE 0 END AS chunks, CAST(doc_id % 2 AS INTEGER) AS citations FROM documents)"
+    "judged AS (SELECT doc_id, CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {quoted(q)}" for i, q in enumerate(QUESTIONS)) + " END AS question, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE text || CASE doc_id % 6 "
+    + " ".join(f"WHEN {i} THEN {quoted(e)}" for i, e in enumerate(ENDINGS)) + " END END AS answer, CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 3 = 1 THEN replace(text, 'th', 'zz') ELSE text END END AS context, CASE WHEN doc_id % 5 <> 0 THEN 3 ELSE 0 END AS chunks, CAST(doc_id % 2 AS INTEGER) AS citations FROM documents)"
 )
 
 
 def judged(t):
     pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % n + 1).cast("int"))
-    answer = F.when(F.col("doc_id") % 17 == 0, " ").otherwise(F.concat(F.left("text", F.lit(60)), pick(ENDINGS, 6)))
+    answer = F.when(F.col("doc_id") % 17 == 0, " ").otherwise(F.concat("text", pick(ENDINGS, 6)))
     has = F.col("doc_id") % 5 != 0
-    return t("documents").select("doc_id", pick(QUESTIONS, 4).alias("question"), answer.alias("answer"), F.when(has, F.col("text")).alias("context"), F.when(has, 3).otherwise(0).alias("chunks"), (F.col("doc_id") % 2).cast("int").alias("citations"))
+    return t("documents").select("doc_id", pick(QUESTIONS, 4).alias("question"), answer.alias("answer"), F.when(has & (F.col("doc_id") % 3 == 1), F.replace("text", F.lit("th"), F.lit("zz"))).when(has, F.col("text")).alias("context"), F.when(has, 3).otherwise(0).alias("chunks"), (F.col("doc_id") % 2).cast("int").alias("citations"))
 
 
 STOP = "[" + ", ".join(map(quoted, R.STOP_WORDS)) + "]"
@@ -105,16 +106,16 @@ def retry_rounds(t):
     columns = ["doc_id", "question", "answer", "context", "chunks", "citations"]
 
     def again(failed, attempt):
-        better = F.concat(F.left("text", F.lit(60 * (attempt + 2))), F.lit(" [Source 1]."))
-        return failed.select("doc_id", "question", "chunks", "citations", "context").join(t("documents").select("doc_id", "text"), "doc_id").withColumn("answer", better).select(columns)
+        better = F.concat("context", F.repeat(F.lit(" so it is"), F.lit(attempt)), F.lit(" [Source 1]."))
+        return failed.withColumn("answer", F.coalesce(better, F.col("answer"))).select(columns)
 
     return V.retry_rounds(judged(t).select(columns), again, query="doc_id").select("doc_id", "attempt", "composite", "passed")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'offline' WHEN doc_id % 5 = 0 THEN 'exhausted' ELSE 'none' END AS fallback_reason FROM documents")
+@query(f"WITH {REPORT_SQL} SELECT doc_id, CASE WHEN lang = 'fr' THEN 'llm_offline_fallback' WHEN NOT passed THEN 'retry_exhausted_fallback' ELSE 'none' END AS fallback_reason FROM documents LEFT JOIN rp USING (doc_id)")
 def fallback_reason(t):
-    reason = F.when(F.col("doc_id") % 9 == 0, "offline").when(F.col("doc_id") % 5 == 0, "exhausted").otherwise("none")
-    return t("documents").select("doc_id", reason.alias("fallback_reason"))
+    told = t("documents").select("doc_id", "lang").join(reports(t).select("doc_id", "passed"), "doc_id", "left")
+    return told.select("doc_id", V.fallback_reason(F.coalesce(F.col("lang") != "fr", F.lit(True)), F.col("passed")).alias("fallback_reason"))
 
 
 @query(f"WITH {JUDGED_SQL} SELECT doc_id, list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(answer, '(?i)[[]Source\\s+([^]]+)[]]', 1), lambda x: regexp_extract_all(x, '\\b([0-9]+)\\b', 1))), lambda n: n::INTEGER))) AS tags FROM judged")
@@ -122,36 +123,56 @@ def extract_source_tags(t):
     return judged(t).select("doc_id", A.source_tags(F.col("answer")).alias("tags"))
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'plan ' || lang END AS thinking, {STRIP.format('left(text, 80)')} AS answer FROM documents")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'plan ' || lang END AS thinking, regexp_replace({STRIP.format('text')}, '\n{{3,}}', chr(10) || chr(10), 'g') AS answer FROM documents")
 def split_thinking(t):
-    raw = t("documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think> plan "), F.col("lang"), F.lit(" </think>"))).otherwise(""), F.left("text", F.lit(80))).alias("raw"))
+    raw = t("documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think> plan "), F.col("lang"), F.lit(" </think>"))).otherwise(""), "text").alias("raw"))
     thinking, answer = A.split_thinking(F.col("raw"))
     return raw.select("doc_id", thinking.alias("thinking"), answer.alias("answer"))
 
 
-VERDICTS = ("UNSUPPORTED claims", "SUPPORTED", "this is SUPPORTED, not UNSUPPORTED", "Yes. fine", "no")
+# Verdicts around whole texts: a word list decides on the upper-cased answer, wherever in it the words stand.
+GUARD_SQL = "guard AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text || ' UNSUPPORTED claims' WHEN 1 THEN text || ' SUPPORTED' WHEN 2 THEN 'this is SUPPORTED, ' || text || ' not UNSUPPORTED' WHEN 3 THEN ' Yes. ' || text ELSE text END AS raw FROM documents)"
 
 
-@query("SELECT doc_id, doc_id % 5 <> 0 AS balanced, doc_id % 5 = 3 AS strict FROM documents")
+def guard(t):
+    n, text = F.col("doc_id") % 5, F.col("text")
+    raw = F.when(n == 0, F.concat(text, F.lit(" UNSUPPORTED claims"))).when(n == 1, F.concat(text, F.lit(" SUPPORTED"))).when(n == 2, F.concat(F.lit("this is SUPPORTED, "), text, F.lit(" not UNSUPPORTED"))).when(n == 3, F.concat(F.lit(" Yes. "), text)).otherwise(text)
+    return t("documents").select("doc_id", raw.alias("raw"))
+
+
+@query(f"WITH {GUARD_SQL} SELECT doc_id, NOT (contains(upper(raw), 'UNSUPPORTED') AND NOT contains(string_split(upper(raw), 'UNSUPPORTED')[1], 'SUPPORTED')) AS balanced, starts_with({STRIP.format('upper(raw)')}, 'YES') AS strict FROM guard")
 def parse_guard_verdict(t):
-    raw = F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), (F.col("doc_id") % 5 + 1).cast("int"))
-    return t("documents").select("doc_id", A.parse_guard_verdict(raw).alias("balanced"), A.parse_guard_verdict(raw, True).alias("strict"))
+    return guard(t).select("doc_id", A.parse_guard_verdict(F.col("raw")).alias("balanced"), A.parse_guard_verdict(F.col("raw"), True).alias("strict"))
 
 
-CODE_VERDICTS = ("VERDICT: YES\nEXPLANATION: all there", "NO\nexplanation: missing call", "well yes it is", "cannot tell")
+CODE_SQL = "raws AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'VERDICT: YES' || chr(10) || text || chr(10) || 'EXPLANATION: ' || lang || ' is there' WHEN 1 THEN 'NO ' || text || chr(10) || 'explanation: missing ' || source WHEN 2 THEN text || chr(10) || 'verdict: no' ELSE text END AS raw FROM documents)"
 
 
-@query("SELECT doc_id, doc_id % 4 IN (0, 2) AS passed, CASE doc_id % 4 WHEN 0 THEN 'all there' WHEN 1 THEN 'missing call' WHEN 2 THEN '' ELSE 'cannot tell' END AS explanation FROM documents")
+@query(
+    f"""WITH {CODE_SQL}, u AS (SELECT *, {STRIP.format('raw')} AS s FROM raws), v AS (SELECT *, upper(s) AS up, list_slice(list_filter(regexp_split_to_array(upper(s), '\s+'), lambda w: w <> ''), 1, 3) AS head, list_filter(string_split(s, chr(10)), lambda x: starts_with(upper(x), 'EXPLANATION:')) AS told FROM u),
+k AS (SELECT *, contains(up, 'VERDICT: YES') OR starts_with(up, 'YES') AS yes, contains(up, 'VERDICT: NO') OR starts_with(up, 'NO') AS no FROM v)
+SELECT doc_id, CASE WHEN yes THEN true WHEN no THEN false ELSE list_contains(head, 'YES') END AS passed, CASE WHEN yes OR no OR list_contains(head, 'YES') OR list_contains(head, 'NO') THEN CASE WHEN len(told) > 0 THEN {STRIP.format("regexp_replace(told[-1], '^[^:]*:', '')")} ELSE '' END ELSE left(s, 200) END AS explanation FROM k"""
+)
 def parse_code_verdict(t):
-    raw = F.element_at(F.array(*[F.lit(v) for v in CODE_VERDICTS]), (F.col("doc_id") % 4 + 1).cast("int"))
+    n, text, line = F.col("doc_id") % 4, F.col("text"), F.lit("\n")
+    raw = F.when(n == 0, F.concat(F.lit("VERDICT: YES\n"), text, F.lit("\nEXPLANATION: "), F.col("lang"), F.lit(" is there"))).when(n == 1, F.concat(F.lit("NO "), text, F.lit("\nexplanation: missing "), F.col("source"))).when(n == 2, F.concat(text, line, F.lit("verdict: no"))).otherwise(text)
     return t("documents").select("doc_id", A.parse_code_verdict(raw).alias("v")).select("doc_id", "v.*")
 
 
-@query("SELECT doc_id, 2::BIGINT AS code_lines, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS grounded, doc_id % 2 = 0 AS passed FROM documents")
+# The lines of a text as the code of an answer; the context lacks the ones with a word of it.
+SQUEEZED = "regexp_replace({}, '\\s+', '', 'g')"
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, replace(text, '`', ' ') AS code, replace(replace(text, '`', ' '), 'st', 'ts') AS given FROM documents),
+l AS (SELECT doc_id, unnest(string_split(code || chr(10) || 'y = x', chr(10))) AS line, {SQUEEZED.format("'code: y=x ' || given")} AS c FROM f),
+k AS (SELECT doc_id, contains(c, {SQUEEZED.format('line')}) OR (regexp_extract(line, '\bdef\s+(\w+)', 1) <> '' AND contains(c, regexp_extract(line, '\bdef\s+(\w+)', 1))) AS ok FROM l WHERE length({SQUEEZED.format('line')}) > 2 AND NOT regexp_matches(line, '^\s*#')),
+g AS (SELECT doc_id, count(*) AS code_lines, count(*) FILTER (WHERE ok) AS grounded FROM k GROUP BY 1) SELECT doc_id, code_lines, grounded, round(grounded / code_lines, 6) >= 0.8 AS passed FROM documents LEFT JOIN g USING (doc_id)"""
+)
 def code_grounding(t):
-    answer = F.concat(F.lit("see\n```python\nx = total(1)\n"), F.when(F.col("doc_id") % 2 == 0, "y = x").otherwise("zz_unknown(9)"), F.lit("\n```\n"))
-    answers = t("documents").select("doc_id", answer.alias("answer"))
-    context = t("documents").select("doc_id", F.concat(F.lit("code: x=total(1) y=x "), F.col("text")).alias("text"))
+    code = F.replace("text", F.lit("`"), F.lit(" "))
+    answers = t("documents").select("doc_id", F.concat(F.lit("see\n```python\n"), code, F.lit("\ny = x\n```\n")).alias("answer"))
+    context = t("documents").select("doc_id", F.concat(F.lit("code: y=x "), F.replace(code, F.lit("st"), F.lit("ts"))).alias("text"))
     return A.code_grounding(answers, context, "doc_id").select("doc_id", "code_lines", "grounded", "passed")
 
 
@@ -165,22 +186,11 @@ def exact_cache_key(t):
     return t("documents").select("doc_id", H.exact_cache_key(F.col("lang"), F.create_map(F.lit("z"), F.col("lang"), F.lit("a"), F.col("source"))).alias("cache_key"))
 
 
-@query(
-    "WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS entry_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) = 1) "
-    "SELECT query_id, entry_id, similarity, similarity >= 0.5 AND entry_id % 3 = query_id % 3 AS hit FROM n"
-)
-def cache_lookup(t):
-    nearest = X.dense_topk(t("embeddings").filter("vec_id % 2 = 1"), t("embeddings").filter("vec_id % 20 = 0"), 1).select("query_id", F.col("vec_id").alias("entry_id"), "similarity")
-    entries = t("embeddings").filter("vec_id % 2 = 1").select(F.col("vec_id").alias("entry_id"), F.lit("v1").alias("kb_version"), (F.col("vec_id") % 3).alias("model"))
-    asked = t("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit("v1").alias("kb_version"), (F.col("vec_id") % 3).alias("model"))
-    return H.cache_lookup(nearest, entries, asked, 0.5).select("query_id", "entry_id", "similarity", "hit")
-
-
 @query(
     "WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS entry_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) = 1) "
     "SELECT query_id, entry_id, similarity, similarity >= 0.5 AND entry_id % 3 = query_id % 3 AS hit FROM n"
 )
-def cache_lookup_whole(t):
+def cache_lookup(t):
     """Every row is an entry; a question's own row is among its two nearest or farther than both."""
     two = X.dense_topk(t("embeddings"), t("embeddings").filter("vec_id % 20 = 0"), 2).filter("vec_id <> query_id")
     best = two.groupBy("query_id").agg(F.min_by(F.struct(F.col("vec_id").alias("entry_id"), "similarity"), F.struct(-F.col("similarity"), F.col("vec_id"))).alias("b"))
@@ -259,12 +269,14 @@ def latency_summary(t):
     return E.latency_summary(t("events").withColumnRenamed("event_type", "stage"), value="value")
 
 
-RAW_JUDGE = ('{"score": 0.8, "reasoning": "good"}', 'I think {"score": 1, "reasoning": "fine"} holds', "no score at all")
+JUDGE_TEXT = "regexp_replace(text, '[^\\x20-\\x7E]|[{}\"\\\\]', '.', 'g')"
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 0.8 WHEN 1 THEN 1.0 END::DOUBLE AS score, CASE doc_id % 3 WHEN 0 THEN 'good' WHEN 1 THEN 'fine' ELSE 'no score at all' END AS reasoning FROM documents")
+@query(f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN round(n_chars % 97 / 97.0::DOUBLE, 4) WHEN 1 THEN 1.0 END::DOUBLE AS score, CASE WHEN doc_id % 3 < 2 THEN {JUDGE_TEXT} ELSE left({STRIP.format(JUDGE_TEXT)}, 300) END AS reasoning FROM documents")
 def parse_judge_scores(t):
-    raw = F.element_at(F.array(*[F.lit(v) for v in RAW_JUDGE]), (F.col("doc_id") % 3 + 1).cast("int"))
+    n, text = F.col("doc_id") % 3, F.regexp_replace("text", r'[^\x20-\x7E]|[{}"\\]', ".")
+    given = F.concat(F.lit('{"score": '), F.round(F.col("n_chars") % 97 / 97.0, 4).cast("string"), F.lit(', "reasoning": "'), text, F.lit('"}'))
+    raw = F.when(n == 0, given).when(n == 1, F.concat(F.lit('I think {"score": 1, "reasoning": "'), text, F.lit('"} holds'))).otherwise(text)
     return t("documents").select("doc_id", E.parse_judge_scores(raw).alias("j")).select("doc_id", "j.*")
 
 
@@ -334,27 +346,24 @@ def stream_sessions(t):
 
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'code' WHEN contains(text, '|') THEN 'diagram' ELSE 'section' END AS kind FROM documents QUALIFY row_number() OVER (PARTITION BY CASE WHEN contains(lower(text), 'license') THEN 'code' WHEN contains(text, '|') THEN 'diagram' ELSE 'section' END ORDER BY length(text) DESC, doc_id) <= 20")
 def golden_candidates(t):
-    from pyspark.sql.window import Window
-
     kind = F.when(F.lower("text").contains("license"), "code").when(F.col("text").contains("|"), "diagram").otherwise("section")
-    marked = t("documents").select("doc_id", F.length("text").alias("n"), kind.alias("kind"))
-    return marked.withColumn("_r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "doc_id"))).filter("_r <= 20").select("doc_id", "kind")
-
+    return E.golden_candidates(t("documents"), kind, 20, "doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'kept' || chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```' ELSE 'kept' END AS answer FROM documents")
+@query(f"WITH c AS (SELECT doc_id, replace(text, '`', ' ') AS s FROM documents) SELECT doc_id, {STRIP.format("regexp_replace(" + STRIP.format('s') + " || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```' ELSE '' END, '\n{3,}', chr(10) || chr(10), 'g')")} AS answer FROM c")
 def strip_ungrounded_code(t):
-    raw = F.concat(F.lit("kept\n"), F.when(F.col("doc_id") % 3 == 0, "```\nx = 1\n```").otherwise("It is defined as:\n```\ny = 2\n```"))
+    text = F.replace("text", F.lit("`"), F.lit(" "))
+    raw = F.concat(text, F.when(F.col("doc_id") % 3 == 0, "\n```\nx = 1\n```").otherwise("\nIt is defined as:\n```\ny = 2\n```"))
     return t("documents").select("doc_id", A.strip_ungrounded_code(raw, F.array(F.lit("y = 2"))).alias("answer"))
 
 
-PARTIAL_TEXT = "Based on the available information, " + "leave is paid for all staff after thirty days of work in the company, as the handbook says."
+PARTIAL_TEXT = "Based on the available information, leave is paid for all staff after thirty days of work in the company, as the handbook says."
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'I am unable to answer this, ' || lang ELSE {quoted(PARTIAL_TEXT)} END AS answer FROM documents")
+@query(f"WITH c AS (SELECT doc_id, {STRIP.format('text')} AS s FROM documents) SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {quoted(PARTIAL_TEXT)} || ' ' || s WHEN 1 THEN {STRIP.format(quoted(PARTIAL_TEXT) + " || ' ' || s")} ELSE {STRIP.format("'I am unable to answer this, ' || s")} END AS answer FROM c")
 def normalize_answer(t):
-    n = F.col("doc_id") % 3
-    raw = F.when(n == 0, F.concat(F.lit(PARTIAL_TEXT + "\n\nI am unable to answer the rest, "), F.col("lang"))).when(n == 1, F.lit("I am unable to answer. " + PARTIAL_TEXT)).otherwise(F.concat(F.lit("I am unable to answer this, "), F.col("lang")))
+    n, text = F.col("doc_id") % 3, strip(F.col("text"))
+    raw = F.when(n == 0, F.concat(F.lit(PARTIAL_TEXT + " "), text, F.lit("\n\nI am unable to answer the rest."))).when(n == 1, F.concat(F.lit("I am unable to answer. " + PARTIAL_TEXT + " "), text)).otherwise(F.concat(F.lit("I am unable to answer this, "), text))
     return t("documents").select("doc_id", A.normalize_answer(raw).alias("answer"))
 
 
@@ -362,11 +371,10 @@ def normalize_answer(t):
     f"WITH {REPORT_SQL}, g AS (SELECT doc_id, quality, toxic FROM labels) SELECT g.doc_id AS case_id, faithfulness, completeness, passed, g.quality::DOUBLE AS hit_rate, {ABSTAINS} AND toxic = 1 AS guard_modified FROM g JOIN rp USING (doc_id) JOIN judged USING (doc_id)"
 )
 def case_results(t):
-    told = reports(t).withColumn("abstains", V.abstains(F.col("answer")))
-    met = t("labels").select("doc_id", "quality", "toxic").join(told, "doc_id")
-    return met.select(F.col("doc_id").alias("case_id"), "faithfulness", "completeness", "passed", F.col("quality").cast("double").alias("hit_rate"), (F.col("abstains") & (F.col("toxic") == 1)).alias("guard_modified"))
+    cases = t("labels").select(F.col("doc_id").alias("case_id"), F.col("quality").cast("double").alias("hit_rate"), (F.col("toxic") == 1).alias("guarded"))
+    return E.case_results(cases, reports(t).withColumnRenamed("doc_id", "case_id")).drop("guarded")
 
 
-@query("SELECT event_id AS trace_id, ts, value AS latency FROM events WHERE event_id % 997 = 5")
+@query("SELECT event_id AS trace_id, ts, value AS latency FROM events WHERE event_id IN (SELECT doc_id FROM labels)")
 def trace_by_id(t):
-    return traces(t).filter("trace_id % 997 = 5")
+    return T.trace_by_id(traces(t), t("labels").select(F.col("doc_id").alias("trace_id")))

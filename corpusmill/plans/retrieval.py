@@ -29,14 +29,11 @@ def sparse_hits(t, k: int = K):
     return L.bm25_search(corpus(t), questions(t), k).withColumnRenamed("doc_id", "chunk_id")
 
 
-def overlap_hits(t, k: int = K):
-    """A second list: shared distinct terms by the root of a chunk's distinct terms."""
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    docs = words(corpus(t), "doc_id")
-    sizes = corpus(t).select("doc_id", F.size(F.array_distinct(tokenize(F.col("text")))).alias("n"))
-    shared = docs.join(words(questions(t), "query_id"), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("s")).join(sizes, "doc_id")
-    scored = shared.select("query_id", F.col("doc_id").alias("chunk_id"), F.round(F.col("s") / F.sqrt("n"), 6).alias("score"))
-    return scored.withColumn("rank", U.rank_by("query_id", F.desc("score"), "chunk_id")).filter(F.col("rank") <= k)
+def dense_hits(t, k: int = K):
+    """query_id, chunk_id, score, rank by cosine of hashed embeddings."""
+    docs = V.hashed_vectors(corpus(t)).select("doc_id", "embedding")
+    asked = V.hashed_vectors(questions(t), "query_id").select(F.col("query_id").alias("doc_id"), "embedding")
+    return V.dense_topk(docs, asked, k, "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), F.col("similarity").alias("score"), "rank")
 
 
 def with_context(t, hits):
@@ -53,12 +50,20 @@ qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id,
 score AS (SELECT query_id, doc_id AS chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM lens)))), 6) AS score
   FROM qt JOIN post USING (term) JOIN idf USING (term) JOIN lens USING (doc_id) GROUP BY ALL),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM score) WHERE rank <= {K})"""
-OVERLAP = f"""
-dw AS (SELECT doc_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM documents),
-dn AS (SELECT doc_id, len(list_distinct({TOKENS.format('text')})) AS n FROM documents),
-qw AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM benchmark),
-ov AS (SELECT query_id, doc_id AS chunk_id, round(count(*) / sqrt(any_value(n)), 6) AS score FROM dw JOIN qw USING (term) JOIN dn USING (doc_id) GROUP BY ALL),
-dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ov) WHERE rank <= {K})"""
+def embedded_sql(name: str, table: str, key: str) -> str:
+    """CTEs that end in name(key, idx, value): hashed embeddings of unit length."""
+    return f"""{name}_w AS (SELECT {key}, w, count(*) AS n FROM (SELECT {key}, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM {table}) WHERE w <> '' GROUP BY ALL),
+{name}_p AS (SELECT {key}, n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(md5(w), i, 8))::BIGINT) AS p FROM {name}_w),
+{name}_r AS (SELECT {key}, n, ((((p[1] % 384) * (4294967296 % 384) + p[2]) % 384 * (4294967296 % 384) + p[3]) % 384 * (4294967296 % 384) + p[4]) % 384 AS idx,
+  ((((p[1] % 256000) * (4294967296 % 256000) + p[2]) % 256000 * (4294967296 % 256000) + p[3]) % 256000 * (4294967296 % 256000) + p[4]) % 256000 AS big FROM {name}_p),
+{name}_s AS (SELECT {key}, idx, sum(n * ((big // 256) / 1000.0::DOUBLE - 0.5)) AS value FROM {name}_r GROUP BY ALL),
+{name} AS (SELECT {key}, idx, value / sqrt(sum(value * value) OVER (PARTITION BY {key})) AS value FROM {name}_s)"""
+
+
+DENSE = f"""{embedded_sql("de", "documents", "doc_id")}, {embedded_sql("qe", "(SELECT item_id AS query_id, text FROM benchmark)", "query_id")},
+dot AS (SELECT query_id, doc_id, sum(de.value * qe.value) AS s FROM de JOIN qe USING (idx) GROUP BY ALL),
+near AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id, round(coalesce(s, 0), 6) AS score FROM documents d CROSS JOIN benchmark b LEFT JOIN dot ON dot.doc_id = d.doc_id AND dot.query_id = b.item_id),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near) WHERE rank <= {K})"""
 DOCS = "docs AS (SELECT doc_id AS chunk_id, text, source AS source_file, lang AS section, CAST(doc_id % 7 AS INTEGER) AS page_number FROM documents)"
 FUSED = """
 lists AS (SELECT query_id, chunk_id, 0 AS list, rank, score AS ds, NULL AS ss FROM dense UNION ALL SELECT query_id, chunk_id, 1, rank, NULL, score FROM sparse),
@@ -73,7 +78,7 @@ def tokenized(t):
 
 @query("SELECT doc_id, concat_ws(' ', text, lang, source) AS searchable FROM documents")
 def searchable_text(t):
-    return t("documents").select("doc_id", F.concat_ws(" ", "text", "lang", "source").alias("searchable"))
+    return t("documents").select("doc_id", L.searchable_text("text", "lang", "source").alias("searchable"))
 
 
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -87,16 +92,16 @@ def bm25_search(t):
     return sparse_hits(t)
 
 
-@query(f"WITH {BM25}, {OVERLAP}, {FUSED} SELECT * FROM fused")
+@query(f"WITH {BM25}, {DENSE}, {FUSED} SELECT * FROM fused")
 def rrf_fuse(t):
-    lists = overlap_hits(t).select("query_id", "chunk_id", F.lit(0).alias("list"), "rank", F.col("score").alias("dense_score"), F.lit(None).cast("double").alias("sparse_score")).unionByName(
+    lists = dense_hits(t).select("query_id", "chunk_id", F.lit(0).alias("list"), "rank", F.col("score").alias("dense_score"), F.lit(None).cast("double").alias("sparse_score")).unionByName(
         sparse_hits(t).select("query_id", "chunk_id", F.lit(1).alias("list"), "rank", F.lit(None).cast("double").alias("dense_score"), F.col("score").alias("sparse_score"))
     )
     return U.rrf_fuse(lists)
 
 
 @query(
-    f"""WITH {BM25}, {OVERLAP}, d AS (SELECT * FROM dense WHERE query_id % 4 <> 1), s AS (SELECT * FROM sparse WHERE query_id % 4 <> 2),
+    f"""WITH {BM25}, {DENSE}, d AS (SELECT * FROM dense WHERE query_id % 4 <> 1), s AS (SELECT * FROM sparse WHERE query_id % 4 <> 2),
 lists AS (SELECT query_id, chunk_id, 0 AS list, rank, score AS ds, NULL AS ss FROM d UNION ALL SELECT query_id, chunk_id, 1, rank, NULL, score FROM s),
 n AS (SELECT query_id, count(DISTINCT list) AS sides FROM lists GROUP BY 1),
 f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, max(ds) AS dense_score, max(ss) AS sparse_score, min(list * 1000 + rank) AS seen FROM lists JOIN n USING (query_id) WHERE sides = 2 GROUP BY ALL)
@@ -104,12 +109,12 @@ SELECT query_id, chunk_id, score, dense_score, sparse_score, row_number() OVER (
 UNION ALL SELECT query_id, chunk_id, coalesce(ds, ss), ds, ss, rank FROM lists JOIN n USING (query_id) WHERE sides = 1"""
 )
 def hybrid_search(t):
-    return U.hybrid_search(overlap_hits(t).filter("query_id % 4 <> 1"), sparse_hits(t).filter("query_id % 4 <> 2"))
+    return U.hybrid_search(dense_hits(t).filter("query_id % 4 <> 1"), sparse_hits(t).filter("query_id % 4 <> 2"))
 
 
-@query(f"WITH {BM25}, {OVERLAP}, u AS (SELECT query_id // 2 AS query_id, chunk_id, score FROM sparse UNION ALL SELECT query_id // 2, chunk_id, score FROM dense), m AS (SELECT query_id, chunk_id, max(score) AS score FROM u GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m")
+@query(f"WITH {BM25}, {DENSE}, u AS (SELECT query_id // 2 AS query_id, chunk_id, score FROM sparse UNION ALL SELECT query_id // 2, chunk_id, score FROM dense), m AS (SELECT query_id, chunk_id, max(score) AS score FROM u GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m")
 def subquery_merge(t):
-    both = sparse_hits(t).drop("rank").unionByName(overlap_hits(t).drop("rank"))
+    both = sparse_hits(t).drop("rank").unionByName(dense_hits(t).drop("rank"))
     return U.subquery_merge(both.withColumn("query_id", F.floor(F.col("query_id") / 2)))
 
 
@@ -129,7 +134,7 @@ def metadata_filter(t):
 def scope_filter(t):
     scope = F.when(F.col("query_id") % 2 == 0, "en").otherwise("fr")
     hits = sparse_hits(t)
-    return with_context(t, hits).filter(F.col("section") == scope).select(hits.columns)
+    return U.scope_filter(with_context(t, hits), F.col("section"), scope).select(hits.columns)
 
 
 @query(f"WITH {BM25}, {DOCS}, r AS (SELECT query_id, chunk_id, s.score, round(score / ln(length(text) + 2), 6) AS rerank_score FROM sparse s JOIN docs USING (chunk_id)), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rank FROM r) SELECT * FROM n WHERE rank <= 6")
@@ -226,14 +231,7 @@ def l2_normalize(t):
     return t("embeddings").select("vec_id", F.transform(V.l2_normalize(scaled), lambda x: F.round(x, 6)).alias("v"))
 
 
-@query(
-    """WITH w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
-p AS (SELECT doc_id, n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(md5(w), i, 8))::BIGINT) AS p FROM w),
-r AS (SELECT doc_id, n, ((((p[1] % 384) * (4294967296 % 384) + p[2]) % 384 * (4294967296 % 384) + p[3]) % 384 * (4294967296 % 384) + p[4]) % 384 AS idx,
-  ((((p[1] % 256000) * (4294967296 % 256000) + p[2]) % 256000 * (4294967296 % 256000) + p[3]) % 256000 * (4294967296 % 256000) + p[4]) % 256000 AS big FROM p),
-s AS (SELECT doc_id, idx, sum(n * ((big // 256) / 1000.0::DOUBLE - 0.5)) AS value FROM r GROUP BY ALL)
-SELECT doc_id, idx, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 6) AS value FROM s"""
-)
+@query(f"WITH {embedded_sql('de', 'documents', 'doc_id')} SELECT doc_id, idx, round(value, 6) AS value FROM de")
 def hashed_embedding(t):
     return V.hashed_embedding(t("documents")).withColumn("value", F.round("value", 6))
 
@@ -292,24 +290,24 @@ def topic_classify(t):
 
 
 @query(
-    f"""WITH {BM25}, {OVERLAP}, {DOCS}, h AS (SELECT query_id, chunk_id, score, rank, section = 'de' AS marked FROM sparse JOIN docs USING (chunk_id)),
+    f"""WITH {BM25}, {DENSE}, {DOCS}, h AS (SELECT query_id, chunk_id, score, rank, section = 'de' AS marked FROM sparse JOIN docs USING (chunk_id)),
 s AS (SELECT query_id, count(*) FILTER (WHERE marked) AS have, greatest(max(score) * 1.2, 10) AS boost FROM h GROUP BY 1 HAVING count(*) FILTER (WHERE marked) < 2),
 c AS (SELECT d.query_id, d.chunk_id, have, boost, row_number() OVER (PARTITION BY d.query_id ORDER BY d.score DESC, d.chunk_id) AS n FROM dense d JOIN docs USING (chunk_id) JOIN s USING (query_id) WHERE section = 'de' AND NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = d.query_id AND h.chunk_id = d.chunk_id)),
 u AS (SELECT query_id, chunk_id, score, rank AS p FROM h UNION ALL SELECT query_id, chunk_id, boost, n - 1000000 FROM c WHERE n <= 2 - have)
 SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY p) AS rank FROM u"""
 )
 def topic_inject(t):
-    hits, canned = with_context(t, sparse_hits(t)), with_context(t, overlap_hits(t)).filter("section = 'de'")
+    hits, canned = with_context(t, sparse_hits(t)), with_context(t, dense_hits(t)).filter("section = 'de'")
     return U.topic_inject(hits, canned, F.col("section") == "de").withColumn("score", F.round("score", 6))
 
 
 @query(
-    f"""WITH {BM25}, {OVERLAP}, {DOCS}, u AS (SELECT query_id, chunk_id, score FROM sparse UNION ALL SELECT query_id, chunk_id, score FROM dense), m AS (SELECT query_id, chunk_id, section, max(score) AS score FROM u JOIN docs USING (chunk_id) GROUP BY ALL),
+    f"""WITH {BM25}, {DENSE}, {DOCS}, u AS (SELECT query_id, chunk_id, score FROM sparse UNION ALL SELECT query_id, chunk_id, score FROM dense), m AS (SELECT query_id, chunk_id, section, max(score) AS score FROM u JOIN docs USING (chunk_id) GROUP BY ALL),
 d AS (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY score DESC, chunk_id) AS n FROM m), k AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM d WHERE n <= 2),
 r AS (SELECT query_id, chunk_id, section, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM k WHERE score >= 0.25 * top) SELECT * FROM r WHERE rank <= 12"""
 )
 def comprehensive_retrieve(t):
-    both = sparse_hits(t).drop("rank").unionByName(overlap_hits(t).drop("rank"))
+    both = sparse_hits(t).drop("rank").unionByName(dense_hits(t).drop("rank"))
     return U.comprehensive_retrieve(with_context(t, both).select("query_id", "chunk_id", "section", "score"), "section").select("query_id", "chunk_id", "section", "score", "rank")
 
 
