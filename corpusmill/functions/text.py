@@ -20,6 +20,8 @@ HEADING_PATTERNS = (
     ("numbered_trailing_dot", 3, r"^(\d+(?:\.\d+){0,3})\.\s+([A-Z][A-Za-z0-9\s\-,&'()/]{3,})$", 1, 2),
     ("all_caps_heading", 5, r"^([A-Z][A-Z0-9\s\-/&]{5,})$", 0, 1),
 )
+#: What a heading of any pattern begins with.
+BEGINNINGS = r"^(?:#|(?i:Article|Section|Clause|Part|Chapter|Appendix|[IVXLC]+\.)\s|[A-Z]\.\s|\d+[.\s]|[A-Z][A-Z0-9\s\-/&]{5,}$)"
 ROMANS = "^(?i:I|II|III|IV|V|VI|VII|VIII|IX|X|XI|XII|XIII|XIV|XV|XVI|XVII|XVIII|XIX|XX)$"
 
 
@@ -83,7 +85,8 @@ def clean_title(title: Column) -> Column:
 def parse_heading(line: Column) -> Column:
     """struct<level, number, title, pattern> of a heading line, else null. Patterns are tried by priority; a
     markdown heading with an empty or noisy title ends the search, any other pattern that fails its test lets the next one try."""
-    return F.transform(F.array(strip(line)), _heading)[0]
+    # Few lines begin like a heading: the others end at one test.
+    return F.when(strip(line).rlike(BEGINNINGS), F.transform(F.array(strip(line)), _heading)[0])
 
 
 def _heading(text: Column) -> Column:

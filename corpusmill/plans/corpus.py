@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import maintenance as M
 from ..operators import metadata as D
-from ..operators.structure import lines, section_context
+from ..operators.structure import chunk_context, lines, section_context
 from ..sources import loaders
 from .registry import query
 
@@ -86,49 +86,6 @@ def noise_lines(t):
 
 # Sections of different depth in every document: a heading line before each of its first lines, by line number.
 HEADING_LINES = ("# Handbook of Rules", "I. General Terms", "A. Scope and Purpose", "1.2 Leave of Absence", "Section 4.1: Notice of Leave", "SAFETY AND HEALTH RULES", "## Second Part", "II. Closing Terms", "3. Travel and Meals")
-SECTIONED_SQL = "sectioned AS (SELECT doc_id, line_no, CASE line_no " + " ".join(f"WHEN {2 * i + 1} THEN {quoted(h)}" for i, h in enumerate(HEADING_LINES)) + " ELSE '- ' || line END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents))"
-HEADING_SQL = (
-    """hd AS (SELECT doc_id, line_no, line, CASE line """
-    + " ".join(
-        f"WHEN {quoted(h)} THEN {{'level': {lv}, 'number': {n}, 'title': {quoted(ti)}, 'pattern': {quoted(p)}}}"
-        for h, lv, n, ti, p in (
-            ("# Handbook of Rules", 1, "NULL", "Handbook of Rules", "markdown_heading"),
-            ("I. General Terms", 1, "'I'", "General Terms", "roman_numeral"),
-            ("A. Scope and Purpose", 2, "'A'", "Scope and Purpose", "letter_subsection"),
-            ("1.2 Leave of Absence", 3, "'1.2'", "Leave of Absence", "numbered_section"),
-            ("Section 4.1: Notice of Leave", 4, "'4.1'", "Notice of Leave", "article_section_clause"),
-            ("SAFETY AND HEALTH RULES", 5, "NULL", "SAFETY AND HEALTH RULES", "all_caps_heading"),
-            ("## Second Part", 2, "NULL", "Second Part", "markdown_heading"),
-            ("II. Closing Terms", 1, "'II'", "Closing Terms", "roman_numeral"),
-            ("3. Travel and Meals", 3, "'3'", "Travel and Meals", "numbered_trailing_dot"),
-        )
-    )
-    + " END AS h FROM sectioned)"
-)
-
-
-def sectioned(t):
-    line = F.when((F.col("line_no") % 2 == 1) & (F.col("line_no") < 2 * len(HEADING_LINES)), F.element_at(F.array(*[F.lit(h) for h in HEADING_LINES]), ((F.col("line_no") + 1) / 2).cast("int")))
-    return lines(t("documents")).withColumn("line", F.coalesce(line, F.concat(F.lit("- "), F.col("line"))))
-
-
-@query(f"WITH {SECTIONED_SQL}, {HEADING_SQL} SELECT doc_id, line_no, h.level AS level, h.number AS number, h.title AS title, h.pattern AS pattern FROM hd WHERE h IS NOT NULL")
-def parse_headings(t):
-    fixed = sectioned(t).filter((F.col("line_no") % 2 == 1) & (F.col("line_no") < 2 * len(HEADING_LINES)))
-    h = fixed.select("doc_id", "line_no", X.parse_heading(F.col("line")).alias("h")).filter("h is not null")
-    return h.select("doc_id", "line_no", "h.level", F.when(F.col("h.number") != "", F.col("h.number")).alias("number"), "h.title", "h.pattern")
-
-
-@query(
-    f"WITH {SECTIONED_SQL}, {HEADING_SQL}, st AS (SELECT a.doc_id, a.line_no, b.line_no AS pos, b.h AS h FROM hd a JOIN hd b ON a.doc_id = b.doc_id AND b.line_no <= a.line_no AND b.h IS NOT NULL), "
-    "alive AS (SELECT * FROM st s WHERE NOT EXISTS (SELECT 1 FROM hd x WHERE x.doc_id = s.doc_id AND x.h IS NOT NULL AND x.line_no > s.pos AND x.line_no <= s.line_no AND x.h.level <= s.h.level)), "
-    "p AS (SELECT doc_id, line_no, max_by(h.title, pos) AS section_title, max_by(h.level, pos) AS section_level, string_agg(concat_ws(' ', h.number, h.title), ' > ' ORDER BY pos) AS section_path FROM alive GROUP BY ALL) "
-    "SELECT doc_id, line_no, section_title, section_level, section_path FROM hd LEFT JOIN p USING (doc_id, line_no) WHERE line_no < 20"
-)
-def section_contexts(t):
-    return section_context(sectioned(t).filter("line_no < 20")).select("doc_id", "line_no", "section_title", "section_level", "section_path")
-
-
 def headed_lines(t):
     """Every line of the whole texts as it is, with a heading of each form before each of the first ones."""
     head = F.array(*[F.lit(h) for h in HEADING_LINES])
@@ -136,27 +93,31 @@ def headed_lines(t):
     return t("documents").select("doc_id", F.posexplode(both).alias("line_no", "line"))
 
 
-# SQL can't express the tests of a heading: a brute-force stack stands against these two.
+# SQL can't express the tests of a heading: a brute-force stack stands against these.
 @query()
-def parse_headings_whole(t):
+def parse_headings(t):
     h = headed_lines(t).select("doc_id", "line_no", X.parse_heading(F.col("line")).alias("h")).filter("h is not null")
     return h.select("doc_id", "line_no", "h.level", F.when(F.col("h.number") != "", F.col("h.number")).alias("number"), "h.title", "h.pattern")
 
 
 @query()
-def section_contexts_whole(t):
+def section_contexts(t):
     return section_context(headed_lines(t)).select("doc_id", "line_no", "section_title", "section_level", "section_path")
 
 
-@query(
-    f"WITH {SECTIONED_SQL}, {HEADING_SQL}, f AS (SELECT doc_id // 5 AS file, (doc_id % 5) * 25 + line_no AS line_no, h FROM hd WHERE line_no < 25), "
-    "st AS (SELECT a.file, a.line_no, b.line_no AS pos, b.h AS h FROM f a JOIN f b ON a.file = b.file AND b.line_no <= a.line_no AND b.h IS NOT NULL), "
-    "alive AS (SELECT * FROM st s WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.file = s.file AND x.h IS NOT NULL AND x.line_no > s.pos AND x.line_no <= s.line_no AND x.h.level <= s.h.level)), "
-    "p AS (SELECT file, line_no, string_agg(concat_ws(' ', h.number, h.title), ' > ' ORDER BY pos) AS section_path FROM alive GROUP BY ALL) SELECT file, line_no, section_path FROM f LEFT JOIN p USING (file, line_no)"
-)
+@query()
 def page_sections(t):
-    rows = sectioned(t).filter("line_no < 25").select(F.floor(F.col("doc_id") / 5).alias("file"), (F.col("doc_id") % 5 * 25 + F.col("line_no")).alias("line_no"), "line")
-    return section_context(rows, "file").select("file", "line_no", "section_path")
+    """Five documents are the pages of a file: a section goes on over its pages, a page has the context in force at its end."""
+    pages = headed_lines(t).select(F.floor(F.col("doc_id") / 5).alias("file"), F.col("doc_id").alias("page_number"), "line_no", "line")
+    return section_context(pages, "file", F.struct("page_number", "line_no"), F.col("page_number")).groupBy("file", "page_number").agg(F.max_by("section_title", "line_no").alias("section_title"), F.max_by("section_path", "line_no").alias("section_path"))
+
+
+@query()
+def chunk_sections(t):
+    """Chunks of a file in their order take on the section that the lines before them opened."""
+    pages = headed_lines(t).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    chunks = C.chunk_recursive(pages).select(F.floor(F.col("doc_id") / 5).alias("source_file"), F.col("doc_id").alias("page_number"), "chunk_index", "text")
+    return chunk_context(chunks).select("source_file", "page_number", "chunk_index", "section_title", "section_path")
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, '|---') OR (contains(text, '|') AND contains(text, chr(10) || '|')) THEN 'table' WHEN contains(text, '```') THEN 'markdown' WHEN doc_id % 5 = 0 THEN 'heading_aware' WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) > 200 THEN 'semantic' ELSE 'recursive' END AS strategy FROM documents")
@@ -176,7 +137,7 @@ def chunk_recursive(t):
 
 @query()
 def chunk_heading(t):
-    whole = sectioned(t).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    whole = headed_lines(t).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return C.chunk_heading(whole)
 
 

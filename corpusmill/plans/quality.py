@@ -149,7 +149,7 @@ CODE_SQL = "raws AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'VERDICT: YES' |
 
 
 @query(
-    f"""WITH {CODE_SQL}, u AS (SELECT *, {STRIP.format('raw')} AS s FROM raws), v AS (SELECT *, upper(s) AS up, list_slice(list_filter(regexp_split_to_array(upper(s), '\s+'), lambda w: w <> ''), 1, 3) AS head, list_filter(string_split(s, chr(10)), lambda x: starts_with(upper(x), 'EXPLANATION:')) AS told FROM u),
+    f"""WITH {CODE_SQL}, u AS (SELECT *, {STRIP.format('raw')} AS s FROM raws), v AS (SELECT *, upper(s) AS up, list_slice(list_filter(regexp_split_to_array(upper(s), '\\s+'), lambda w: w <> ''), 1, 3) AS head, list_filter(string_split(s, chr(10)), lambda x: starts_with(upper(x), 'EXPLANATION:')) AS told FROM u),
 k AS (SELECT *, contains(up, 'VERDICT: YES') OR starts_with(up, 'YES') AS yes, contains(up, 'VERDICT: NO') OR starts_with(up, 'NO') AS no FROM v)
 SELECT doc_id, CASE WHEN yes THEN true WHEN no THEN false ELSE list_contains(head, 'YES') END AS passed, CASE WHEN yes OR no OR list_contains(head, 'YES') OR list_contains(head, 'NO') THEN CASE WHEN len(told) > 0 THEN {STRIP.format("regexp_replace(told[-1], '^[^:]*:', '')")} ELSE '' END ELSE left(s, 200) END AS explanation FROM k"""
 )
@@ -166,7 +166,7 @@ SQUEEZED = "regexp_replace({}, '\\s+', '', 'g')"
 @query(
     f"""WITH f AS (SELECT doc_id, replace(text, '`', ' ') AS code, replace(replace(text, '`', ' '), 'st', 'ts') AS given FROM documents),
 l AS (SELECT doc_id, unnest(string_split(code || chr(10) || 'y = x', chr(10))) AS line, {SQUEEZED.format("'code: y=x ' || given")} AS c FROM f),
-k AS (SELECT doc_id, contains(c, {SQUEEZED.format('line')}) OR (regexp_extract(line, '\bdef\s+(\w+)', 1) <> '' AND contains(c, regexp_extract(line, '\bdef\s+(\w+)', 1))) AS ok FROM l WHERE length({SQUEEZED.format('line')}) > 2 AND NOT regexp_matches(line, '^\s*#')),
+k AS (SELECT doc_id, contains(c, {SQUEEZED.format('line')}) OR (regexp_extract(line, '\\bdef\\s+(\\w+)', 1) <> '' AND contains(c, regexp_extract(line, '\\bdef\\s+(\\w+)', 1))) AS ok FROM l WHERE length({SQUEEZED.format('line')}) > 2 AND NOT regexp_matches(line, '^\\s*#')),
 g AS (SELECT doc_id, count(*) AS code_lines, count(*) FILTER (WHERE ok) AS grounded FROM k GROUP BY 1) SELECT doc_id, code_lines, grounded, round(grounded / code_lines, 6) >= 0.8 AS passed FROM documents LEFT JOIN g USING (doc_id)"""
 )
 def code_grounding(t):

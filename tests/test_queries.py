@@ -43,8 +43,8 @@ def test_query(spark, con, name):
 
 
 def test_section_contexts_of_whole_texts(spark, con):
-    found = {(r["doc_id"], r["line_no"]): r for r in QUERIES["parse_headings_whole"](spark, SMALL).collect()}
-    got = {(r["doc_id"], r["line_no"]): (r["section_title"], r["section_level"], r["section_path"]) for r in QUERIES["section_contexts_whole"](spark, SMALL).collect()}
+    found = {(r["doc_id"], r["line_no"]): r for r in QUERIES["parse_headings"](spark, SMALL).collect()}
+    got = {(r["doc_id"], r["line_no"]): (r["section_title"], r["section_level"], r["section_path"]) for r in QUERIES["section_contexts"](spark, SMALL).collect()}
     want = {}
     for doc, text in con.sql("select doc_id, text from documents where text is not null").fetchall():
         n, stack = len(text.split("\n")), []
@@ -54,3 +54,26 @@ def test_section_contexts_of_whole_texts(spark, con):
             path = " > ".join(" ".join(filter(None, (x["number"], x["title"]))) for x in stack)
             want[doc, i] = (stack[-1]["title"], stack[-1]["level"], path) if stack else (None, None, None)
     assert got == want and max(i for _, i in got) > 40
+
+
+def test_sections_go_on_over_pages_and_chunks(spark):
+    lines = {(r["doc_id"], r["line_no"]): r for r in QUERIES["parse_headings"](spark, SMALL).collect()}
+    want, stack, file = {}, [], None
+    for doc, n in sorted(lines):
+        if doc // 5 != file:
+            stack, file = [], doc // 5
+        stack = [x for x in stack if x["level"] < lines[doc, n]["level"]] + [lines[doc, n]]
+        want[doc] = " > ".join(" ".join(filter(None, (x["number"], x["title"]))) for x in stack)
+    got = {r["page_number"]: r["section_path"] for r in QUERIES["page_sections"](spark, SMALL).collect()}
+    for doc, path in got.items():
+        known = [d for d in want if d // 5 == doc // 5 and d <= doc]
+        assert path == (want[max(known)] if known else None), doc
+
+
+def test_chunk_context_inherits(spark):
+    from corpusmill.operators.structure import chunk_context
+
+    rows = [("a", 1, 0, "I. First Part\nwords"), ("a", 1, 1, "more words"), ("a", 900, 0, "A. Scope Here\nB. Other Part"), ("a", 901, 0, "words"), ("b", 1, 0, "none")]
+    chunks = spark.createDataFrame(rows, "source_file string, page_number int, chunk_index int, text string").selectExpr("*", "if(source_file = 'b', 'Own', null) section_title")
+    got = {(r["source_file"], r["page_number"], r["chunk_index"]): (r["section_title"], r["section_path"]) for r in chunk_context(chunks).collect()}
+    assert got == {("a", 1, 0): ("First Part", "I First Part"), ("a", 1, 1): ("First Part", "I First Part"), ("a", 900, 0): ("Other Part", "I First Part > B Other Part"), ("a", 901, 0): ("Other Part", "I First Part > B Other Part"), ("b", 1, 0): ("Own", None)}
