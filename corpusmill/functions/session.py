@@ -20,9 +20,8 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{home}:{known}".rstrip(":")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder that spark.checkpoint.dir names and read again; a temporary folder where it is unset and all runs on this machine."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; in a temporary folder where it is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -30,6 +29,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         if not _TEMPORARY:
             _TEMPORARY.append("file://" + tempfile.mkdtemp(prefix="spark-scratch-"))
         root = _TEMPORARY[0]
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read again."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,18 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _occurrences(text: Column, word: str) -> Column:
-    return F.regexp_count(text, F.lit(_word(word)))
+def _any_of(phrases: list[str]):
+    return lambda x: x.isin(phrases)
+
+
+def _phrases(phrases: list[str]) -> tuple[str, dict[str, list[str]]]:
+    """(a pattern whose group 1 is the longest phrase at each word's beginning, phrase -> the phrases that begin it and so occur there too). One pass finds all."""
+    by_letter: dict[str, list[str]] = {}
+    for x in sorted(set(phrases), key=lambda x: (-len(x), x)):
+        by_letter.setdefault(x[0], []).append(x)
+    rest = lambda x: re.escape(x[1:]).replace("\\ ", " ")
+    groups = "|".join(re.escape(c) + "(?:" + "|".join(rest(x) for x in xs) + ")" for c, xs in sorted(by_letter.items()))
+    return rf"\b(?=({groups})\b)", {x: [y for y in set(phrases) if x == y or x.startswith(y) and not x[len(y)].isalnum()] for x in set(phrases)}
 
 
 def extract_department(text: Column) -> Column:
@@ -47,8 +58,19 @@ def extract_department(text: Column) -> Column:
             .when(F.length(raw).between(2, 40), made(F.initcap(raw), 0.85))
         )
 
+    pattern, within = _phrases([a for _, aliases in R.DEPARTMENTS for a in aliases])
+
     def by_words(texts: Column) -> Column:
-        scores = F.array(*[F.struct(reduce(lambda a, b: a + b, [_occurrences(texts["head"], x) * 3.0 + _occurrences(texts["all"], x) for x in aliases]).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, aliases) in enumerate(R.DEPARTMENTS)])
+        hits = lambda text: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        return _once(F.struct(hits(texts["head"]).alias("head"), hits(texts["all"]).alias("all")), by_hits)
+
+    def by_hits(found: Column) -> Column:
+        def count(hits: Column, aliases) -> Column:
+            """Occurrences of aliases: a phrase counts for each alias that begins it."""
+            weights = {x: sum(y in aliases for y in ys) for x, ys in within.items()}
+            return reduce(lambda a, b: a + b, [F.size(F.filter(hits, _any_of([x for x, w in weights.items() if w >= n]))) for n in range(1, max(weights.values()) + 1)])
+
+        scores = F.array(*[F.struct((count(found["head"], aliases) * 3.0 + count(found["all"], aliases)).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, aliases) in enumerate(R.DEPARTMENTS)])
         chosen = lambda best: F.when(best["score"] >= 3, F.struct(best["name"].alias("department"), F.least(F.lit(0.85), 0.60 + best["score"] * 0.05).alias("confidence"))).when(best["score"] >= 1, made(best["name"], 0.65)).otherwise(made(F.lit("General"), 0.50))
         return _once(F.array_max(scores), chosen)
 

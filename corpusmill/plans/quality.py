@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.session import scratch_path
 from ..functions.text import strip
 from ..operators import answers as A
 from ..operators import cache as H
@@ -264,6 +265,14 @@ def agreement(t):
     return E.agreement(cases(t).filter("faithfulness is not null"), "context_precision", "faithfulness")
 
 
+@query("SELECT 'c' || item_id AS id, CASE WHEN item_id % 3 = 0 THEN 'general' ELSE 'facts' END AS category, text AS question, CASE WHEN item_id % 2 = 0 THEN text ELSE '' END AS expected_answer, [split_part(text, ' ', 1)] AS expected_key_points, CASE WHEN item_id % 3 = 0 THEN 'factual' ELSE 'facts' END AS query_type FROM benchmark WHERE text IS NOT NULL AND item_id % 5 <> 0")
+def load_golden(t):
+    n = F.col("item_id")
+    case = F.struct(F.concat(F.lit("c"), n.cast("string")).alias("id"), F.when(n % 3 != 0, "facts").alias("category"), F.col("text").alias("question"), F.when(n % 2 == 0, F.col("text")).alias("expected_answer"), F.array(F.split("text", " ")[0]).alias("expected_key_points"), F.when(n % 5 == 0, "guidebook").alias("corpus"))
+    files = t("benchmark").select(F.to_json(F.struct(F.array(case).alias("cases"))).alias("content"))
+    return E.golden_cases(files, corpus="policy").select("id", "category", "question", "expected_answer", "expected_key_points", "query_type")
+
+
 @query("SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def latency_summary(t):
     return E.latency_summary(t("events").withColumnRenamed("event_type", "stage"), value="value")
@@ -330,9 +339,41 @@ def trace_from_answers(t):
     return T.trace_from_answers(answers, hits).select("query_id", "prompt_tokens", "n_chunks", "sources")
 
 
+def streamed(df, name: str):
+    """The table as a stream of its rows, over a copy in the shared folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+def result_of(stream, name: str):
+    """The last state of a stream's result table, once all its rows are in."""
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, name)
+    job = stream.writeStream.outputMode("complete").foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", scratch_path(spark, f"{name}-log")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def stream_trace_metrics(t):
-    return jobs.trace_windows(traces(t)).select("window_start", "n", "mean")
+    return result_of(jobs.trace_windows(streamed(traces(t).withColumn("ts", F.col("ts").cast("timestamp")), "traces")), "trace-windows").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "mean")
+
+
+@query("SELECT count(*) FILTER (WHERE event_type = 'purchase') AS up, count(*) FILTER (WHERE event_type = 'error') AS down, count(*) AS total FROM events")
+def stream_feedback(t):
+    rating = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    return result_of(jobs.stream_feedback(streamed(t("events").select(F.col("event_id").cast("string").alias("id"), rating.alias("rating")), "feedback")), "feedback-totals")
+
+
+@query("SELECT doc_id, left(sha256(text), 16) AS content_hash FROM documents WHERE regexp_matches(text, '[^\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]')")
+def stream_ingest(t):
+    """All documents through the ingesting stream: one that has a chunk is in the table under its hash."""
+    from ..operators.chunking import chunk_recursive
+
+    docs = t("documents").select("doc_id", "text")
+    table = scratch_path(docs.sparkSession, "ingested")
+    jobs.ingest(streamed(docs, "inbox"), table, chunk_recursive, scratch_path(docs.sparkSession, "ingest-log")).awaitTermination()
+    return jobs.current_chunks(docs.sparkSession, table).select("doc_id", "content_hash").distinct()
 
 
 @query(

@@ -138,3 +138,19 @@ def infer_filters(t):
 @query()
 def multi_query(t):
     return Q.multi_query(asked(t))
+
+
+# Questions that name policies in all forms.
+NAMED = ("under POL-HR-001 ", "see policy 42: ", "policy #5.2, ", "in 2024 ", "HR-101. ", "IT-SEC-2024-v2 ", "section 7 ", "")
+NAMED_SQL = "named AS (SELECT item_id AS query_id, CASE item_id % 8 " + " ".join(f"WHEN {i} THEN {quoted(x)} || text" for i, x in enumerate(NAMED)) + " END AS text FROM benchmark)"
+
+
+def policy_sql(pattern: str) -> str:
+    p, name = quoted(pattern), f"regexp_replace(regexp_extract(text, {quoted(pattern)}, 1), '^[\\s.,;:|()\\[\\]{{}}]+|[\\s.,;:|()\\[\\]{{}}]+$', '', 'g')".replace("{{}}", "{}")
+    return f"CASE WHEN regexp_matches(text, {p}) THEN CASE WHEN regexp_matches({name}, '^\\d+$') THEN CASE WHEN NOT regexp_matches({name}, '^(19|20)\\d\\d$') AND contains(lower(regexp_extract(text, {p}, 0)), 'policy') THEN 'Policy ' || {name} END WHEN length({name}) >= 3 THEN {name} END END"
+
+
+@query(f"WITH {NAMED_SQL} SELECT query_id, coalesce({', '.join(map(policy_sql, R.POLICY_ID_PATTERNS))}) AS policy_id FROM named")
+def detect_policy_id(t):
+    lead = F.element_at(F.array(*[F.lit(x) for x in NAMED]), (F.col("item_id") % 8 + 1).cast("int"))
+    return t("benchmark").select(F.col("item_id").alias("query_id"), Q.detect_policy_id(F.concat(lead, F.col("text"))).alias("policy_id"))

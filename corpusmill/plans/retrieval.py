@@ -272,6 +272,17 @@ def citation_label(t):
     return t("documents").select("doc_id", A.citation_label(F.concat("source", F.lit(".pdf")), F.initcap("lang"), (F.col("doc_id") % 7).cast("int")).alias("label"))
 
 
+PRIMARY_SQL = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang END AS title, CASE WHEN doc_id % 4 = 0 THEN '4.' || doc_id END AS number, CASE WHEN doc_id % 5 = 0 THEN 'I > ' || lang END AS path, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 7 END AS page, upper(source[1]) || source[2:] AS name FROM documents"
+OWN_LABEL = "coalesce(path, CASE WHEN title IS NOT NULL AND number IS NOT NULL THEN 'Section ' || number || ' ' || title ELSE coalesce(title, 'Section ' || number) END)"
+
+
+@query(f"WITH c AS ({PRIMARY_SQL}) SELECT doc_id, concat_ws(' ', coalesce({OWN_LABEL}, name), '(p.' || page || ')') AS section_first, concat_ws(' ', name, '— ' || {OWN_LABEL}, '(Page ' || page || ')') AS document_first FROM c")
+def citation_primary(t):
+    c = F.col("doc_id")
+    parts = (F.concat("source", F.lit(".pdf")), F.when(c % 7 != 0, c % 7), F.when(c % 5 == 0, F.concat(F.lit("I > "), F.col("lang"))), F.when(c % 3 == 0, F.col("lang")), F.when(c % 4 == 0, F.concat(F.lit("4."), c.cast("string"))))
+    return t("documents").select("doc_id", A.citation_primary(*parts).alias("section_first"), A.citation_primary(*parts, document_first=True).alias("document_first"))
+
+
 @query(f"WITH {BM25}, {DOCS} SELECT query_id, CAST(count(*) AS BIGINT) AS n_chunks, string_agg(rank || ':' || round(score, 2) || ':' || left(text, 40), '|' ORDER BY rank) FILTER (WHERE rank <= 12) AS chunks FROM sparse s JOIN docs USING (chunk_id) GROUP BY 1")
 def retrieval_trace(t):
     from ..operators.telemetry import retrieval_trace as trace

@@ -70,12 +70,36 @@ def load_csv_rendered(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("source_file", F.array_join(F.concat(F.array(show(F.col("r")[0]), rule), body), "\n").alias("content"), width.alias("columns"), (F.size("r") - 1).alias("row_count"))
 
 
+def _key_lines(pairs: Column) -> Column:
+    """`- **Key**: value` lines of a map; nested values as JSON."""
+    title = lambda k: F.initcap(F.regexp_replace(k, "_", " "))
+    return F.array_join(F.transform(F.map_entries(pairs), lambda e: F.concat(F.lit("- **"), title(e["key"]), F.lit("**: "), F.coalesce(e["value"], F.lit("None")))), "\n")
+
+
 def load_json_lines_rendered(spark: SparkSession, path: str) -> DataFrame:
     """One document a line: `- **Key**: value` lines; lines that are no object are skipped."""
     raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("source_file"), "value")
-    pairs = F.from_json("value", "map<string,string>")
-    title = lambda k: F.initcap(F.regexp_replace(k, "_", " "))
-    return raw.withColumn("m", pairs).filter(F.col("m").isNotNull()).select("source_file", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(F.lit("- **"), title(e["key"]), F.lit("**: "), F.coalesce(e["value"], F.lit("")))), "\n").alias("content"))
+    return raw.withColumn("m", F.from_json("value", "map<string,string>")).filter(F.col("m").isNotNull()).select("source_file", _key_lines(F.col("m")).alias("content"))
+
+
+def render_json(value: Column) -> Column:
+    """The text of a JSON file: key lines of an object; an array's objects under `### title` by rules, other elements as they are; anything else as it is."""
+    pairs = lambda x: F.from_json(x, "map<string,string>")
+
+    def item(x: Column, i: Column) -> Column:
+        m = pairs(x)
+        name = F.coalesce(*[F.nullif(m[k], F.lit("")) for k in ("title", "name", "policy", "topic")], F.concat(F.lit("Record "), (i + 1).cast("string")))
+        return F.when(F.trim(x).startswith("{"), F.concat(F.lit("### "), name, F.lit("\n\n"), _key_lines(m))).otherwise(x)
+
+    body = F.array_join(F.transform(F.from_json(value, "array<string>"), item), "\n\n---\n\n")
+    first = F.substring(F.regexp_replace(value, r"^\s+", ""), 1, 1)
+    return F.coalesce(F.when(first == "[", body).when(first == "{", _key_lines(pairs(value))), value)
+
+
+def load_json_rendered(spark: SparkSession, path: str) -> DataFrame:
+    """One document a file, rendered by render_json; record_count of an array."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), "value")
+    return whole.select("source_file", render_json(F.col("value")).alias("content"), F.when(F.regexp_replace("value", r"^\s+", "").startswith("["), F.json_array_length("value")).alias("record_count"))
 
 
 def pages_to_text(pages: DataFrame) -> DataFrame:
@@ -102,7 +126,7 @@ class LoaderRegistry:
     """Suffix -> function(spark, path) -> DataFrame; later registrations come first."""
 
     def __init__(self) -> None:
-        self.loaders: dict[str, Callable[[SparkSession, str], DataFrame]] = {"txt": load_text, "md": load_markdown, "markdown": load_markdown, "csv": load_csv_rendered, "json": load_json_lines_rendered, "jsonl": load_json_lines_rendered}
+        self.loaders: dict[str, Callable[[SparkSession, str], DataFrame]] = {"txt": load_text, "md": load_markdown, "markdown": load_markdown, "csv": load_csv_rendered, "json": load_json_rendered, "jsonl": load_json_lines_rendered}
 
     def register(self, suffix: str, loader: Callable[[SparkSession, str], DataFrame]) -> None:
         self.loaders[suffix.lower().lstrip(".")] = loader

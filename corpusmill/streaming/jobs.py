@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.session import saved, ship
 from ..functions.text import content_hash
-from ..operators.maintenance import incremental_changes, upsert
+from ..operators.maintenance import incremental_changes
 
 FEEDBACK = "id string, timestamp timestamp, rating int, question string, answer string, model string"
 
@@ -26,18 +30,34 @@ def trace_windows(traces: DataFrame, size: str = "1 hour", slide: str | None = N
 
 
 def sessions(events: DataFrame, hours: int = 24) -> DataFrame:
-    """Batch twin of stream_sessions: user_id, ts -> session (number in the user), session_start.
+    """Batch twin of stream_sessions: events(user_id long, ts, ...) with session (number in the user, from 1) and session_start; rows without user or time are left out.
 
-    A session ends hours after its first event, however many follow: a fold over a user's ordered times, of which only the starts are kept.
+    A session ends hours after its first event, however many follow. Events are sorted by user and time, and a task walks through them keeping the open
+    session's start and number only, so a user with very many events needs no memory; a batch is cut into sessions by binary search.
     """
-    times = events.groupBy("user_id").agg(F.array_sort(F.collect_set("ts")).alias("t"))
-    limit = F.expr(f"interval {hours} hours")
-    none = F.array().cast("array<timestamp>")
-    starts = F.aggregate("t", none, lambda a, x: F.when((F.size(a) == 0) | (x >= F.element_at(a, -1) + limit), F.array_append(a, x)).otherwise(a))
-    known = times.select("user_id", starts.alias("starts"))
-    met = events.join(known, "user_id")
-    number = F.size(F.filter("starts", lambda s: s <= F.col("ts")))
-    return met.withColumn("session", number).withColumn("session_start", F.element_at("starts", number)).drop("starts")
+    ship(events.sparkSession)
+    span = hours * 3_600_000_000
+    fields = [*events.schema.fields, T.StructField("session", T.IntegerType()), T.StructField("session_start", events.schema["ts"].dataType)]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user = start = None
+        number = 0
+        for b in batches:
+            who, at = b.column("user_id").to_numpy(zero_copy_only=False), b.column("ts").cast(pa.int64()).to_numpy(zero_copy_only=False)
+            session, begin = np.zeros(len(who), np.int32), np.zeros(len(who), np.int64)
+            i = 0
+            while i < len(who):
+                if who[i] != user:
+                    user, start, number = who[i], None, 0
+                if start is None or at[i] >= start + span:
+                    start, number = at[i], number + 1
+                end = i + int(np.searchsorted(who[i:], user, side="right"))
+                j = i + int(np.searchsorted(at[i:end], start + span))
+                session[i:j], begin[i:j] = number, start
+                i = j
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(session), pa.array(begin).cast(b.column("ts").type)], names=[f.name for f in fields])
+
+    return events.filter("user_id is not null and ts is not null").repartition("user_id").sortWithinPartitions("user_id", "ts").mapInArrow(walk, T.StructType(fields))
 
 
 def stream_sessions(stream: DataFrame, hours: int = 24) -> DataFrame:
@@ -63,21 +83,36 @@ def stream_sessions(stream: DataFrame, hours: int = 24) -> DataFrame:
     return marked.groupBy("user_id").applyInPandasWithState(step, "user_id long, session_start string, n long", "start string, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_ingest(spark: SparkSession, inbox: str, table: str, chunker: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """New files of inbox through hash check and chunker into the Parquet table; each micro-batch replaces the chunks of changed files."""
-    files = spark.readStream.option("wholetext", True).text(inbox).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
+def current_chunks(spark: SparkSession, table: str) -> DataFrame:
+    """The chunks of each document's newest batch."""
+    every = spark.read.parquet(table)
+    newest = every.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return every.join(newest, ["doc_id", "batch"]).filter("chunk_id is not null")
+
+
+def ingest(stream: DataFrame, table: str, chunker: Callable[[DataFrame], DataFrame], checkpoint: str):
+    """A stream of doc_id, text through hash check and chunker into the Parquet table.
+
+    Each micro-batch adds a partition with the chunks of its new and changed documents only, and one row without a chunk for each of them, which keeps the hash of a
+    document that has no chunks; a batch that is tried again replaces its partition. current_chunks reads what holds now.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        current = batch.dropDuplicates(["doc_id"]).withColumn("content_hash", content_hash(F.col("text")))
-        try:
-            known = spark.read.parquet(f"{table}/v{number - 1}") if number else None
-        except Exception as error:  # the table's first version
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            known = None
-        if known is not None:
-            current = incremental_changes(current, known.select("doc_id", "content_hash").distinct(), "doc_id").filter("change <> 'unchanged'").drop("change")
-        fresh = chunker(current.select("doc_id", "text")).join(current.select("doc_id", "content_hash"), "doc_id")
-        (fresh if known is None else upsert(known, fresh.select(known.columns), "doc_id")).write.mode("overwrite").parquet(f"{table}/v{number}")
-
-    return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark = batch.sparkSession
+        current = saved(batch.dropDuplicates(["doc_id"]).withColumn("content_hash", content_hash(F.coalesce("text", F.lit("")))), "ingest")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(table)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            known = spark.read.parquet(table).filter(F.col("batch") < number)
+            newest = known.groupBy("doc_id").agg(F.max_by("content_hash", "batch").alias("content_hash"))
+            current = incremental_changes(current, newest, "doc_id").filter("change <> 'unchanged'").drop("change")
+        fresh = chunker(current.select("doc_id", "text")).select("doc_id", "chunk_index", "text", "chunk_id").join(current.select("doc_id", "content_hash"), "doc_id")
+        marks = current.select("doc_id", "content_hash")
+        fresh.unionByName(marks, allowMissingColumns=True).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return stream.select("doc_id", "text").writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_ingest(spark: SparkSession, inbox: str, table: str, chunker: Callable[[DataFrame], DataFrame], checkpoint: str):
+    """New files of inbox through ingest, one document a file."""
+    files = spark.readStream.option("wholetext", True).text(inbox).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
+    return ingest(files, table, chunker, checkpoint)

@@ -224,7 +224,10 @@ def test_streams(spark, tmp_path):
     ingest()
     (tmp_path / "inbox/b.txt").write_text("second text")
     ingest()
-    assert {r["text"] for r in spark.read.parquet(str(tmp_path / "chunks/v1")).collect()} == {"first text", "second text"}
+    assert {r["text"] for r in jobs.current_chunks(spark, str(tmp_path / "chunks")).collect()} == {"first text", "second text"}
+    (tmp_path / "inbox/a.txt").write_text("first text, changed")
+    ingest()
+    assert {r["text"] for r in jobs.current_chunks(spark, str(tmp_path / "chunks")).collect()} >= {"second text"}
 
 
 def test_sessions_end_after_their_start(spark):
