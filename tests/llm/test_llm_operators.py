@@ -74,6 +74,42 @@ def test_sharding(spark, rows, docs, empty):
     assert sharding.kd_shards(equal, target_bytes=2000 * 58 // 10).agg({"shard": "max"}).first()[0] == 9
 
 
+def kd_brute(points, shards):
+    """(size, coordinates) -> shard: halves by the exact weighted median of the widest dimension."""
+    spread = [max(1, max(p[1][d] for p in points) - min(p[1][d] for p in points)) for d in range(4)]
+    out = {}
+
+    def cut(rows, first, many):
+        if many == 1 or not rows:
+            out.update(dict.fromkeys(rows, first))
+            return
+        width = [(max(points[i][1][d] for i in rows) - min(points[i][1][d] for i in rows)) / spread[d] for d in range(4)]
+        d = max(range(4), key=lambda d: (width[d], -d))
+        rows = sorted(rows, key=lambda i: points[i][1][d])
+        low = many // 2
+        want, upto, k = sum(points[i][0] for i in rows) * low / many, 0, 0
+        while k < len(rows) and upto + points[rows[k]][0] < want:
+            upto, k = upto + points[rows[k]][0], k + 1
+        if k < len(rows) and upto + points[rows[k]][0] - want < want - upto:
+            k += 1
+        cut(rows[:k], first, low)
+        cut(rows[k:], first + low, many - low)
+
+    cut(list(range(len(points))), 0, shards)
+    return out
+
+
+def test_sharding_equals_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i // 2 if i % 7 else None, "w" * rng.randrange(80), rng.choice("ab"), rng.choice(["hot", "hot", "x", None])) for i in range(150)] + [(3, "same", "a", "hot")] * 20
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    points = [(r["size"], r["at"], r["doc_id"], r["text_crc32"]) for r in sharding._points(docs).collect()]
+    for shards in (2, 5, 24):
+        want = kd_brute(points, shards)
+        got = sharding.kd_shards(docs, shards, tolerance=0.0).collect()
+        assert sorted((str(r["doc_id"]), r["text_crc32"], r["shard"]) for r in got) == sorted((str(p[2]), p[3], want[i]) for i, p in enumerate(points))
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -500,3 +536,43 @@ def test_connected_components_of_a_chain(spark):
     chain = spark.range(300).selectExpr("id src", "id + 1 dst").unionByName(spark.range(1).selectExpr("1000L src", "1001L dst"))
     got = {r["node"]: r["component"] for r in connected_components(chain, Scratch(spark, "chain")).collect()}
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+@pytest.fixture(scope="module")
+def odd_rows(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, and columns named as results and as names that operators might use inside."""
+    rows = [(None, None, None, None), (1, None, "en", None), (1, "", None, "s"), (2, "a b c d e f", "en", "s"), (2, "a b c d e f", "en", "s"), (3, "mail me at x@y.org now", "en", None), (None, "a b c d e f", "fr", "s"), (4, "long text " * 3000, "en", "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    for c in ("_row", "_key", "_doc", "key", "doc", "row", "slot", "shard", "size", "node", "at", "tie", "fp", "h", "z", "spans", "found", "pieces", "base", "n_words", "items", "kept", "score", "rejected", "component_id", "bucket", "batch", "place", "n_tokens", "many", "_b", "_r"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    return docs
+
+
+OPERATORS = {
+    "sharding": lambda d: sharding.kd_shards(d, 3),
+    "pii": pii.find_pii,
+    "redact": pii.redact_pii,
+    "packing": packing.pack,
+    "suffix": suffix_dedup.remove_repeats,
+    "decontamination": lambda d: decontamination.find_contamination(d, d.sparkSession.createDataFrame([(1, "a b c d e f"), (None, None)], "item_id long, text string")),
+    "language": language.identify_language,
+    "simhash": simhash.simhash_components,
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_odd_rows(odd_rows, name):
+    out = OPERATORS[name](odd_rows)
+    rows = out.collect()
+    assert len(rows) == odd_rows.count() and sum(r["doc_id"] is None for r in rows) == 2
+    twice = [r.asDict() for r in rows if r["doc_id"] == 2]
+    same = [c for c in out.columns if c not in ("shard", "slot", "bucket", "batch", "place")]
+    assert len(twice) == 2 and all(twice[0][c] == twice[1][c] for c in same)
+    assert OPERATORS[name](odd_rows.limit(0)).count() == 0
+
+
+def test_odd_pages_and_turns(spark):
+    pages = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, "<p>x</p>")], "page_id long, url string, html string").withColumn("text", F.lit("own")).withColumn("n_chars", F.lit(7)).withColumn("compute", F.lit(1))
+    out = html_text.extract_main_text(pages)
+    assert sorted((str(r["page_id"]), r["text"], r["n_chars"], r["compute"]) for r in out.collect()) == [("1", "", 0, 1), ("1", "", 0, 1), ("2", "x", 1, 1), ("None", "", 0, 1)]
+    assert html_text.extract_main_text(pages.limit(0)).count() == 0

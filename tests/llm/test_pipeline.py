@@ -1,34 +1,63 @@
 """The pipeline's stages against brute force, and the queries over the smallest tables."""
 
 import re
+from collections import Counter
+from itertools import combinations
 
 import corpus_pipeline
 import pytest
+from test_llm_operators import bootstrap, components, contaminated, fingerprint
 
+from corpusmill.llm import language, packing
 from corpusmill.llm import queries as Q
 from corpusmill.llm.common import read_table
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def redacted(text, line):
+    """The text with each span of a line kind:start:end,... replaced by its kind; of spans that overlap the first stands for all."""
+    out, at = [], 0
+    for kind, a, b in (x.split(":") for x in line.split(",") if x):
+        if int(a) >= at:
+            out += [text[at : int(a)], f"<{kind.upper()}>"]
+        at = max(at, int(b))
+    return "".join(out) + text[at:]
+
+
 def test_stages(spark):
     docs = read_table(spark, SMALL, "documents")
     before = {r["doc_id"]: r for r in docs.collect()}
+    benchmark = [tuple(r) for r in read_table(spark, SMALL, "benchmark").select("item_id", "text").collect()]
+    learned = language.learn(docs)
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language", "near_duplicates", "decontamination", "pii", "packing"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SMALL)
         assert out.columns == docs.columns
         rows = out.collect()
-        ids = [r["doc_id"] for r in rows]
-        assert len(ids) == len(set(ids)) and set(ids) <= set(before)
+        texts = {r["doc_id"]: r["text"] for r in rows}
+        old = {i: r["text"] for i, r in before.items()}
+        assert len(texts) == len(rows)
         if name == "language":
-            assert len(ids) >= 0.97 * len(before)
+            judged = {i: language.classify(t, language._compressors(learned)) for i, t in old.items()}
+            assert texts == {i: t for i, t in old.items() if judged[i][0] != "und" and judged[i][1] >= language.MIN_MARGIN} and len(texts) >= 0.97 * len(old)
+        if name == "near_duplicates":
+            prints = {i: fingerprint(t) for i, t in old.items()}
+            of = components(list(prints), [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 3])
+            assert texts == {i: t for i, t in old.items() if of[i] == i} and len(texts) < len(old)
+        if name == "decontamination":
+            assert texts == {i: t for i, t in old.items() if not contaminated(t, benchmark)[4]} and len(texts) < len(old)
         if name == "pii":
-            assert len(ids) == len(before) and not any(re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]", r["text"] or "") for r in rows)
+            want = bootstrap(old.items())
+            assert texts == {i: redacted(t, want[i]) for i, t in old.items()} and texts != old
+            assert all(r["n_chars"] == len(r["text"]) for r in rows if want[r["doc_id"]])
         docs, before = spark.createDataFrame(rows, docs.schema), {r["doc_id"]: r for r in rows}
-    packed = corpus_pipeline.run(spark, SMALL)
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(before)
+    packed = corpus_pipeline.run(spark, SMALL).collect()
+    assert {r["doc_id"] for r in packed} == set(before)
+    lengths = {i: len(re.split(r"[ \t\n\x0b\f\r]+", r["text"].strip(" \t\n\x0b\f\r"))) + 1 for i, r in before.items()}
+    bounds = packing.optimal_boundaries(sorted(Counter(lengths.values()).items()))
+    assert {r["doc_id"]: (r["n_tokens"], r["bucket_length"]) for r in packed} == {i: (n, min(b for b in bounds if b >= n)) for i, n in lengths.items()}
 
 
 @pytest.mark.parametrize("name", sorted(Q.queries()))
