@@ -108,12 +108,18 @@ TOPICS = (
     ("safety_workplace", ("workplace safety", "osha", "ergonomics", "emergency evacuation", "fire safety", "first aid", "workplace injury", "hazard reporting", "security badge")),
     ("hiring_onboarding", ("onboarding", "background check", "probationary period", "job description", "recruitment", "interviewing", "referral bonus", "orientation")),
 )
-# Common words that carry no claim, of three letters or more and without apostrophes, as only such words are compared.
+# Common words that carry no claim.
 STOP_WORDS = (
-    "about above after again against all and any are because been before being below between both but cannot could did does doing down during each few for from further had has have having her here hers herself him himself his how "
-    "into its itself more most myself nor not off once only other ought our ours ourselves out over own same she should some such than that the their theirs them themselves then there these they this those through too under until "
-    "very was were what when where which while who whom why with would you your yours yourself yourselves per give tell please explain according document documents section sections stated states state refer refers referred "
-    "recognized recognizes considered consider derived derives based provided provides mentioned mentions text indicate indicates indicating yes one two also including includes"
-).split()
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "aren't", "as", "at", "be", "because", "been", "before", "being", "below", "between", "both", "but",
+    "by", "can't", "cannot", "could", "couldn't", "did", "didn't", "do", "does", "doesn't", "doing", "don't", "down", "during", "each", "few", "for", "from", "further", "had", "hadn't", "has",
+    "hasn't", "have", "haven't", "having", "he", "he'd", "he'll", "he's", "her", "here", "here's", "hers", "herself", "him", "himself", "his", "how", "how's", "i", "i'd", "i'll", "i'm", "i've", "if",
+    "in", "into", "is", "isn't", "it", "it's", "its", "itself", "let's", "me", "more", "most", "mustn't", "my", "myself", "no", "nor", "not", "of", "off", "on", "once", "only", "or", "other", "ought",
+    "our", "ours", "ourselves", "out", "over", "own", "same", "shan't", "she", "she'd", "she'll", "she's", "should", "shouldn't", "so", "some", "such", "than", "that", "that's", "the", "their",
+    "theirs", "them", "themselves", "then", "there", "there's", "these", "they", "they'd", "they'll", "they're", "they've", "this", "those", "through", "to", "too", "under", "until", "up", "very",
+    "was", "wasn't", "we", "we'd", "we'll", "we're", "we've", "were", "weren't", "what", "what's", "when", "when's", "where", "where's", "which", "while", "who", "who's", "whom", "why", "why's",
+    "with", "won't", "would", "wouldn't", "you", "you'd", "you'll", "you're", "you've", "your", "yours", "yourself", "yourselves", "per", "give", "tell", "please", "explain", "according", "document",
+    "documents", "section", "sections", "stated", "states", "state", "refer", "refers", "referred", "recognized", "recognizes", "considered", "consider", "derived", "derives", "based", "provided",
+    "provides", "mentioned", "mentions", "text", "indicate", "indicates", "indicating", "yes", "one", "two", "also", "including", "includes",
+)
 NUMBERS = r"(?i)(\$\s*[\d,]+(?:\.\d+)?|\b\d+(?:\.\d+)?\s*%|\b\d+\s*(?:days?|months?|years?|hours?|weeks?|minutes?|dollars?)\b|\b\d{2,}(?:,\d{3})*(?:\.\d+)?\b)"
 ABSTENTION = "unable to answer"
