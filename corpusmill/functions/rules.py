@@ -123,3 +123,26 @@ STOP_WORDS = (
 )
 NUMBERS = r"(?i)(\$\s*[\d,]+(?:\.\d+)?|\b\d+(?:\.\d+)?\s*%|\b\d+\s*(?:days?|months?|years?|hours?|weeks?|minutes?|dollars?)\b|\b\d{2,}(?:,\d{3})*(?:\.\d+)?\b)"
 ABSTENTION = "unable to answer"
+
+# Topics of questions by family, in the order of their tests: what a question must hold (all words of one of the alternatives), what marks chunks that define the
+# topic, mention it, and mislead, and the search that finds its chunks. The family tool asks for a code question first; its last kind is any other one.
+TOPIC_FAMILIES = {
+    "tool": (
+        ("currency", (("currency",), ("convert_currency",), ("conversion tool",), ("currencyconverter",), ("exchange rate",)), ("currencyconverter", "currency conversion", "convert_currency", "exchange rate", "currency_analyst", "real-time currency", "live exchange"), (), (), ""),
+        ("code_links", (("code is available",), ("full code",), ("point", "code")), ("code is available", "check this code", "dailydoseofds.com/p/"), (), (), ""),
+        ("walkthrough", (("check this out",), ("walkthrough",)), ("check this out",), (), (), ""),
+        ("generic", (("",),), ("custom tools via mcp", "build custom tools", "custom tools at times", "@mcp.tool", "mcp.tool()"), (), (), ""),
+    ),
+    "guidebook": (
+        ("planning_block", (("planning", "building block"),), ("subdividing tasks", "outlining objectives"), ("planning building block", "building block", "five levels of agentic", "six building blocks", "subdividing tasks", "outlining objectives", "#4) planning pattern", "planning pattern"), ("plan-and-execute", "plan and execute", "design patterns", "react", "reflection pattern", "agentic ai design patterns"), "Planning building block subdividing tasks outlining objectives six building blocks"),
+        ("guardrails", (("guardrail",),), ("5) guardrails", "4. guardrails", "examples of useful guardrails", "without constraints", "limiting tool usage", "validation checkpoints", "agents are powerful but without constraints"), ("guardrail", "examples of useful guardrails", "validation checkpoints", "limiting tool usage"), (), "Guardrails building block safety constraints limits validation checkpoints"),
+    ),
+    "agent": (
+        ("manager_agent", (("manager agent",), ("multi-agent", "what does", "do")), ("manager agent", "coordinates multiple sub-agents"), ("multi-agent pattern",), ("multi-agent hotel finder", "multi-agent content creation", "multi-agent deep researcher", "kickoff and results"), "manager agent coordinates sub-agents multi-agent pattern iteratively"),
+        ("rag_in_agent", (("rag", "agent"),), ("agentic rag", "retriever agent", "vector db", "dynamically fetch context", "retrieves the relevant context"), (), (), "Agentic RAG retriever agent workflow vector DB Firecrawl context"),
+        ("memory_block", (("memory", "building block"), ("memory", "how does memory")), ("short-term memory", "long-term memory", "entity memory"), ("without memory", "building blocks of ai agents"), (), "Memory building block short-term long-term entity memory agents improve"),
+    ),
+    "policy": (
+        ("dress_code", (("dress code",), ("dress policy",), ("attire",), ("grooming",), ("appearance",), ("what to wear",)), ("dress and grooming standards", "clean, neat, and professional appearance", "dress according to the requirements of their positions"), ("professional appearance", "dress and grooming", "medical or religious accommodation"), (), "Dress and Grooming Standards professional appearance clean neat attire grooming"),
+    ),
+}

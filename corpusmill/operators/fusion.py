@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import rules as R
+from .questions import is_code_query
+
 RRF_K, MIN_RATIO = 60, 0.40
 
 
@@ -126,6 +131,47 @@ def topic_classify(text: Column, rules: tuple[tuple[str, tuple[str, ...]], ...])
     return out
 
 
+def topic_kind(question: Column, family: str) -> Column:
+    """The first kind of a family of topics of which the question holds all words of an alternative, else none."""
+    q = F.lower(question)
+    asks = is_code_query(question) if family == "tool" else F.trim(question) != ""
+    out = F.lit("none")
+    for name, alternatives, *_ in reversed(R.TOPIC_FAMILIES[family]):
+        hit = F.lit(False)
+        for words in alternatives:
+            every = F.lit(True)
+            for w in words:
+                every = every & q.contains(w)
+            hit = hit | every
+        out = F.when(hit, name).otherwise(out)
+    return F.when(asks, out).otherwise("none")
+
+
+def topic_class_of(kind: Column, text: Column, family: str) -> Column:
+    """0 for text that defines the kind's topic, 1 for one that mentions it, 3 for one that misleads, else 2."""
+    low, out = F.lower(text), F.lit(2)
+    holds = lambda markers: reduce(lambda a, b: a | b, [low.contains(m) for m in markers], F.lit(False))
+    for name, _, primary, secondary, noise, _ in R.TOPIC_FAMILIES[family]:
+        out = F.when(kind == name, F.when(holds(primary), 0).when(holds(secondary), 1).when(holds(noise), 3).otherwise(2)).otherwise(out)
+    return out
+
+
+def topic_reorder_by_rules(hits: DataFrame, family: str, query: str = "query_id", kind: str = "kind") -> DataFrame:
+    """hits(query, kind, text, section, rank, ...): reordered by the family's markers in section and text; a question none of whose hits defines or mentions its topic keeps its order."""
+    told = F.concat_ws(" ", F.coalesce("section", F.lit("")), F.coalesce("text", F.lit("")))
+    classed = hits.withColumn("topic_class", topic_class_of(F.col(kind), told, family))
+    best = F.min("topic_class").over(Window.partitionBy(query))
+    return topic_reorder(classed, F.when(best < 2, F.col("topic_class")).otherwise(2), query)
+
+
+def topic_searches(questions: DataFrame, family: str, query: str = "query_id", text: str = "text") -> DataFrame:
+    """query, text: the search that finds the chunks of each question's topic, for those whose kind has one; its hits are the canned ones of topic_inject."""
+    table = [(name, search) for name, *_, search in R.TOPIC_FAMILIES[family] if search]
+    kind = topic_kind(F.col(text), family)
+    found = reduce(lambda rest, x: F.when(kind == x[0], x[1]).otherwise(rest), table, F.lit(None).cast("string"))
+    return questions.select(query, found.alias("text")).filter("text is not null")
+
+
 def topic_inject(hits: DataFrame, canned: DataFrame, marked: Column, minimum: int = 2, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
     """Where a question has fewer than minimum marked candidates, the best canned ones (query, key, score) that it lacks go in front with a boosted score.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions.text import tokenize
 from ..operators import answers as A
 from ..operators import fusion as U
@@ -338,3 +339,52 @@ def chunk_relevance(t):
 
     wanted = questions(t).select("query_id", F.split(F.lower("text"), " ")[0].alias("keyword"))
     return with_context(t, sparse_hits(t)).join(wanted, "query_id").select("query_id", "chunk_id", keyword_match(F.col("keyword"), F.lower("text")).alias("relevant"))
+
+
+# Questions on each topic before the items' texts, and chunks with a marker of each topic before the documents' texts.
+TOPICS_ASKED = ("What does the manager agent do? ", "planning as a building block ", "which guardrails ", "dress code for ", "show the currency conversion tool code ", "RAG in an agent ", "")
+TOPICS_TOLD = ("The manager agent coordinates. ", "subdividing tasks first. ", "Design Patterns of old. ", "validation checkpoints. ", "professional appearance. ", "live exchange. ", "kickoff and results. ", "a planning pattern. ", "")
+TOPICS_SQL = "asked AS (SELECT item_id AS query_id, CASE item_id % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(TOPICS_ASKED)) + " END || text AS text FROM benchmark), told AS (SELECT doc_id AS chunk_id, CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(TOPICS_TOLD)) + " END || text AS text, lang AS section FROM documents)"
+
+
+def lead(values, key):
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def topics_asked(t):
+    return t("benchmark").select(F.col("item_id").alias("query_id"), F.concat(lead(TOPICS_ASKED, "item_id"), F.col("text")).alias("text"))
+
+
+def held(column: str, words) -> str:
+    return "(" + (" OR ".join(f"contains(lower({column}), '{w}')" for w in words) or "false") + ")"
+
+
+def kind_sql(family: str) -> str:
+    rules = " ".join(f"WHEN {' OR '.join('(' + ' AND '.join(f"contains(lower(text), '{w}')" for w in ws) + ')' for ws in alternatives)} THEN '{name}'" for name, alternatives, *_ in R.TOPIC_FAMILIES[family])
+    asks = f"regexp_matches(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '{R.CODE_PATTERNS}')" if family == "tool" else "trim(text) <> ''"
+    return f"CASE WHEN {asks} THEN CASE {rules} ELSE 'none' END ELSE 'none' END"
+
+
+@query(f"WITH {TOPICS_SQL} SELECT query_id, {', '.join(f'{kind_sql(f)} AS {f}' for f in R.TOPIC_FAMILIES)} FROM asked")
+def topic_kinds(t):
+    return topics_asked(t).select("query_id", *[U.topic_kind(F.col("text"), f).alias(f) for f in R.TOPIC_FAMILIES])
+
+
+CLASS_SQL = "CASE kind " + " ".join(f"WHEN '{n}' THEN CASE WHEN {held('told', p)} THEN 0 WHEN {held('told', s)} THEN 1 WHEN {held('told', x)} THEN 3 ELSE 2 END" for n, _, p, s, x, _ in R.TOPIC_FAMILIES["guidebook"] + R.TOPIC_FAMILIES["agent"]) + " ELSE 2 END"
+
+
+@query(
+    f"""WITH {BM25}, {TOPICS_SQL}, k AS (SELECT query_id, CASE WHEN ({kind_sql('guidebook')}) <> 'none' THEN {kind_sql('guidebook')} ELSE {kind_sql('agent')} END AS kind FROM asked),
+h AS (SELECT query_id, chunk_id, rank AS r, kind, section || ' ' || text AS told FROM sparse JOIN told USING (chunk_id) JOIN k USING (query_id)), c AS (SELECT *, {CLASS_SQL} AS c FROM h),
+b AS (SELECT *, CASE WHEN min(c) OVER (PARTITION BY query_id) < 2 THEN c ELSE 2 END AS topic_class FROM c)
+SELECT query_id, chunk_id, kind, topic_class, row_number() OVER (PARTITION BY query_id ORDER BY topic_class, r) AS rank FROM b"""
+)
+def topic_reorder_rules(t):
+    asked = topics_asked(t)
+    families = ("guidebook", "agent")
+    book, agent = (U.topic_kind(F.col("text"), f) for f in families)
+    kinds = asked.select("query_id", F.when(book != "none", book).otherwise(agent).alias("kind"), F.when(book != "none", families[0]).otherwise(families[1]).alias("family"))
+    told = t("documents").select(F.col("doc_id").alias("chunk_id"), F.concat(lead(TOPICS_TOLD, "doc_id"), F.col("text")).alias("text"), F.col("lang").alias("section"))
+    hits = sparse_hits(t).join(kinds, "query_id").join(told, "chunk_id")
+    parts = [U.topic_reorder_by_rules(hits.filter(F.col("family") == f), f) for f in families]
+    return parts[0].unionByName(parts[1]).select("query_id", "chunk_id", "kind", "topic_class", "rank")

@@ -235,3 +235,105 @@ def test_sessions_end_after_their_start(spark):
     rows = [(1, t0 + dt.timedelta(hours=h)) for h in (0, 20, 23, 25, 48, 50)]
     out = jobs.sessions(spark.createDataFrame(rows, "user_id long, ts timestamp")).orderBy("ts").collect()
     assert [r["session"] for r in out] == [1, 1, 1, 2, 2, 3]
+
+
+def test_chunks_of_chunks(spark):
+    text = "\n\n".join(f"Sentence {i} of the whole says {'much ' * (i % 9)}here." for i in range(900))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    parents, children = C.chunk_parent_child(docs)
+    whole = {r["parent_id"]: r["text"] for r in parents.collect()}
+    assert sorted(whole.values()) == sorted(cut_by(text, 8000, 0))
+    got = {}
+    for r in children.orderBy("chunk_index").collect():
+        got.setdefault(r["parent_id"], []).append(r["text"])
+    assert got == {i: fold_semantic(p, C.CHUNK_TOKENS, C.OVERLAP_TOKENS) for i, p in whole.items()}
+
+
+def test_chunk_markdown(spark):
+    prose = ["I. First Part\n" + "words here. " * 20, "II. Second Part\n" + "more words. " * 20]
+    docs = spark.createDataFrame([(1, f"{prose[0]}\n```\nx = f(1)\n```\n{prose[1]}\n``````")], "doc_id long, text string")
+    out = C.chunk_markdown(docs).orderBy("chunk_index").collect()
+    assert [(r["content_type"], r["section_title"], r["text"]) for r in out] == [("text", "First Part", prose[0].strip()), ("code", None, "x = f(1)"), ("text", "Second Part", prose[1].strip())]
+
+
+def test_chunk_adaptive(spark):
+    words = "plain words go on. " * 100
+    texts = {1: "a | b\n|---|---|\n| 1 | 2 |", 2: "see ```x = 1``` and " + words, 3: words, 4: "short text of one line, long enough to be kept"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["chunk_index"]): (r["text"], r["strategy"]) for r in C.chunk_adaptive(docs).collect()}
+    want = {}
+    for i, maker in ((1, C.chunk_table), (2, C.chunk_markdown), (3, C.chunk_semantic), (4, C.chunk_recursive)):
+        want |= {(r["doc_id"], r["chunk_index"]): (r["text"], r["strategy"]) for r in maker(docs.filter(F.col("doc_id") == i)).collect()}
+    assert got == want and {i for i, _ in got} == set(texts)
+
+
+def test_entities_and_metadata(spark):
+    from corpusmill.operators import metadata as M
+
+    text = "Department: Human Resources\nPolicy ID: POL-HR-001\nEffective Date: 2024-03-05\nEvery manager gets $1,200 per trip and 30 days, or 30 Days. Passwords and pto."
+    row = M.extract_metadata(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (row[0]["department"], row[0]["policy_id"], row[0]["effective_date"]) == ("Human Resources", "POL-HR-001", "2024-03-05")
+    low = [x.lower() for x in row[0]["entities"]]
+    assert "$1200" in low and low.count("30 days") == 1 and len(low) == len(set(low)) and "leave_pto" in row[0]["topics"]
+    assert row[0]["confidence"] == round(0.95 * 0.35 + 0.95 * 0.2 + 0.9 * 0.15 + 0.85 * 0.3, 2)
+    assert [(r["department"], r["policy_id"], r["entities"], r["confidence"]) for r in row[1:]] == [("General", None, [], round(0.5 * 0.35 + 0.5 * 0.2 + 0.5 * 0.15 + 0.5 * 0.3, 2))] * 2
+
+
+def test_phrases_count_as_each_does_alone(spark):
+    import re
+
+    from corpusmill.functions import rules as R
+    from corpusmill.operators.metadata import _phrases
+
+    pattern, within = _phrases([a for _, aliases in R.DEPARTMENTS for a in aliases])
+    text = "people operations and people ops; hr, human resources human resources! r&d it security it people"
+    hits = [h for m in re.finditer(pattern, text) for h in within[m[1]]]
+    for alias in within:
+        assert hits.count(alias) == len(re.findall(rf"\b{re.escape(alias)}\b", text)), alias
+
+
+def test_retry_rounds_keep_the_best(spark):
+    from corpusmill.operators.verification import retry_rounds
+
+    rows = [(1, "What is leave?", "Leave policy gives staff twenty days yearly [Source 1].", "leave policy gives staff twenty days yearly", 1, 1), (2, "What is the fee?", "nothing known 45%", "the fee is ten coins", 1, 0), (3, "What is the fee?", "bad 77% thing", "the fee is ten coins", 1, 0)]
+    schema = "query_id int, question string, answer string, context string, chunks int, citations int"
+    answers = spark.createDataFrame(rows, schema)
+
+    def again(failed, attempt):
+        better = F.when(F.col("query_id") == 2, F.lit("The fee is ten coins [Source 1].") if attempt == 2 else F.col("answer")).otherwise(F.col("answer"))
+        return failed.withColumn("answer", better).select(*[c.split()[0] for c in schema.split(", ")])
+
+    out = {r["query_id"]: (r["attempt"], r["passed"]) for r in retry_rounds(answers, again).collect()}
+    assert out == {1: (0, True), 2: (2, True), 3: (0, False)}
+
+
+def test_scorer_hook(spark):
+    rows = [(1, "q", "An answer to it all.", "c", 1, 0), (2, "q", " ", "c", 1, 0)]
+    df = spark.createDataFrame(rows, "id int, question string, answer string, context string, chunks int, citations int")
+    scorer = lambda d: d.withColumn("faithfulness", F.lit(0.9)).withColumn("completeness", F.lit(0.9)).withColumn("citation_coverage", F.lit(0.9)).withColumn("coherence", F.lit(None).cast("double"))
+    out = {r["id"]: r for r in verify_answers(df, scorer=scorer).collect()}
+    assert out[1]["faithfulness"] == 0.9 and out[1]["coherence"] == 0.95 and out[1]["passed"] and out[2]["faithfulness"] == 0.0 and not out[2]["passed"]
+
+
+def test_searches_in_blocks_agree(spark):
+    from corpusmill.operators import lexical as L
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 30))) for i in range(200)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"w{i % 17} w{i % 5} w{i % 3}") for i in range(30)], "query_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    one = rows(L.bm25_search(docs, asked, 7))
+    old, L.BLOCK = L.BLOCK, 4
+    try:
+        assert rows(L.bm25_search(docs, asked, 7)) == one and len(one) == 210
+    finally:
+        L.BLOCK = old
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    assert rows(V.dense_topk(vectors, vectors.filter("vec_id % 2 = 0"), 5, block=16)) == rows(V.dense_topk(vectors, vectors.filter("vec_id % 2 = 0"), 5))
+
+
+def test_json_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"title": "Leave", "days_off": 3}, {"n": {"x": 1}}, "plain"]')
+    (tmp_path / "b.json").write_text('{"full_name": "Bo", "n": 3}')
+    (tmp_path / "c.json").write_text("oops")
+    got = {r["source_file"]: (r["content"], r["record_count"]) for r in loaders.load_json_rendered(spark, str(tmp_path)).collect()}
+    assert got == {"a.json": ("### Leave\n\n- **Title**: Leave\n- **Days Off**: 3\n\n---\n\n### Record 2\n\n- **N**: {\"x\":1}\n\n---\n\nplain", 3), "b.json": ("- **Full Name**: Bo\n- **N**: 3", None), "c.json": ("oops", None)}
