@@ -367,11 +367,11 @@ def test_chat(spark):
     assert r["rendered"] == "<|system|>\nbe kind<|end|>\n<|user:user|>\nhi<|end|>\n<|assistant|>\nhello é<|end|>\n<|user:bob|>\nx<|end|>\n"
     a, b = map(int, r["mask"].split(":"))
     assert r["rendered"][a:b] == "hello é<|end|>\n" and r["n_masked"] == b - a
-    assert [(x["conv_id"], x["perspective"]) for x in out if x["conv_id"] in (2, None)] and [x["part"] for x in out if x["conv_id"] == 3] == [0]
+    assert [(x["conv_id"], x["perspective"]) for x in out if x["conv_id"] in (2, None)] and sorted(x["part"] for x in out if x["conv_id"] == 3) == [0, 1]
     hot = [(9, None, rng_role, f"t{i}") for i in range(200) for rng_role in ("a", "b")] + [(9, i, "a", "again") for i in range(100)] + [(None, 5000 * i, "c", str(i)) for i in range(70)]
     cut = chat.rotate_perspectives(spark.createDataFrame(hot, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1)).withColumn("part", F.lit("x"))).collect()
-    assert sorted((r["part"], r["n_turns"]) for r in cut if r["conv_id"] == 9 and r["perspective"] == "a") == [(p, 64) for p in range(7)] + [(7, 52)]
-    assert "".join(r["rendered"] for r in sorted((r for r in cut if r["conv_id"] is None), key=lambda r: r["part"])) == "".join(f"<|assistant|>\n{i}<|end|>\n" for i in range(70))
+    assert sorted((r["part"], r["section"], r["n_turns"]) for r in cut if r["conv_id"] == 9 and r["perspective"] == "a") == [(-1, k, 64) for k in range(6)] + [(-1, 6, 16), (0, 0, 64), (1, 0, 36)]
+    assert "".join(r["rendered"] for r in sorted((r for r in cut if r["conv_id"] is None), key=lambda r: (r["part"], r["section"]))) == "".join(f"<|assistant|>\n{i}<|end|>\n" for i in range(70))
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
