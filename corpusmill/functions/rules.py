@@ -46,6 +46,7 @@ GUIDE_TERMS = (
     (("manager agent", "multi-agent setup"), "manager agent coordinates sub-agents multi-agent pattern"),
     (("rag", "agent workflow"), "Agentic RAG retriever agent workflow vector DB context"),
 )
+# Several patterns each joined by | into one, so that a question is read once.
 LIST_PATTERNS = r"(?i)(\blist\b|\bbuilding\s+blocks?\b|\bpay\s+special\s+attention\b|\bfor\s+each\b|\ball\s+\d+\b|\btypes?\s+of\b|\bwhat\s+are\s+the\b|\bhow\s+many\b|\broles?\s+can\b|\bdesign\s+patterns?\b|\bmost\s+popular\b|\bguardrails?\b)"
 PRONOUNS = r"\b(it|its|this|that|these|those|they|them|their|his|her|he|she|same|else|another)\b"
 REFERENCES = r"\b(what\s+about|how\s+about|tell\s+me\s+more|explain\s+more|more\s+details|how\s+long|where\s+is|why\s+is|how\s+so|what\s+else|any\s+exceptions?|does\s+it|can\s+you\s+elaborate)\b"

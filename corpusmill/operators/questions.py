@@ -119,10 +119,14 @@ def _word(word: str) -> str:
     return r"\b" + re.escape(word).replace("\\ ", " ") + r"\b"
 
 
+# Words of a question about benefits in general.
+BENEFIT_WORDS = ("pto", "vacation", "sick leave", "benefits", "health insurance", "parental leave", "paid time off")
+
+
 def detect_topics(text: Column) -> Column:
     """The topics of which a keyword occurs; general benefit words come first as benefits."""
     q = F.lower(text)
-    general = F.when(contains_any(q, ("pto", "vacation", "sick leave", "benefits", "health insurance", "parental leave", "paid time off")), "benefits")
+    general = F.when(contains_any(q, BENEFIT_WORDS), "benefits")
     named = [F.when(q.rlike("|".join(_word(w) for w in words)), topic) for topic, words in R.TOPICS]
     return F.filter(F.array(general, *named), lambda x: x.isNotNull())
 

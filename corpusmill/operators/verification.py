@@ -11,6 +11,8 @@ from .fusion import apart, rank_by
 from .questions import contains_any, word_count
 
 GATES = {"composite": 0.70, "faithfulness": 0.65, "completeness": 0.50, "citations": 0.50}
+# Claims that are known to be invented unless the context has them, and words of contrast.
+AMOUNTS, FURNITURE = ("$5,000", "$5000"), ("unauthorized furniture", "furniture")
 CONTRAST = ("whereas", "while", "differ", "versus", "contrast")
 
 
@@ -38,8 +40,8 @@ def faithfulness(answer: Column, context: Column, cited: Column) -> Column:
     shared = F.size(F.array_intersect(ours, theirs))
     share = F.least(F.lit(1.0), 0.70 * shared / F.size(theirs) + 0.30 * shared / F.size(ours))
     lexical = F.when((F.size(ours) == 0) | (F.size(theirs) == 0), 0.85).otherwise(F.when(shared >= F.least(F.lit(3), F.size(theirs)), F.greatest(share, F.lit(0.85))).otherwise(share))
-    amount = contains_any(answer, ("$5,000", "$5000")) | lower.contains("unauthorized furniture")
-    special = F.when(amount, ~contains_any(given, ("$5,000", "$5000"))).otherwise(lower.contains("furniture") & ~given.contains("furniture"))
+    amount = contains_any(answer, AMOUNTS) | lower.contains(FURNITURE[0])
+    special = F.when(amount, ~contains_any(given, AMOUNTS)).otherwise(lower.contains(FURNITURE[1]) & ~given.contains(FURNITURE[1]))
     capped = F.when(F.size(unverified_numbers(answer, context)) > 0, F.least(lexical, F.lit(0.40))).otherwise(lexical)
     none = F.when(abstains(answer) | lower.contains("not contain sufficient information"), 1.0).when(cited, 0.20).otherwise(0.50)
     return F.when(context.isNull(), none).when(special, 0.35).otherwise(F.round(capped, 3))
