@@ -337,3 +337,15 @@ def test_json_files(spark, tmp_path):
     (tmp_path / "c.json").write_text("oops")
     got = {r["source_file"]: (r["content"], r["record_count"]) for r in loaders.load_json_rendered(spark, str(tmp_path)).collect()}
     assert got == {"a.json": ("### Leave\n\n- **Title**: Leave\n- **Days Off**: 3\n\n---\n\n### Record 2\n\n- **N**: {\"x\":1}\n\n---\n\nplain", 3), "b.json": ("- **Full Name**: Bo\n- **N**: 3", None), "c.json": ("oops", None)}
+
+
+def test_stream_sessions(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    hours = {1: (0, 20, 25, 50, 51), 2: (3, 4)}
+    rows = [(u, t0 + dt.timedelta(hours=h)) for u, hs in hours.items() for h in hs]
+    path = str(tmp_path / "events")
+    spark.createDataFrame(rows, "user_id long, ts timestamp").coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema("user_id long, ts timestamp").parquet(path)
+    jobs.stream_sessions(stream).writeStream.outputMode("append").format("memory").queryName("sessions").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
+    last = {r["user_id"]: (r["session_start"][:16], r["n"]) for r in spark.table("sessions").collect()}
+    assert last == {1: ("2024-01-03T02:00", 2), 2: ("2024-01-01T03:00", 2)}
