@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import strip
-from .questions import _word
 
 EDGE_MARKS = r"^[.,;:|()\[\]{}]+|[.,;:|()\[\]{}]+$"
 
@@ -38,6 +37,14 @@ def _phrases(phrases: list[str]) -> tuple[str, dict[str, list[str]]]:
     return rf"\b(?=({groups})\b)", {x: [y for y in set(phrases) if x == y or x.startswith(y) and not x[len(y)].isalnum()] for x in set(phrases)}
 
 
+def _present(text: Column, named: list[tuple[str, tuple[str, ...]]]) -> Column:
+    """The names of which a phrase occurs in a lower-cased text, in their order, from one pass over it."""
+    pattern, within = _phrases([x for _, phrases in named for x in phrases])
+    holds = lambda phrases: [m for m, ys in within.items() if not set(phrases).isdisjoint(ys)]
+    told = lambda hits: F.filter(F.array(*[F.when(F.arrays_overlap(hits, F.array(*[F.lit(m) for m in holds(phrases)])), name) for name, phrases in named]), lambda x: x.isNotNull())
+    return _once(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), told)
+
+
 def extract_department(text: Column) -> Column:
     """struct<department, confidence>: a label in the first 1000 characters, else the alias with most occurrences (three times in the header)."""
     header = F.left(text, F.lit(1000))
@@ -124,7 +131,7 @@ def extract_effective_date(text: Column) -> Column:
 
 def extract_entities(text: Column, limit: int = 20) -> Column:
     """Roles, amounts, durations, titles and periods in this order, each once whatever its case."""
-    roles = F.filter(F.array(*[F.when(text.rlike("(?i)" + _word(r)), r) for r in R.ROLES]), lambda x: x.isNotNull())
+    roles = _present(F.lower(text), [(r, (r.lower(),)) for r in R.ROLES])
     every = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
     found = F.concat(roles, every(R.DOLLARS), every(R.DURATIONS), F.transform(every(R.TITLES), lambda x: F.initcap(x)), F.transform(every(R.PERIODS), lambda x: F.initcap(x)))
     clean = F.filter(F.transform(found, lambda x: F.replace(_bare(x), F.lit(","), F.lit(""))), lambda x: F.length(x) >= 2)
@@ -135,10 +142,7 @@ def extract_entities(text: Column, limit: int = 20) -> Column:
 
 def extract_topics(text: Column) -> Column:
     """Keywords that occur, then the taxonomy's topics."""
-    q = F.lower(text)
-    words = [F.when(q.rlike(_word(w)), w) for w in R.TOPIC_WORDS]
-    named = [F.when(q.rlike("|".join(_word(w) for w in ws)), topic) for topic, ws in R.TOPICS]
-    return F.array_distinct(F.filter(F.array(*words, *named), lambda x: x.isNotNull()))
+    return F.array_distinct(_present(F.lower(text), [(w, (w,)) for w in R.TOPIC_WORDS] + list(R.TOPICS)))
 
 
 def extract_metadata(docs: DataFrame, text: str = "text") -> DataFrame:
