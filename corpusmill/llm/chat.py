@@ -2,7 +2,7 @@
 
 For every participant the dialogue is rendered with that speaker as the assistant and the others as named users; the
 spans of the assistant's turns are the loss mask. A conversation is rendered in parts of PART turn numbers, and a part of which more than PART rows share these numbers in sections of PART
-rows, so that one with a large share of all turns is many rows, none of which needs the whole of it. Texts are shuffled once, by part; sections are found by keys alone.
+rows, so that one with a large share of all turns is many rows, none of which needs the whole of it. Texts move once by part and once to meet the participants; sections are found by keys alone.
 """
 
 from __future__ import annotations
