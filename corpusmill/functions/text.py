@@ -25,6 +25,11 @@ BEGINNINGS = r"^(?:#|(?i:Article|Section|Clause|Part|Chapter|Appendix|[IVXLC]+\.
 ROMANS = "^(?i:I|II|III|IV|V|VI|VII|VIII|IX|X|XI|XII|XIII|XIV|XV|XVI|XVII|XVIII|XIX|XX)$"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once for the row however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def token_estimate(text: Column) -> Column:
     """A quarter of the characters, at least one."""
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")

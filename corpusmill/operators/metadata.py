@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.text import strip
+from ..functions.text import once, strip
 
 EDGE_MARKS = r"^[.,;:|()\[\]{}]+|[.,;:|()\[\]{}]+$"
 
@@ -18,11 +18,6 @@ def _bare(x: Column) -> Column:
     return F.regexp_replace(strip(x), EDGE_MARKS, "")
 
 
-def _once(value: Column, use) -> Column:
-    """use(value), with value computed once for the row however often use names it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _any_of(phrases: list[str]):
     return lambda x: x.isin(phrases)
 
@@ -42,7 +37,7 @@ def _present(text: Column, named: list[tuple[str, tuple[str, ...]]]) -> Column:
     pattern, within = _phrases([x for _, phrases in named for x in phrases])
     holds = lambda phrases: [m for m, ys in within.items() if not set(phrases).isdisjoint(ys)]
     told = lambda hits: F.filter(F.array(*[F.when(F.arrays_overlap(hits, F.array(*[F.lit(m) for m in holds(phrases)])), name) for name, phrases in named]), lambda x: x.isNotNull())
-    return _once(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), told)
+    return once(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), told)
 
 
 def extract_department(text: Column) -> Column:
@@ -69,7 +64,7 @@ def extract_department(text: Column) -> Column:
 
     def by_words(texts: Column) -> Column:
         hits = lambda text: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        return _once(F.struct(hits(texts["head"]).alias("head"), hits(texts["all"]).alias("all")), by_hits)
+        return once(F.struct(hits(texts["head"]).alias("head"), hits(texts["all"]).alias("all")), by_hits)
 
     def by_hits(found: Column) -> Column:
         def count(hits: Column, aliases) -> Column:
@@ -79,9 +74,9 @@ def extract_department(text: Column) -> Column:
 
         scores = F.array(*[F.struct((count(found["head"], aliases) * 3.0 + count(found["all"], aliases)).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, aliases) in enumerate(R.DEPARTMENTS)])
         chosen = lambda best: F.when(best["score"] >= 3, F.struct(best["name"].alias("department"), F.least(F.lit(0.85), 0.60 + best["score"] * 0.05).alias("confidence"))).when(best["score"] >= 1, made(best["name"], 0.65)).otherwise(made(F.lit("General"), 0.50))
-        return _once(F.array_max(scores), chosen)
+        return once(F.array_max(scores), chosen)
 
-    return F.coalesce(_once(raw, by_label), _once(F.struct(F.lower(header).alias("head"), F.lower(text).alias("all")), by_words))
+    return F.coalesce(once(raw, by_label), once(F.struct(F.lower(header).alias("head"), F.lower(text).alias("all")), by_words))
 
 
 def extract_policy_id(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.text import strip
+from ..functions.text import once, strip
 from .fusion import apart, rank_by
 from .questions import contains_any, word_count
 
@@ -28,18 +28,22 @@ def abstains(answer: Column) -> Column:
 def unverified_numbers(answer: Column, context: Column) -> Column:
     """Figures of the answer that the context lacks; citation tags and list numbers are no figures."""
     plain = F.regexp_replace(F.regexp_replace(answer, r"(?i)\[(?:Source\s*)?\d+(?:,\s*\d+)*\]", " "), r"(?:^|\n|\b)\(?\d+[\.\)]\s*", " ")
-    given = F.replace(F.lower(context), F.lit(" "), F.lit(""))
-    return F.filter(F.regexp_extract_all(plain, F.lit(R.NUMBERS), F.lit(1)), lambda x: ~given.contains(F.lower(F.replace(x, F.lit(" "), F.lit("")))))
+    told = F.struct(F.replace(F.lower(context), F.lit(" "), F.lit("")).alias("given"), F.array_distinct(F.regexp_extract_all(plain, F.lit(R.NUMBERS), F.lit(1))).alias("numbers"))
+    return once(told, lambda t: F.filter(t["numbers"], lambda x: ~t["given"].contains(F.lower(F.replace(x, F.lit(" "), F.lit(""))))))
 
 
 def faithfulness(answer: Column, context: Column, cited: Column) -> Column:
     """context null: no chunk was retrieved."""
     lower, given = F.lower(answer), F.lower(context)
-    ours = content_words(F.regexp_replace(lower, r"\[(?:source\s*)?\d+(?:,\s*\d+)*\]", ""))
-    theirs = content_words(given)
-    shared = F.size(F.array_intersect(ours, theirs))
-    share = F.least(F.lit(1.0), 0.70 * shared / F.size(theirs) + 0.30 * shared / F.size(ours))
-    lexical = F.when((F.size(ours) == 0) | (F.size(theirs) == 0), 0.85).otherwise(F.when(shared >= F.least(F.lit(3), F.size(theirs)), F.greatest(share, F.lit(0.85))).otherwise(share))
+    words = F.struct(content_words(F.regexp_replace(lower, r"\[(?:source\s*)?\d+(?:,\s*\d+)*\]", "")).alias("ours"), content_words(given).alias("theirs"))
+    sizes = once(words, lambda w: F.struct(F.size(w["ours"]).alias("ours"), F.size(w["theirs"]).alias("theirs"), F.size(F.array_intersect(w["ours"], w["theirs"])).alias("shared")))
+
+    def overlap(n: Column) -> Column:
+        share = F.least(F.lit(1.0), 0.70 * n["shared"] / n["theirs"] + 0.30 * n["shared"] / n["ours"])
+        known = F.when(n["shared"] >= F.least(F.lit(3), n["theirs"]), F.greatest(share, F.lit(0.85))).otherwise(share)
+        return F.when((n["ours"] == 0) | (n["theirs"] == 0), 0.85).otherwise(known)
+
+    lexical = once(sizes, overlap)
     amount = contains_any(answer, AMOUNTS) | lower.contains(FURNITURE[0])
     special = F.when(amount, ~contains_any(given, AMOUNTS)).otherwise(lower.contains(FURNITURE[1]) & ~given.contains(FURNITURE[1]))
     capped = F.when(F.size(unverified_numbers(answer, context)) > 0, F.least(lexical, F.lit(0.40))).otherwise(lexical)
@@ -49,10 +53,9 @@ def faithfulness(answer: Column, context: Column, cited: Column) -> Column:
 
 def completeness(question: Column, answer: Column) -> Column:
     q, a = F.lower(question), F.lower(answer)
-    asked = content_words(q)
-    words = F.regexp_extract_all(a, F.lit(r"\b[a-zA-Z0-9]{3,}\b"), F.lit(0))
-    met = F.filter(asked, lambda w: F.exists(words, lambda x: x.contains(F.left(w, F.lit(4)))) | a.contains(w))
-    share = F.when(F.size(asked) == 0, 0.90).otherwise(F.size(met) / F.size(asked))
+    words = F.array_distinct(F.regexp_extract_all(a, F.lit(r"\b[a-zA-Z0-9]{3,}\b"), F.lit(0)))
+    met = lambda x: F.size(F.filter(x["asked"], lambda w: F.exists(x["said"], lambda y: y.contains(F.left(w, F.lit(4)))) | a.contains(w)))
+    share = once(F.struct(content_words(q).alias("asked"), words.alias("said")), lambda x: F.when(F.size(x["asked"]) == 0, 0.90).otherwise(met(x) / F.size(x["asked"])))
     unlike = contains_any(q, ("compare", "difference")) & ~contains_any(a, CONTRAST)
     return F.when(abstains(answer), 1.0).when(q.contains("deadline") & ~a.contains("deadline"), 0.40).otherwise(F.round(F.when(unlike, F.least(share, F.lit(0.45))).otherwise(share), 3))
 
