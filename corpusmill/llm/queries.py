@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, embedding, html_text, language, packing, pii, sharding, simhash, suffix_dedup
+from . import chat, decontamination, embedding, html_text, language, packing, pii, sentencepiece_ids, sharding, simhash, suffix_dedup
 from .common import read_table
 
 
@@ -52,8 +52,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as model:
+        return sentencepiece_ids.encoding_digests(read_table(spark, sf_dir, "documents"), model.read())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_suffix_dedup, op5_chat, op6_html_text, op7_decontamination, op8_embedding, op9_language, op10_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_suffix_dedup, op5_chat, op6_html_text, op7_decontamination, op8_embedding, op9_language, op10_simhash, op11_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
