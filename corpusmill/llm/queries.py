@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, embedding, html_text, language, packing, pii, sentencepiece_ids, sharding, simhash, suffix_dedup
+from . import chat, decontamination, embedding, html_text, language, packing, phrases, pii, sentencepiece_ids, sharding, simhash, suffix_dedup
 from .common import read_table
 
 
@@ -59,9 +59,13 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         return sentencepiece_ids.encoding_digests(read_table(spark, sf_dir, "documents"), model.read())
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_suffix_dedup, op5_chat, op6_html_text, op7_decontamination, op8_embedding, op9_language, op10_simhash, op11_sentencepiece)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_suffix_dedup, op5_chat, op6_html_text, op7_decontamination, op8_embedding, op9_language, op10_simhash, op11_sentencepiece, op12_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": chat.SQL}
+    return {"op5_chat": chat.SQL, "op12_phrases": phrases.SQL}
