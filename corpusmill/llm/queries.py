@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, embedding, html_text, language, packing, phrases, pii, sentencepiece_ids, sharding, simhash, suffix_dedup
+from . import chat, decontamination, embedding, html_text, language, packing, phrases, pii, prefix_trie, sentencepiece_ids, sharding, simhash, suffix_dedup
 from .common import read_table
 
 
@@ -63,8 +63,12 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_suffix_dedup, op5_chat, op6_html_text, op7_decontamination, op8_embedding, op9_language, op10_simhash, op11_sentencepiece, op12_phrases)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii, op3_packing, op4_suffix_dedup, op5_chat, op6_html_text, op7_decontamination, op8_embedding, op9_language, op10_simhash, op11_sentencepiece, op12_phrases, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
