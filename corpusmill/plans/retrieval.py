@@ -25,9 +25,24 @@ def questions(t):
     return t("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+#: (application, table's files with their times) -> the saved index of the documents, which all searches of a session share.
+_INDEXES: dict = {}
+
+
+def index_of(docs):
+    spark = docs.sparkSession
+    paths = sorted(docs.inputFiles())
+    files = spark._jvm.org.apache.hadoop.fs
+    status = lambda p: (lambda f: (p, f.getLen(), f.getModificationTime()))(files.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(files.Path(p)))
+    key = (spark.sparkContext.applicationId, *map(status, paths))
+    if key not in _INDEXES:
+        _INDEXES[key] = L.build_index(docs)
+    return _INDEXES[key]
+
+
 def sparse_hits(t, k: int = K):
     """query_id, chunk_id, score, rank by BM25."""
-    return L.bm25_search(corpus(t), questions(t), k).withColumnRenamed("doc_id", "chunk_id")
+    return L.bm25_search(None, questions(t), k, index=index_of(corpus(t))).withColumnRenamed("doc_id", "chunk_id")
 
 
 def dense_hits(t, k: int = K):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lexical import doc_lengths, postings, term_stats
+from ..operators.lexical import BUCKETS, SearchIndex, build_index, open_index
 
 # The lengths to which feedback fields are cut.
 QUESTION_CHARS, ANSWER_CHARS, COMMENT_CHARS = 2000, 4000, 500
@@ -22,13 +22,10 @@ def append_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").partitionBy("run_id").parquet(path)
 
 
-def save_index(chunks: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = 64) -> None:
-    """Postings by a bucket of their term, so a search reads only its terms' buckets; lengths and term statistics beside them."""
-    posts, lengths = postings(chunks, key, text), doc_lengths(chunks, key, text)
-    posts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    term_stats(posts, lengths, key).write.mode("overwrite").parquet(f"{path}/terms")
+def save_index(chunks: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> SearchIndex:
+    """The index that bm25_search reads, at a path of one's own."""
+    return build_index(chunks, path, key, text, buckets=buckets)
 
 
-def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms")}
+def load_index(spark: SparkSession, path: str) -> SearchIndex:
+    return open_index(spark, path)
