@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import tokenize
+from ..operators import ann as N
 from ..operators import answers as A
 from ..operators import fusion as U
 from ..operators import lexical as L
@@ -230,6 +231,11 @@ def dense_topk(t):
     return V.dense_topk(t("embeddings"), t("embeddings").filter("vec_id % 20 = 0"))
 
 
+@query()
+def dense_topk_ann(t):
+    return N.ann_search(N.build_vector_index(t("embeddings")), t("embeddings").filter("vec_id % 20 = 0"))
+
+
 @query()
 def dense_topk_lsh(t):
     return V.dense_topk_lsh(t("embeddings"), t("embeddings").filter("vec_id % 20 = 0"))
