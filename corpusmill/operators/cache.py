@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .maintenance import upsert
+from .vectors import dense_topk_asof
 
 THRESHOLD = 0.95
 
@@ -18,6 +19,18 @@ def cache_lookup(nearest: DataFrame, entries: DataFrame, asked: DataFrame, thres
     return met.withColumn("hit", hit).drop("_v", "_m")
 
 
+def cache_lookup_asof(entries: DataFrame, asked: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """asked(query_id, embedding, ts, kb_version, model), entries(entry_id, embedding, ts, kb_version, model) -> query_id, entry_id, similarity, hit.
+
+    Each question meets the nearest entry that was stored before it under its version and model, the smaller entry_id on ties; it is a hit if it is similar enough. A question
+    without such an entry has a null entry and no hit. Null times, versions and models meet nothing. One scan of the entries, which are never moved.
+    """
+    same = ("kb_version", "model")
+    near = dense_topk_asof(entries.withColumnRenamed("entry_id", "_id"), asked.withColumnRenamed("query_id", "_id"), 1, "_id", same=same)
+    found = near.select(F.col("query_id").alias("_q"), F.col("_id").alias("entry_id"), "similarity")
+    return asked.select("query_id").join(found, F.col("query_id") == F.col("_q"), "left").select("query_id", "entry_id", "similarity", F.coalesce(F.col("similarity") >= threshold, F.lit(False)).alias("hit"))
+
+
 def cache_key(question: Column, model: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lower(question), model), 256)
 

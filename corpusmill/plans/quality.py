@@ -201,6 +201,18 @@ def cache_lookup(t):
     return H.cache_lookup(nearest, entries, asked, 0.5).select("query_id", "entry_id", "similarity", "hit")
 
 
+@query(
+    "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, TIMESTAMP '2024-01-01' + INTERVAL 1 second * (vec_id * 7919 % 100003) AS ts, vec_id % 3 AS model, 'v' || (vec_id % 2) AS kb FROM embeddings), "
+    "n AS (SELECT a.vec_id AS query_id, b.vec_id AS entry_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON b.ts < a.ts AND b.model = a.model AND b.kb = a.kb WHERE a.vec_id % 20 = 0 "
+    "QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.vec_id) = 1) "
+    "SELECT vec_id AS query_id, entry_id, similarity, coalesce(similarity >= 0.4, false) AS hit FROM e LEFT JOIN n ON n.query_id = e.vec_id WHERE vec_id % 20 = 0"
+)
+def cache_lookup_asof(t):
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 7919 % 100003)
+    every = t("embeddings").select("vec_id", "embedding", ts.alias("ts"), (F.col("vec_id") % 3).alias("model"), F.concat(F.lit("v"), (F.col("vec_id") % 2).cast("string")).alias("kb_version"))
+    return H.cache_lookup_asof(every.withColumnRenamed("vec_id", "entry_id"), every.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 0.4)
+
+
 @query("WITH a AS (SELECT sha256(lower(text) || '|m') AS entry_id, item_id AS answer_no FROM benchmark WHERE item_id % 3 <> 0 AND trim(text) <> ''), e AS (SELECT sha256(lower(text) || '|m') AS entry_id, -1 AS answer_no FROM benchmark WHERE item_id % 2 = 0) SELECT * FROM e WHERE entry_id NOT IN (SELECT entry_id FROM a) UNION ALL SELECT * FROM a")
 def cache_store(t):
     base = t("benchmark").withColumn("model", F.lit("m")).withColumn("entry_id", H.cache_key(F.col("text"), F.col("model")))

@@ -315,10 +315,28 @@ def test_scorer_hook(spark):
     assert out[1]["faithfulness"] == 0.9 and out[1]["coherence"] == 0.95 and out[1]["passed"] and out[2]["faithfulness"] == 0.0 and not out[2]["passed"]
 
 
-def test_searches_in_blocks_agree(spark):
+def test_searches_in_passes_agree(spark, monkeypatch):
+    """Queries in many scans and small steps give the same rows; ties go to the smaller key."""
     rows = lambda df: sorted(map(tuple, df.collect()))
     vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    assert rows(V.dense_topk(vectors, vectors.filter("vec_id % 2 = 0"), 5, block=16)) == rows(V.dense_topk(vectors, vectors.filter("vec_id % 2 = 0"), 5))
+    vectors = vectors.unionByName(vectors.limit(40).withColumn("vec_id", F.col("vec_id") + 100_000))
+    once = rows(V.dense_topk(vectors, vectors.filter("vec_id % 2 = 0"), 5))
+    monkeypatch.setattr(V, "QUERY_BYTES", 40_000)
+    monkeypatch.setattr(V, "AT_ONCE", 7)
+    assert rows(V.dense_topk(vectors, vectors.filter("vec_id % 2 = 0"), 5)) == once
+    assert len(once) == 5 * vectors.filter("vec_id % 2 = 0").count()
+
+
+def test_cache_serves_later_questions_only(spark):
+    from corpusmill.operators.cache import cache_lookup_asof
+
+    schema = "vec_id long, embedding array<double>, ts timestamp, kb_version string, model string"
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    entries = [(1, [1.0, 0.0], at(5), "v", "m"), (2, [1.0, 0.1], at(3), "v", "m"), (3, [1.0, 0.0], at(1), "v", "other"), (4, [1.0, 0.1], at(2), "v", "m"), (5, [1.0, 0.0], None, "v", "m"), (6, [1.0, 0.0], at(1), None, "m"), (7, None, at(1), "v", "m")]
+    asked = [(10, [1.0, 0.0], at(4), "v", "m"), (11, [1.0, 0.0], at(5), "v", "m"), (12, [1.0, 0.0], at(6), "v", "m"), (13, [1.0, 0.0], at(9), "w", "m"), (14, [0.0, 1.0], at(9), "v", "other"), (15, [1.0, 0.0], at(1), "v", "m"), (16, [1.0, 0.0], None, "v", "m")]
+    found = cache_lookup_asof(spark.createDataFrame(entries, schema).withColumnRenamed("vec_id", "entry_id"), spark.createDataFrame(asked, schema).withColumnRenamed("vec_id", "query_id"))
+    got = {r["query_id"]: (r["entry_id"], r["hit"]) for r in found.collect()}
+    assert got == {10: (2, True), 11: (2, True), 12: (1, True), 13: (None, False), 14: (3, False), 15: (None, False), 16: (None, False)}
 
 
 def test_json_files(spark, tmp_path):
