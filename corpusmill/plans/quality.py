@@ -394,6 +394,27 @@ UNION ALL SELECT s.user_id, (SELECT min(ts) FROM e WHERE e.user_id = s.user_id A
 SELECT s.user_id, s.session, s.start AS session_start, count(*) AS n FROM s JOIN events v ON v.user_id = s.user_id AND v.ts >= s.start AND v.ts < s.start + INTERVAL 24 hour GROUP BY ALL"""
 )
 def stream_sessions(t):
+    """All events through the stream: a session's last row holds."""
+    spark, path = t("events").sparkSession, scratch_path(t("events").sparkSession, "sessions")
+    name, provider = jobs.STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        stream = jobs.stream_sessions(streamed(t("events").select("user_id", "ts"), "events"))
+        keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", scratch_path(spark, "sessions-log")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    last = F.max_by(F.struct("session_start", "n"), F.struct("batch", F.col("n"), F.col("closed"))).alias("s")
+    return spark.read.parquet(path).groupBy("user_id", "session").agg(last).select("user_id", "session", F.col("s.session_start").cast("timestamp_ntz").alias("session_start"), "s.n")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT user_id, ts FROM events), s AS (SELECT user_id, min(ts) AS start, 1 AS session FROM e GROUP BY 1
+UNION ALL SELECT s.user_id, (SELECT min(ts) FROM e WHERE e.user_id = s.user_id AND e.ts >= s.start + INTERVAL 24 hour), s.session + 1 FROM s WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = s.user_id AND e.ts >= s.start + INTERVAL 24 hour))
+SELECT s.user_id, s.session, s.start AS session_start, count(*) AS n FROM s JOIN events v ON v.user_id = s.user_id AND v.ts >= s.start AND v.ts < s.start + INTERVAL 24 hour GROUP BY ALL"""
+)
+def sessions(t):
     return jobs.sessions(t("events").select("user_id", "ts")).groupBy("user_id", "session", "session_start").agg(F.count(F.lit(1)).alias("n"))
 
 

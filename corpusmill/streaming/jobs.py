@@ -60,27 +60,78 @@ def sessions(events: DataFrame, hours: int = 24) -> DataFrame:
     return events.filter("user_id is not null and ts is not null").repartition("user_id").sortWithinPartitions("user_id", "ts").mapInArrow(walk, T.StructType(fields))
 
 
-def stream_sessions(stream: DataFrame, hours: int = 24) -> DataFrame:
-    """user_id, session_start, n as of each micro-batch; the state is one start a user, which a timer set once removes."""
+#: The setting and the value that stream_sessions needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+SESSION_ROWS = "user_id long, session int, session_start timestamp, n long, late long, closed boolean"
+
+
+def _session_state(hours: int, keep_ms: int):
+    """The state of stream_sessions: the open session of a user (number, start, rows, late rows), a timer at its end and one that forgets the user."""
     import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key, frames, state):
-        start, n = state.get if state.exists else (None, 0)
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = sorted(t for f in frames for t in f["ts"])
-        for t in times:
-            if start is None or t >= pd.Timestamp(start) + pd.Timedelta(hours=hours):
-                start, n = t.isoformat(), 0
-            n += 1
-        state.update((str(start), n))
-        state.setTimeoutTimestamp(int((pd.Timestamp(start) + pd.Timedelta(hours=hours)).timestamp() * 1000))
-        yield pd.DataFrame({"user_id": [key[0]], "session_start": [str(start)], "n": [n]})
-
-    marked = stream.withWatermark("ts", "1 hour")
-    return marked.groupBy("user_id").applyInPandasWithState(step, "user_id long, session_start string, n long", "start string, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    from pyspark.sql.streaming import StatefulProcessor
+
+    span = hours * 3_600_000_000
+
+    class Sessions(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.open = handle.getValueState("open", "number int, start long, n long, late long, ended boolean")
+
+        def _rows(self, user, rows) -> pd.DataFrame:
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            return pd.DataFrame({"user_id": pd.Series([user] * len(rows), dtype="int64"), "session": pd.Series(columns[0], dtype="int32"), "session_start": pd.to_datetime(pd.Series(columns[1], dtype="int64"), unit="us"), "n": pd.Series(columns[2], dtype="int64"), "late": pd.Series(columns[3], dtype="int64"), "closed": pd.Series(columns[4], dtype="bool")})
+
+        def handleInputRows(self, key, rows, timerValues):
+            times = np.sort(np.concatenate([f["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) for f in rows]))
+            number, start, n, late, ended = self.open.get() if self.open.exists() else (0, None, 0, 0, False)
+            told, i = [], 0
+            if start is not None:
+                i = int(np.searchsorted(times, start))  # before the open session: theirs is closed
+                late += i
+                if i and i == len(times):
+                    told.append((number, start, n, late, ended))
+            while i < len(times):
+                if start is None or times[i] >= start + span:
+                    if start is not None and not ended:
+                        told.append((number, start, n, late, True))
+                    number, start, n, late, ended = number + 1, int(times[i]), 0, 0, False
+                j = int(np.searchsorted(times, start + span))
+                n, i = n + j - i, j
+                if i == len(times):
+                    told.append((number, start, n, late, ended))
+            self.open.update((number, start, n, late, ended))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((start + span) // 1000 + ended * keep_ms)
+            yield self._rows(key[0], told)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            number, start, n, late, ended = self.open.get()
+            if ended:
+                self.open.clear()
+                yield self._rows(key[0], [])
+            else:
+                self.open.update((number, start, n, late, True))
+                self.handle.registerTimer((start + span) // 1000 + keep_ms)
+                yield self._rows(key[0], [(number, start, n, late, True)])
+
+        def close(self) -> None:
+            pass
+
+    return Sessions()
+
+
+def stream_sessions(stream: DataFrame, hours: int = 24, late: str = "1 hour", keep_days: int = 30) -> DataFrame:
+    """events(user_id, ts) -> user_id, session, session_start, n, late, closed, a row whenever a session changes: its last row holds.
+
+    A session ends hours after its first event; a timer says so once the watermark has passed its end. State is one row a user, which a second timer forgets keep_days of event time after the
+    session's end: a user who comes back later starts from session 1. A micro-batch's times of a user are sorted and cut by binary search. Rows older than the watermark are dropped by Spark; those before the open
+    session's start belong to a closed one and are counted in late of the open one, in no n. Rows without user or time are left out. Needs the RocksDB state store: see
+    STATE_STORE.
+    """
+    ship(stream.sparkSession)
+    marked = stream.filter("user_id is not null and ts is not null").select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return marked.groupBy("user_id").transformWithStateInPandas(_session_state(hours, keep_days * 86_400_000), SESSION_ROWS, "Update", "EventTime")
 
 
 def current_chunks(spark: SparkSession, table: str) -> DataFrame:

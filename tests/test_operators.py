@@ -348,12 +348,22 @@ def test_json_files(spark, tmp_path):
 
 
 def test_stream_sessions(spark, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    hours = {1: (0, 20, 25, 50, 51), 2: (3, 4)}
-    rows = [(u, t0 + dt.timedelta(hours=h)) for u, hs in hours.items() for h in hs]
-    path = str(tmp_path / "events")
-    spark.createDataFrame(rows, "user_id long, ts timestamp").coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema("user_id long, ts timestamp").parquet(path)
-    jobs.stream_sessions(stream).writeStream.outputMode("append").format("memory").queryName("sessions").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
-    last = {r["user_id"]: (r["session_start"][:16], r["n"]) for r in spark.table("sessions").collect()}
-    assert last == {1: ("2024-01-03T02:00", 2), 2: ("2024-01-01T03:00", 2)}
+    """Over several micro-batches: sessions go on, end by a timer, count late rows apart and are forgotten."""
+    t0, path, out = dt.datetime(2024, 1, 1), str(tmp_path / "events"), []
+    spark.conf.set(*jobs.STATE_STORE)
+    rows = lambda *hours: [(u, t0 + dt.timedelta(hours=h)) for u, h in hours]
+    batches = [rows((1, 0), (1, 20), (2, 3), (1, 25)), rows((1, 26), (2, 21), (2, 4), (3, 26)), rows((1, 24.9), (1, 50), (9, 60)), rows((9, 90)), rows((9, 2000)), rows((1, 2001), (9, 2001))]
+    try:
+        for batch in batches:
+            spark.createDataFrame(batch, "user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+            stream = jobs.stream_sessions(spark.readStream.schema("user_id long, ts timestamp").parquet(path), late="5 hours")
+            job = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: out.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            job.awaitTermination()
+    finally:
+        spark.conf.unset(jobs.STATE_STORE[0])
+    hours = lambda x: (x - t0).total_seconds() / 3600
+    got = [(u, s, hours(start), n, late, closed) for u, s, start, n, late, closed in out]
+    assert (1, 1, 0.0, 2, 0, True) in got and (1, 2, 25.0, 1, 0, False) in got  # 0 and 20 h, then 25 h opens the second
+    assert (1, 2, 25.0, 2, 0, False) in got and (1, 3, 50.0, 1, 0, False) in got and (1, 2, 25.0, 2, 1, True) in got  # 24.9 h came late
+    assert (2, 1, 3.0, 2, 0, True) in got and (3, 1, 26.0, 1, 0, True) in got  # ended by their timers; 4 h was older than the watermark
+    assert (1, 1, 2001.0, 1, 0, False) in got  # forgotten after 30 days
