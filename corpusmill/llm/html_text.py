@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one a block of the page; what lies in menus, forms, adverts and the like is markup
-too and leaves an empty gap. The text lengths of WINDOW successive lines are summed at each line; a region begins where that sum
-surges from nothing and ends where it dives back, and the text of regions that aren't links is kept, however short. Pages go
-through Arrow tasks without a shuffle.
+Markup is stripped into lines, one a block of the page; menus, scripts and the like leave an empty gap. The weights of WINDOW successive lines, their
+characters outside links, are summed at each line. A region begins at a surge of that curve, where it reaches a share of its highest point, and ends at a dive, where it
+comes to nothing; the text between is kept. Markup weighs: an article's lines, and those beside a region in its container, are lifted onto the curve. What
+is noise only by its name is judged by what it holds. Pages go through Arrow tasks without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from pyspark.sql import types as T
 from .common import add_columns
 
 WINDOW = 3
-#: A region outside an article element needs less than this share of its text in links, unless it lies between kept ones of its container.
-MAX_LINKS = 0.5
-#: Article elements stand for the page, and an element named by a layout word is a wrapper and no noise, only if they hold more than this share of its text.
-MOST = 0.5
+#: Article elements stand for the page, and an element named by a layout word is a wrapper and no noise, only if they hold more than MOST of its text; one named otherwise and without a heading needs NEARLY_ALL.
+MOST, NEARLY_ALL = 0.5, 0.95
+#: Surge: a window that reaches this share of the page's highest one.
+RISE = 0.1
 #: Elements whose content is no main text, elements with raw content, elements that part blocks, elements without content.
 NOISE = frozenset("nav footer aside form script style noscript template iframe svg button select textarea dialog menu head title canvas object fieldset datalist".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -41,10 +41,15 @@ SUBJECT_WORDS = frozenset("alert alerts comment consent notice notices overlay p
 LAYOUT_WORDS = frozenset("area articles bar block body bottom box btn button buttons container content count footer form header icons inline inner item items left line links list media message modal outer panel popup post posts right row section stories text this title toolbar tools top wrap wrapper".split())
 #: The words among these after which a wrapper of the page may be named; adverts and notices hold no page.
 OTHER_WORDS = NOISE_WORDS - frozenset("sidebar aside menu nav navbar navigation footer masthead topbar toolbar widget widgets".split())
+RELATED_WORDS = frozenset("related recommended".split())
+#: Elements of one sentence or paragraph, which hold no list of comments or articles.
+PHRASES = frozenset("p span em strong b i u small h1 h2 h3 h4 h5 h6 blockquote q cite code pre dt dd td th caption figcaption".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alertdialog alert form".split())
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _MARK = re.compile(r"[>\"']")
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+#: A name and its value; quoted values are passed over whole, so that their words are no names.
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_SENTENCE = re.compile(r"[.!?…:;][\"'»”’)\]]*$")
 _PART = re.compile(r"[\s_:-]+")
 #: A class that names a state, such as has-sidebar, says nothing of the element's own text.
 _STATE = re.compile(r"(?<!\S)(?:has|with|no|without)[_:-]\S*")
@@ -52,25 +57,38 @@ _STATE = re.compile(r"(?<!\S)(?:has|with|no|without)[_:-]\S*")
 GAP = ("", 0, False, -1)
 
 
-def _noise(tag: str, attributes: str, in_article: bool) -> int:
-    """0 for text, 1 for noise by a layout word, 2 for noise that holds no article."""
-    if tag in NOISE or tag == "header" and not in_article:
-        return 2
-    found = 0
-    if attributes and tag not in ("html", "body", "main"):
-        for name, a, b, c in _ATTR.findall(attributes):
-            name, value = name.lower(), (a or b or c).strip().lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
-                return 2
-            if name in ("class", "id"):
-                parts = _noise_words(value)
-                if not FOREIGN_WORDS.isdisjoint(parts):
-                    return 2
-                if tag != "article" and parts:
-                    found = 1
+def _attributes(source: str) -> dict[str, str]:
+    """name -> value of a tag's attributes, in small letters; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(source):
+        found.setdefault(name.lower(), (a or b or c).strip().lower())
     return found
 
 
+def _noise(tag: str, source: str, in_article: bool) -> tuple[int, str]:
+    """A level and what may save the element. 0: text; 1: noise by its name, in which an article is text; 2: noise for certain; 3: by name other people's or pages' text.
+
+    What is named is saved by what it holds: "layout" and "form" by most of the text, "other" by nearly all or most of it and a main heading, "related" in an article by text outside links.
+    """
+    if tag in NOISE and tag != "form" or tag == "header" and not in_article:
+        return 2, ""
+    if tag in ("html", "body", "main"):
+        return 0, ""
+    found = _attributes(source) if source else {}
+    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in NOISE_ROLES - ({"form"} if tag == "form" else set()):
+        return 2, ""
+    parts = _noise_words(found.get("class", "")) | _noise_words(found.get("id", ""))
+    if tag in PHRASES:
+        parts -= SUBJECT_WORDS
+    if in_article and tag in ("section", "div") and parts and RELATED_WORDS.issuperset(x for name in ("class", "id") for x in _PART.split(found.get(name, "")) if x):
+        return 3, "related"
+    if not FOREIGN_WORDS.isdisjoint(parts):
+        return 3, "other"
+    if parts and tag != "article":
+        return 1, "layout" if OTHER_WORDS.isdisjoint(parts) else "other"
+    return (1, "form") if tag == "form" else (0, "")
+
+
 def _noise_words(value: str) -> set[str]:
     """The noise words of a class or id: any part of a name, but words of subjects only beside words of noise and layout."""
     found: set[str] = set()
@@ -129,9 +147,9 @@ def _lines(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
     lines: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int, int, int]] = []  # element, noise, its place, its container's place
-    held: list[int] = []  # characters outside links in each element of the stack
-    named: dict[int, int] = {}  # place of an element named by a layout word -> characters held
-    total = anchors = 0
+    held: list[list[int]] = []  # in each element of the stack: characters outside links, the same and those of other people's text, all, main headings
+    named: dict[int, tuple[str, list[int]]] = {}  # place of an element that is noise by its name -> what may save it, and what it holds
+    total, anchors = [0, 0, 0, 0], 0
     opened: Counter[str] = Counter()
     links = linked = at = 0
 
@@ -142,9 +160,10 @@ def _lines(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
         tag, _, place, _ = stack.pop()
         n = held.pop()
         if place in named:
-            named[place] = n
-        if held:
-            held[-1] += n
+            named[place] = named[place][0], n
+        into = held[-1] if held else total
+        for i in range(4):
+            into[i] += n[i]
         opened[tag] -= 1
         return tag
 
@@ -152,7 +171,9 @@ def _lines(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append((text, min(linked, len(text)), in_article(), stack[-1][3] if stack else -1))
+            # A sentence that is a link is a sentence; menus are made of names.
+            own = 0 if text.count(" ") >= 4 and _SENTENCE.search(text) else min(linked, len(text))
+            lines.append((text, own, in_article(), stack[-1][3] if stack else -1))
         parts.clear()
         linked = 0
 
@@ -161,12 +182,14 @@ def _lines(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
         lines.extend([GAP] * WINDOW)
 
     def add(text: str) -> None:
-        nonlocal linked, total
-        if text and not anchors and not (stack and stack[-1][1] == 2):
-            n = len(text) - text.count(" ") if text.strip() else 0
-            total += n
-            if held:
-                held[-1] += n
+        nonlocal linked
+        level = stack[-1][1] if stack else 0
+        if text and level != 2 and text.strip():
+            n, into = len(text) - text.count(" "), held[-1] if held else total
+            into[2] += n
+            if not anchors:
+                into[1] += n
+                into[0] += n * (level != 3)
         if text and not (stack and stack[-1][1]):
             parts.append(text)
             linked += len(text) * bool(links)
@@ -200,12 +223,12 @@ def _lines(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
             add(" " if tag == "br" else "")
             continue
         outer = stack[-1][1] if stack else 0
-        own = _noise(tag, attributes, in_article())
-        if own == 1 and outer < 2 and OTHER_WORDS.isdisjoint(_noise_words(" ".join(v.lower() for n, *vs in _ATTR.findall(attributes) if n.lower() in ("class", "id") for v in vs))):
-            named[start] = 0
+        own, saved_by = _noise(tag, attributes, in_article())
+        if saved_by and outer != 2:
+            named[start] = saved_by, [0, 0, 0, 0]
             if start in wrappers:
                 own = 0
-        noise = max(outer, own)
+        noise = 2 if 2 in (outer, own) else max(outer, own)
         if outer == 1 and noise == 1 and tag in ("article", "main"):
             noise = 0
         if tag in BLOCK or noise:
@@ -214,13 +237,21 @@ def _lines(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
             if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
                 pop()
             stack.append((tag, noise, start, start if tag in CONTAINER else stack[-1][3] if stack else -1))
-            held.append(0)
+            held.append([0, 0, 0, int(tag in ("h1", "main", "article"))])
             opened[tag] += 1
     add(page[at:])
     end_line()
     while stack:
         pop()
-    return lines, frozenset(k for k, n in named.items() if n > MOST * total)
+
+    def saves(saved_by: str, plain: int, outside: int, all_text: int, heads: int) -> bool:
+        if saved_by == "related":
+            return outside > MOST * all_text
+        if saved_by == "other":
+            return outside >= NEARLY_ALL * total[1] > 0 or heads > 0 and outside > MOST * total[1]
+        return plain > MOST * total[0]
+
+    return lines, frozenset(k for k, (saved_by, n) in named.items() if saves(saved_by, *n))
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
@@ -229,31 +260,61 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     return _lines(page, wrappers)[0] if wrappers else lines
 
 
+def surges(weights: list[float], window: int, level: float) -> list[tuple[int, int]]:
+    """[start, end) of the lines between surge and dive points of the curve of window sums.
+
+    A surge is where the sum of a window is positive and reaches level, a dive where the following windows have come to nothing; lines of no weight at a region's ends are left out.
+    """
+    upto = [0.0]
+    for w in weights:
+        upto.append(upto[-1] + w)
+    n = len(weights)
+    sums = [upto[min(n, i + window)] - upto[i] for i in range(n)]
+    out, start = [], None
+    for i, total in enumerate([*sums, 0]):
+        if start is None and total > 0 and total >= level - 1e-6:
+            start = i
+        elif start is not None and total <= 0:
+            out.append((start, i))
+            start = None
+    trimmed = []
+    for a, b in out:
+        # A dive lies behind windows that come to nothing; a surge may begin late in a slow rise, whose first lines belong to it.
+        while a > 0 and weights[a - 1] > 0:
+            a -= 1
+        while a < b and weights[a] <= 0:
+            a += 1
+        while b > a and weights[b - 1] <= 0:
+            b -= 1
+        trimmed.append((a, b))
+    return trimmed
+
+
 def main_text(page: str | None) -> str:
-    """The kept blocks, joined by an empty line."""
+    """The kept blocks, joined by an empty line.
+
+    A line weighs its characters outside links. Lines of the page's article, and those in a container that already holds a region, weigh as much as makes a
+    surge, links of a container between two of its regions as well: markup weighs, the curve decides.
+    """
     lines = lines_of(page or "")
     own = sum(len(t) - n for t, n, inside, _ in lines if inside)
-    if any(x[2] for x in lines) and own >= MOST * sum(len(t) - n for t, n, *_ in lines):
+    article = any(x[2] for x in lines) and own >= MOST * sum(len(t) - n for t, n, *_ in lines)
+    if article:
         lines = [x if x[2] else GAP for x in lines]
-    sizes = [len(t) for t, *_ in lines]
-    sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    regions, start = [], None
-    for i, total in enumerate([*sums, 0]):
-        if total and start is None:
-            start = i  # surge
-        elif not total and start is not None:
-            regions.append((start, i))  # dive
-            start = None
-    in_links = lambda r: sum(x[1] for x in lines[r[0] : r[1]]) >= MAX_LINKS * sum(sizes[r[0] : r[1]])
-    text = [any(x[2] for x in lines[a:b]) or not in_links((a, b)) for a, b in regions]
-    around = [{x[3] for x in lines[a:b] if x[0]} for a, b in regions]
+    weights = [float(len(t) if inside else len(t) - n) for t, n, inside, _ in lines]
+    level = RISE * max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
+    if article:
+        weights = [max(w, level) if line[0] else 0.0 for w, line in zip(weights, lines, strict=True)]
     first, last = {}, {}
-    for i, kept in enumerate(text):
-        for c in around[i] if kept else ():
-            first.setdefault(c, i)
-            last[c] = i
-    between = [all(first.get(c, i) < i < last.get(c, i) for c in around[i]) for i in range(len(regions))]
-    return "\n\n".join(line[0] for i, (a, b) in enumerate(regions) if text[i] or between[i] for line in lines[a:b] if line[0])
+    for a, b in surges(weights, WINDOW, level):
+        for i in range(a, b):
+            if weights[i] > 0:
+                first.setdefault(lines[i][3], i)
+                last[lines[i][3]] = i
+    for i, (text, _, _, c) in enumerate(lines):
+        if text and c in first and (weights[i] > 0 or first[c] < i < last[c]):
+            weights[i] = max(weights[i], level)
+    return "\n\n".join(lines[i][0] for a, b in surges(weights, WINDOW, level) for i in range(a, b) if lines[i][0])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
