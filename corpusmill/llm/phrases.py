@@ -23,11 +23,11 @@ from .common import Scratch, ship
 DEPTH, LEAST, TOP = 4, 30, 2000
 #: A longer candidate with this many hundredths of a shorter one's occurrences makes it superfluous.
 COVERED = 80
-#: Words with so many occurrences don't bound a route by themselves; a task is meant for as many suffixes.
-ROUTE = 500_000
+#: Words with so many occurrences don't bound a route by themselves; a task is meant for SHARE suffixes.
+ROUTE, SHARE = 1_000_000, 250_000
 #: Filters of words: places of 64 bits each.
 FILTER_SLOTS = 1 << 18
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: A-Z lowered, what ends a piece as a full stop, the tab as a space.
 _TABLE = bytes(x + 32 if 65 <= x <= 90 else 46 if x in b".,;:!?\n\v\f\r" else 32 if x == 9 else x for x in range(256))
 _END = b"."
@@ -142,7 +142,7 @@ def frequent_parts(keys: np.ndarray, weight: np.ndarray, least: int, seed: int =
     depth = np.zeros(1, np.int64)
     while len(ptr):
         pivot = np.empty(len(depth), np.int64)
-        mine = keys[depth[part], ptr]
+        mine = keys[depth[part], ptr].astype(np.int64)
         pivot[part] = mine
         side = part * 3 + np.sign(mine - pivot[part]) + 1
         sums = np.bincount(side, weight[ptr], minlength=3 * len(depth))
@@ -177,20 +177,21 @@ def _mine(least: int):
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
         lists = pc.split_pattern(table["phrase"].chunk(0), " ")
         lengths, words = pc.list_value_length(lists).to_numpy(), lists.flatten().dictionary_encode()
         del lists
         lang = table["lang"].chunk(0).dictionary_encode()
-        keys = np.full((DEPTH, len(lengths)), -1, np.int64)
+        keys = np.full((DEPTH, len(lengths)), -1, np.int32)
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         code, names = words.indices.to_numpy(), words.dictionary
         for d in range(DEPTH):
             has = lengths > d
             keys[d, has] = code[begin[has] + d]
         first = keys[0].copy()
-        keys[0] += lang.indices.to_numpy().astype(np.int64) * len(names)
+        keys[0] += lang.indices.to_numpy() * np.int32(len(names))
         n, hot = table["n"].to_numpy(), table["run"].to_numpy()
-        del table
+        del table, begin, code, words, lengths
 
         def told(at: np.ndarray, k: int) -> tuple[pa.Array, pa.Array]:
             parts = [names.take(pa.array((first if d == 0 else keys[d])[at])) for d in range(k)]
@@ -220,7 +221,7 @@ def count_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, route:
     single = words.filter("word is not null")
     tables = [spark.sparkContext.broadcast(_filter(x).tobytes()) for x in (single, single.filter(F.col("f") >= route))]
     total = words.filter("word is null").agg(F.sum("f")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROUTE))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE))
     suffixes = clean.mapInArrow(_suffixes(*tables), "lang string, route string, phrase string, run int, n long")
     # Only the route's hash is moved.
     routed = suffixes.withColumn("route", F.xxhash64("lang", "route")).repartition(parts, "route").select("lang", "phrase", "run", "n")
