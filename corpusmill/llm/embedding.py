@@ -150,9 +150,11 @@ def _ordered_blocks(vectors: DataFrame, axes: np.ndarray, dim: int, eps: float,
                 key = np.zeros(len(x), np.int64)
                 for k in range(lead):
                     key = key * (2 * width) + cells[:, k] + width
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("vec_id"), b.column("many"), pa.array([r.tobytes() for r in x])], names=["cell", "vec_id", "many", "x"])
+                # Order and boxes are by axes; what is compared are the vectors themselves, unrotated.
+                packed = [pa.array([r.tobytes() for r in y]) for y in (_unit(b, "v", dim), np.ascontiguousarray(x[:, :lead]))]
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("vec_id"), b.column("many"), *packed], names=["cell", "vec_id", "many", "x", "lead"])
 
-    turned = vectors.mapInArrow(turn, "cell long, vec_id long, many long, x binary")
+    turned = vectors.mapInArrow(turn, "cell long, vec_id long, many long, x binary, lead binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of a sorted partition."""
@@ -162,10 +164,10 @@ def _ordered_blocks(vectors: DataFrame, axes: np.ndarray, dim: int, eps: float,
         held, part, count = 0, TaskContext.get().partitionId(), itertools.count()
 
         def pack(rows: pa.Table) -> pa.RecordBatch:
-            x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float64).reshape(-1, dim)
+            x, axis = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.float64).reshape(rows.num_rows, -1) for c in ("x", "lead"))
             f = lambda y: [y.tolist()]
             number = lambda c: [np.asarray(rows.column(c).to_numpy(), np.int64).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([next(count)], pa.int64()), pa.array([x.tobytes()]), pa.array(number("vec_id")), pa.array(number("many")), pa.array(f(x[:, :lead].min(axis=0))), pa.array(f(x[:, :lead].max(axis=0)))], names=["part", "place", "packed", "ids", "many", "low", "high"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([next(count)], pa.int64()), pa.array([x.tobytes()]), pa.array(number("vec_id")), pa.array(number("many")), pa.array(f(axis.min(axis=0))), pa.array(f(axis.max(axis=0)))], names=["part", "place", "packed", "ids", "many", "low", "high"])
 
         for b in batches:
             rest.append(b)
@@ -231,14 +233,15 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block
 
     Vectors that are null, zero or have null or non-finite components link with nothing: 0 links, a component of their own. Vectors of another
     length than most are joined in a pass of their own length. Equal vectors (by a hash of 128 bits) link with each other and have equal
-    links; repeated rows count as vectors, repeated ids share a component. An empty table gives an empty result; further columns are ignored.
+    links; repeated rows count as vectors. Links run from vector to vector: different vectors under one id are not linked by it, and those without an id link like any other, but
+    name no component (null if it has no id at all). An empty table gives an empty result; further columns are ignored.
     block: the most vectors in a block, by default as many as BLOCK_BYTES hold.
     """
     scratch = Scratch(vectors.sparkSession, "embedding")
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     clean = scratch.save(_clean(vectors))
-    one = F.min(F.when(F.col("vec_id").isNotNull(), F.struct("vec_id", "v"))).alias("x")
-    groups = scratch.save(clean.filter("v is not null").groupBy("a", "b").agg(one, F.count(F.lit(1)).alias("many")).filter("x is not null").select("a", "b", "x.*", "many"))
+    groups = clean.filter("v is not null").groupBy("a", "b").agg(F.min("vec_id").alias("least"), F.first("v").alias("v"), F.count(F.lit(1)).alias("many"))
+    groups = scratch.save(groups.withColumn("vec_id", F.monotonically_increasing_id()))  # a number for each distinct vector
     told = None
     for (dim,) in groups.select(F.size("v")).distinct().collect():
         of_dim = groups.filter(F.size("v") == dim).select("vec_id", "v", "many")
@@ -255,7 +258,10 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block
         return alone
     counts, links = told.filter("dst is null").groupBy("src").agg(F.sum("n").alias("n")), told.filter("dst is not null").select("src", "dst")
     of = connected_components(links, scratch)
-    labels = groups.select("a", "b", "vec_id", "many").join(counts, F.col("vec_id") == F.col("src"), "left").join(of, F.col("vec_id") == F.col("node"), "left")
-    labels = scratch.save(labels.select("a", "b", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
-    joined = clean.select("vec_id", "a", "b").join(labels, ["a", "b"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    labels = groups.select("a", "b", "vec_id", "least", "many").join(counts, F.col("vec_id") == F.col("src"), "left").join(of, F.col("vec_id") == F.col("node"), "left")
+    labels = scratch.save(labels.select("a", "b", "least", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("part")))
+    smallest = labels.groupBy("part").agg(F.min("least").alias("component_id"))
+    labels = labels.select("a", "b", "n_links", "part").join(smallest, "part").select("a", "b", "n_links", "component_id", F.lit(True).alias("met"))
+    component = F.when(F.col("met"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id")
+    joined = clean.select("vec_id", "a", "b").join(labels, ["a", "b"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component)
     return joined.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

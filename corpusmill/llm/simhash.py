@@ -55,15 +55,15 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp (the fingerprint's bits as a long)."""
+    """docs(doc_id, text) -> doc_id, h (a hash of the text), fp (the fingerprint's bits as a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(batch.column("text").to_pylist()).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fingerprints(batch.column("text").to_pylist()).view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _forest(fp: np.ndarray, rep: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,23 +146,32 @@ def near_duplicate_links(reps: DataFrame, scratch: Scratch, bits: int = MAX_BITS
     return found.filter("key is null").select("src", "dst").union(finer.select("src", "dst"))
 
 
+def _labelled(docs: DataFrame, bits: int, run: int) -> DataFrame:
+    """doc_id, h, fp, part (a number of the row's component), component_id, for every row. Links run from fingerprint to fingerprint, so rows that share a doc_id only are not linked by it."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    table = scratch.save(fingerprint_table(docs))
+    reps = scratch.save(table.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    of = connected_components(near_duplicate_links(reps.select("fp", F.col("fp").alias("rep")), scratch, bits, run), scratch)
+    parts = scratch.save(reps.join(of, reps.fp == of.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("part")))
+    smallest = parts.groupBy("part").agg(F.min("least").alias("component_id"))
+    labels = scratch.save(parts.select("fp", "part").join(smallest, "part"))
+    return table.join(labels, "fp").select("doc_id", "h", "fp", "part", "component_id")
+
+
 def simhash_components(docs: DataFrame, bits: int = MAX_BITS, run: int = RUN) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fingerprint, component_id for every row.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. Texts of fewer than three
     words have one shingle. Rows with equal fingerprints, repeated rows too, are one component; its id is the smallest
-    doc_id that isn't null (null if there is none). An empty table gives an empty result; further columns are ignored.
+    doc_id that isn't null (null if there is none). Different texts under one doc_id are linked only by their fingerprints. An empty table gives an
+    empty result; further columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    table = scratch.save(fingerprint_table(docs))
-    reps = scratch.save(table.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = near_duplicate_links(reps.filter("rep is not null"), scratch, bits, run)
-    of = connected_components(links, scratch)
-    labels = scratch.save(reps.join(of, reps.rep == of.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return table.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _labelled(docs, bits, run).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keeps of each component the rows of its smallest doc_id, all columns; rows without a doc_id stay only in components without one."""
-    keep = simhash_components(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep["_kept"]), "left_semi")
+    """Keeps one row of each component, all columns: of its smallest doc_id, null last, the text with the least hash; of rows equal in both any one."""
+    rows = _labelled(docs, MAX_BITS, RUN)
+    first = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_kept"), F.col("h").alias("_h"))).alias("x")).select("x._kept", "x._h")
+    kept = docs.withColumn("_text", F.xxhash64("text")).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_text") == F.col("_h")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
