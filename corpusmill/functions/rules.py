@@ -147,3 +147,25 @@ TOPIC_FAMILIES = {
         ("dress_code", (("dress code",), ("dress policy",), ("attire",), ("grooming",), ("appearance",), ("what to wear",)), ("dress and grooming standards", "clean, neat, and professional appearance", "dress according to the requirements of their positions"), ("professional appearance", "dress and grooming", "medical or religious accommodation"), (), "Dress and Grooming Standards professional appearance clean neat attire grooming"),
     ),
 }
+
+# Pattern of a question in small letters, the sub-questions that it adds, in the order of their tests.
+SUB_QUESTIONS = (
+    (r"guardrails?", ("Guardrails building block AI agents safety constraints", "Examples of useful guardrails agents")),
+    (
+        r"building\s+blocks?",
+        (
+            "5 Levels of Agentic AI Systems building blocks overview", "six building blocks Role-playing Tools Memory Guardrails Planning", "Role-playing building block AI agents", "Tools MCP building block AI agents",
+            "Memory building block AI agents", "Guardrails building block AI agents", "Planning building block AI agents", "Cooperation Focus Tasks building block AI agents",
+        ),
+    ),
+    (r"planning\s+building\s+block", ("Planning building block AI agents 5 levels",)),
+    (r"(?s)(?=.*how\s+many)(?=.*building)", ("six building blocks overview AI agents",)),
+    (r"types?\s+of\s+memory|memory\s+do\s+agents|memory\s+types?", ("short-term memory agents", "long-term memory agents", "entity memory agents", "episodic semantic procedural memory agents")),
+    (r"design\s+patterns?|agent\s+patterns?|popular", ("ReAct agent design pattern", "reflection agent pattern", "planning pattern agents", "tool use agent pattern", "multi-agent orchestration design patterns")),
+    (r"(?s)(?=.*(?:sub-?agents?|orchestration))(?=.*roles?)", ("research agent orchestration", "manager agent sub-agent specialization", "sub-agent roles delegation")),
+    (r"currency|convert_currency|exchange\s+rate|conversion\s+tool", ("convert_currency real-time currency conversion tool", "currency conversion tool example invocation exchange rate", "real-world capability currency tool demonstrate")),
+    (r"code\s+(is\s+)?available|full\s+code|code\s+example", ("code is available full code examples guidebook link", "Check this code dailydoseofds link repository")),
+    (r"check\s+this\s+out|code\s+walkthrough", ("Check this out code walkthrough example snippet", "Check this out currency conversion tool", "Check this out custom tool MCP")),
+    (r"custom\s+tool|build\s+custom", ("custom tools MCP function implementation",)),
+    (r"manager\s+agent", ("manager agent coordinates sub-agents multi-agent pattern",)),
+)

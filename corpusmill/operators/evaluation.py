@@ -44,7 +44,15 @@ def retrieval_metrics(hits: DataFrame, golden: DataFrame, query: str = "query_id
 
 
 def aggregate_metrics(cases: DataFrame, metrics: list[str], by: list[str]) -> DataFrame:
-    """Means over non-null values, for all and by each column of by: one pass of grouping sets."""
+    """Means over non-null values, for all and by each column of by: one pass of grouping sets.
+
+    Cases with code_validation_triggered, code_validation_passed and fallback_reason also give code_validation_pass_rate, among the triggered with a verdict, and low_confidence_fallback_rate, among all.
+    """
+    if {"code_validation_triggered", "code_validation_passed", "fallback_reason"} <= set(cases.columns):
+        passed = F.when(F.col("code_validation_triggered"), F.col("code_validation_passed").cast("double"))
+        fallback = F.coalesce(F.col("fallback_reason") == "code_validation", F.lit(False)).cast("double")
+        cases = cases.withColumn("code_validation_pass_rate", passed).withColumn("low_confidence_fallback_rate", fallback)
+        metrics = [*metrics, "code_validation_pass_rate", "low_confidence_fallback_rate"]
     sets = ", ".join(["()", *[f"({c})" for c in by]])
     means = ", ".join(f"round(avg({m}), 6) AS {m}" for m in metrics)
     names = " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in by)
@@ -96,9 +104,9 @@ def agreement(pairs: DataFrame, a: str, b: str, tolerance: float = 0.1, threshol
     return s.select("n", F.round(r, 6).alias("pearson"), F.round("mae", 6).alias("mae"), F.round("within", 6).alias("within"), F.round(kappa, 6).alias("kappa"))
 
 
-def latency_summary(samples: DataFrame, stage: str = "stage", value: str = "ms") -> DataFrame:
-    """Mean, p50 and p95 by stage, linear between ranks."""
-    return samples.groupBy(stage).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"))
+def latency_summary(samples: DataFrame, stage: str = "stage", value: str = "ms", warm_up: int = 0, iteration: str = "iteration") -> DataFrame:
+    """Mean, p50 and p95 by stage, linear between ranks, without the first warm_up iterations."""
+    return (samples.filter(F.col(iteration) >= warm_up) if warm_up else samples).groupBy(stage).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"))
 
 
 def parse_judge_scores(raw: Column) -> Column:

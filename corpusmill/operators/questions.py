@@ -182,22 +182,28 @@ def detect_policy_id(text: Column) -> Column:
     return F.coalesce(*[found(p) for p in R.POLICY_ID_PATTERNS])
 
 
-def infer_filters(messages: DataFrame) -> DataFrame:
-    """messages(conv_id, turn, role, text) -> user turns with departments (inherited from the newest earlier user turn that names any), policy_id, topics and category."""
+def infer_filters(messages: DataFrame, explicit: dict[str, Column] | None = None) -> DataFrame:
+    """messages(conv_id, turn, role, text) -> user turns with departments (inherited from the newest earlier user turn that names any), policy_id, topics and category.
+
+    explicit holds columns for departments (an array), policy_id or category: where they aren't null they win over what is inferred, and blank questions have only them. A category is inferred beside a department or a policy only.
+    """
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     own = F.when(F.size(detect_departments(F.col("text"))) > 0, detect_departments(F.col("text")))
     known = messages.withColumn("_own", own).withColumn("_old", F.last(F.when(F.col("role") == "user", F.col("_own")), ignorenulls=True).over(before))
-    dept = F.coalesce("_own", "_old")
+    given = {name: (explicit or {}).get(name, F.lit(None).cast(kind)) for name, kind in (("departments", "array<string>"), ("policy_id", "string"), ("category", "string"))}
+    asked = F.length(strip(F.coalesce(F.col("text"), F.lit("")))) > 0
+    dept = F.coalesce(given["departments"], F.when(asked, F.coalesce("_own", "_old")))
+    policy = F.coalesce(given["policy_id"], F.when(asked, detect_policy_id(F.col("text"))))
     return known.filter("role = 'user'").select(
         *messages.columns,
         dept.alias("departments"),
-        detect_policy_id(F.col("text")).alias("policy_id"),
+        policy.alias("policy_id"),
         detect_topics(F.col("text")).alias("topics"),
-        F.when(dept.isNotNull(), detect_category(F.col("text"))).alias("category"),
+        F.coalesce(given["category"], F.when(asked & (dept.isNotNull() | policy.isNotNull()), detect_category(F.col("text")))).alias("category"),
     )
 
 
-def multi_query(questions: DataFrame, key: str = "query_id", text: str = "text", limit: int = 8, rules: tuple = ()) -> DataFrame:
+def multi_query(questions: DataFrame, key: str = "query_id", text: str = "text", limit: int = 8, rules: tuple = R.SUB_QUESTIONS) -> DataFrame:
     """key, n, sub_query: the question, the sub-questions of rules (pattern, texts) that match, and the topics of an `including a, b` clause.
 
     Equal texts count once whatever their case; a comma inside parentheses does not split.

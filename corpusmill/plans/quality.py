@@ -239,7 +239,7 @@ def cases(t):
 METRICS = ["hit_rate", "context_precision", "faithfulness", "answer_relevancy"]
 
 
-@query(f"WITH {CASES_SQL} SELECT CASE WHEN grouping(corpus) = 0 THEN 'corpus' WHEN grouping(category) = 0 THEN 'category' ELSE 'all' END AS dimension, coalesce(corpus, category, 'all') AS value, count(*) AS cases, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)} FROM cases GROUP BY GROUPING SETS ((), (corpus), (category))")
+@query(f"WITH {CASES_SQL} SELECT CASE WHEN grouping(corpus) = 0 THEN 'corpus' WHEN grouping(category) = 0 THEN 'category' ELSE 'all' END AS dimension, coalesce(corpus, category, 'all') AS value, count(*) AS cases, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)}, round(avg(CASE WHEN code_validation_triggered THEN CASE WHEN code_validation_passed THEN 1.0 ELSE 0.0 END END), 6) AS code_validation_pass_rate, round(avg(CASE WHEN fallback_reason = 'code_validation' THEN 1.0 ELSE 0.0 END), 6) AS low_confidence_fallback_rate FROM cases GROUP BY GROUPING SETS ((), (corpus), (category))")
 def aggregate_metrics(t):
     return E.aggregate_metrics(cases(t), METRICS, ["corpus", "category"])
 
@@ -285,9 +285,10 @@ def load_golden(t):
     return E.golden_cases(files, corpus="policy").select("id", "category", "question", "expected_answer", "expected_key_points", "query_type")
 
 
-@query("SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+@query("SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE event_id % 10 >= 2 GROUP BY 1")
 def latency_summary(t):
-    return E.latency_summary(t("events").withColumnRenamed("event_type", "stage"), value="value")
+    """Ten iterations, of which two warm up."""
+    return E.latency_summary(t("events").withColumnRenamed("event_type", "stage").withColumn("iteration", F.col("event_id") % 10), value="value", warm_up=2)
 
 
 JUDGE_TEXT = "regexp_replace(text, '[^\\x20-\\x7E]|[{}\"\\\\]', '.', 'g')"
@@ -318,15 +319,22 @@ def retrieval_metrics(t):
 
 
 TRACES = "traces AS (SELECT event_id AS trace_id, ts, value AS latency FROM events)"
+USAGE = "usage AS (SELECT event_id AS trace_id, ts, value AS latency, value / 4 AS ttft, event_id % 50 AS prompt_tokens, event_id % 90 AS completion_tokens, event_id % 100 / 128.0::DOUBLE AS similarity, CASE WHEN event_id % 3 > 0 THEN event_id % 7 / 8.0::DOUBLE END AS rerank FROM events)"
 
 
 def traces(t):
     return t("events").select(F.col("event_id").alias("trace_id"), "ts", F.col("value").alias("latency"))
 
 
-@query(f"WITH {TRACES}, r AS (SELECT * FROM traces ORDER BY ts DESC, trace_id DESC LIMIT 1000), l AS (SELECT list(latency ORDER BY latency) AS l, avg(latency) AS m FROM r) SELECT (SELECT count(*) FROM traces) AS total_queries, round(m, 2) AS avg_latency_ms, round(l[CAST(least(floor(len(l) * 0.95), len(l) - 1) AS BIGINT) + 1], 2) AS p95_latency_ms FROM l")
+@query(
+    f"WITH {USAGE}, r AS (SELECT * FROM usage ORDER BY ts DESC, trace_id DESC LIMIT 1000), l AS (SELECT list(latency ORDER BY latency) AS l, avg(latency) AS m, avg(ttft) AS f, avg(similarity) AS s, avg(rerank) AS k FROM r), "
+    "a AS (SELECT count(*) AS total_queries, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens FROM usage) "
+    "SELECT a.*, prompt_tokens + completion_tokens AS total_tokens, round(m, 2) AS avg_latency_ms, round(f, 2) AS avg_ttft_ms, round(l[CAST(least(floor(len(l) * 0.95), len(l) - 1) AS BIGINT) + 1], 2) AS p95_latency_ms, round(s, 4) AS similarity_avg, round(k, 4) AS rerank_avg FROM l, a"
+)
 def trace_metrics(t):
-    return T.trace_metrics(traces(t))
+    c = F.col("event_id")
+    used = t("events").select(c.alias("trace_id"), "ts", F.col("value").alias("latency"), (F.col("value") / 4).alias("ttft"), (c % 50).alias("prompt_tokens"), (c % 90).alias("completion_tokens"), (c % 100 / 128).alias("similarity"), F.when(c % 3 > 0, c % 7 / 8).alias("rerank"))
+    return T.trace_metrics(used)
 
 
 @query(f"WITH {TRACES} SELECT * FROM traces ORDER BY ts DESC, trace_id DESC LIMIT 50 OFFSET 10")
@@ -334,12 +342,12 @@ def recent_traces(t):
     return T.recent_traces(traces(t), 50, 10)
 
 
-@query("SELECT count(*) FILTER (WHERE event_type = 'purchase') AS up, count(*) FILTER (WHERE event_type = 'error') AS down, count(*) AS total FROM events")
+@query("SELECT count(*) FILTER (WHERE event_type = 'purchase') AS up, count(*) FILTER (WHERE event_type = 'error') AS down, count(*) AS total, (SELECT list(event_id ORDER BY ts, event_id) FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 20)) AS recent FROM events")
 def feedback_summary(t):
-    return T.feedback_summary(t("events").select(F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0).alias("rating")))
+    return T.feedback_summary(t("events").select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0).alias("rating")))
 
 
-@query("SELECT doc_id, lang, source FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 20 OFFSET 20")
+@query("SELECT doc_id, lang, source, (SELECT count(*) FROM documents WHERE lang = 'en') AS total FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 20 OFFSET 20")
 def list_documents(t):
     return T.list_documents(t("documents").select("doc_id", "lang", "source"), F.col("lang") == "en", 20, 1)
 

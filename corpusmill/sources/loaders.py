@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import csv
+import io
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,15 +62,29 @@ def load_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_csv_rendered(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, content (a pipe table, rows cut or padded to the header), columns, row_count."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "value").filter("trim(value) <> ''")
-    cells = raw.withColumn("c", F.from_csv("value", ", ".join(f"c{i} string" for i in range(64)))).withColumn("c", F.array(*[F.col(f"c.c{i}") for i in range(64)])).withColumn("n", F.size(F.split("value", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")))
-    rows = cells.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("_i", "n", "c"))).alias("r"))
-    width = F.col("r")[0]["n"]
-    show = lambda x: F.concat(F.lit("| "), F.array_join(F.transform(F.slice(x["c"], F.lit(1), width), lambda v: F.coalesce(v, F.lit(""))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    body = F.transform(F.slice("r", F.lit(2), F.size("r")), show)
-    return rows.select("source_file", F.array_join(F.concat(F.array(show(F.col("r")[0]), rule), body), "\n").alias("content"), width.alias("columns"), (F.size("r") - 1).alias("row_count"))
+    """source_file, content (a pipe table, rows cut or padded to the header), columns, row_count: any number of columns, quoted commas, quotes and line breaks.
+
+    A file is one document and so one row; validate_upload keeps it to MAX_BYTES. Blank lines are no rows, line breaks in a cell become spaces; a file without a row has 0 columns and an empty content.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), "value")
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0), batch.column(1), strict=True):
+                content, width, count = [], 0, 0
+                csv.field_size_limit(MAX_BYTES)
+                for cells in csv.reader(io.StringIO(text.as_py().removeprefix("\ufeff"), newline="")):
+                    if not any(c.strip() for c in cells):
+                        continue
+                    first, width = not content, width or len(cells)
+                    cells = [" ".join(c.splitlines()) for c in cells[:width]] + [""] * (width - len(cells))
+                    content.append(f"| {' | '.join(cells)} |")
+                    count += not first
+                    if first:
+                        content.append(f"| {' | '.join(['---'] * width)} |")
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array(["\n".join(content)]), pa.array([width], pa.int32()), pa.array([count], pa.int32())], names=["source_file", "content", "columns", "row_count"])
+
+    return whole.mapInArrow(render, "source_file string, content string, columns int, row_count int")
 
 
 def _key_lines(pairs: Column) -> Column:
