@@ -1,20 +1,22 @@
 """SentencePiece encoding and decoding by a table of distinct chunks.
 
 Where no piece goes on past a white-space marker, a text's pieces are those of its chunks, each a run of markers and what follows it.
-Every distinct chunk is segmented once. The most frequent ones, bounded in bytes, go to all tasks as a dictionary; what a text has
-besides is joined by chunk and put back by position.
+Every distinct chunk that occurs again is counted and segmented once; the most frequent go to all tasks as a dictionary of bounded size.
+A task takes a block of texts to its distinct chunks, looks them up, segments what the dictionary lacks (chunks that occur once, and the rarest of a
+large corpus, once a block) and puts the ids back by position. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +25,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import Scratch, ship
 
 MARK = "▁"
-#: What the dictionary of frequent chunks may hold, counting ENTRY bytes for each entry besides its own.
-DICTIONARY_BYTES, ENTRY = 16 << 20, 64
-#: A task counts so many distinct chunks before it hands them on.
-HELD = 200_000
+#: What the dictionary may hold: a digest of 16 bytes, a place and the ids of each chunk.
+DICTIONARY_BYTES, ENTRY = 32 << 20, 20
+#: A task counts so many distinct chunks before it hands them on, and looks up the chunks of so many bytes of text together.
+HELD, BLOCK_BYTES = 200_000, 2 << 20
 SLICE = 256
 _CHUNK = re.compile(" +[^ ]*")
 _PROBE = "  a \t　ﬁ é\n  B  "
@@ -66,32 +68,59 @@ def _segment(sp, chunks: list[str]) -> list[bytes]:
     return [np.array(x or alone, np.int32).tobytes() for x in sp.encode([c[1:] for c in chunks], num_threads=1)] if chunks else []
 
 
-def segment_chunks(texts: DataFrame, model: bytes) -> DataFrame:
-    """texts(text) -> chunk, n (its occurrences), piece_ids (32-bit numbers) of every distinct chunk, each segmented once."""
+def _digest(chunk: str) -> bytes:
+    return xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
+
+
+def _place_all(found: pa.Table) -> bytes:
+    """Digests in order and the ids behind each other, as one stream of bytes for _look_up."""
+    digests = np.frombuffer(b"".join(found["digest"].to_pylist()), np.uint64).reshape(-1, 2)
+    order = np.argsort(digests[:, 0], kind="stable")
+    ids = found["piece_ids"].take(pa.array(order)).to_pylist()
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.uint32)
+    return b"".join([np.int64(len(order)).tobytes(), np.ascontiguousarray(digests[order].T).tobytes(), ends.tobytes(), *ids])
+
+
+def _look_up(stream: bytes, chunks: list[str]) -> list[bytes | None]:
+    """Each chunk's ids, or None if it isn't there."""
+    n = int(np.frombuffer(stream, np.int64, 1)[0])
+    if not n or not chunks:
+        return [None] * len(chunks)
+    first, second = np.frombuffer(stream, np.uint64, 2 * n, 8).reshape(2, n)
+    ends, base = np.frombuffer(stream, np.uint32, n + 1, 8 + 16 * n), 8 + 16 * n + 4 * (n + 1)
+    asked = np.frombuffer(b"".join(map(_digest, chunks)), np.uint64).reshape(-1, 2)
+    at = np.minimum(np.searchsorted(first, asked[:, 0]), n - 1)
+    hit = (first[at] == asked[:, 0]) & (second[at] == asked[:, 1])
+    return [stream[base + a : base + b] if h else None for h, a, b in zip(hit.tolist(), ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
+
+
+def repeated_chunks(texts: DataFrame, model: bytes) -> DataFrame:
+    """texts(text) -> chunk, n (its occurrences, two or more), piece_ids (32-bit numbers), digest: every distinct chunk that occurs again, segmented once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        give = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
+        give = lambda: pa.Table.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"]).to_batches(max_chunksize=50_000)
         for batch in batches:
             for text in batch.column(0):
                 seen.update(chunks_of(text.as_py()))
                 if len(seen) >= HELD:
-                    yield give()
+                    yield from give()
                     seen.clear()
-        yield give()
+        yield from give()
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_segment(sp, batch.column(0).to_pylist()), pa.binary())], names=["chunk", "n", "piece_ids"])
+            chunks = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_segment(sp, chunks), pa.binary()), pa.array([_digest(c) for c in chunks], pa.binary())], names=["chunk", "n", "piece_ids", "digest"])
 
-    counted = texts.select("text").mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(segment, "chunk string, n long, piece_ids binary")
+    counted = texts.select("text").mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).filter("n > 1")
+    return counted.mapInArrow(segment, "chunk string, n long, piece_ids binary, digest binary")
 
 
 def _level(table: DataFrame, limit: int) -> int:
     """The least power of two from which on the chunks that occur as often fit into limit bytes."""
-    cost = F.octet_length("chunk") + F.octet_length("piece_ids") + ENTRY
+    cost = F.octet_length("piece_ids") + ENTRY
     total, level = 0, 62
     by = table.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.sum(cost).alias("bytes")).collect()
     for row in sorted(by, key=lambda r: -r["level"]):
@@ -102,74 +131,47 @@ def _level(table: DataFrame, limit: int) -> int:
     return 0
 
 
-def encode(docs: DataFrame, model: bytes, dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, dictionary_bytes: int = DICTIONARY_BYTES, decoded: bool = False) -> DataFrame:
     """docs with a column text -> the other columns and ids, array<int>, exactly the library's ids of the whole text without begin and end.
 
     Null and empty texts have no ids; a marker that a text itself holds counts as a space, as in the library. Repeated rows are rows like
-    others, a column named ids is replaced, columns named _rare and _row are left out. The text isn't carried along: decode gives it back. The model is checked first (check_model). An empty table gives an empty result.
+    others, a column named ids is replaced. The text isn't carried along: decode gives it back, or decoded adds what decode would, in the same task. The model is checked first (check_model). An empty table gives an empty result.
     """
     check_model(model)
     spark = docs.sparkSession
     scratch = Scratch(spark, "sentencepiece")
-    table = scratch.save(segment_chunks(docs, model))
+    table = scratch.save(repeated_chunks(docs, model))
     least = 1 << _level(table, dictionary_bytes)
-    frequent = table.filter(F.col("n") >= least).select("chunk", "piece_ids").toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, frequent.schema) as writer:
-        writer.write_table(frequent)
-    shipped, key = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), ("dictionary", uuid.uuid4().hex)
-
-    def known() -> dict[str, bytes]:
-        whole = pa.ipc.open_stream(shipped.value).read_all()
-        return dict(zip(whole["chunk"].to_pylist(), whole["piece_ids"].to_pylist(), strict=True))
-
-    mine = {"text", "ids", "_rare", "_row"}
-    kept = [f for f in docs.schema.fields if f.name.lower() not in mine]
-    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("_rare", T.ArrayType(T.StringType()))])
-    array_type = to_arrow_type(T.ArrayType(T.IntegerType()))
+    frequent = table.filter(F.col("n") >= least).select("digest", "piece_ids").toArrow()
+    shipped = spark.sparkContext.broadcast(_place_all(frequent))
+    kept = [f for f in docs.schema.fields if f.name.lower() not in (("text", "ids", "decoded") if decoded else ("text", "ids"))]
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])])
+    kind = to_arrow_type(schema["ids"].dataType)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _held(key, known)
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                found, rare = [], []
-                for text in batch.column(batch.num_columns - 1):
-                    chunks = chunks_of(text.as_py())
-                    own: dict[str, bytes] = {}
-                    for c in chunks:
-                        if c not in table and c not in own:
-                            own[c] = np.array([-1 - len(own)], np.int32).tobytes()
-                    found.append(b"".join([table.get(c) or own[c] for c in chunks]))
-                    rare.append(list(own))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(found, array_type), pa.array(rare, pa.list_(pa.string()))], names=schema.names)
-
-    ordered = docs.select(*[f.name for f in kept], "text")
-    first = scratch.save(ordered.mapInArrow(look_up, schema).withColumn("_row", F.monotonically_increasing_id()))
-    open_rows = first.filter(F.size("_rare") > 0)
-    pieces = table.filter(F.col("n") < least).select(F.col("chunk").alias("_chunk"), "piece_ids")
-    asked = open_rows.select(F.col("_row").alias("_of"), F.posexplode("_rare").alias("_place", "_chunk"))
-    met = asked.join(pieces, "_chunk").groupBy("_of").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "piece_ids"))), lambda x: x["piece_ids"]).alias("_pieces"))
-    whole_schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                filled = []
-                for ids, pieces in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
-                    ids, own = ids.values.to_numpy(zero_copy_only=False), pieces.as_py()
-                    holes = np.flatnonzero(ids < 0)
-                    parts, done = [], 0
-                    for hole in holes.tolist():
-                        parts += (ids[done:hole].tobytes(), own[-1 - ids[hole]])
-                        done = hole + 1
-                    filled.append(b"".join([*parts, ids[done:].tobytes()]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], _lists(filled, array_type)], names=whole_schema.names)
-
-    names = [f.name for f in kept]
-    filled = open_rows.join(met, F.col("_row") == F.col("_of")).select(*names, "ids", "_pieces").mapInArrow(fill, whole_schema)
-    return first.filter(F.size("_rare") == 0).select(*names, "ids").union(filled)
+        sp = processor(model)
+        for batch in _blocks(batches):
+            chunked = [chunks_of(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            distinct = list(set().union(*chunked))
+            pieces = dict(zip(distinct, _look_up(shipped.value, distinct), strict=True))
+            other = [c for c, x in pieces.items() if x is None]
+            pieces.update(zip(other, _segment(sp, other), strict=True))
+            found = [b"".join(map(pieces.__getitem__, x)) for x in chunked]
+            texts = [pa.array(_decode(sp, (np.frombuffer(x, np.int32).tolist() for x in found)), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(found, kind), *texts], names=schema.names)
+
+    return docs.select(*[f.name for f in kept], "text").mapInArrow(look_up, schema)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about BLOCK_BYTES in the last column, a text; a longer text is one by itself."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        block = np.cumsum(sizes, dtype=np.int64) // BLOCK_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def _lists(data: list[bytes], kind: pa.DataType) -> pa.Array:
@@ -178,6 +180,10 @@ def _lists(data: list[bytes], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), np.int32), pa.int32())).cast(kind)
 
 
+def _decode(sp, ids) -> list[str]:
+    return [sp.decode(x, num_threads=1) if x else "" for x in ids]
+
+
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """Adds decoded, the library's text of the column ids (null ids: empty); a column of that name is replaced."""
     ship(encoded.sparkSession)
@@ -189,14 +195,14 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                ids = [x or [] for x in batch.column(batch.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sp.decode(ids, num_threads=1), pa.string())], names=schema.names)
+                texts = _decode(sp, (x.as_py() for x in batch.column(batch.num_columns - 1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
 
 def encoding_digests(docs: DataFrame, model: bytes) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    both = decode(encode(docs.select("doc_id", "text"), model), model)
+    both = encode(docs.select("doc_id", "text"), model, decoded=True)
     digits = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
