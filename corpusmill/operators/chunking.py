@@ -20,8 +20,8 @@ def _with_ids(rows: DataFrame, key: str, strategy: str) -> DataFrame:
     return rows.withColumn("strategy", F.lit(strategy)).withColumn("chunk_id", F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.col("chunk_index").cast("string"), "text"), 256))
 
 
-def chunk_semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
-    """key, chunk_index, text, strategy, chunk_id: sentences packed up to size tokens, whole sentences of at most overlap tokens carried over, chunks under 40 characters dropped.
+def chunk_semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, drop: int = MIN_CHARS) -> DataFrame:
+    """key, chunk_index, text, strategy, chunk_id: sentences packed up to size tokens, whole sentences of at most overlap tokens carried over, chunks under drop characters dropped.
 
     Sentences are numbered, and the fold keeps only the bounds of chunks, so its state is small whatever the text.
     """
@@ -49,7 +49,7 @@ def chunk_semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
 
     folded = said.withColumn("f", F.aggregate("n", start, step))
     bounds = F.when(F.size("s") > F.col("f.from"), F.array_append(F.col("f.cuts"), F.struct(F.col("f.from").alias("a"), F.size("s").alias("b")))).otherwise(F.col("f.cuts"))
-    texts = F.filter(F.transform(bounds, lambda c: F.array_join(F.slice("s", c["a"] + 1, c["b"] - c["a"]), " ")), lambda t: F.length(t) >= MIN_CHARS)
+    texts = F.filter(F.transform(bounds, lambda c: F.array_join(F.slice("s", c["a"] + 1, c["b"] - c["a"]), " ")), lambda t: F.length(t) >= drop)
     return _with_ids(folded.select(key, F.posexplode(texts).alias("chunk_index", "text")), key, "semantic")
 
 
@@ -132,13 +132,22 @@ def block_types(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return parts.withColumn("kind", F.when(F.col("n") % 2 == 1, "code").otherwise("text")).filter(strip(F.col("block")) != "")
 
 
-def chunk_strategy(text: Column, document_type: Column | None = None, has_section: Column | None = None) -> Column:
-    kind = F.lit("text") if document_type is None else document_type
-    section = F.lit(False) if has_section is None else has_section
+#: Strategy -> what a strategy asked for must hold to mean it, tried in this order.
+ASKED = {"table": "table", "markdown": "markdown", "heading_aware": "heading", "semantic": "semantic", "recursive": "recursive"}
+
+
+def chunk_strategy(text: Column, document_type: Column | None = None, has_section: Column | None = None, has_tables: Column | None = None, has_code: Column | None = None, override: Column | str | None = None) -> Column:
+    """The chunker for a document: the one that override names (of which an unknown name or null names none), else by its tables, code, type, section and length."""
+    known = lambda c: F.lit(False) if c is None else F.coalesce(c, F.lit(False))
+    kind = F.lit("text") if document_type is None else F.lower(F.coalesce(document_type, F.lit("text")))
+    asked = F.lower(F.coalesce(override if isinstance(override, Column) else F.lit(override).cast("string"), F.lit("")))
+    out = F
+    for name, word in ASKED.items():
+        out = out.when(asked.contains(word), name)
     return (
-        F.when(text.contains("|---") | text.contains("\n|") & text.contains("|"), "table")
-        .when(kind.isin("markdown", "html") | text.contains("```"), "markdown")
-        .when(section | kind.isin("pdf", "docx"), "heading_aware")
+        out.when(known(has_tables) | text.contains("|---") | text.contains("\n|") & text.contains("|"), "table")
+        .when(kind.isin("markdown", "html") | known(has_code) | text.contains("```"), "markdown")
+        .when(known(has_section) | kind.isin("pdf", "docx"), "heading_aware")
         .when(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) > 200, "semantic")
         .otherwise("recursive")
     )
@@ -173,9 +182,9 @@ def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     return _with_ids(ordered.select(key, "chunk_index", "text", "content_type"), key, "table_aware")
 
 
-def chunk_adaptive(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document by the chunker that its strategy column names."""
-    chosen = docs.select(key, text, chunk_strategy(F.col(text)).alias("_s"))
+def chunk_adaptive(docs: DataFrame, key: str = "doc_id", text: str = "text", document_type: Column | None = None, has_section: Column | None = None, has_tables: Column | None = None, has_code: Column | None = None, override: Column | str | None = None) -> DataFrame:
+    """Each document by the chunker that chunk_strategy chooses from its text and columns."""
+    chosen = docs.select(key, text, chunk_strategy(F.col(text), document_type, has_section, has_tables, has_code, override).alias("_s"))
     makers = {"table": chunk_table, "markdown": chunk_markdown, "heading_aware": chunk_heading, "semantic": chunk_semantic, "recursive": chunk_recursive}
     out = None
     for name, maker in makers.items():

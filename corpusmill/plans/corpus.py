@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import maintenance as M
 from ..operators import metadata as D
+from ..operators import parents as P
 from ..operators.structure import chunk_context, lines, section_context
 from ..sources import loaders
 from .registry import query
@@ -143,7 +144,7 @@ def chunk_heading(t):
 
 @query()
 def chunk_adaptive(t):
-    return C.chunk_adaptive(t("documents"))
+    return C.chunk_adaptive(t("documents"), document_type=F.expr(TYPED), has_section=F.col("doc_id") % 17 == 0)
 
 
 @query("SELECT doc_id, n, CASE WHEN n % 2 = 1 THEN 'code' ELSE 'text' END AS kind, block FROM (SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 2 = 0 THEN 'see ```x = 1``` and ' ELSE '' END || text, '```')) AS block, unnest(range(0, len(string_split(CASE WHEN doc_id % 2 = 0 THEN 'see ```x = 1``` and ' ELSE '' END || text, '```')))) AS n FROM documents) WHERE regexp_replace(block, '^\\s+|\\s+$', '', 'g') <> ''")
@@ -296,8 +297,47 @@ def chunk_table(t):
     return C.chunk_table(t("documents"))
 
 
+def paged(t):
+    """Documents as pages of their sources, in sections of 50 numbers; every third has code in its middle."""
+    fenced = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("See below.\n```py\nx = 1\n\ny = 2\n```\n"), "text")).otherwise(F.col("text"))
+    return t("documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page_number"), F.floor(F.col("doc_id") / 50).cast("string").alias("section_path"), fenced.alias("text"))
+
+
+PAGED_SQL = """p AS (SELECT source AS f, doc_id AS p, doc_id // 50 AS s, CASE WHEN doc_id % 3 = 0 THEN 'See below.' || chr(10) || '```py' || chr(10) || 'x = 1' || chr(10) || chr(10) || 'y = 2' || chr(10) || '```' || chr(10) || text ELSE text END AS text FROM documents),
+q AS (SELECT *, greatest(1, length(coalesce(text, '')) // 4) AS n, row_number() OVER (PARTITION BY f ORDER BY p) AS i FROM p), r AS (SELECT *, coalesce(s <> lag(s) OVER (PARTITION BY f ORDER BY i), true) AS fresh FROM q),
+w AS (SELECT f, i, n AS held, i AS g FROM r WHERE fresh UNION ALL SELECT r.f, r.i, CASE WHEN held + r.n > 2000 THEN r.n ELSE held + r.n END, CASE WHEN held + r.n > 2000 THEN r.i ELSE g END FROM w JOIN r ON r.f IS NOT DISTINCT FROM w.f AND r.i = w.i + 1 AND NOT fresh)"""
+STRIPPED = "regexp_replace(text, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')"
+
+
+@query(
+    f"WITH RECURSIVE {PAGED_SQL}, m AS (SELECT r.f, r.p, w.g, {STRIPPED} AS text, r.i FROM r JOIN w ON w.f IS NOT DISTINCT FROM r.f AND w.i = r.i) "
+    "SELECT * FROM (SELECT f AS source_file, min(p) AS page_number, CAST(count(*) AS INTEGER) AS n_pages, sha256(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY i) FILTER (WHERE text <> ''), '')) AS text_sha256 FROM m GROUP BY f, g) WHERE text_sha256 <> sha256('')"
+)
+def page_parents(t):
+    parents, _ = P.page_parent_child(paged(t))
+    return parents.select("source_file", "page_number", "n_pages", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query()
 def chunk_parent_child(t):
+    parents, children = P.page_parent_child(paged(t))
+    return children.join(parents.select("parent_id", F.col("page_number").alias("parent_page"), "n_pages").distinct(), "parent_id")
+
+
+TYPED = "CASE doc_id % 6 WHEN 0 THEN 'markdown' WHEN 1 THEN 'pdf' WHEN 2 THEN 'text' END"
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'table' WHEN doc_id % 11 = 1 THEN 'heading_aware' WHEN contains(text, '|---') OR (contains(text, '|') AND contains(text, chr(10) || '|')) THEN 'table' WHEN coalesce({TYPED}, 'text') = 'markdown' OR doc_id % 13 = 0 OR contains(text, '```') THEN 'markdown' "
+    f"WHEN coalesce({TYPED}, 'text') = 'pdf' OR doc_id % 17 = 0 THEN 'heading_aware' WHEN len(list_filter(regexp_split_to_array(text, '[\\s\\x0B]+'), lambda w: w <> '')) > 200 THEN 'semantic' ELSE 'recursive' END AS strategy FROM documents"
+)
+def chunk_strategy(t):
+    asked = F.when(F.col("doc_id") % 11 == 0, "Table_Aware").when(F.col("doc_id") % 11 == 1, "heading").when(F.col("doc_id") % 11 == 2, "unknown")
+    return t("documents").select("doc_id", C.chunk_strategy(F.col("text"), F.expr(TYPED), F.col("doc_id") % 17 == 0, None, F.col("doc_id") % 13 == 0, asked).alias("strategy"))
+
+
+@query()
+def chunk_parent_pieces(t):
     parents, children = C.chunk_parent_child(t("documents"))
     return children.join(parents.select("parent_id", "doc_id", F.col("chunk_index").alias("parent_index")), "parent_id")
 
