@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules as R
+from ..functions.session import saved
 from .questions import is_code_query
 
 RRF_K, MIN_RATIO = 60, 0.40
@@ -194,3 +196,37 @@ def comprehensive_retrieve(hits: DataFrame, section: str, ratio: float = 0.25, t
     rest = spread.join(kept.select(query).distinct(), query, "left_anti")
     both = together(kept, rest, query).withColumn("rank", rank_by(query, F.desc("score"), key))
     return both.filter(F.col("rank") <= top_n)
+
+
+def fan_out(subs: DataFrame, search: Callable[[DataFrame], DataFrame], query: str = "query_id", text: str = "sub_query", key: str = "chunk_id") -> DataFrame:
+    """subs(query, text) -> query, key, score, rank: the hits of a question's sub-questions, each chunk at its best score.
+
+    search gets query_id (a number of the text), text and gives query_id, key, score: all sub-questions of all questions go through it together, so what it scans it scans once, and each
+    distinct text is searched once, as rule tables give many questions the same one. Null and blank sub-questions have no hits.
+    """
+    asked = subs.filter(F.trim(text) != "").select(query, F.sha2(text, 256).alias("_t"), F.col(text).alias("_text"))
+    texts = saved(asked.groupBy("_t").agg(F.first("_text").alias("text")).withColumn("_i", F.monotonically_increasing_id()), "sub-questions")
+    found = search(texts.select(F.col("_i").alias("query_id"), "text")).select(F.col("query_id").alias("_i"), key, "score")
+    pairs = asked.select(query, "_t").distinct().join(texts.select("_t", "_i"), "_t")
+    return subquery_merge(pairs.select(query, "_i").join(found, "_i"), query, key)
+
+
+def comprehensive_context(
+    merged: DataFrame, canned: DataFrame, chunks: DataFrame, marked: Column, parents: DataFrame | None = None, section: str = "section", score: Column | None = None, ratio: float = 0.25, top_n: int = 12, minimum: int = 2, query: str = "query_id", key: str = "chunk_id"
+) -> DataFrame:
+    """The whole path of list questions over fan_out's hits: query, key, score, rank, and with parents parent_id and result_id.
+
+    merged and canned: query, key, score, merged with rank; chunks: key, section, what marked and score read, and with parents parent_id. Canned hits make up for missing
+    marked ones (topic_inject), a section keeps its two best, a scorer's column (default: the hit's own score) is held against ratio times the question's best, up to
+    minimum marked candidates that this drops come back in front (topic_ensure), the first top_n stay and become their parents. A question without hits has no rows.
+    """
+    told = lambda rows: rows.join(chunks, key)
+    own = together(merged.select(query, key, "score"), canned.select(query, key, "score"), query).groupBy(query, key).agg(F.max("score").alias("_own"))
+    injected = topic_inject(told(merged), told(canned), marked, minimum, query, key).drop("rank")
+    spread = diversify_sections(told(injected), 2, section, query, key).join(own, [query, key])
+    spread = spread.withColumn("score", F.col("_own")).withColumn("score", F.col("score") if score is None else score).drop("_own")
+    kept = relative_threshold(spread, ratio, 1, query, key).withColumn("rank", rank_by(query, F.desc("score"), key))
+    final = topic_ensure(kept, spread, marked, minimum, query, key).filter(F.col("rank") <= top_n)
+    if parents is None:
+        return final
+    return parent_expand(final.join(chunks.select(key, "parent_id"), key), parents, query, key).select(query, key, "score", "rank", "parent_id", "result_id")

@@ -342,6 +342,22 @@ def recent_traces(t):
     return T.recent_traces(traces(t), 50, 10)
 
 
+@query(
+    """WITH w AS (SELECT time_bucket(INTERVAL 6 hour, ts) - i * INTERVAL 6 hour AS window_start, value FROM events, range(4) r(i) WHERE ts IS NOT NULL)
+SELECT window_start, count(*) AS n, round(sum(value), 3) AS total, true AS p50_held, true AS p95_held FROM w WHERE window_start + INTERVAL 24 hour <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 hour FROM events) GROUP BY 1"""
+)
+def stream_trace_quantiles(t):
+    """A day's windows every six hours, appended by a stream; held: the window's rows at or below the sketch's quantile are the share wanted, within the stated error."""
+    rows = traces(t).select(F.col("ts").cast("timestamp").alias("ts"), "latency")
+    stream = jobs.trace_quantiles(streamed(rows, "trace-rows"), "24 hours", "6 hours", "1 hour")
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, "trace-quantiles")
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, "trace-quantiles-log")).trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema(stream.schema).parquet(path)
+    met = rows.filter("ts is not null").select(F.window("ts", "24 hours", "6 hours").alias("w"), "latency").join(told, F.col("w.start") == F.col("window_start"))
+    share = lambda c, q: ((F.avg((F.col("latency") < F.col(c)).cast("int")) - jobs.RANK_ERROR <= q) & (F.avg((F.col("latency") <= F.col(c)).cast("int")) + jobs.RANK_ERROR >= q)).alias(f"{c}_held")
+    return met.groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round(F.col("mean") * F.col("n"), 3).alias("total")).agg(share("p50", 0.5), share("p95", 0.95))
+
+
 @query("SELECT count(*) FILTER (WHERE event_type = 'purchase') AS up, count(*) FILTER (WHERE event_type = 'error') AS down, count(*) AS total, (SELECT list(event_id ORDER BY ts, event_id) FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 20)) AS recent FROM events")
 def feedback_summary(t):
     return T.feedback_summary(t("events").select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0).alias("rating")))

@@ -344,6 +344,60 @@ def comprehensive_retrieve(t):
     return U.comprehensive_retrieve(with_context(t, both).select("query_id", "chunk_id", "section", "score"), "section").select("query_id", "chunk_id", "section", "score", "rank")
 
 
+def sub_questions(t):
+    """Each question and its first three sentences."""
+    parts = F.concat(F.array("text"), F.slice(F.split("text", r"\. ", -1), 1, 3))
+    return t("benchmark").select(F.col("item_id").alias("query_id"), F.explode(parts).alias("sub_query"))
+
+
+def fused_hits(t, asked):
+    """query_id, chunk_id, score of any questions: both searches of all of them in one pass each, fused."""
+    sparse = L.bm25_search(None, asked, K, index=index_of(corpus(t))).select("query_id", F.col("doc_id").alias("chunk_id"), F.lit(1).alias("list"), "rank", F.lit(None).cast("double").alias("dense_score"), F.col("score").alias("sparse_score"))
+    docs = V.hashed_vectors(corpus(t)).select("doc_id", "embedding")
+    near = V.dense_topk(docs, V.hashed_vectors(asked, "query_id").select(F.col("query_id").alias("doc_id"), "embedding"), K, "doc_id")
+    dense = near.select("query_id", F.col("doc_id").alias("chunk_id"), F.lit(0).alias("list"), "rank", F.col("similarity").alias("dense_score"), F.lit(None).cast("double").alias("sparse_score"))
+    return U.rrf_fuse(dense.unionByName(sparse)).select("query_id", "chunk_id", "score")
+
+
+# A common table named benchmark stands before the table of that name, so the searches' SQL is over the sub-questions.
+FAN_OUT = f"""subs AS (SELECT item_id AS question, sha256(text) AS whole, unnest([text] || list_slice(string_split(text, '. '), 1, 3)) AS text FROM benchmark), asked AS (SELECT DISTINCT question, sha256(text) AS item_id FROM subs WHERE trim(text) <> ''),
+benchmark AS (SELECT DISTINCT sha256(text) AS item_id, text FROM subs WHERE trim(text) <> ''), {BM25}, {DENSE}, {DOCS}, {FUSED},
+found AS (SELECT question AS query_id, chunk_id, max(score) AS score FROM fused JOIN asked ON asked.item_id = fused.query_id GROUP BY ALL),
+merged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM found)"""
+
+
+@query(f"WITH {FAN_OUT} SELECT query_id, chunk_id, score, rank FROM merged")
+def fan_out(t):
+    return U.fan_out(sub_questions(t), lambda asked: fused_hits(t, asked))
+
+
+@query(
+    f"""WITH {FAN_OUT}, h AS (SELECT query_id, chunk_id, score, rank, coalesce(section = 'de', false) AS marked FROM merged JOIN docs USING (chunk_id)),
+canned AS (SELECT question AS query_id, chunk_id, round(1.0::DOUBLE / (60 + d.rank), 9) AS score FROM dense d JOIN docs USING (chunk_id) JOIN (SELECT DISTINCT question, whole FROM subs) ON whole = d.query_id WHERE section = 'de'),
+s AS (SELECT query_id, count(*) FILTER (WHERE marked) AS have, greatest(max(score) * 1.2, 10) AS boost FROM h GROUP BY 1 HAVING count(*) FILTER (WHERE marked) < 2),
+c AS (SELECT d.query_id, d.chunk_id, have, boost, row_number() OVER (PARTITION BY d.query_id ORDER BY d.score DESC, d.chunk_id) AS n FROM canned d JOIN s USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = d.query_id AND h.chunk_id = d.chunk_id)),
+u AS (SELECT query_id, chunk_id, score FROM h UNION ALL SELECT query_id, chunk_id, boost FROM c WHERE n <= 2 - have),
+own AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, score FROM merged UNION ALL SELECT query_id, chunk_id, score FROM canned) GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY score DESC, chunk_id) AS n FROM u JOIN docs USING (chunk_id)),
+w AS (SELECT v.query_id, v.chunk_id, section, own.score, max(own.score) OVER (PARTITION BY v.query_id) AS top FROM v JOIN own ON own.query_id = v.query_id AND own.chunk_id = v.chunk_id WHERE n <= 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS p FROM w WHERE score >= 0.25 * top),
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1000000 AS p FROM w WHERE score < 0.25 * top AND section = 'de'),
+y AS (SELECT query_id, chunk_id, score, p FROM k UNION ALL SELECT query_id, chunk_id, score, p FROM x WHERE p <= -999998),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS r, CASE WHEN chunk_id % 5 = 0 THEN NULL ELSE chunk_id // 10 * 10 END AS parent_id FROM y),
+e AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY r) AS n FROM z WHERE r <= 12)
+SELECT query_id, chunk_id, e.score, parent_id, coalesce(d.doc_id, chunk_id) AS result_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM e LEFT JOIN documents d ON d.doc_id = e.parent_id WHERE parent_id IS NULL OR n = 1"""
+)
+def comprehensive_context(t):
+    """Sub-questions through one search, then injection, sections, threshold, ensured topics and parents."""
+    merged = U.fan_out(sub_questions(t), lambda asked: fused_hits(t, asked))
+    near = dense_hits(t).join(corpus(t).filter("lang = 'de'").select(F.col("doc_id").alias("chunk_id")), "chunk_id")
+    canned = near.select("query_id", "chunk_id", F.round(1.0 / (60 + F.col("rank")), 9).alias("score"))
+    parent = F.when(F.col("doc_id") % 5 != 0, F.floor(F.col("doc_id") / 10) * 10)
+    chunks = corpus(t).select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("section"), parent.alias("parent_id"))
+    marked = F.coalesce(F.col("section") == "de", F.lit(False))
+    return U.comprehensive_context(merged, canned, chunks, marked, t("documents").select(F.col("doc_id").alias("parent_id"), "text"))
+
+
 @query(
     f"""WITH {BM25}, c AS (SELECT query_id, chunk_id, rank, score FROM sparse WHERE rank <= 6), t AS (SELECT c.* FROM c WHERE query_id % 2 = 0 AND rank = 2),
 r AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM c WHERE query_id % 2 = 1), n AS (SELECT query_id, chunk_id, rank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS n FROM r WHERE score >= CASE WHEN top > 0 THEN 0.7 * top ELSE 0 END)

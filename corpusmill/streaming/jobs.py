@@ -29,6 +29,26 @@ def trace_windows(traces: DataFrame, size: str = "1 hour", slide: str | None = N
     return marked.groupBy(span.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("latency"), 6).alias("mean"), F.percentile_approx("latency", 0.95, 10_000).alias("p95")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "mean", "p95")
 
 
+#: The k of a quantile sketch, and the share of rows by which a quantile's rank may be off with it (99 in 100 windows are within a third of it).
+SKETCH_K, RANK_ERROR = 400, 0.025
+
+
+def trace_quantiles(traces: DataFrame, size: str = "1 hour", slide: str = "15 minutes", late: str = "10 minutes", k: int = SKETCH_K) -> DataFrame:
+    """traces(ts, latency) -> window_start, window_end, n, mean, p50, p95 of sliding windows; of a stream in append mode, a row once the watermark has passed its window's end.
+
+    A row goes into one pane, as long as the slide, whose state is a count, a sum and a mergeable quantile sketch of k; the windows merge the sketches of their
+    panes, so neither state nor work grows with the rows of a window or with size / slide. Ranks of p50 and p95 are off by RANK_ERROR at most; n and mean are exact. size is a
+    whole number of slides. Rows without time are left out; those without latency count in n only, and a window without any has null quantiles.
+    """
+    known = traces.filter("ts is not null")
+    marked = known.withWatermark("ts", late) if traces.isStreaming else known
+    panes = marked.groupBy(F.window("ts", slide).alias("pane")).agg(F.count(F.lit(1)).alias("n"), F.count("latency").alias("m"), F.sum("latency").alias("s"), F.kll_sketch_agg_double(F.col("latency").cast("double"), F.lit(k)).alias("sketch"))
+    held = panes.select(F.window_time("pane").alias("at"), "n", "m", "s", "sketch")
+    merged = held.groupBy(F.window("at", size, slide).alias("w")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    at = lambda q: F.when(F.col("m") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+    return merged.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", (F.col("s") / F.col("m")).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+
+
 def sessions(events: DataFrame, hours: int = 24) -> DataFrame:
     """Batch twin of stream_sessions: events(user_id long, ts, ...) with session (number in the user, from 1) and session_start; rows without user or time are left out.
 
