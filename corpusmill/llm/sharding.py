@@ -29,17 +29,28 @@ def leaves_for(total_bytes: int, target_bytes: int) -> int:
 def _points(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + 8).cast("long")
-    # Rows that are equal in all are told apart by the number of the row in this scan, which is saved with the points.
-    tie = F.pmod(F.xxhash64("doc_id", text, F.col("_place")), F.lit(1 << TIE_BITS))
     top = (1 << VALUE_BITS) - 1
     named = lambda c: F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")), F.lit(top + 1))
     on_log = F.least(F.lit(top), (F.log2(size.cast("double")) * 65536).cast("long"))
     on_line = F.pmod(F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long"), F.lit(1 << 40))
     has = set(docs.columns)
     values = [named("lang") if "lang" in has else F.lit(0), named("source") if "source" in has else F.lit(0), on_log]
-    keys = [(v.cast("long") * (1 << TIE_BITS) + tie) for v in values] + [on_line * (1 << VALUE_BITS) + F.shiftright(tie, TIE_BITS - VALUE_BITS)]
-    placed = docs.select("doc_id", "text", *[c for c in ("lang", "source") if c in has], F.monotonically_increasing_id().alias("_place"))
-    return placed.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.array(*keys).alias("at"), tie.alias("tie"))
+    values = [v.cast("long") for v in values]
+    same = F.xxhash64(*[x for c in ("doc_id", "lang", "source") if c in has for x in (F.col(c).isNull(), F.col(c))], F.col("text").isNull(), text)
+    return docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.array(*values).alias("values"), on_line.alias("line"), same.alias("same"))
+
+
+def _told_apart(points: DataFrame, scratch: Scratch, rows: int) -> DataFrame:
+    """points with tie, a hash of the row; rows that are equal in all are numbered and hashed with their numbers, so ties don't depend on how the table is dealt."""
+    again = scratch.save(points.groupBy("same").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("same"))
+    told = points.withColumn("place", F.lit(0).cast("long"))
+    if not again.isEmpty():
+        repeated = scratch.save(points.join(again, "same", "left_semi").withColumn("_at", F.monotonically_increasing_id()))
+        repeated = number_rows(repeated, "same", [F.col("_at")], rows, "place").drop("_at")
+        told = scratch.save(points.join(again, "same", "left_anti").withColumn("place", F.lit(0).cast("long")).unionByName(repeated))
+    tie = F.pmod(F.xxhash64("same", "place"), F.lit(1 << TIE_BITS))
+    keys = F.concat(F.transform("values", lambda v: v * (1 << TIE_BITS) + F.col("tie")), F.array(F.col("line") * (1 << VALUE_BITS) + F.shiftright("tie", TIE_BITS - VALUE_BITS)))
+    return told.withColumn("tie", tie).select("doc_id", "size", "text_crc32", keys.alias("at"), "tie")
 
 
 def _by_node(values: dict, kind: str) -> Column:
@@ -58,17 +69,18 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0005,
 
     Splitting ends when leaves reach target_bytes; the default target is a shards-th of all bytes. Shards have near equal bytes: every split leaves each side its share of the node's bytes, to one row or to
     tolerance of a shard. Null texts count as empty (8 bytes, crc32 0), null languages or sources as one more
-    value, null ids as the lowest. Repeated rows are rows like others, told apart by their place, so any number of them is split. An empty table gives an empty result;
+    value, null ids as the lowest. Repeated rows are rows like others, numbered to be told apart, so any number of them is split. How the table is dealt or ordered changes nothing but which of equal rows is which. An empty table gives an empty result;
     further columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "kd")
-    points = scratch.save(_points(docs).withColumn("node", F.lit(1)))
+    points = scratch.save(_points(docs))
     rows, total = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     shards = shards if target_bytes is None else leaves_for(total, target_bytes)
     leaves = {1: shards}  # node -> shards below it
     splits: dict = {}
-    current = points
+    current = _told_apart(points, scratch, rows).withColumn("node", F.lit(1))
     ranges: list | None = None
+    current_saved = False
     while rows and any(n > 1 for n in leaves.values()):
         open_nodes = [n for n in leaves if leaves[n] > 1]
         dims = range(len(DIMENSIONS))
@@ -89,8 +101,11 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0005,
             leaves |= {2 * n: low, 2 * n + 1: count - low}
             if n not in splits:  # no rows
                 splits[n] = (0, 0)
+        level = scratch.count
         current = scratch.save(current.withColumn("node", _split(splits)))
-        scratch.drop(scratch.count - 1)
+        if current_saved:
+            scratch.drop(level)
+        current_saved = True
     order = sorted(leaves, key=lambda n: n / 2 ** n.bit_length())
     first, at = {}, 0
     for n in order:

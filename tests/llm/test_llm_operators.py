@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, decontamination, embedding, html_text, language, packing, pii, sharding, simhash, suffix_dedup
+from corpusmill.llm import chat, common, decontamination, embedding, html_text, language, packing, pii, sharding, simhash, suffix_dedup
 
 WORDS = "the ertion of and inre blest ou heonly was anthe with shed ing are é ça".split()
 DOCS = "doc_id long, text string, lang string, source string"
@@ -69,6 +69,9 @@ def test_sharding(spark, rows, docs, empty):
     assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) < 400
     twice = many.limit(0).unionByName(many.filter("doc_id = 1")).unionByName(many.filter("doc_id = 1"))
     assert sharding.kd_shards(twice, 2).count() == 2
+    mixed = docs.unionByName(docs.filter("doc_id % 3 = 0")).unionByName(docs.filter("doc_id % 3 = 0")).unionByName(docs.withColumn("doc_id", docs.doc_id * 0 + 4))
+    shape = lambda d: sorted(map(str, d.select("doc_id", "text_crc32", "shard", "slot").collect()))
+    assert shape(sharding.kd_shards(mixed, 5)) == shape(sharding.kd_shards(mixed.repartition(7), 5)) == shape(sharding.kd_shards(mixed.orderBy("text"), 5))
     equal = spark.range(2000).selectExpr("5L doc_id", "repeat('a', 50) text")
     assert [r["count"] for r in sharding.kd_shards(equal, 4).groupBy("shard").count().collect()] == [500] * 4
     assert sharding.kd_shards(equal, target_bytes=2000 * 58 // 10).agg({"shard": "max"}).first()[0] == 9
@@ -103,7 +106,7 @@ def test_sharding_equals_brute_force(spark):
     rng = random.Random(12)
     rows = [(i // 2 if i % 7 else None, "w" * rng.randrange(80), rng.choice("ab"), rng.choice(["hot", "hot", "x", None])) for i in range(150)] + [(3, "same", "a", "hot")] * 20
     docs = spark.createDataFrame(rows, DOCS).coalesce(1)
-    points = [(r["size"], r["at"], r["doc_id"], r["text_crc32"]) for r in sharding._points(docs).collect()]
+    points = [(r["size"], r["at"], r["doc_id"], r["text_crc32"]) for r in sharding._told_apart(sharding._points(docs), common.Scratch(spark, "kd"), len(rows)).collect()]
     for shards in (2, 5, 24):
         want = kd_brute(points, shards)
         got = sharding.kd_shards(docs, shards, tolerance=0.0).collect()
@@ -176,20 +179,16 @@ def bootstrap(rows):
         graph.setdefault(p, {})[v] = seed
     graph = {p: vs for p, vs in graph.items() if len(vs) >= 5 and not all(vs.values())}
     seeds = {v for vs in graph.values() for v, seed in vs.items() if seed}
-    values, supported = {v: float(v in seeds) for vs in graph.values() for v in vs}, -1
-    while graph:
-        for _ in range(3):
-            shares = {p: round(sum(values[v] for v in vs) / (len(vs) + len(followers.get(p, ()))), 9) for p, vs in graph.items()}
-            patterns = {p: shares[p] if shares[p] >= 0.5 and sum(values[v] >= 0.5 for v in vs) >= 5 else 0.0 for p, vs in graph.items()}
-            miss = dict.fromkeys(values, 1.0)
-            for p, vs in graph.items():
-                for v in vs:
-                    miss[v] *= max(1e-9, 1 - patterns[p])
-            support = sum(sum(values[v] >= 0.5 for v in vs) >= 5 for vs in graph.values())
-            values = {v: 1.0 if v in seeds else round(1 - m, 9) for v, m in miss.items()}
-        if support == supported:
-            break
-        supported = support
+    values, patterns, before = {v: float(v in seeds) for vs in graph.values() for v in vs}, {}, None
+    while before != (patterns, values):
+        before = (patterns, values)
+        shares = {p: round(sum(values[v] for v in vs) / (len(vs) + len(followers.get(p, ()))), 9) for p, vs in graph.items()}
+        patterns = {p: shares[p] if shares[p] >= 0.5 and sum(values[v] >= 0.5 for v in vs) >= 5 else 0.0 for p, vs in graph.items()}
+        miss = dict.fromkeys(values, 1.0)
+        for p, vs in graph.items():
+            for v in vs:
+                miss[v] *= max(1e-9, 1 - patterns[p])
+        values = {v: 1.0 if v in seeds else round(1 - m, 9) for v, m in miss.items()}
     good = {p for p in graph if patterns[p] >= 0.8}
     return {i: ",".join(f"{k}:{a}:{b}" for a, _, b, k, _ in sorted(spans + [x for x, p in maybe if p in good])) for i, spans, maybe in facts}
 
