@@ -4,7 +4,7 @@ Base rules find e-mail addresses, IP addresses, card and phone numbers with thei
 a seed induce a lexical pattern, and a graph of patterns and the identifier-like values that follow them is scored in rounds. A
 pattern's score is the sum of its values' scores over the number of different followers it has in the corpus: values, plain words and other words with digits.
 It counts only if it is HALF or more and MIN_SUPPORT values scored HALF or more follow it; a value's score grows with the patterns that hold it, so that what was discovered
-induces further patterns. Rounds go on, ROUNDS at a time, until no pattern gains support. Values that no base rule finds but that follow a pattern of high
+induces further patterns. Rounds go on, ROUNDS at a time, until no score and no support changes. Values that no base rule finds but that follow a pattern of high
 score become further spans of kind id. The graph holds only identifier-like tokens, counted once for each pattern and value, so copies add nothing.
 
 Only patterns before MIN_SUPPORT different values, of which one is no seed, can ever discover, and only if other followers are no more than those values. A
@@ -194,18 +194,19 @@ def _confident_patterns(docs: DataFrame, facts: DataFrame, scratch: Scratch) ->
     weight = possible.select("pattern", (F.col("n") + F.col("more")).alias("all"))
     graph = scratch.save(pairs.join(possible.select("pattern"), "pattern", "left_semi"))
     values = scratch.save(graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score")))
-    supported = -1
+    mark = lambda x: x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("pattern", "support", "score"))).first()
+    patterns = None
     while True:
         for _ in range(ROUNDS):
+            before = patterns
             scored = graph.join(values, "value").groupBy("pattern").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= HALF).alias("support"))
             share = F.round(F.col("sum") / F.col("all"), 9)
             patterns = scratch.save(scored.join(weight, "pattern").select("pattern", "support", F.when((F.col("support") >= MIN_SUPPORT) & (share >= HALF), share).otherwise(0.0).alias("score")))
             joined = graph.join(patterns, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))).alias("log"))
             values = scratch.save(joined.select("value", F.when(F.col("seed"), 1.0).otherwise(F.round(1 - F.exp("log"), 9)).alias("score")))
-        now = patterns.filter(F.col("support") >= MIN_SUPPORT).count()
-        if now == supported:
+        # Values follow from patterns alone, so equal patterns of two rounds are the fixed point.
+        if mark(before) == mark(patterns):
             return patterns.filter(F.col("score") >= MIN_SCORE).select("pattern", "score")
-        supported = now
 
 
 def _line(spans: Column) -> Column:
