@@ -181,6 +181,12 @@ def test_agreement_and_latency(spark):
     assert (s["p50"], s["p95"]) == (2.5, 3.85)
 
 
+def test_latency_without_warm_up(spark):
+    samples = spark.createDataFrame([("s", 0, 90.0), ("s", 1, 1.0), ("s", 2, 3.0)], "stage string, iteration int, ms double")
+    assert tuple(E.latency_summary(samples, warm_up=1).first()) == ("s", 2, 2.0, 2.0, 2.9)
+    assert E.latency_summary(samples).first()["n"] == 3
+
+
 def test_lsh_recall(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     asked = vectors.filter("vec_id % 20 = 0")

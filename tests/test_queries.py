@@ -42,6 +42,13 @@ def test_query(spark, con, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=str)
 
 
+def test_latency_of_all_events(spark, con):
+    """No event is left out, whatever its id."""
+    got = {r["stage"]: (r["n"], r["mean"]) for r in QUERIES["latency_summary"](spark, SMALL).collect()}
+    want = {stage: (n, round(mean, 6)) for stage, n, mean in con.sql("select event_type, count(*), avg(value) from events group by 1").fetchall()}
+    assert {k: (n, round(m, 6)) for k, (n, m) in got.items()} == want
+
+
 def test_section_contexts_of_whole_texts(spark, con):
     found = {(r["doc_id"], r["line_no"]): r for r in QUERIES["parse_headings"](spark, SMALL).collect()}
     got = {(r["doc_id"], r["line_no"]): (r["section_title"], r["section_level"], r["section_path"]) for r in QUERIES["section_contexts"](spark, SMALL).collect()}
