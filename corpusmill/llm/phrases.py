@@ -1,9 +1,9 @@
 """Phrase collocations: multikey three-way partitions of suffix pointers, of which infrequent ones are abandoned.
 
 Words are counted first. Every place where a frequent word begins is a suffix of up to DEPTH frequent words; equal ones of a block of text
-are one row with their number. Suffixes are routed by their leading word, and by as many more as leading ones are very frequent, so that no
-route gathers more than the very frequent ones stand for. A task deals its suffixes to parts less than, equal to and greater than a pivot word;
-equal parts are phrases and go on with the next word, parts of too few are abandoned.
+are one with their number. Suffixes are routed by their leading word, and by as many more as leading ones are very frequent, so that no
+route gathers more than the very frequent ones stand for; a row holds a block's suffixes for one task. A task deals its suffixes to parts less
+than, equal to and greater than a pivot word; equal parts are phrases and go on with the next word, parts of too few are abandoned.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ ROUTE, SHARE = 1_000_000, 250_000
 #: Filters of words: places of 64 bits each.
 FILTER_SLOTS = 1 << 18
 BLOCK_BYTES = 2 << 20
+#: Suffixes in a row at most, and about as many in a batch of rows.
+ROW_SUFFIXES, BATCH_SUFFIXES = 20_000, 100_000
 #: A-Z lowered, what ends a piece as a full stop, the tab as a space.
 _TABLE = bytes(x + 32 if 65 <= x <= 90 else 46 if x in b".,;:!?\n\v\f\r" else 32 if x == 9 else x for x in range(256))
 _END = b"."
@@ -35,9 +37,9 @@ _END = b"."
 
 def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts in order, and the number of each in a list of the distinct ones; the end of a piece is a word as well."""
-    tokens = b" . ".join(texts).translate(_TABLE).replace(_END, b" . ").split(b" ")
-    coded = pa.array(tokens, pa.binary()).dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy()
+    joined = b" . ".join(texts).translate(_TABLE).replace(_END, b" . ")
+    coded = pc.split_pattern(pa.array([joined], pa.large_binary()), " ").flatten().dictionary_encode()
+    return coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -58,7 +60,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
 
 def _is_word(words: pa.Array) -> np.ndarray:
     """True for what is neither the end of a piece nor the nothing between two blanks."""
-    return np.array([w not in (b"", _END) for w in words.to_pylist()], bool)
+    return pc.invert(pc.is_in(words, pa.array([b"", _END], pa.binary()))).to_numpy(zero_copy_only=False)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +73,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _filter(words: DataFrame) -> np.ndarray:
-    """Bits at two hashes of every (lang, word): a set of fixed size that may take in others as well."""
-    hashed = words.select(F.explode(F.array(F.xxhash64("lang", "word"), F.xxhash64("lang", "word", F.lit(1)))).alias("h"))
+    """Bits at both halves of the hash of every (lang, word): a set of fixed size that may take in others as well."""
+    hashed = words.select(F.xxhash64("lang", "word").alias("h")).select(F.explode(F.array("h", F.shiftrightunsigned("h", 32))).alias("h"))
     bits = hashed.groupBy(F.pmod(F.shiftrightunsigned("h", 6), F.lit(FILTER_SLOTS)).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
     out = np.zeros(FILTER_SLOTS, np.int64)
     found = bits.toArrow()
@@ -80,51 +82,85 @@ def _filter(words: DataFrame) -> np.ndarray:
     return out
 
 
-def _passes(table: np.ndarray, lang: str, words: list[bytes]) -> np.ndarray:
-    """Which words of a language the filter has, with the hashes that Spark's xxhash64 gives."""
+def _hashes(lang: str, words: np.ndarray) -> np.ndarray:
+    """The hashes of a language's words that Spark's xxhash64 gives."""
     seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    first = [xxhash.xxh64_intdigest(w, seed) for w in words]
-    second = [xxhash.xxh64_intdigest(b"\x01\x00\x00\x00", h) for h in first]
-    both = np.array([first, second], np.uint64).reshape(2, -1)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+
+
+def _passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which words the filter has, by their hashes."""
+    both = np.array([hashes, hashes >> np.uint64(32)])
     slot = ((both >> np.uint64(6)) % np.uint64(FILTER_SLOTS)).astype(np.int64)
     return ((table[slot].view(np.uint64) >> (both & np.uint64(63))) & np.uint64(1)).all(axis=0)
 
 
-def _suffixes(frequent, hot):
-    """The function that turns (lang, text) into distinct suffixes of a block: route, lang, phrase, run (leading very frequent words), n."""
+def _distinct(columns: list[np.ndarray], base: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of four columns of numbers from -1 to base - 2, of which the first two are not -1, and how often each occurs."""
+    a, b, c, d = columns
+    high, low = a * base + b, (c + 1) * base + d + 1
+    if base**4 < 1 << 63:  # one number a row, sorted by itself
+        key = high * (base * base) + low
+        key.sort()
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        high, low = np.divmod(key[new], base * base)
+        total = len(key)
+    else:
+        order = np.lexsort((low, high))
+        high, low, total = high[order], low[order], len(order)
+        new = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
+        high, low = high[new], low[new]
+    return [*np.divmod(high, base), *(x - 1 for x in np.divmod(low, base))], np.diff(np.append(new, total))
+
+
+def _suffixes(frequent, hot, parts: int):
+    """The function that turns (lang, text) into rows of a block's distinct suffixes for a task: task, lang, words (of all, each suffix after a blank and before an end), run (leading very frequent words) and n of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, very = (np.frombuffer(x.value, np.int64) for x in (frequent, hot))
         for lang, texts in _blocks(batches):
             words, codes = _words(texts)
-            listed = words.to_pylist()
-            kept = _is_word(words) & _passes(some, lang, listed)
-            codes = codes[np.isin(codes, np.flatnonzero([w != b"" for w in listed]))]
+            real = np.flatnonzero(_is_word(words))
+            hashes = _hashes(lang, words.take(pa.array(real)).to_numpy(zero_copy_only=False))
+            kept = _passes(some, hashes)
+            real, hashes = real[kept], hashes[kept]
             # -1 ends a suffix: the end of a piece or a word of which there are too few.
-            at = np.where(kept, np.arange(len(words)), -1)[codes].astype(np.int64)
-            at = np.concatenate([at, np.full(DEPTH, -1)])
+            number = np.full(len(words), -1, np.int64)
+            number[real] = np.arange(len(real))
+            filled = pc.not_equal(words, pa.scalar(b"", pa.binary())).to_numpy(zero_copy_only=False)
+            at = np.concatenate([number[codes[filled[codes]]], np.full(DEPTH, -1)])
+            words = words.take(pa.array(real))
             start = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
             if not len(start):
                 continue
             columns = [at[start], at[start + 1]]
             for d in range(2, DEPTH):
                 columns.append(np.where(columns[-1] >= 0, at[start + d], -1))
-            pair = np.int64(len(words) + 1)
-            key = columns[0] * pair + columns[1]
-            for d in range(2, DEPTH):  # numbers of equal beginnings, so that keys stay within 64 bits
-                key = np.unique(key, return_inverse=True)[1] * pair + columns[d] + 1
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            columns = [c[first] for c in columns]
-            is_hot = np.append(_passes(very, lang, listed), False)
+            columns, n = _distinct(columns, len(words) + 1)
+            is_hot = np.append(_passes(very, hashes), False)
             run_of = np.cumprod([is_hot[c] for c in columns[:-1]], axis=0).sum(axis=0)  # with all before the last very frequent, the route is the whole
-            take = lambda c: words.take(pa.array(c, mask=c < 0))
-            parts = [take(c) for c in columns]
-            joined = pc.binary_join_element_wise(*parts, b" ", null_handling="skip")
-            # The route is the phrase's first run + 1 words, or all of it.
-            lead = [p if d == 0 else pc.if_else(pa.array(run_of >= d), p, pa.scalar(None, pa.binary())) for d, p in enumerate(parts)]
-            route = pc.binary_join_element_wise(*lead, b" ", null_handling="skip")
-            rows = [pa.array([lang] * len(first), pa.string()), route.cast(pa.string()), joined.cast(pa.string()), pa.array(run_of.astype(np.int32)), pa.array(n)]
-            yield from pa.Table.from_arrays(rows, names=["lang", "route", "phrase", "run", "n"]).to_batches(max_chunksize=20_000)
+            # The route is the suffix's first run + 1 words, or all of it; its hash names the task.
+            route = hashes[columns[0]]
+            for d in range(1, DEPTH):
+                more = np.flatnonzero((run_of >= d) & (columns[d] >= 0))
+                route[more] = (route[more] ^ (route[more] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[columns[d][more]]
+            task = (route % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(task, kind="stable")
+            task, run_of, n, columns = task[order], run_of[order], n[order], [c[order] for c in columns]
+            begins = pc.binary_join_element_wise(pa.scalar(b""), words, b" ")  # a blank before each
+            taken = [(words if d else begins).take(pa.array(c, mask=c < 0)) for d, c in enumerate(columns)]
+            joined = pc.binary_join_element_wise(*taken, pa.scalar(_END), b" ", null_handling="skip")
+            # Rows are consecutive suffixes of a task, ROW_SUFFIXES at most.
+            new = np.append(True, task[1:] != task[:-1])
+            place = np.arange(len(task))
+            first = np.flatnonzero(new | ((place - np.maximum.accumulate(np.where(new, place, 0))) % ROW_SUFFIXES == 0))
+            edges = np.append(first, len(task)).astype(np.int32)
+            _, offsets, data = joined.buffers()
+            edge_bytes = np.frombuffer(offsets, np.int32)[joined.offset : joined.offset + len(joined) + 1][edges]
+            lines = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edge_bytes), data])
+            lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x.astype(np.int32))) for x in (run_of, n)]
+            rows = pa.Table.from_arrays([pa.array(task[first]), pa.array([lang] * len(first), pa.string()), lines, *lists], names=["task", "lang", "words", "run", "n"])
+            yield from rows.to_batches(max_chunksize=max(1, BATCH_SUFFIXES * len(first) // len(task)))
 
     return run
 
@@ -178,24 +214,26 @@ def _mine(least: int):
             return
         table = pa.Table.from_batches(held).combine_chunks()
         held.clear()
-        lists = pc.split_pattern(table["phrase"].chunk(0), " ")
-        lengths, words = pc.list_value_length(lists).to_numpy(), lists.flatten().dictionary_encode()
-        del lists
-        lang = table["lang"].chunk(0).dictionary_encode()
+        coded = pc.split_pattern(table["words"].chunk(0), " ").flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy(), coded.dictionary
+        code = code[code != pc.index(names, b"").as_py()]
+        ends = np.flatnonzero(code == pc.index(names, _END).as_py())
+        begin = np.append(0, ends[:-1] + 1)
+        lengths = ends - begin
         keys = np.full((DEPTH, len(lengths)), -1, np.int32)
-        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        code, names = words.indices.to_numpy(), words.dictionary
         for d in range(DEPTH):
-            has = lengths > d
+            has = np.flatnonzero(lengths > d)
             keys[d, has] = code[begin[has] + d]
         first = keys[0].copy()
-        keys[0] += lang.indices.to_numpy() * np.int32(len(names))
-        n, hot = table["n"].to_numpy(), table["run"].to_numpy()
-        del table, begin, code, words, lengths
+        langs = table["lang"].chunk(0).dictionary_encode()
+        lang = np.repeat(langs.indices.to_numpy(), pc.list_value_length(table["n"].chunk(0)).to_numpy())
+        keys[0] += lang * np.int32(len(names))
+        n, hot = (table[c].chunk(0).flatten().to_numpy().astype(np.int64) for c in ("n", "run"))
+        del table, coded, begin, ends, code, lengths
 
         def told(at: np.ndarray, k: int) -> tuple[pa.Array, pa.Array]:
             parts = [names.take(pa.array((first if d == 0 else keys[d])[at])) for d in range(k)]
-            return lang.take(pa.array(at)).cast(pa.string()), pc.binary_join_element_wise(*parts, " ")
+            return langs.dictionary.take(pa.array(lang[at])), pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
 
         for at, k, f in frequent_parts(keys, n, least):
             own = hot[at] < k  # beginnings of very frequent words only are in other tasks as well
@@ -222,9 +260,8 @@ def count_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, route:
     tables = [spark.sparkContext.broadcast(_filter(x).tobytes()) for x in (single, single.filter(F.col("f") >= route))]
     total = words.filter("word is null").agg(F.sum("f")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE))
-    suffixes = clean.mapInArrow(_suffixes(*tables), "lang string, route string, phrase string, run int, n long")
-    # Only the route's hash is moved.
-    routed = suffixes.withColumn("route", F.xxhash64("lang", "route")).repartition(parts, "route").select("lang", "phrase", "run", "n")
+    suffixes = clean.mapInArrow(_suffixes(*tables, parts), "task int, lang string, words binary, run array<int>, n array<int>")
+    routed = suffixes.repartitionById(parts, "task").drop("task")
     mined = scratch.save(routed.mapInArrow(_mine(least), "lang string, phrase string, k int, f long, whole boolean"))
     spread = mined.filter("not whole").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     longer = mined.filter("whole").select("lang", "phrase", "k", "f").union(spread)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusmill.llm import phrases
@@ -73,3 +74,41 @@ def test_large_counts_stay_exact():
     keys = np.array([[1, 1, 2], [5, 5, -1], [6, -1, -1], [-1, -1, -1]])
     found = {(d, int(keys[0, at[0]])): int(f[0]) for at, d, f in phrases.frequent_parts(keys, np.array([2**51, 3, 9]), 10)}
     assert found == {(1, 1): 2**51 + 3, (2, 1): 2**51 + 3, (3, 1): 2**51}
+
+
+class Held:
+    """Stands for a broadcast filter."""
+
+    def __init__(self, bits):
+        self.value = np.full(phrases.FILTER_SLOTS, bits, np.int64).tobytes()
+
+
+@pytest.mark.parametrize(("hot", "most"), [(0, 20_000), (-1, 20_000), (0, 7), (-1, 1)])
+def test_rows_hold_many_suffixes(monkeypatch, hot, most):
+    """A block gives a row a task, not a suffix; rows are cut at their bound, equal leading words meet in one task, no suffix is lost."""
+    monkeypatch.setattr(phrases, "ROW_SUFFIXES", most)
+    rng = random.Random(5)
+    lines = ["".join(rng.choice(["a", "b", "c", "dé", "of"]) + rng.choice(" ") for _ in range(40)) for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(lines)), pa.array(lines)], names=["lang", "text"])
+    rows = pa.Table.from_batches(phrases._suffixes(Held(-1), Held(hot), 3)(iter([batch]))).to_pylist()
+    got, tasks = Counter(), {}
+    for r in rows:
+        found = r["words"].decode().removesuffix(" .").replace(" .", "\n").removesuffix("\n").split("\n")
+        assert r["lang"] == "en" and 1 <= len(r["n"]) <= most and len(r["n"]) == len(r["run"]) == len(found)
+        for phrase, n, run in zip(found, r["n"], r["run"], strict=True):
+            got[phrase.strip()] += n
+            assert tasks.setdefault(tuple(phrase.split()[: run + 1]), r["task"]) == r["task"] < 3
+    words = [x.split() for x in lines]
+    assert got == Counter(" ".join(w[i : i + 4]) for w in words for i in range(len(w) - 1))
+    assert sum(len(r["n"]) for r in rows) == len(got)
+    assert len(rows) <= (3 if most > len(got) else 3 + len(got) / most)
+
+
+@pytest.mark.parametrize("base", [6, 60_000])
+def test_distinct_of_few_and_many_words(base):
+    """One number a row up to 55,000 words, two beyond."""
+    rng = np.random.default_rng(1)
+    columns = [rng.choice([0, 1, base - 2], 500), rng.choice([0, base - 2], 500), rng.choice([-1, 0, base - 2], 500), rng.choice([-1, base - 2], 500)]
+    found, n = phrases._distinct(columns, base)
+    want = Counter(zip(*(c.tolist() for c in columns), strict=True))
+    assert dict(zip(zip(*(c.tolist() for c in found), strict=True), n.tolist(), strict=True)) == want
