@@ -25,3 +25,8 @@ def test_judge_text_that_begins_like_json(spark, tmp_path):
     texts = ['{"score": 0.5, "reasoning": "a"} b', '{"x": 1} b', '{"x": 1}, {"x": 2}', '{"x": {"score": 1}} b', '{"score": 2, "reasoning": "c"}', "[1] b"]
     told = [tuple(r["j"]) for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").coalesce(1).select(E.parse_judge_scores(F.col("x")).alias("j")).collect()]
     assert told == [(0.5, "a"), (None, texts[1]), (None, texts[2]), (1.0, None), (2.0, "c"), (None, texts[5])]
+
+
+def test_normalised_components_keep_the_sign_of_zero(spark, tmp_path):
+    got, want = over(spark, tmp_path, "l2_normalize", "embeddings", [(1, [1.0, -1e-9, 1e-9, -0.5])], "vec_id long, embedding array<float>")
+    assert got == want and "-0.0," in got[0]
