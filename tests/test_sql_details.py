@@ -30,3 +30,15 @@ def test_judge_text_that_begins_like_json(spark, tmp_path):
 def test_normalised_components_keep_the_sign_of_zero(spark, tmp_path):
     got, want = over(spark, tmp_path, "l2_normalize", "embeddings", [(1, [1.0, -1e-9, 1e-9, -0.5])], "vec_id long, embedding array<float>")
     assert got == want and "-0.0," in got[0]
+
+
+def test_hashed_components_keep_the_sign_of_zero(spark, tmp_path):
+    """Two words of one component whose values cancel but for a negative rest, one of them several times."""
+    slot = lambda w: (lambda h: (h % V.DIMENSION, (h >> 8) % 1000 / 1000 - 0.5))(int.from_bytes(hashlib.md5(w.encode()).digest(), "big"))
+    by: dict = {}
+    for i in range(40_000):
+        by.setdefault(slot(f"w{i}")[0], []).append(f"w{i}")
+    told = next((a, b, n) for words in by.values() for a in words for b in words for n in (1, 2, 3) if -1e-9 < n * slot(a)[1] + slot(b)[1] < 0)
+    text = " ".join([told[0]] * told[2] + [told[1], "else", "more"])
+    got, want = over(spark, tmp_path, "hashed_embedding", "documents", [(1, text)], "doc_id long, text string")
+    assert got == want and any(math.copysign(1, float(r.rsplit(", ", 1)[1][:-1])) < 0 and "-0.0)" in r for r in got)
