@@ -75,3 +75,17 @@ def test_rows_scored_fall_with_k(spark, corpus, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert rows(L.bm25_search(docs, spark.createDataFrame(QUESTIONS, "query_id long, text string"))) == []
+
+
+def test_building_and_scoring_move_little(spark, corpus, monkeypatch):
+    """Terms of chunks are written once, as postings; questions in several passes, pairs with a floor and terms without weight give the same rows."""
+    written, honest = [], L.saved
+    monkeypatch.setattr(L, "saved", lambda df, name: written.append(name) or honest(df, name))
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    index = L.build_index(docs, block=16)
+    assert written == []
+    monkeypatch.setattr(L, "ASKED_BYTES", 48)
+    asked = spark.createDataFrame(QUESTIONS, "query_id long, text string")
+    assert rows(L.bm25_search(None, asked, 25, index=index)) == sorted(brute(corpus, QUESTIONS, 25))
+    even = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert rows(L.bm25_search(even, spark.createDataFrame([(1, "a")], "query_id long, text string"))) == [(1, 1, 0.0, 1)]
