@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.session import saved
 from ..functions.text import once, strip
 from .fusion import apart, rank_by
 from .questions import contains_any, word_count
@@ -132,10 +133,13 @@ def best_attempt(attempts: DataFrame, query: str = "query_id") -> DataFrame:
 
 
 def retry_rounds(answers: DataFrame, attempt_again, retries: int = 2, query: str = "query_id") -> DataFrame:
-    """Verifies, and lets attempt_again(failing reports, attempt) -> answers try the failing ones again at most retries times."""
-    report = verify_answers(answers).withColumn("attempt", F.lit(0))
+    """Verifies, and lets attempt_again(failing reports, attempt) -> answers try the failing ones again at most retries times.
+
+    Each round's reports are written and read again, so that an answer is verified once however many rounds follow.
+    """
+    report = saved(verify_answers(answers).withColumn("attempt", F.lit(0)), "retry-reports")
     tried = report
     for n in range(1, retries + 1):
-        report = verify_answers(attempt_again(report.filter("not passed"), n)).withColumn("attempt", F.lit(n))
+        report = saved(verify_answers(attempt_again(report.filter("not passed"), n)).withColumn("attempt", F.lit(n)), "retry-reports")
         tried = tried.unionByName(report, allowMissingColumns=True)
     return best_attempt(apart(tried, query), query)

@@ -402,3 +402,18 @@ def test_explicit_filters_win(spark):
     assert out[1, 2]["departments"] == ["Legal"] and out[1, 2]["category"] == "guidebook"
     assert out[1, 3]["departments"] is None and out[1, 3]["policy_id"] == "POL-1"
     assert out[2, 1]["policy_id"] == "POL-HR-001" and out[2, 1]["category"] == "guidebook"
+
+
+def test_retry_rounds_verify_an_answer_once(spark):
+    """What is tried again comes from the reports as written, not from verifying anew."""
+    from corpusmill.operators.verification import retry_rounds
+
+    schema = "query_id int, question string, answer string, context string, chunks int, citations int"
+    answers, read = spark.createDataFrame([(1, "What is the fee?", "bad 77% thing", "the fee is ten coins", 1, 0)], schema), []
+
+    def again(failed, attempt):
+        read.append(failed.inputFiles())
+        return failed.select(*answers.columns)
+
+    assert retry_rounds(answers, again).count() == 1
+    assert len(read) == 2 and all("retry-reports" in f for files in read for f in files) and all(read)
